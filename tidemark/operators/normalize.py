@@ -350,3 +350,27 @@ def accepted(normalized: DataFrame) -> DataFrame:
 
 def rejected(normalized: DataFrame) -> DataFrame:
     return normalized.where(F.col("reject_reason").isNotNull())
+
+
+def normalize_snapshot(records: DataFrame, field_types: dict[str, str], key: str = KEY) -> DataFrame:
+    """Full records (``body``) to text values of every described field.
+
+    A record's last-modified time serves as its event time too.
+    """
+    fields = [f for f in field_types if f not in ("Id", key)]
+    keep = _kept_columns(records, ("seq", "body"))
+    df = records.withColumns({"_payload": F.from_json("body", _MAP), "seq": F.lit(0).cast("bigint")})
+    df = df.withColumns(
+        {
+            key: F.col("_payload")["Id"],
+            "change_type": F.lit("CREATE"),
+            "target_fields": _strings(fields),
+            "nulled_fields": _strings([]),
+            "reject_reason": F.when(F.col("_payload").isNull(), "no_payload").when(
+                blank(F.col("_payload")["Id"]), "no_key"
+            ),
+        }
+    )
+    df = _compound_columns(df, fields)
+    no_commit = F.lit(None).cast("string")
+    return _finish(_times(df, F.lit(None).cast("timestamp"), no_commit), keep, key, fields)
