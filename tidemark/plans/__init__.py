@@ -1 +1,11 @@
+"""Jobs over the given tables: derived views and the checked queries."""
 
+from importlib import import_module
+
+_MODULES = ("mutation_queries",)
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    for name in _MODULES:
+        import_module(f"{__name__}.{name}")

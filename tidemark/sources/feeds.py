@@ -40,10 +40,8 @@ def kafka_feed(spark: SparkSession, servers: str, topic: str, notices: bool = Fa
         .option("includeHeaders", str(notices).lower())
         .load()
     )
-    feed = raw.select(F.col("offset").alias("seq"), F.col("value").cast("string").alias("body"), "headers") if notices else raw.select(
-        F.col("offset").alias("seq"), F.col("value").cast("string").alias("body")
-    )
+    order, body = F.col("offset").alias("seq"), F.col("value").cast("string").alias("body")
     if not notices:
-        return feed
+        return raw.select(order, body)
     named = F.filter("headers", lambda h: h["key"] == "event_type")
-    return feed.select("seq", named[0]["value"].cast("string").alias("event_type"), "body")
+    return raw.select(order, named[0]["value"].cast("string").alias("event_type"), body)

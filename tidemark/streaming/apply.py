@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.columns import KEY
 from tidemark.operators.fold import COUNTERS, fold, mutation_counts
 from tidemark.operators.normalize import accepted, rejected
-from tidemark.operators.skew import GROUP_LIMIT
+from tidemark.operators.skew import GROUP_LIMIT, running
 from tidemark.operators.snapshot import upsert_snapshot
 from tidemark.sources.store import TargetStore
 
@@ -122,7 +122,5 @@ def events_by_type(events: DataFrame, batch: str = "batch") -> DataFrame:
     One row per event: ``position`` within its batch and type. A list per type would hold
     the whole batch in one row.
     """
-    from tidemark.operators.skew import running
-
     one = {"position": ("sum", F.lit(1).cast("bigint"))}
     return running(events, [batch, "event_type"], ["seq"], one)
