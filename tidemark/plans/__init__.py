@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mutation_queries",)
+_MODULES = ("mutation_queries", "event_queries")
 
 
 def load() -> None:

@@ -333,3 +333,165 @@ SELECT s_suppkey AS storage_id, ['MARIADB','MYSQL','ORACLE','POSTGRESQL'][s_supp
        CASE WHEN s_acctbal<3000 THEN 'jdbc:given' END AS jdbc_url, s_name AS username
 FROM supplier JOIN nation ON s_nationkey=n_nationkey
 """
+
+
+def _quoted(col: Column) -> Column:
+    return F.concat(F.lit('"'), col, F.lit('"'))
+
+
+def _member(name: str, json_value: Column) -> Column:
+    """``"name":value``, or null to leave the member out."""
+    return F.concat(F.lit(f'"{name}":'), json_value)
+
+
+def _json_object(*members: Column) -> Column:
+    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+
+
+CHANGE_TYPES_BY_EVENT = {"signup": "create", "view": "UNDELETE", "error": "DELETE"}
+CHANGE_FIELDS = {"Amount": "currency", "Note": "textarea", "Stage": "string", "LastModifiedDate": "datetime"}
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a nested change record; small values make faulty ones."""
+    e = table(spark, sf_dir, "events")
+    kind, value = F.col("event_type"), F.col("value")
+    ms = F.floor(micros("ts") / 1000).cast("bigint")
+    modified = F.floor(ms / 1000).cast("bigint") - F.pmod("event_id", F.lit(LAG_DAYS)) * 86400
+    key = F.lpad(F.col("user_id").cast("string"), 18, "0")
+    named = kind != "purchase"
+    number = value.cast("string")
+    change = F.lit("UPDATE")
+    for name, text in CHANGE_TYPES_BY_EVENT.items():
+        change = F.when(kind == name, text).otherwise(change)
+    change = F.when((value >= 1) & (value < 2), "GAP_CREATE").otherwise(change)
+    has_key = ~((value >= 2) & (value < 3))
+    changed = (
+        F.when(kind == "view", '["0x0600"]').when(kind == "click", '["Amount"]')
+        .when(kind == "purchase", '["Deal.Note"," Amount ",null,""]').otherwise("[]")
+    )
+    header = _json_object(
+        _member("recordIds", F.when(named & has_key, F.concat(F.lit("["), _quoted(key), F.lit(',"other"]'))).otherwise("[]")),
+        _member("changeType", _quoted(change)),
+        F.when(kind != "error", _member("commitTimestamp", ms.cast("string"))),
+        _member("changedFields", changed),
+        _member("nulledFields", F.when(kind == "purchase", '["Note"]').otherwise("[]")),
+    )
+    amount = (
+        F.when(kind == "click", F.concat(F.lit('{"newValue":'), number, F.lit("}")))
+        .when(kind == "purchase", F.concat(F.lit('{"doubleValue":'), number, F.lit("}")))
+        .otherwise(number)
+    )
+    note = F.regexp_replace("props", '"', '\\\\"')
+    payload = _json_object(
+        F.when(value >= 1, _member("ChangeEventHeader", header)),
+        F.when(~named & has_key, _member("Id", _quoted(key))),
+        F.when(kind != "error", _member("Amount", amount)),
+        F.when(kind != "error", _member("Note", _quoted(note))),
+        F.when(
+            kind != "error",
+            _member("LastModifiedDate", _quoted(F.date_format(F.timestamp_seconds(modified), "yyyy-MM-dd'T'HH:mm:ss'.000+0000'"))),
+        ),
+        _member("Unknown__c", F.lit("1")),
+    )
+    wrapped = F.concat(F.lit('{"schema":"s1","payload":'), payload, F.lit("}"))
+    return e.select(F.col("event_id").alias("seq"), F.when(kind == "signup", wrapped).otherwise(payload).alias("body"))
+
+
+CONTACT_FIELDS = {
+    "Name": "string", "FirstName": "string", "LastName": "string", "MailingAddress": "textarea",
+    "MailingStreet": "string", "MailingCity": "string", "MailingState": "string",
+    "MailingPostalCode": "string", "MailingCountry": "string",
+}
+
+
+def contact_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a change of a compound name and address, shaped by its segment."""
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    seg = F.col("c_mktsegment")
+
+    def member(name, col):
+        return _member(name, _quoted(col))
+
+    full = seg.isin("AUTOMOBILE", "MACHINERY")
+    name = (
+        F.when(full, _json_object(
+            member("Salutation", F.concat(F.lit(" "), seg, F.lit(" "))), member("FirstName", F.col("c_name")),
+            member("LastName", F.col("n_name"))))
+        .when(seg == "BUILDING", _json_object(member("FirstName", F.col("c_name"))))
+        .when(seg == "FURNITURE", _json_object(member("displayValue", F.concat(F.lit("Dr "), F.col("c_name")))))
+        .otherwise(_json_object(member("lastName", F.col("n_name"))))
+    )
+    address = (
+        F.when(full, _json_object(
+            member("Street", F.col("c_name")), member("City", seg), member("State", F.col("n_name")),
+            member("PostalCode", F.col("c_custkey").cast("string")), member("Country", F.col("r_name")),
+            _member("Latitude", F.lit("1.5"))))
+        .when(seg == "FURNITURE", _json_object(member("City", F.lit("  ")), member("Country", F.col("r_name"))))
+    )
+    changed = (
+        F.when(seg == "AUTOMOBILE", '["0x02","3-0x1F"]').when(seg == "BUILDING", '["Name.FirstName"]')
+        .when(seg == "FURNITURE", '["MailingAddress","Name"]').when(seg == "HOUSEHOLD", '["Name"]').otherwise("[]")
+    )
+    header = _json_object(
+        _member("recordIds", F.concat(F.lit('["'), F.col("c_custkey").cast("string"), F.lit('"]'))),
+        member("changeType", F.lit("UPDATE")), _member("commitTimestamp", F.lit("1700000000000")),
+        _member("changedFields", changed),
+        _member("nulledFields", F.when(seg == "MACHINERY", '["MailingCity"]').otherwise("[]")),
+    )
+    body = _json_object(_member("ChangeEventHeader", header), _member("Name", name), _member("MailingAddress", address))
+    return j.select(F.col("c_custkey").alias("seq"), body.alias("body"))
+
+
+ORDER_FIELDS = {
+    "Fiscal": "string", "FiscalYear": "int", "FiscalQuarter": "int", "Amount": "currency", "Stage": "string",
+    "LastModifiedDate": "datetime",
+}
+
+
+def _fiscal(day: Column) -> Column:
+    year, quarter = F.year(day).cast("string"), F.quarter(day).cast("string")
+    whole = F.col("o_orderpriority") != "5-LOW"
+    return _json_object(_member("Year", year), F.when(whole, _member("Quarter", F.concat(F.lit('" '), quarter, F.lit('"')))))
+
+
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a change record with a fiscal period; low priorities lack the quarter."""
+    o = table(spark, sf_dir, "orders")
+    header = _json_object(
+        _member("recordIds", F.concat(F.lit('["'), F.col("o_orderkey").cast("string"), F.lit('"]'))),
+        _member("changeType", F.lit('"UPDATE"')), _member("commitTimestamp", F.lit("1700000000")),
+        _member("changedFields", F.when(F.col("o_orderstatus") == "F", '["Stage"]').otherwise('["Fiscal","Amount"]')),
+        _member("nulledFields", F.lit('["FiscalYear"]')),
+    )
+    body = _json_object(
+        _member("ChangeEventHeader", header), _member("Fiscal", _fiscal(F.col("o_orderdate"))),
+        _member("Amount", F.col("o_totalprice").cast("decimal(12,2)").cast("string")),
+        _member("Stage", _quoted(F.col("o_orderstatus"))),
+    )
+    return o.select(F.col("o_orderkey").alias("seq"), body.alias("body"))
+
+
+def notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a flat notification; its status and priority choose the kind."""
+    o = table(spark, sf_dir, "orders")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    kind = (
+        F.when(priority == "1-URGENT", "undeleted").when(status == "F", "created").when(status == "O", "Updated").otherwise("DELETED")
+    )
+    key = F.concat(F.lit("k"), F.col("o_custkey").cast("string"))
+    us = micros("o_orderdate")
+    stamp = F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    delete = kind == "DELETED"
+    body = _json_object(
+        F.when(delete, _member("Gone", _quoted(key))),
+        F.when(~((priority == "2-HIGH") & (status == "F")), _member("Id", F.when(delete, F.lit('"no"')).otherwise(_quoted(key)))),
+        _member("sfid", F.lit('"x"')),
+        _member("Fiscal", _fiscal(F.col("o_orderdate"))),
+        _member("Amount", F.when(priority == "3-MEDIUM", "null").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))),
+        _member("LastModifiedDate", _quoted(stamp)),
+    )
+    return o.select(F.col("o_orderkey").alias("seq"), kind.alias("event_type"), body.alias("body"))
