@@ -13,6 +13,8 @@ HASH_LENGTH = 8
 
 
 def _re(col: Column, pattern: str, to: str = "") -> Column:
+    """Used for conditional edits too: a chain of these names its input only once, while
+    nested ``when(v ..).otherwise(v)`` doubles the expression at every step."""
     return F.regexp_replace(col, pattern, to)
 
 
@@ -27,11 +29,9 @@ def first_non_blank(*cols: Column, default: str = "-") -> Column:
 def org_key(raw: Column) -> Column:
     """Host of an instance address, lower case; '' when blank."""
     v = F.trim(F.coalesce(raw, F.lit("")))
-    link = v.startswith("<") & v.endswith(">") & v.contains("|")
-    v = F.when(link, F.regexp_extract(v, r"^<([^|]*)\|", 1)).otherwise(v)
+    v = _re(v, r"(?s)^<([^|]*)\|.*>$", "$1")
     # authority without user and port; anything else falls through to the cuts below
-    host = F.regexp_extract(v, r"^https?://(?:[^/?#@]*@)?([A-Za-z0-9.-]+)(?::\d*)?(?:[/?#].*)?$", 1)
-    v = F.when(host != "", host).otherwise(v)
+    v = _re(v, r"^https?://(?:[^/?#@]*@)?([A-Za-z0-9.-]+)(?::\d*)?(?:[/?#].*)?$", "$1")
     v = F.trim(_re(_re(v, "^https?://"), "/+$"))
     return F.lower(_re(v, "(?s)/.*$"))
 
@@ -74,8 +74,7 @@ def _trim_underscores(col: Column) -> Column:
 
 def _name_part(col: Column, fallback: str) -> Column:
     v = _trim_underscores(_re(F.upper(F.trim(F.coalesce(col, F.lit("")))), "[^A-Z0-9]+", "_"))
-    v = F.when(v == "", fallback).otherwise(v)
-    return F.when(v.rlike("^[0-9]"), F.concat(F.lit("ORG_"), v)).otherwise(v)
+    return _re(_re(v, "^$", fallback), "^(?=[0-9])", "ORG_")
 
 
 def prefixed_table_name(org: Column, obj: Column) -> Column:
@@ -83,8 +82,7 @@ def prefixed_table_name(org: Column, obj: Column) -> Column:
     given = F.upper(F.trim(F.coalesce(obj, F.lit(""))))
 
     def bare(part: Column) -> Column:
-        stripped = _re(part, "^(ORG_)+")
-        return F.when(stripped == "", "ORG").otherwise(stripped)
+        return _re(_re(part, "^(ORG_)+"), "^$", "ORG")
 
     full = F.concat_ws("_", F.lit("ORG"), bare(_name_part(org, "ORG")), bare(_name_part(obj, "OBJECT")))
     head = _trim_underscores(F.substring(full, 1, TABLE_NAME_LENGTH - HASH_LENGTH - 1))
@@ -98,27 +96,24 @@ def prefixed_table_name(org: Column, obj: Column) -> Column:
 
 def org_schema_name(org_name: Column) -> Column:
     """``org_`` and the organisation's name, made safe as a schema name."""
-    raw = F.when(F.trim(F.coalesce(org_name, F.lit(""))) == "", "default_org").otherwise(org_name)
+    raw = _re(F.coalesce(org_name, F.lit("")), r"^\s*$", "default_org")
     plain = _re(F.trim(raw), r"\s+", " ")
     ok = plain.rlike(r"^[A-Za-z][A-Za-z0-9_ ]{1,47}$")
 
     v = _re(_re(F.trim(raw), r"\p{Cntrl}", " "), "[^A-Za-z0-9_ ]", "_")
     v = _re(_re(_re(v, r"\s+", "_"), "_+", "_"), "^_+|_+$")
-    v = F.when(v.rlike("^[0-9]"), F.concat(F.lit("org_"), v)).otherwise(v)
-    v = F.when(F.length(v) == 1, F.concat(v, F.lit("_org"))).otherwise(v)
-    coerced = F.when(v == "", "org_default").otherwise(F.substring(v, 1, SCHEMA_NAME_LENGTH))
+    v = _re(_re(_re(v, "^(?=[0-9])", "org_"), "^(.)$", "$1_org"), "^$", "org_default")
+    coerced = F.substring(v, 1, SCHEMA_NAME_LENGTH)
 
     name = F.translate(F.lower(F.when(ok, plain).otherwise(coerced)), " ", "_")
-    name = _re(_re(name, "_+", "_"), "^_+|_+$")
-    name = F.when(name == "", "default_org").otherwise(name)
+    name = _re(_re(_re(name, "_+", "_"), "^_+|_+$"), "^$", "default_org")
     return F.concat(F.lit("org_"), F.substring(name, 1, SCHEMA_NAME_LENGTH))
 
 
 def storage_schema_name(vendor: Column, schema_name: Column, username: Column) -> Column:
     """Schema a storage writes to: the user for Oracle, else a safe ``org_`` name."""
     v = _re(_re(F.lower(F.trim(schema_name)), r"[\s-]+", "_"), "[^a-z0-9_]")
-    v = F.when(v.startswith("org_"), v).otherwise(F.concat(F.lit("org_"), v))
-    v = _re(_re(v, "_+", "_"), "_$")
+    v = _re(_re(_re(v, "^(?!org_)", "org_"), "_+", "_"), "_$")
     named = F.when(F.trim(schema_name) == "", schema_name).otherwise(v)
     by_user = F.upper(F.trim(F.coalesce(non_blank(username), non_blank(schema_name))))
     return F.when(vendor == "ORACLE", by_user).otherwise(named)
@@ -132,9 +127,7 @@ def connection(vendor: Column, raw_url: Column) -> Column:
     v = _re(F.trim(raw_url), r"\s")
     v = _re(v, "^jdbc:")
     # a link wrapper "<target|label>", around the whole string or inside it
-    v = F.when(v.startswith("<") & v.endswith(">"), _re(v, "^<|>$")).otherwise(v)
-    v = _re(v, r"\|.*$")
-    v = _re(v, "[<>]")
+    v = _re(_re(v, r"\|.*$"), "[<>]")
     # everything up to the scheme separator, then fragment, query, trailing slashes
     v = _re(_re(v, r"^.*?://"), "^//")
     v = _re(_re(_re(v, "#.*$"), r"\?.*$"), "/+$")

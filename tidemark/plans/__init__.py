@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mutation_queries", "event_queries")
+_MODULES = ("mutation_queries", "event_queries", "typed_queries", "registry_queries")
 
 
 def load() -> None:
