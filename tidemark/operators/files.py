@@ -218,7 +218,8 @@ def upload_payloads(files: DataFrame) -> DataFrame:
             F.struct(
                 F.col("file_name").alias("Title"),
                 F.col("path").alias("PathOnClient"),
-                F.base64("content").alias("VersionData"),
+                # base64() breaks lines after 76 characters
+                F.translate(F.base64("content"), "\r\n", "").alias("VersionData"),
             )
         ).alias("payload"),
     )

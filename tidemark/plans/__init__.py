@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-_MODULES = ("mutation_queries", "event_queries", "typed_queries", "registry_queries")
+_MODULES = (
+    "mutation_queries", "event_queries", "typed_queries", "registry_queries", "catalog_queries", "storage_queries",
+    "file_queries",
+)
 
 
 def load() -> None:
