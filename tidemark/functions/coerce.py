@@ -78,7 +78,8 @@ def _temporal(text: Column) -> Column:
 
 def to_datetime(text: Column) -> Column:
     t = _temporal(text)
-    zoned = F.when(t.rlike(_ZONE + "$") & t.rlike("T.*" + _ZONE + "$"), t).otherwise(F.concat(t, F.lit("Z")))
+    # A local time is UTC: name the zone, so that the session's does not matter.
+    zoned = F.regexp_replace(t, rf"(T{_CLOCK})$", "$1Z")
     return (
         F.when(t.rlike(_DIGITS), from_epoch(t.try_cast("bigint")))
         .when(t.rlike(_DATETIME), zoned.try_cast("timestamp"))
@@ -133,14 +134,19 @@ def coerce(text: Column, source_type: str) -> Column:
     return text if reader is None else reader(text)
 
 
-def invalid(text: Column, source_type: str) -> Column:
-    """True for text that is a value but not one of this type."""
+def unread(text: Column, value: Column, source_type: str) -> Column:
+    """True where ``text`` is a value, but coercing it to this type gave none."""
     if source_type not in _READERS:
         return F.lit(False)
-    bad = text.isNotNull() & coerce(text, source_type).isNull()
+    bad = text.isNotNull() & value.isNull()
     return bad & ~blank(text) if source_type in _BLANK_IS_NULL else bad
 
 
+def invalid(text: Column, source_type: str) -> Column:
+    """True for text that is a value but not one of this type."""
+    return unread(text, coerce(text, source_type), source_type)
+
+
 def json_scalar(text: Column) -> Column:
     """A JSON scalar as (kind, bool, long, decimal, text)."""
     t = F.trim(text)

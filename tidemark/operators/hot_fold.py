@@ -189,7 +189,6 @@ def event_actions(
     events: DataFrame, stored: DataFrame | None, key: str, limit: int
 ) -> tuple[DataFrame, DataFrame]:
     """(key, seq, action) of every event, and the final (key, present, lm0, ev0)."""
-    spark = events.sparkSession
     micros = [F.unix_micros(c).alias(c) for c in ("lm", "ev")]
     cut = segment(events.select(F.col(key).alias("key"), "seq", "kind", *micros), ["key"], ["seq"], limit)
     key_type = cut.schema["key"].dataType.simpleString()
@@ -229,6 +228,7 @@ def fold_segments(
     events: DataFrame, stored: DataFrame | None, key: str, fields, limit: int
 ) -> DataFrame:
     """(key, s): the same state column as the array fold gives for smaller keys."""
+    events = cut_lineage(events)
     actions, final = event_actions(events, stored, key, limit)
     actions = cut_lineage(actions)
     started = F.when(F.col("action").isin("inserted", "deleted"), F.col("seq"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.columns import CHANGE_TYPES, KEY
-from tidemark.functions.coerce import blank, coerce, invalid, to_datetime
+from tidemark.functions.coerce import blank, coerce, to_datetime, unread
 
 # Names in the two feeds' payloads.
 HEADER = "ChangeEventHeader"
@@ -66,9 +66,16 @@ def name_text(entries: Column) -> Column:
     return F.when(~blank(display), display).when(parts != "", parts)
 
 
-def unwrap(text: Column) -> Column:
-    """The value inside a wrapper object; other text, and other objects, as they are."""
-    keys = F.when(F.trim(text).startswith("{"), F.json_object_keys(text))
+def _keys(text: Column) -> Column:
+    return F.when(F.trim(text).startswith("{"), F.json_object_keys(text))
+
+
+def unwrap(text: Column, keys: Column | None = None) -> Column:
+    """The value inside a wrapper object; other text, and other objects, as they are.
+
+    ``keys`` are the object's member names, where the caller has them.
+    """
+    keys = _keys(text) if keys is None else keys
     single = (F.size(keys) == 1) & keys[0].isin(*SCALAR_ALIASES)
     return (
         F.when(keys.isNull(), text)
@@ -191,12 +198,12 @@ def _values(fields) -> Column:
 def _times(df: DataFrame, now: Column, commit: Column) -> DataFrame:
     """``lm`` from the payload; ``ev`` from the commit time, else ``lm``, or now for deletes."""
     modified = F.col("_payload")["LastModifiedDate"]
-    late = F.when(F.col("change_type") == "DELETE", now).otherwise(to_datetime(modified))
-    bad = invalid(modified, "datetime") | (~blank(commit) & to_datetime(commit).isNull())
+    df = df.withColumns({"lm": to_datetime(modified), "_commit": to_datetime(commit)})
+    late = F.when(F.col("change_type") == "DELETE", now).otherwise(F.col("lm"))
+    bad = unread(modified, F.col("lm"), "datetime") | unread(commit, F.col("_commit"), "datetime")
     return df.withColumns(
         {
-            "lm": to_datetime(modified),
-            "ev": F.when(~blank(commit), to_datetime(commit)).otherwise(late),
+            "ev": F.when(~blank(commit), F.col("_commit")).otherwise(late),
             "reject_reason": F.coalesce("reject_reason", F.when(bad, "bad_time")),
         }
     )
@@ -212,7 +219,13 @@ def _pinned(df: DataFrame) -> DataFrame:
 
 
 def _finish(df: DataFrame, keep, key: str, fields) -> DataFrame:
-    flat = F.transform_values("_payload", lambda _, v: unwrap(v))
+    # Lambdas evaluate a repeated expression each time: find the member names in a step of
+    # their own, and only in rows that hold some object.
+    df = df.withColumn("_flat", F.map_filter("_payload", lambda k, _: k.isin(*fields)))
+    df = df.withColumn("_nested", F.exists(F.map_values("_flat"), lambda v: F.trim(v).startswith("{")))
+    df = df.withColumn("_members", F.when(F.col("_nested"), F.transform_values("_flat", lambda _, v: _keys(v))))
+    inner = F.transform_values("_flat", lambda k, v: unwrap(v, F.col("_members")[k]))
+    flat = F.when(F.col("_nested"), inner).otherwise(F.col("_flat"))
     return _pinned(
         df.withColumn("_flat", flat).select(
             *keep, "seq", key, "change_type", "lm", "ev", "target_fields", "nulled_fields",
@@ -329,19 +342,12 @@ def normalize_notices(
 def typed(normalized: DataFrame, field_types: dict[str, str]) -> DataFrame:
     """Values of the described types; a value that does not fit rejects its mutation."""
     fields = normalized.schema["vals"].dataType.names
-    bad = F.concat_ws(
-        ",",
-        *[F.when(invalid(F.col("vals")[f], field_types[f]), f) for f in fields],
-    )
+    raw, read = F.col("vals"), F.col("_typed")
+    df = normalized.withColumn("_typed", F.struct(*[coerce(raw[f], field_types[f]).alias(f) for f in fields]))
+    bad = F.concat_ws(",", *[F.when(unread(raw[f], read[f], field_types[f]), f) for f in fields])
     reason = F.when(bad != "", F.concat(F.lit("bad_value:"), bad))
-    return _pinned(
-        normalized.withColumns(
-            {
-                "reject_reason": F.coalesce("reject_reason", reason),
-                "vals": F.struct(*[coerce(F.col("vals")[f], field_types[f]).alias(f) for f in fields]),
-            }
-        )
-    )
+    df = df.withColumns({"reject_reason": F.coalesce("reject_reason", reason), "vals": read})
+    return _pinned(df.drop("_typed"))
 
 
 def accepted(normalized: DataFrame) -> DataFrame:

@@ -27,12 +27,11 @@ def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of groups within the limit, rows of larger groups or None)."""
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = hot.select(*keys)
-    n_hot = hot.count()
-    if n_hot == 0:
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
+    if hot.isEmpty():
         return df, None
-    hot = small_side(cut_lineage(hot), n_hot)
+    hot = cut_lineage(hot)
+    hot = small_side(hot, hot.count())
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     left, right = df.alias("l"), hot.alias("r")
     return left.join(right, same, "left_anti"), left.join(right, same, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import use_utc
+from tidemark.session import spread, use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -354,7 +354,7 @@ CHANGE_FIELDS = {"Amount": "currency", "Note": "textarea", "Stage": "string", "L
 
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a nested change record; small values make faulty ones."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     kind, value = F.col("event_type"), F.col("value")
     ms = F.floor(micros("ts") / 1000).cast("bigint")
     modified = F.floor(ms / 1000).cast("bigint") - F.pmod("event_id", F.lit(LAG_DAYS)) * 86400
@@ -407,7 +407,7 @@ CONTACT_FIELDS = {
 
 def contact_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as a change of a compound name and address, shaped by its segment."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -460,7 +460,7 @@ def _fiscal(day: Column) -> Column:
 
 def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a change record with a fiscal period; low priorities lack the quarter."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     header = _json_object(
         _member("recordIds", F.concat(F.lit('["'), F.col("o_orderkey").cast("string"), F.lit('"]'))),
         _member("changeType", F.lit('"UPDATE"')), _member("commitTimestamp", F.lit("1700000000")),
@@ -477,7 +477,7 @@ def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notice_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a flat notification; its status and priority choose the kind."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     kind = (
         F.when(priority == "1-URGENT", "undeleted").when(status == "F", "created").when(status == "O", "Updated").otherwise("DELETED")

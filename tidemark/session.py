@@ -65,3 +65,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side whose row count the caller has measured, if it is small."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores, ahead of work that is heavy per row.
+
+    An input with at least as many splits as cores, as any large one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
