@@ -8,8 +8,8 @@ fixes the state, whatever came before. The steps:
 2. summarise every segment as a ``Run``, in parallel;
 3. per key, walk the summaries from the stored row: the state each segment starts in;
 4. replay every segment from that state, in parallel, marking what each event did;
-5. aggregate the last value of each touched column over the events since the last insert
-   (a hash aggregation, combined before its shuffle).
+5. find the last accepted event that set each column (a hash aggregation of event numbers,
+   combined before its shuffle), and fetch the values of those few events.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def _walk(table: pa.Table) -> pa.Table:
 
 
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, seq, action) of every event."""
+    """(key, seq, action, touched) of every event."""
     current, state = None, None
     for batch in batches:
         actions = []
@@ -180,17 +180,23 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state, action = step(state, kd, lm, ev)
             actions.append(action)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(actions, pa.string())],
-            names=["key", "seq", "action"],
+            [batch.column(0), batch.column(2), pa.array(actions, pa.string()), batch.column(9)],
+            names=["key", "seq", "action", "touched"],
         )
 
 
 def event_actions(
     events: DataFrame, stored: DataFrame | None, key: str, limit: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(key, seq, action) of every event, and the final (key, present, lm0, ev0)."""
+    """(key, seq, action, touched) of every event, and the final (key, present, lm0, ev0).
+
+    ``touched`` lists the places of the columns an event sets; it only passes through.
+    """
     micros = [F.unix_micros(c).alias(c) for c in ("lm", "ev")]
-    cut = segment(events.select(F.col(key).alias("key"), "seq", "kind", *micros), ["key"], ["seq"], limit)
+    names = events.schema["set"].dataType.names
+    touched = F.array_compact(F.array(*[F.when(F.col("set")[n].isNotNull(), i) for i, n in enumerate(names)]))
+    control = events.select(F.col(key).alias("key"), "seq", "kind", *micros, touched.cast("array<int>").alias("touched"))
+    cut = segment(control, ["key"], ["seq"], limit)
     key_type = cut.schema["key"].dataType.simpleString()
     seq_type = cut.schema["seq"].dataType.simpleString()
 
@@ -216,9 +222,9 @@ def event_actions(
     # A broadcast join keeps the segments in order; a shuffled one is sorted again here.
     actions = (
         cut.join(entries, ["key", SEGMENT])
-        .select("key", SEGMENT, "seq", "kind", "lm", "ev", "present", "lm0", "ev0")
+        .select("key", SEGMENT, "seq", "kind", "lm", "ev", "present", "lm0", "ev0", "touched")
         .sortWithinPartitions("key", SEGMENT, "seq")
-        .mapInArrow(_replay, f"key {key_type}, seq {seq_type}, action string")
+        .mapInArrow(_replay, f"key {key_type}, seq {seq_type}, action string, touched array<int>")
     )
     final = walked.where(F.col(SEGMENT) == FINAL).drop(SEGMENT)
     return actions, final
@@ -230,28 +236,30 @@ def fold_segments(
     """(key, s): the same state column as the array fold gives for smaller keys."""
     events = cut_lineage(events)
     actions, final = event_actions(events, stored, key, limit)
-    actions = cut_lineage(actions)
-    started = F.when(F.col("action").isin("inserted", "deleted"), F.col("seq"))
+    action = F.col("action")
+    wrote = action.isin("inserted", "updated")
     per_key = cut_lineage(
         actions.groupBy("key").agg(
-            F.max(started).alias("since"),
-            *[F.count_if(F.col("action") == c).cast("bigint").alias(c) for c in COUNTERS],
+            F.max(F.when(action.isin("inserted", "deleted"), F.col("seq"))).alias("since"),
+            *[F.count_if(action == c).cast("bigint").alias(c) for c in COUNTERS],
+            *[
+                F.max(F.when(wrote & F.array_contains("touched", i), F.col("seq"))).alias(f"_q{i}")
+                for i in range(len(fields))
+            ],
         )
     )
-    written = actions.where(F.col("action").isin("inserted", "updated")).join(
-        small_side(per_key.select("key", "since"), per_key.count()), "key"
-    )
-    written = written.where(F.col("since").isNull() | (F.col("seq") >= F.col("since")))
-    values = events.select(F.col(key).alias("key"), "seq", "set").join(
-        written.select("key", "seq"), ["key", "seq"]
-    )
-    last = values.groupBy("key").agg(
+    # A column set only before the last insert or delete counts as untouched.
+    written = [F.when(F.col("since").isNull() | (F.col(f"_q{i}") >= F.col("since")), F.col(f"_q{i}")) for i in range(len(fields))]
+    wanted = per_key.select("key", *[w.alias(f"_q{i}") for i, w in enumerate(written)])
+    rows = events.select(F.col(key).alias("key"), "seq", "set").join(small_side(wanted, per_key.count()), "key")
+    rows = rows.where(F.array_contains(F.array(*[f"_q{i}" for i in range(len(fields))]), F.col("seq")))
+    last = rows.groupBy("key").agg(
         *[
-            F.max_by(F.col("set")[f.name], F.when(F.col("set")[f.name].isNotNull(), F.col("seq"))).alias(f"_v{i}")
+            F.max_by(F.col("set")[f.name], F.when(F.col("seq") == F.col(f"_q{i}"), F.col("seq"))).alias(f"_v{i}")
             for i, f in enumerate(fields)
         ]
     )
-    joined = final.join(per_key, "key").join(last, "key", "left")
+    joined = final.join(per_key.select("key", "since", *COUNTERS), "key").join(last, "key", "left")
     return joined.select(
         F.col("key").alias(key),
         F.struct(

@@ -366,11 +366,17 @@ def first_org(orgs: DataFrame, fallback_key: str = "-") -> DataFrame:
 
 
 def status_by_object(routes: DataFrame) -> DataFrame:
-    """Protocol per object: with both, STREAMING, which sorts last."""
+    """Protocol per object: with both, STREAMING, which sorts last.
+
+    Aggregates a flag, not the name: a maximum of text would need a sort before the shuffle.
+    """
     protocol = F.upper("routing_protocol")
     active = routes.where((F.col("routing_status") == "ACTIVE") & protocol.isin(*PROTOCOLS))
     active = active.where(F.trim("selected_object") != "")
-    return active.groupBy("selected_object").agg(F.max(protocol).alias("status"))
+    streaming = F.max((protocol == "STREAMING").cast("int"))
+    per_object = active.groupBy("selected_object").agg(streaming.alias("_s"))
+    status = F.when(F.col("_s") == 1, "STREAMING").otherwise("CDC")
+    return per_object.select("selected_object", status.alias("status"))
 
 
 def recovery_outcomes(routes: DataFrame, running: DataFrame, credentials: DataFrame) -> DataFrame:
