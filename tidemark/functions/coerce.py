@@ -78,8 +78,10 @@ def _temporal(text: Column) -> Column:
 
 def to_datetime(text: Column) -> Column:
     t = _temporal(text)
-    # A local time is UTC: name the zone, so that the session's does not matter.
-    zoned = F.regexp_replace(t, rf"(T{_CLOCK})$", "$1Z")
+    # Spark reads no time without seconds. A local time is UTC: name the zone, so that the
+    # session's does not matter.
+    whole = F.regexp_replace(t, r"(T\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
+    zoned = F.regexp_replace(whole, rf"(T{_CLOCK})$", "$1Z")
     return (
         F.when(t.rlike(_DIGITS), from_epoch(t.try_cast("bigint")))
         .when(t.rlike(_DATETIME), zoned.try_cast("timestamp"))

@@ -133,8 +133,8 @@ def connection(vendor: Column, raw_url: Column) -> Column:
     v = _re(_re(_re(v, "#.*$"), r"\?.*$"), "/+$")
 
     oracle = vendor == "ORACLE"
-    tcp = _re(v, "^(mariadb|mysql|postgresql):(//)?")
-    thin = _re(v, "^oracle:thin:@(//)?")
+    tcp = _re(_re(v, "^(mariadb|mysql|postgresql):(//)?"), "^.*?://")
+    thin = _re(_re(v, "^oracle:thin:@(//)?"), "^.*?://")
     address = F.when(oracle, F.substring_index(thin, "/", 1)).otherwise(F.substring_index(tcp, "/", 1))
     path = F.when(oracle, F.regexp_extract(thin, "^[^/]*/([^/]+)", 1)).otherwise(
         F.regexp_extract(tcp, "^[^/]*/([^/]+)", 1)
