@@ -20,7 +20,7 @@ def plan(spark, roots, limit, **limits):
     rows = [(root, f"f{i:06d}", int(s)) for root, sizes in roots.items() for i, s in enumerate(sizes)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "root string, path string, size bigint")
-    got = B.plan_batches(df, limit=limit, **limits).orderBy("root", "path").collect()
+    got = B.plan_batches(df, segment_rows=limit, **limits).orderBy("root", "path").collect()
     out = {}
     for r in got:
         out.setdefault(r.root, []).append((r.batch_no, r.position))

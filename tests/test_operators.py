@@ -148,12 +148,13 @@ def test_running_values_of_hot_groups(spark):
     totals = {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
 
     def result(limit, inclusive, keys=("k",)):
-        return sorted(map(tuple, running(df, list(keys), ["seq"], totals, inclusive, limit).select("seq", "s", "m").collect()))
+        return sorted(map(tuple, running(df, list(keys), ["seq"], totals, inclusive, limit, limit).select("seq", "s", "m").collect()))
 
     for inclusive in (True, False):
         assert result(60, inclusive) == result(10_000, inclusive)
         assert result(60, inclusive, ()) == result(10_000, inclusive, ())
-    cold, hot = split_hot(df, ["k"], 200)
+    cold, hot, keys = split_hot(df, ["k"], 200)
+    assert [r.k for r in keys.collect()] == ["hot"]
     assert {r.k for r in hot.select("k").distinct().collect()} == {"hot"} and cold.count() + hot.count() == len(rows)
     assert split_hot(df, ["k"], 1000)[1] is None
 

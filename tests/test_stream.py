@@ -65,6 +65,12 @@ def test_snapshot_then_stream_and_restart(spark, tmp_path):
     go()
     rows = {r.sfid: (r.Title, r.Amount) for r in store.read().collect()}
     assert rows["b"] == ("back", None) and len(rows) == 3
+    write(feed, "3.json", [event(8, "a", "DELETE", None, 2_200_000_000_000)])
+    go()
+    before = sorted(map(tuple, store.read().collect()))
+    assert [r[0] for r in before] == ["b", "c"]
+    assert store.compact(changes=1) > 0 and sorted(map(tuple, store.read().collect())) == before
+    assert store.compact(changes=1) == 0 and store.last_batch() == "route-2"
     store.drop()
     assert store.count() == 0
 
@@ -157,12 +163,12 @@ def test_fold_matches_the_loop_for_small_and_hot_keys(spark):
     m, t = frames(spark, events, stored)
     state, counts = loop(events, stored)
     for limit in (100_000, 150):
-        assert as_state(apply_mutations(m, t, limit=limit)) == state
-        [c] = mutation_counts(fold(m, t, limit=limit)).collect()
+        assert as_state(apply_mutations(m, t, limit=limit, segment_rows=limit)) == state
+        [c] = mutation_counts(fold(m, t, limit=limit, segment_rows=limit)).collect()
         assert {n: c[n] for n in counts} == counts and c.received == len(events)
     fresh, counts = loop(events, {})
     for limit in (100_000, 150):
-        assert as_state(apply_mutations(m, limit=limit)) == fresh
+        assert as_state(apply_mutations(m, limit=limit, segment_rows=limit)) == fresh
 
 
 def test_run_summary_matches_stepping():

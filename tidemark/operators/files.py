@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import GROUP_LIMIT, SEGMENT, running, segment
+from tidemark.operators.skew import SEGMENT, SEGMENT_ROWS, running, segment
 from tidemark.session import cut_lineage, small_side
 
 # Batch limits, the outcome of a file without a result.
@@ -96,7 +96,7 @@ def plan_batches(
     max_items: int = MAX_ITEMS,
     max_bytes: int = MAX_BYTES,
     order: str = "path",
-    limit: int = GROUP_LIMIT,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Next-fit batches per ``root`` in order: adds ``batch_no`` and ``position`` (B1).
 
@@ -150,7 +150,7 @@ def plan_batches(
             kept = kept.append_column("batch_no", pa.array(number, pa.int64()))
             yield from kept.append_column("position", pa.array(position, pa.int64())).to_batches()
 
-    cut = segment(files, ["root"], [order], limit)
+    cut = segment(files, ["root"], [order], segment_rows)
     root_type = cut.schema["root"].dataType.simpleString()
     summaries = cut.select("root", SEGMENT, "size").mapInArrow(
         summarise, f"root {root_type}, {SEGMENT} int, summary string"
@@ -197,7 +197,7 @@ def upload_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def progress(outcomes: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def progress(outcomes: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
     """Uploaded files and per cent after each batch, in order."""
     per_batch = outcomes.groupBy("root", "batch_no").agg(
         F.count_if("success").alias("done"), F.count(F.lit(1)).alias("items")

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.columns import CREATE_LIKE, KEY, LAST_EVENT, LAST_MODIFIED
-from tidemark.operators.skew import GROUP_LIMIT, split_hot
+from tidemark.operators.skew import GROUP_LIMIT, SEGMENT_ROWS, on_keys, split_hot
+from tidemark.session import cut_lineage
 
 #: What the control fold needs to know about a mutation.
 DELETE, UPDATE, CREATE, BARE_CREATE, NOTHING = range(5)
@@ -169,16 +170,21 @@ def fold(
     target: DataFrame | None = None,
     key: str = KEY,
     limit: int = GROUP_LIMIT,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Outcome per key that has a mutation or a stored row.
 
     Columns: the key, ``present``, the value columns, the two time columns and the five
     counters. ``present`` is false for a key that ends up without a row.
+
+    ``seq`` is unique within a key. The mutations are read twice: a pass over the keys that
+    counts their events, and the fold; a caller whose mutations are costly to compute
+    persists them or writes them out first.
     """
     fields = value_columns(mutations)
     names = [f.name for f in fields]
     events = prepare(mutations.where(F.col(key).isNotNull()), key)
-    cold, hot = split_hot(events, [key], limit)
+    cold, hot, hot_keys = split_hot(events, [key], limit)
     stored = target.select(
         key,
         F.col(LAST_MODIFIED).cast("timestamp").alias("_lm"),
@@ -187,6 +193,12 @@ def fold(
         F.lit(True).alias("_stored"),
     ) if target is not None else None
 
+    stored_hot = None
+    if stored is not None and hot is not None:
+        # one row per hot key; the rest never meets the hot path
+        stored_hot = cut_lineage(on_keys(stored, hot_keys, [key], "left_semi"))
+        stored = on_keys(stored, hot_keys, [key], "left_anti")
+
     per_key = cold.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("seq", "kind", "lm", "ev", "set"))).alias("_events")
     )
@@ -210,11 +222,9 @@ def fold(
 
     from tidemark.operators.hot_fold import fold_segments
 
-    hot_folded = fold_segments(hot, stored, key, fields, limit)
-    if stored is not None:
-        # The full join above also returned the stored rows of hot keys, untouched.
-        folded = folded.join(hot_folded.select(key), key, "left_anti")
-        hot_folded = hot_folded.join(stored.drop("_lm", "_ev", "_stored"), key, "left")
+    hot_folded = fold_segments(hot, stored_hot, key, fields, segment_rows)
+    if stored_hot is not None:
+        hot_folded = hot_folded.join(stored_hot.drop("_lm", "_ev", "_stored"), key, "left")
     return _finish(folded.unionByName(hot_folded), key, names, stored is not None)
 
 
@@ -245,9 +255,10 @@ def apply_mutations(
     target: DataFrame | None = None,
     key: str = KEY,
     limit: int = GROUP_LIMIT,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """The target's rows after the mutations."""
-    out = fold(mutations, target, key, limit)
+    out = fold(mutations, target, key, limit, segment_rows)
     return out.where("present").drop("present", *COUNTERS)
 
 

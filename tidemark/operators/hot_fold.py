@@ -186,7 +186,7 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def event_actions(
-    events: DataFrame, stored: DataFrame | None, key: str, limit: int
+    events: DataFrame, stored: DataFrame | None, key: str, rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """(key, seq, action, touched) of every event, and the final (key, present, lm0, ev0).
 
@@ -196,7 +196,7 @@ def event_actions(
     names = events.schema["set"].dataType.names
     touched = F.array_compact(F.array(*[F.when(F.col("set")[n].isNotNull(), i) for i, n in enumerate(names)]))
     control = events.select(F.col(key).alias("key"), "seq", "kind", *micros, touched.cast("array<int>").alias("touched"))
-    cut = segment(control, ["key"], ["seq"], limit)
+    cut = segment(control, ["key"], ["seq"], rows)
     key_type = cut.schema["key"].dataType.simpleString()
     seq_type = cut.schema["seq"].dataType.simpleString()
 
@@ -206,13 +206,13 @@ def event_actions(
     if stored is None:
         runs = runs.selectExpr("*", "false _stored", "cast(null as bigint) _lm", "cast(null as bigint) _ev")
     else:
-        rows = stored.select(
+        start = stored.select(
             F.col(key).alias("key"),
             "_stored",
             F.unix_micros("_lm").alias("_lm"),
             F.unix_micros("_ev").alias("_ev"),
         )
-        runs = runs.join(rows, "key", "left").fillna(False, ["_stored"])
+        runs = runs.join(start, "key", "left").fillna(False, ["_stored"])
     walked = cut_lineage(
         runs.groupBy("key").applyInArrow(
             _walk, f"key {key_type}, {SEGMENT} int, present boolean, lm0 bigint, ev0 bigint"
@@ -231,11 +231,11 @@ def event_actions(
 
 
 def fold_segments(
-    events: DataFrame, stored: DataFrame | None, key: str, fields, limit: int
+    events: DataFrame, stored: DataFrame | None, key: str, fields, segment_rows: int
 ) -> DataFrame:
     """(key, s): the same state column as the array fold gives for smaller keys."""
     events = cut_lineage(events)
-    actions, final = event_actions(events, stored, key, limit)
+    actions, final = event_actions(events, stored, key, segment_rows)
     action = F.col("action")
     wrote = action.isin("inserted", "updated")
     per_key = cut_lineage(
@@ -260,7 +260,8 @@ def fold_segments(
         ]
     )
     joined = final.join(per_key.select("key", "since", *COUNTERS), "key").join(last, "key", "left")
-    return joined.select(
+    # One row per hot key, read by two branches of the plan: worth keeping.
+    return cut_lineage(joined.select(
         F.col("key").alias(key),
         F.struct(
             "present",
@@ -270,4 +271,4 @@ def fold_segments(
             F.struct(*[F.col(f"_v{i}").alias(f.name) for i, f in enumerate(fields)]).alias("vals"),
             *COUNTERS,
         ).alias("s"),
-    )
+    ))

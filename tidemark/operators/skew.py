@@ -19,33 +19,42 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage, small_side
 
 #: Rows of one group that a single task may hold.
-GROUP_LIMIT = 50_000
+GROUP_LIMIT = 10_000
+#: Rows of one segment, which a task streams through.
+SEGMENT_ROWS = 1_000_000
 SEGMENT = "_segment"
 
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups within the limit, rows of larger groups or None)."""
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows of groups within the limit, rows of larger groups, keys of those).
+
+    The last two are None when every group is within the limit.
+    """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
     if hot.isEmpty():
-        return df, None
+        return df, None, None
     hot = cut_lineage(hot)
     hot = small_side(hot, hot.count())
+    return on_keys(df, hot, keys, "left_anti"), on_keys(df, hot, keys, "left_semi"), hot
+
+
+def on_keys(df: DataFrame, some: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on keys that may be null."""
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    left, right = df.alias("l"), hot.alias("r")
-    return left.join(right, same, "left_anti"), left.join(right, same, "left_semi")
+    return df.alias("l").join(some.alias("r"), same, how)
 
 
 def segment(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Range-partition on (keys, order), sort, and number the partitions.
 
     The result is checkpointed: the segment number comes from sampled range bounds, so
     it has to be fixed before two jobs may both rely on it.
     """
-    parts = max(1, math.ceil(df.count() / limit))
+    parts = max(1, math.ceil(df.count() / rows))
     cut = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
     return cut_lineage(cut.withColumn(SEGMENT, F.spark_partition_id()))
 
@@ -56,15 +65,17 @@ def running(
     order: Sequence[str],
     totals: dict[str, tuple[str, Column]],
     inclusive: bool = True,
-    limit: int = GROUP_LIMIT,
+    limit: int = SEGMENT_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Running ``sum`` or ``max`` per group in order, for groups of any size.
 
     ``totals`` maps an output name to (``"sum"`` | ``"max"``, value column). An exclusive
     running value covers the rows strictly before the current one and is null at the start.
+    A window spills, so groups of up to ``limit`` rows are left to one.
     """
     end = 0 if inclusive else -1
-    cold, hot = split_hot(df, keys, limit) if keys else (None, df)
+    cold, hot, _ = split_hot(df, keys, limit) if keys else (None, df, None)
     if not keys and df.count() <= limit:
         cold, hot = df, None
     aggregate = {"sum": F.sum, "max": F.max}
@@ -75,7 +86,7 @@ def running(
 
     parts = [] if cold is None else [local(cold, keys)]
     if hot is not None:
-        cut = segment(hot, keys, order, limit)
+        cut = segment(hot, keys, order, segment_rows)
         per_segment = cut.groupBy(*keys, SEGMENT).agg(
             *[aggregate[f](v).alias(f"_p_{n}") for n, (f, v) in totals.items()]
         )

@@ -44,7 +44,7 @@ def file_batches(spark, sf_dir):
 @query("file_batches_of_one_root", "B1 O10", _plan_sql(_ONE_ROOT, _PLAN_TAIL))
 def file_batches_of_one_root(spark, sf_dir):
     files = V.files(spark, sf_dir).withColumn("root", F.lit("/")).drop("file_name")
-    return B.plan_batches(files, max_bytes=BYTES, limit=SEGMENT_FILES)
+    return B.plan_batches(files, max_bytes=BYTES, segment_rows=SEGMENT_FILES)
 
 
 @query(

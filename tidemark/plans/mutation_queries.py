@@ -118,7 +118,7 @@ HOT_LIMIT = 1000
 
 @query("guarded_fold_hot_key", "K3 K5 K9 T2", fold_sql(SKEWED, tail=ROWS_TAIL))
 def guarded_fold_hot_key(spark, sf_dir):
-    return _rows(K.apply_mutations(V.skewed_mutations(spark, sf_dir), limit=HOT_LIMIT))
+    return _rows(K.apply_mutations(V.skewed_mutations(spark, sf_dir), limit=HOT_LIMIT, segment_rows=HOT_LIMIT))
 
 
 STORED = """
@@ -152,13 +152,13 @@ def mutation_kinds(spark, sf_dir):
     )
 
 
-def accept_flags(mutations: DataFrame, limit: int = 50_000) -> DataFrame:
+def accept_flags(mutations: DataFrame, **limits: int) -> DataFrame:
     """Whether each mutation is accepted, where there are no deletes and no missing times.
 
     Accepted means not older than any earlier mutation of its key (W2).
     """
     us = mutations.withColumn("lm_us", F.unix_micros("lm"))
-    out = running(us, ["sfid"], ["seq"], {"newest": ("max", F.col("lm_us"))}, inclusive=False, limit=limit)
+    out = running(us, ["sfid"], ["seq"], {"newest": ("max", F.col("lm_us"))}, inclusive=False, **limits)
     return out.withColumn("accepted", F.col("newest").isNull() | (F.col("lm_us") >= F.col("newest")))
 
 
@@ -177,7 +177,7 @@ def accept_flags_query(spark, sf_dir):
 @query("accept_flags_hot_key", "W2", f"SELECT k AS sfid, seq, accepted FROM ({_FLAGS.format(m=SKEWED)})")
 def accept_flags_hot(spark, sf_dir):
     m = V.skewed_mutations(spark, sf_dir).where("change_type <> 'DELETE'")
-    return accept_flags(m, HOT_LIMIT).select("sfid", "seq", "accepted")
+    return accept_flags(m, limit=HOT_LIMIT, segment_rows=HOT_LIMIT).select("sfid", "seq", "accepted")
 
 
 @query(

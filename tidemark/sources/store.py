@@ -1,10 +1,12 @@
 """A keyed target table on parquet with atomic batch commits.
 
-Rows are spread over buckets by key hash. A batch reads and rewrites only the buckets its
-keys fall in, writes them under its own batch folder, and then publishes a manifest: a
-small file naming the folder that holds each bucket. Readers see the old files or the new
-ones, never a mixture; a replayed batch id is skipped. Where the catalog has a MERGE-capable
-table format, ``DataFrame.mergeInto`` does the same.
+Rows are spread over buckets by key hash. A bucket is a base folder and, after it, the
+changes of later batches: whole rows, or a mark that the key is gone. A batch therefore
+writes only the rows it changes, and reads only the buckets its keys fall in; ``compact``
+folds the changes of long lists into a new base. Everything a batch wrote becomes visible
+by publishing a manifest, a small file that lists the folders of each bucket: readers see
+the table before or after a batch, never between, and a replayed batch id is skipped.
+Where the catalog has a MERGE-capable table format, ``DataFrame.mergeInto`` does the same.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import types as T
 from tidemark.columns import KEY
 
 BUCKET = "_bucket"
+GONE = "_gone"
+#: The base of a bucket that began with changes.
+EMPTY = ""
 
 
 class TargetStore:
@@ -65,10 +70,25 @@ class TargetStore:
         """The current rows; with ``only``, those of the given buckets."""
         manifest = self._manifest()
         folders = {} if manifest is None else manifest["folders"]
-        paths = sorted(p for b, p in folders.items() if only is None or int(b) in only)
+        lists = [v for b, v in sorted(folders.items()) if only is None or int(b) in only]
+        base = self._rows([v[0] for v in lists if v[0] != EMPTY], self.schema)
+        changes = [p for v in lists for p in v[1:]]
+        if not changes:
+            return base
+        # The path names the version: data/version=<n>/_bucket=<b>.
+        stored = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
+        log = self._rows(changes, stored).withColumn(
+            "_version", F.regexp_extract(F.input_file_name(), "version=([0-9]+)", 1).cast("bigint")
+        )
+        last = log.groupBy(self.key).agg(F.max("_version").alias("_version"))
+        log = log.join(last, [self.key, "_version"])
+        kept = base.join(last.select(self.key), self.key, "left_anti")
+        return kept.unionByName(log.where(~F.col(GONE)).select(*self.schema.names))
+
+    def _rows(self, paths: list[str], schema: T.StructType) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{p}" for p in paths])
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in paths])
 
     def count(self) -> int:
         return self.read().count()
@@ -79,28 +99,52 @@ class TargetStore:
 
     # -- writing --------------------------------------------------------------------
     def commit(self, batch: str, changed: DataFrame, apply) -> bool:
-        """Replace the buckets that hold keys of ``changed`` by ``apply(their rows)``.
+        """Apply a batch to the stored rows of the keys of ``changed``.
 
-        Returns False for the batch that was published last: a replay after a restart.
+        ``apply(stored rows of these keys)`` gives their new rows; a row with a false
+        ``present`` column removes its key. Returns False for the batch that was published
+        last: a replay after a restart.
         """
         manifest = self._manifest() or {"version": 0, "batch": None, "buckets": self.buckets, "folders": {}}
         if manifest["batch"] == batch:
             return False
+        keys = changed.select(self.key).distinct()
         # At most one row per bucket.
-        touched = [r[0] for r in changed.select(self.bucket().alias("b")).distinct().collect()]
-        folder = f"data/{manifest['version'] + 1:012d}"
+        touched = [r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
+        folders = manifest["folders"]
         if touched:
-            rows = apply(self.read(only=touched)).select(*self.schema.names)
-            rows = rows.withColumn(BUCKET, self.bucket())
-            rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
-        written = self._written(folder) if touched else set()
-        folders = {b: p for b, p in manifest["folders"].items() if int(b) not in touched}
-        folders |= {str(b): f"{folder}/{BUCKET}={b}" for b in written}
-        self._publish(
-            {"version": manifest["version"] + 1, "batch": batch, "buckets": self.buckets, "folders": folders}
-        )
+            old = self.read(only=touched).join(keys, self.key, "left_semi")
+            rows = apply(old)
+            gone = ~F.col("present") if "present" in rows.columns else F.lit(False)
+            rows = rows.select(*self.schema.names, gone.alias(GONE))
+            folder = self._write(rows, manifest["version"] + 1)
+            folders = dict(folders)
+            for b in self._written(folder):
+                # A first folder is a base, which holds no marks: start such a bucket empty.
+                folders[str(b)] = [*folders.get(str(b), [EMPTY]), f"{folder}/{BUCKET}={b}"]
+        self._publish({**manifest, "version": manifest["version"] + 1, "batch": batch, "folders": folders})
         return True
 
+    def _write(self, rows: DataFrame, version: int) -> str:
+        folder = f"data/version={version:012d}"
+        rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(
+            BUCKET
+        ).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def compact(self, changes: int = 8) -> int:
+        """Give buckets with at least so many change folders a new base; returns how many."""
+        manifest = self._manifest()
+        long = [] if manifest is None else [b for b, v in manifest["folders"].items() if len(v) > changes]
+        if not long:
+            return 0
+        folder = self._write(self.read(only=[int(b) for b in long]), manifest["version"] + 1)
+        written = self._written(folder)
+        folders = {b: v for b, v in manifest["folders"].items() if b not in long}
+        folders |= {b: [f"{folder}/{BUCKET}={b}"] for b in long if int(b) in written}
+        self._publish({**manifest, "version": manifest["version"] + 1, "folders": folders})
+        return len(long)
+
     def _written(self, folder: str) -> set[int]:
         statuses = self._fs.listStatus(self._path(f"{self.path}/{folder}"))
         names = [s.getPath().getName() for s in statuses]
@@ -109,10 +153,8 @@ class TargetStore:
     def overwrite(self, batch: str, rows: DataFrame) -> None:
         """Publish ``rows`` as the whole table."""
         version = (self._manifest() or {"version": 0})["version"] + 1
-        folder = f"data/{version:012d}"
-        rows = rows.select(*self.schema.names).withColumn(BUCKET, self.bucket())
-        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
-        folders = {str(b): f"{folder}/{BUCKET}={b}" for b in self._written(folder)}
+        folder = self._write(rows.select(*self.schema.names), version)
+        folders = {str(b): [f"{folder}/{BUCKET}={b}"] for b in self._written(folder)}
         self._publish({"version": version, "batch": batch, "buckets": self.buckets, "folders": folders})
 
     def drop(self) -> None:

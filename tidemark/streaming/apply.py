@@ -64,7 +64,7 @@ def apply_batch(
     def merge(old: DataFrame) -> DataFrame:
         folded = fold(accepted(mutations), old, store.key, limit).persist()
         kept.append(folded)
-        return folded.where("present").drop("present", *COUNTERS)
+        return folded.drop(*COUNTERS)
 
     try:
         if out:
@@ -89,10 +89,12 @@ def start_route(
     name: str | None = None,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     limit: int = GROUP_LIMIT,
+    compact_after: int = 50,
 ) -> StreamingQuery:
     """One streaming query per route over its normalised, typed mutations.
 
-    Normalise before this call: the expressions are then planned once, not per batch.
+    Normalise before this call: the expressions are then planned once, not per batch. After
+    every ``compact_after`` batches, buckets with as many change folders get a new base.
     """
     if by_type:
         mutations = mutations.withColumn("seq", type_order(F.col("change_type"), F.col("seq")))
@@ -101,6 +103,8 @@ def start_route(
         if batch.isEmpty():
             return
         apply_batch(store, batch, f"{name or 'route'}-{batch_id}", out, limit)
+        if (batch_id + 1) % compact_after == 0:
+            store.compact(compact_after)
         if on_batch:
             on_batch(batch, batch_id)
 
