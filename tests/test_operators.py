@@ -21,7 +21,7 @@ def one(spark, expr):
 
 def test_golden_names(spark):
     lit = F.lit
-    assert one(spark, M.prefixed_table_name(lit("Yuri Company"), lit("Account"))) == "ORG_YURI_COMPANY_ACCOUNT"
+    assert one(spark, M.prefixed_table_name(lit("Acme Company"), lit("Account"))) == "ORG_ACME_COMPANY_ACCOUNT"
     long = one(spark, M.prefixed_table_name(lit("A very long organisation name"), lit("AnEvenLongerObjectName__c")))
     assert len(long) <= 30 and one(spark, lit(long).rlike("^[A-Z_][A-Z0-9_]*$"))
     assert one(spark, M.prefixed_table_name(lit(None), lit("org_a_b"))) == "ORG_A_B"

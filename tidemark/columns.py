@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # Stored column names and change types a target table must keep.
 KEY = "sfid"
 LAST_MODIFIED = "_oc_last_modified_at"
 LAST_EVENT = "_oc_last_event_at"
 CHANGE_TYPES = ("CREATE", "UPDATE", "DELETE", "UNDELETE")
 CREATE_LIKE = ("CREATE", "UNDELETE")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-row generator.
+
+    A filter on a computed column would otherwise be pushed below the projections with every
+    expression written out again: evaluated twice at best, and beyond any planner where the
+    columns build on each other.
+    """
+    return df.select(F.inline(F.array(F.struct("*"))))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.columns import CREATE_LIKE, KEY, LAST_EVENT, LAST_MODIFIED
+from tidemark.columns import CREATE_LIKE, KEY, LAST_EVENT, LAST_MODIFIED, pinned
 from tidemark.operators.skew import GROUP_LIMIT, SEGMENT_ROWS, on_keys, split_hot
 from tidemark.session import cut_lineage
 
@@ -200,12 +200,12 @@ def fold(
         stored = on_keys(stored, hot_keys, [key], "left_anti")
 
     per_key = cold.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "lm", "ev", "set"))).alias("_events")
+        F.sort_array(F.collect_list(F.struct("seq", "kind", "lm", "ev", "set"))).alias("_events")
     )
     if stored is None:
         missing = F.lit(False), F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp")
         state = _fold_array(F.col("_events"), *missing, fields)
-        folded = per_key.select(key, state.alias("s"))
+        folded = pinned(per_key.select(key, state.alias("s")))
     else:
         per_key = per_key.join(stored, key, "full_outer")
         no_events = F.array().cast(cold_type(per_key))
@@ -216,7 +216,7 @@ def fold(
             F.col("_ev"),
             fields,
         )
-        folded = per_key.select(key, state.alias("s"), *[f"_s_{n}" for n in names])
+        folded = pinned(per_key.select(key, state.alias("s"), *[f"_s_{n}" for n in names]))
     if hot is None:
         return _finish(folded, key, names, stored is not None)
 

@@ -69,6 +69,8 @@ class Run:
         self.from_absent = None
         self.classes: list[list] = []
         self.raised: int | None = None
+        # how far the classes reach so far
+        self._lm, self._ev, self._null = NEVER, NEVER, False
 
     def add(self, kind: int, lm: int | None, ev: int | None) -> None:
         self.from_absent = step(self.from_absent, kind, lm, ev)[0]
@@ -76,28 +78,28 @@ class Run:
             c[3] = step(c[3], kind, lm, ev)[0]
         if kind in (UPDATE, CREATE):
             reach = ALWAYS if lm is None else lm
-            if reach > max((c[0] for c in self.classes), default=NEVER):
+            if reach > self._lm:
+                self._lm = reach
                 self.classes.append([reach, NEVER, False, (lm, ev)])
             if kind == CREATE:
                 create_ev = 0 if ev is None else ev
                 self.raised = create_ev if self.raised is None else max(self.raised, create_ev)
         elif kind == DELETE:
-            reach = NEVER
-            if ev is not None and (self.raised is None or self.raised <= ev):
-                if ev > max((c[1] for c in self.classes), default=NEVER):
-                    reach = ev
-            null_ev = not any(c[2] for c in self.classes) and (
-                self.raised is None or (ev is not None and _later(None, self.raised) <= ev)
-            )
+            reach, null_ev = NEVER, False
+            if ev is not None and ev > self._ev and (self.raised is None or self.raised <= ev):
+                reach = self._ev = ev
+            if not self._null and (self.raised is None or (ev is not None and _later(None, self.raised) <= ev)):
+                null_ev = self._null = True
             if reach != NEVER or null_ev:
                 self.classes.append([NEVER, reach, null_ev, None])
-        self._join_equal()
+        if len(self.classes) > 1:
+            self._join_equal()
 
     def _join_equal(self) -> None:
-        joined: list[list] = []
-        for c in self.classes:
-            if joined and joined[-1][3] == c[3]:
-                last = joined[-1]
+        joined = self.classes[:1]
+        for c in self.classes[1:]:
+            last = joined[-1]
+            if last[3] == c[3]:
                 last[:3] = [max(last[0], c[0]), max(last[1], c[1]), last[2] or c[2]]
             else:
                 joined.append(c)

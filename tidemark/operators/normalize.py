@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.columns import CHANGE_TYPES, KEY
+from tidemark.columns import CHANGE_TYPES, KEY, pinned
 from tidemark.functions.coerce import blank, coerce, to_datetime, unread
 
 # Names in the two feeds' payloads.
@@ -209,15 +209,6 @@ def _times(df: DataFrame, now: Column, commit: Column) -> DataFrame:
     )
 
 
-def _pinned(df: DataFrame) -> DataFrame:
-    """The same rows behind a one-row generator.
-
-    A filter on a computed column (the reject reason) would otherwise be pushed below the
-    projections with every expression written out in full, which no planner survives here.
-    """
-    return df.select(F.inline(F.array(F.struct("*"))))
-
-
 def _finish(df: DataFrame, keep, key: str, fields) -> DataFrame:
     # Lambdas evaluate a repeated expression each time: find the member names in a step of
     # their own, and only in rows that hold some object.
@@ -226,7 +217,7 @@ def _finish(df: DataFrame, keep, key: str, fields) -> DataFrame:
     df = df.withColumn("_members", F.when(F.col("_nested"), F.transform_values("_flat", lambda _, v: _keys(v))))
     inner = F.transform_values("_flat", lambda k, v: unwrap(v, F.col("_members")[k]))
     flat = F.when(F.col("_nested"), inner).otherwise(F.col("_flat"))
-    return _pinned(
+    return pinned(
         df.withColumn("_flat", flat).select(
             *keep, "seq", key, "change_type", "lm", "ev", "target_fields", "nulled_fields",
             _values(fields).alias("vals"), "reject_reason",
@@ -347,7 +338,7 @@ def typed(normalized: DataFrame, field_types: dict[str, str]) -> DataFrame:
     bad = F.concat_ws(",", *[F.when(unread(raw[f], read[f], field_types[f]), f) for f in fields])
     reason = F.when(bad != "", F.concat(F.lit("bad_value:"), bad))
     df = df.withColumns({"reject_reason": F.coalesce("reject_reason", reason), "vals": read})
-    return _pinned(df.drop("_typed"))
+    return pinned(df.drop("_typed"))
 
 
 def accepted(normalized: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, small_side
+from tidemark.session import cut_lineage, keep_partitions, small_side
 
 #: Rows of one group that a single task may hold.
 GROUP_LIMIT = 10_000
@@ -51,12 +51,12 @@ def segment(
 ) -> DataFrame:
     """Range-partition on (keys, order), sort, and number the partitions.
 
-    The result is checkpointed: the segment number comes from sampled range bounds, so
-    it has to be fixed before two jobs may both rely on it.
+    The result is checkpointed in place: the segment number comes from sampled range bounds,
+    so it has to be fixed for all jobs that rely on it, and so has the order.
     """
     parts = max(1, math.ceil(df.count() / rows))
     cut = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    return cut_lineage(cut.withColumn(SEGMENT, F.spark_partition_id()))
+    return keep_partitions(cut.withColumn(SEGMENT, F.spark_partition_id()))
 
 
 def running(
