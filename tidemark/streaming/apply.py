@@ -100,8 +100,6 @@ def start_route(
         mutations = mutations.withColumn("seq", type_order(F.col("change_type"), F.col("seq")))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         apply_batch(store, batch, f"{name or 'route'}-{batch_id}", out, limit)
         if (batch_id + 1) % compact_after == 0:
             store.compact(compact_after)
