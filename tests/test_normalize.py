@@ -131,12 +131,14 @@ def test_rejects(spark):
         '{"ChangeEventHeader":{"changeType":"create"}}',
         '{"payload":{"ChangeEventHeader":{"changeType":"create","recordIds":["a"]},"Amount":"zz"}}',
         '{"payload":{"ChangeEventHeader":{"changeType":"create","recordIds":["a"]},"Amount":"7"}}',
+        "", "{}", '{"payload":null}', '{"ChangeEventHeader":"x"}',
     ]
     df = spark.createDataFrame(list(enumerate(bodies)), "seq long, body string")
     out = typed(normalize_changes(df, CONTACT, now()), CONTACT)
     reasons = {r.seq: r.reject_reason for r in rejected(out).collect()}
     assert reasons == {
         0: "no_payload", 1: "no_payload", 2: "no_header", 3: "change_type", 4: "no_key", 5: "bad_value:Amount",
+        7: "no_payload", 8: "no_header", 9: "no_payload", 10: "change_type",
     }
     [good] = accepted(out).collect()
     assert good.vals.Amount == 7.0 and good.change_type == "CREATE"
@@ -150,6 +152,7 @@ def test_notices(spark):
         (4, "undeleted", {"Id": "a"}),
         (5, "created", {"Id": " "}),
         (6, "updated", {"Id": "a", "Fiscal": {"Year": 2024}, "Amount": None}),
+        (7, "deleted", {}),
     ]
     df = spark.createDataFrame([(s, t, json.dumps(b)) for s, t, b in rows], "seq long, event_type string, body string")
     out = {r.seq: r for r in normalize_notices(df, CONTACT, now()).collect()}
@@ -157,7 +160,7 @@ def test_notices(spark):
     assert set(out[2].target_fields) == {"Fiscal", "FiscalYear", "FiscalQuarter", "LastModifiedDate"}
     assert out[2].vals.Fiscal == "2024 3" and str(out[2].lm) == "2024-01-01 00:00:00"
     assert out[3].sfid == "a" and out[3].target_fields == [] and str(out[3].ev) == "2024-05-01 00:00:00"
-    assert out[4].reject_reason == "change_type" and out[5].reject_reason == "no_key"
+    assert out[4].reject_reason == "change_type" and out[5].reject_reason == out[7].reject_reason == "no_key"
     assert out[6].target_fields == ["Amount"] and out[6].vals.Amount is None
     again = {r.seq: r for r in normalize_notices(df, CONTACT, now(), undelete=True).collect()}
     assert again[4].change_type == "UNDELETE"

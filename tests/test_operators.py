@@ -97,6 +97,9 @@ def test_coercion_edges(spark):
         ("", "datetime", None, False),
         ("2024-13-01", "date", None, True),
         ("1700000000", "date", "2023-11-14", False),
+        ("99999999999999999", "datetime", None, True),
+        ("-9223372036854775808", "datetime", None, True),
+        ("123456789012345678901234567890", "datetime", None, True),
         ("10:00:00.000Z", "time", "10:00:00", False),
         ("10:00", "time", "10:00:00", False),
         ("10:00:00+09:00", "time", "01:00:00", False),

@@ -66,10 +66,15 @@ def to_boolean(text: Column) -> Column:
     return F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False)
 
 
+# Fixed value: the last millisecond of the year 9999.
+_LAST_MILLIS = 253_402_300_799_999
+
+
 def from_epoch(number: Column) -> Column:
-    """Up to ten digits are seconds, more are milliseconds."""
-    seconds = F.length(F.abs(number).cast("string")) <= 10
-    return F.when(seconds, F.timestamp_seconds(number)).otherwise(F.timestamp_millis(number))
+    """Up to ten digits are seconds, more are milliseconds; null beyond the year 9999."""
+    return F.when(
+        number.between(-9_999_999_999, 9_999_999_999), F.timestamp_seconds(number)
+    ).when(number.between(-_LAST_MILLIS, _LAST_MILLIS), F.timestamp_millis(number))
 
 
 def _temporal(text: Column) -> Column:

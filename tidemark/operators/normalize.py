@@ -311,7 +311,7 @@ def normalize_notices(
     df = df.withColumns(
         {
             # A delete notice names only its record: the first field, whatever it is called.
-            key: F.when(delete, F.map_values("_root")[0]).otherwise(F.col("_root")["Id"]),
+            key: F.when(delete, F.get(F.map_values("_root"), F.lit(0))).otherwise(F.col("_root")["Id"]),
             "_payload": F.when(delete, empty).otherwise(F.col("_root")),
         }
     )

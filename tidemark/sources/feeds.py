@@ -44,4 +44,4 @@ def kafka_feed(spark: SparkSession, servers: str, topic: str, notices: bool = Fa
     if not notices:
         return raw.select(order, body)
     named = F.filter("headers", lambda h: h["key"] == "event_type")
-    return raw.select(order, named[0]["value"].cast("string").alias("event_type"), body)
+    return raw.select(order, F.get(named, F.lit(0))["value"].cast("string").alias("event_type"), body)

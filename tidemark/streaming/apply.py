@@ -19,6 +19,7 @@ from tidemark.operators.fold import COUNTERS, fold, mutation_counts
 from tidemark.operators.normalize import accepted, rejected
 from tidemark.operators.skew import GROUP_LIMIT, running
 from tidemark.operators.snapshot import upsert_snapshot
+from tidemark.session import use_utc
 from tidemark.sources.store import TargetStore
 
 # Fixed value: how often a feed is applied.
@@ -99,6 +100,8 @@ def start_route(
     if by_type:
         mutations = mutations.withColumn("seq", type_order(F.col("change_type"), F.col("seq")))
 
+    use_utc(mutations.sparkSession)
+
     def run(batch: DataFrame, batch_id: int) -> None:
         apply_batch(store, batch, f"{name or 'route'}-{batch_id}", out, limit)
         if (batch_id + 1) % compact_after == 0:
