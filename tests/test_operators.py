@@ -1,5 +1,6 @@
 """Registry, storage, naming and skew operators on hand-written rows."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidemark.operators import registry as R
 from tidemark.operators import storage as S
 from tidemark.operators.catalog import page_info
 from tidemark.operators.skew import running, split_hot
+from tidemark.operators.snapshot import upsert_snapshot
 from tidemark.sources import describe as D
 from tidemark.sources.store import row_count
 
@@ -19,65 +21,101 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first()["x"]
 
 
-def test_golden_names(spark):
+def test_names(spark):
     lit = F.lit
-    assert one(spark, M.prefixed_table_name(lit("Acme Company"), lit("Account"))) == "ORG_ACME_COMPANY_ACCOUNT"
-    long = one(spark, M.prefixed_table_name(lit("A very long organisation name"), lit("AnEvenLongerObjectName__c")))
+    assert one(spark, M.prefixed_table_name(lit("  salt & pepper "), lit("Order__c"))) == "ORG_SALT_PEPPER_ORDER_C"
+    long = one(spark, M.prefixed_table_name(lit("the longest of all possible names"), lit("Another_quite_long_thing__c")))
     assert len(long) <= 30 and one(spark, lit(long).rlike("^[A-Z_][A-Z0-9_]*$"))
-    assert one(spark, M.prefixed_table_name(lit(None), lit("org_a_b"))) == "ORG_A_B"
-    assert one(spark, M.mask(lit("tester"))) == "te******er"
-    assert [one(spark, M.mask(lit(v))) for v in ("", "a", "ab", "abc", "abcd")] == [None, "*", "**", "a***", "a***"]
-    assert one(spark, M.org_key(lit("<https://My.Host.example.com/x|label>"))) == "my.host.example.com"
-    assert one(spark, M.org_key(lit("https://user@h.example.com:8443/"))) == "h.example.com"
-    assert one(spark, M.org_key(lit("  "))) == ""
-    assert one(spark, M.org_schema_name(lit("7 up"))) == "org_org_7_up"
-    assert one(spark, M.org_schema_name(lit("!"))) == "org_org_default"
-    assert one(spark, M.org_schema_name(lit("Big Org"))) == "org_big_org"
+    assert one(spark, M.prefixed_table_name(lit("ignored"), lit("org_x_y"))) == "ORG_X_Y"
+    masks = {"": None, "q": "*", "qr": "**", "qrs": "q***", "qrst": "q***", "quince": "qu******ce"}
+    for text, want in masks.items():
+        assert one(spark, M.mask(lit(text))) == want, text
+    assert one(spark, M.first_non_blank(lit("\t"), lit("z"))) == "z"
+    assert one(spark, M.org_key(lit("https://H.example.net/p?x=1\n"))) == "h.example.net"
+    assert one(spark, M.org_key(lit("<http://tide.example.net/a|Tide>"))) == "tide.example.net"
+    assert one(spark, M.org_key(lit("\t\n"))) == ""
+    schemas = {"9 lives": "org_org_9_lives", "***": "org_org_default", "Two\tWords": "org_two_words"}
+    for text, want in schemas.items():
+        assert one(spark, M.org_schema_name(lit(text))) == want, text
 
 
 def test_connections(spark):
     cases = {
-        ("POSTGRESQL", "jdbc:postgresql://db.example.com:5432/appdb"): ("db.example.com", 5432, "appdb", None, None),
-        ("ORACLE", "jdbc:oracle:thin:@db.example.com:1521:XE"): ("db.example.com", 1521, None, None, "XE"),
-        ("ORACLE", "jdbc:oracle:thin:@//db.example.com:1521/svc"): ("db.example.com", 1521, None, "svc", None),
-        ("MYSQL", "db.example.com"): ("db.example.com", 3306, None, None, None),
-        ("MARIADB", "jdbc:mariadb://<http://db.example.com/x|db>/"): ("db.example.com", 3306, "x", None, None),
-        ("MYSQL", "!!"): (None,) * 5,
+        ("POSTGRESQL", "jdbc:postgresql://pg.test:6000/lake"): ("pg.test", 6000, "lake", None, None),
+        ("ORACLE", "jdbc:oracle:thin:@ora.test:1600:ORCL"): ("ora.test", 1600, None, None, "ORCL"),
+        ("ORACLE", "jdbc:oracle:thin:@//ora.test:1600/sales"): ("ora.test", 1600, None, "sales", None),
+        ("MYSQL", "my.test"): ("my.test", 3306, None, None, None),
+        ("MARIADB", "jdbc:mariadb://maria.test/shop"): ("maria.test", 3306, "shop", None, None),
+        ("POSTGRESQL", "??"): (None,) * 5,
     }
     for (vendor, url), want in cases.items():
         c = one(spark, M.connection(F.lit(vendor), F.lit(url)))
         assert tuple(c) == want, url
-    built = M.connection_url(F.lit("ORACLE"), F.lit("h"), F.lit(1521), F.lit(None), F.lit(None), F.lit("XE"))
-    assert one(spark, built) == "jdbc:oracle:thin:@h:1521:XE"
+    built = M.connection_url(F.lit("ORACLE"), F.lit("ora.test"), F.lit(1600), F.lit(None), F.lit(None), F.lit("ORCL"))
+    assert one(spark, built) == "jdbc:oracle:thin:@ora.test:1600:ORCL"
 
 
 def test_storage_registration(spark):
     schema = "name string, vendor string, auth_method string, raw_url string, port int, username string, schema_name string, password string"
     rows = [
-        ("a", "POSTGRESQL", "PASSWORD", "jdbc:postgresql://db.example.com:5432/appdb", None, "etl_user", "config", "p"),
-        ("b", "ORACLE", "PASSWORD", "jdbc:oracle:thin:@db.example.com:1521:XE", None, "etl_user", "XE", "p"),
-        ("c", "ORACLE", "PASSWORD", "jdbc:oracle:thin:@db.example.com:1521:XE", None, " ", "", "p"),
+        ("lake", "POSTGRESQL", "PASSWORD", "jdbc:postgresql://pg.test:6000/lake", None, "loader", "Raw Zone", "x"),
+        ("sales", "ORACLE", "PASSWORD", "jdbc:oracle:thin:@ora.test:1600:ORCL", None, "loader", "ORCL", "x"),
+        ("nobody", "ORACLE", "PASSWORD", "jdbc:oracle:thin:@ora.test:1600:ORCL", None, "\t", " ", "x"),
     ]
     df = spark.createDataFrame(rows, schema)
     reasons = {r["name"]: r.reject_reason for r in S.validate(df).collect()}
-    assert reasons == {"a": None, "b": None, "c": "schema_context"}
+    assert reasons == {"lake": None, "sales": None, "nobody": "schema_context"}
     out = {r["name"]: r for r in S.normalize(df).collect()}
-    assert (out["a"].host, out["a"].port, out["a"].schema_name) == ("db.example.com", 5432, "org_config")
-    assert out["b"].jdbc_url == rows[1][3] and (out["b"].sid, out["b"].service_name, out["b"].schema_name) == ("XE", None, "ETL_USER")
+    assert (out["lake"].host, out["lake"].port, out["lake"].schema_name) == ("pg.test", 6000, "org_raw_zone")
+    assert out["sales"].jdbc_url == rows[1][3]
+    assert (out["sales"].sid, out["sales"].service_name, out["sales"].schema_name) == ("ORCL", None, "LOADER")
+
+
+def test_several_incoming_rows_of_a_key(spark):
+    """Every keyed write leaves one row per key; the rows apply one after the other."""
+    stored = spark.createDataFrame([("a", "x", "old", "k")], "org_key string, obj string, v string, w string")
+    new = spark.createDataFrame([("a", "x", "1", "p"), ("a", "x", "2", "q"), ("b", "y", "3", "r")], stored.schema)
+    assert sorted(map(tuple, R.upsert(stored, new.coalesce(1), ["org_key", "obj"], ["w"]).collect())) == [("a", "x", "2", "k"), ("b", "y", "3", "r")]
+    merged = R.merge_attributes(
+        stored.select("org_key", "v", "w"), spark.createDataFrame([("a", "n1", "m1"), ("a", " ", "m2")], "org_key string, v string, w string").coalesce(1), "org_key"
+    )
+    assert [tuple(r) for r in merged.collect()] == [("a", "n1", "m2")]
+    heads = spark.createDataFrame([(1, "n", "d", "VERIFIED")], "id int, name string, description string, connection_status string")
+    edits = spark.createDataFrame([(1, "n1", "d1"), (1, "n2", "d2")], "id int, name string, description string").coalesce(1)
+    assert [tuple(r) for r in S.edit(heads, edits).collect()] == [(1, "n2", "d2", "PENDING")]
+
+
+def test_snapshot_with_repeated_keys(spark):
+    schema = "sfid string, v int, _oc_last_modified_at timestamp, _oc_last_event_at timestamp"
+
+    def rows(*values):
+        return spark.createDataFrame([], schema) if not values else spark.createDataFrame(list(values), "sfid string, v int, m string, e string").selectExpr(
+            "sfid", "v", "cast(m as timestamp) _oc_last_modified_at", "cast(e as timestamp) _oc_last_event_at").coalesce(1)
+
+    new = rows(("a", 1, "2024-01-02", None), ("a", 2, "2024-01-01", None), ("b", 3, "2024-01-01", None), ("b", 4, "2024-01-01", None))
+    for guard in ("column", "row"):
+        out = upsert_snapshot(rows(), new, guard=guard).collect()
+        assert sorted((r.sfid, r.v) for r in out) == [("a", 1), ("b", 4)]
+        out = upsert_snapshot(rows(("a", 9, "2024-01-03", None)), new, guard=guard).collect()
+        assert sorted((r.sfid, r.v) for r in out) == [("a", 9), ("b", 4)]
 
 
 def test_describe(spark, tmp_path):
-    doc = '{"fields":[{"name":"Id","type":"id","length":18,"label":"ID"},{"name":"Name","type":"string","length":255,"label":"Name"},' \
-        '{"name":"Description","type":"textarea","length":32000,"label":"It\'s"},{"name":"CreatedDate","type":"datetime","length":0,"label":"Created Date"}]}'
-    (tmp_path / "d.json").write_text(doc)
+    listed = [
+        {"name": "Id", "type": "id", "length": 18, "label": "Key"},
+        {"name": "Title", "type": "string", "length": 80, "label": "Title"},
+        {"name": "Notes", "type": "textarea", "length": 20000, "label": "What's new"},
+        {"name": "SeenAt", "type": "datetime", "length": 0, "label": "Seen"},
+    ]
+    (tmp_path / "d.json").write_text(json.dumps({"fields": listed}))
     fields = D.describe_fields(spark, str(tmp_path))
     my = {r.column_name: (r.column_type, r.comment) for r in schema_table(fields, "MYSQL").collect()}
-    assert my["sfid"][0] == "VARCHAR(18)" and my["Name"][0] == "VARCHAR(255)" and my["Description"] == ("TEXT", "It`s")
-    assert my["CreatedDate"][0] == my["_oc_last_event_at"][0] == "DATETIME(6)"
+    assert my["sfid"][0] == "VARCHAR(18)" and my["Title"][0] == "VARCHAR(80)" and my["Notes"] == ("TEXT", "What`s new")
+    assert my["SeenAt"][0] == my["_oc_last_event_at"][0] == "DATETIME(6)"
     assert {r.column_type for r in schema_table(fields, "ORACLE").collect()} >= {"VARCHAR2(18)", "CLOB", "TIMESTAMP(6)"}
     st = struct_type([r.asDict() for r in fields.collect()])
-    assert st.names == ["sfid", "Name", "Description", "CreatedDate", "_oc_last_modified_at", "_oc_last_event_at"]
-    assert not st["sfid"].nullable and st["Description"].metadata["comment"] == "It`s"
+    assert st.names == ["sfid", "Title", "Notes", "SeenAt", "_oc_last_modified_at", "_oc_last_event_at"]
+    assert not st["sfid"].nullable and st["Notes"].metadata["comment"] == "What`s new"
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "1.json").write_text('{"records":[{"Id":"a"},{"Id":"b","N":{"x":1}}]}')
     assert D.snapshot_records(spark, str(tmp_path / "p")).count() == 2

@@ -5,10 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import rows_of
-
-SQL = oracle_sql()
+from tidemark.plans.checked import ORACLES as SQL
+from tidemark.plans.checked import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +20,9 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, duck, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got = rows_of(df.columns, df.collect())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Stored column names and change types a target table must keep.
@@ -13,6 +13,15 @@ CHANGE_TYPES = ("CREATE", "UPDATE", "DELETE", "UNDELETE")
 CREATE_LIKE = ("CREATE", "UNDELETE")
 
 
+# Fixed value: what counts as white space around a value.
+WHITE_SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+
+
+def strip(text) -> Column:
+    """The text without white space at its ends, of any kind and not only spaces."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """The same rows behind a one-row generator.
 

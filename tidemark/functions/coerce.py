@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.columns import strip
+
 # Source types and the Spark types that hold them.
 SPARK_TYPES: dict[str, T.DataType] = {
     "id": T.StringType(),
@@ -44,17 +46,17 @@ def spark_type(source_type: str) -> T.DataType:
 
 
 def blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(text) == "")
+    return text.isNull() | (strip(text) == "")
 
 
 def to_double(text: Column) -> Column:
-    t = F.trim(text)
+    t = strip(text)
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def to_int(text: Column) -> Column:
     """Whole numbers; a number with a fraction is cut off toward zero."""
-    t = F.trim(text)
+    t = strip(text)
     return (
         F.when(t.rlike(_DIGITS) | t.rlike(r"^\+\d+$"), t.try_cast("int"))
         .when(t.rlike(_NUMBER), t.try_cast("double").try_cast("int"))
@@ -62,7 +64,7 @@ def to_int(text: Column) -> Column:
 
 
 def to_boolean(text: Column) -> Column:
-    t = F.lower(F.trim(text))
+    t = F.lower(strip(text))
     return F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False)
 
 
@@ -78,7 +80,7 @@ def from_epoch(number: Column) -> Column:
 
 
 def _temporal(text: Column) -> Column:
-    return F.replace(F.replace(F.trim(text), F.lit(".000+0000"), F.lit("")), F.lit(" "), F.lit("T"))
+    return F.replace(F.replace(strip(text), F.lit(".000+0000"), F.lit("")), F.lit(" "), F.lit("T"))
 
 
 def to_datetime(text: Column) -> Column:
@@ -156,7 +158,7 @@ def invalid(text: Column, source_type: str) -> Column:
 
 def json_scalar(text: Column) -> Column:
     """A JSON scalar as (kind, bool, long, decimal, text)."""
-    t = F.trim(text)
+    t = strip(text)
     quoted = t.rlike('^".*"$')
     kind = (
         F.when(t.isNull() | (t == "null"), "null")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.columns import strip
+
 # Default ports, name lengths.
 DEFAULT_PORTS = {"MARIADB": 3306, "MYSQL": 3306, "POSTGRESQL": 5432, "ORACLE": 1521}
 TABLE_NAME_LENGTH = 30
@@ -19,7 +21,7 @@ def _re(col: Column, pattern: str, to: str = "") -> Column:
 
 
 def non_blank(col: Column) -> Column:
-    return F.when(F.trim(col) != "", col)
+    return F.when(strip(col) != "", col)
 
 
 def first_non_blank(*cols: Column, default: str = "-") -> Column:
@@ -28,11 +30,11 @@ def first_non_blank(*cols: Column, default: str = "-") -> Column:
 
 def org_key(raw: Column) -> Column:
     """Host of an instance address, lower case; '' when blank."""
-    v = F.trim(F.coalesce(raw, F.lit("")))
+    v = strip(F.coalesce(raw, F.lit("")))
     v = _re(v, r"(?s)^<([^|]*)\|.*>$", "$1")
     # authority without user and port; anything else falls through to the cuts below
     v = _re(v, r"^https?://(?:[^/?#@]*@)?([A-Za-z0-9.-]+)(?::\d*)?(?:[/?#].*)?$", "$1")
-    v = F.trim(_re(_re(v, "^https?://"), "/+$"))
+    v = strip(_re(_re(v, "^https?://"), "/+$"))
     return F.lower(_re(v, "(?s)/.*$"))
 
 
@@ -42,8 +44,8 @@ def route_key(org: Column, obj: Column, protocol: Column) -> Column:
     return F.concat_ws(
         "::",
         org_key(org),
-        F.upper(F.trim(F.coalesce(protocol, blank))),
-        F.trim(F.coalesce(obj, blank)),
+        F.upper(strip(F.coalesce(protocol, blank))),
+        strip(F.coalesce(obj, blank)),
     )
 
 
@@ -51,7 +53,7 @@ def mask(text: Column) -> Column:
     """Hide all but the ends of a value."""
     n = F.length(text)
     return (
-        F.when(text.isNull() | (F.trim(text) == ""), None)
+        F.when(text.isNull() | (strip(text) == ""), None)
         .when(n <= 2, F.repeat(F.lit("*"), n))
         .when(n <= 4, F.concat(F.substring(text, 1, 1), F.lit("***")))
         .otherwise(F.concat(F.substring(text, 1, 2), F.lit("******"), F.right(text, F.lit(2))))
@@ -73,13 +75,13 @@ def _trim_underscores(col: Column) -> Column:
 
 
 def _name_part(col: Column, fallback: str) -> Column:
-    v = _trim_underscores(_re(F.upper(F.trim(F.coalesce(col, F.lit("")))), "[^A-Z0-9]+", "_"))
+    v = _trim_underscores(_re(F.upper(strip(F.coalesce(col, F.lit("")))), "[^A-Z0-9]+", "_"))
     return _re(_re(v, "^$", fallback), "^(?=[0-9])", "ORG_")
 
 
 def prefixed_table_name(org: Column, obj: Column) -> Column:
     """``ORG_<org>_<object>``, shortened with a hash beyond 30 characters (C14)."""
-    given = F.upper(F.trim(F.coalesce(obj, F.lit(""))))
+    given = F.upper(strip(F.coalesce(obj, F.lit(""))))
 
     def bare(part: Column) -> Column:
         return _re(_re(part, "^(ORG_)+"), "^$", "ORG")
@@ -97,10 +99,10 @@ def prefixed_table_name(org: Column, obj: Column) -> Column:
 def org_schema_name(org_name: Column) -> Column:
     """``org_`` and the organisation's name, made safe as a schema name."""
     raw = _re(F.coalesce(org_name, F.lit("")), r"^\s*$", "default_org")
-    plain = _re(F.trim(raw), r"\s+", " ")
+    plain = _re(strip(raw), r"\s+", " ")
     ok = plain.rlike(r"^[A-Za-z][A-Za-z0-9_ ]{1,47}$")
 
-    v = _re(_re(F.trim(raw), r"\p{Cntrl}", " "), "[^A-Za-z0-9_ ]", "_")
+    v = _re(_re(strip(raw), r"\p{Cntrl}", " "), "[^A-Za-z0-9_ ]", "_")
     v = _re(_re(_re(v, r"\s+", "_"), "_+", "_"), "^_+|_+$")
     v = _re(_re(_re(v, "^(?=[0-9])", "org_"), "^(.)$", "$1_org"), "^$", "org_default")
     coerced = F.substring(v, 1, SCHEMA_NAME_LENGTH)
@@ -112,10 +114,10 @@ def org_schema_name(org_name: Column) -> Column:
 
 def storage_schema_name(vendor: Column, schema_name: Column, username: Column) -> Column:
     """Schema a storage writes to: the user for Oracle, else a safe ``org_`` name."""
-    v = _re(_re(F.lower(F.trim(schema_name)), r"[\s-]+", "_"), "[^a-z0-9_]")
+    v = _re(_re(F.lower(strip(schema_name)), r"[\s-]+", "_"), "[^a-z0-9_]")
     v = _re(_re(_re(v, "^(?!org_)", "org_"), "_+", "_"), "_$")
-    named = F.when(F.trim(schema_name) == "", schema_name).otherwise(v)
-    by_user = F.upper(F.trim(F.coalesce(non_blank(username), non_blank(schema_name))))
+    named = F.when(strip(schema_name) == "", schema_name).otherwise(v)
+    by_user = F.upper(strip(F.coalesce(non_blank(username), non_blank(schema_name))))
     return F.when(vendor == "ORACLE", by_user).otherwise(named)
 
 
@@ -124,7 +126,7 @@ def connection(vendor: Column, raw_url: Column) -> Column:
 
     A string without a readable host gives a struct of nulls.
     """
-    v = _re(F.trim(raw_url), r"\s")
+    v = _re(strip(raw_url), r"\s")
     v = _re(v, "^jdbc:")
     # a link wrapper "<target|label>", around the whole string or inside it
     v = _re(_re(v, r"\|.*$"), "[<>]")
@@ -149,7 +151,7 @@ def connection(vendor: Column, raw_url: Column) -> Column:
     fallback = F.lit(None).cast("int")
     for name, number in DEFAULT_PORTS.items():
         fallback = F.when(vendor == name, number).otherwise(fallback)
-    known = vendor.isin(*DEFAULT_PORTS) & host.isNotNull() & (~has_sid | (F.trim(sid) != ""))
+    known = vendor.isin(*DEFAULT_PORTS) & host.isNotNull() & (~has_sid | (strip(sid) != ""))
     path = non_blank(path)
 
     def part(value: Column, name: str) -> Column:

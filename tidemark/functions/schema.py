@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.columns import KEY, LAST_EVENT, LAST_MODIFIED
+from tidemark.columns import KEY, LAST_EVENT, LAST_MODIFIED, strip
 from tidemark.functions.coerce import spark_type
 
 # Column types per dialect. ``{n}`` is the declared length.
@@ -64,7 +64,7 @@ def comment(label: Column) -> Column:
 
 def effective_label(label: Column, name: Column) -> Column:
     """The name, where the label is missing."""
-    missing = label.isNull() | (F.trim(label) == "") | label.startswith("__MISSING LABEL__")
+    missing = label.isNull() | (strip(label) == "") | label.startswith("__MISSING LABEL__")
     return F.when(missing, name).otherwise(label)
 
 

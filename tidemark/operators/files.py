@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.registry import last_per_key
 from tidemark.operators.skew import SEGMENT, SEGMENT_ROWS, running, segment
 from tidemark.session import cut_lineage, small_side
 
@@ -178,7 +179,8 @@ def batch_table(plan: DataFrame) -> DataFrame:
 
 def item_outcomes(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Each planned file with its upload result, by batch and position."""
-    r = results.select("root", "batch_no", "position", "success", "message", F.lit(True).alias("_got"))
+    place = ["root", "batch_no", "position"]
+    r = last_per_key(results.select(*place, "success", "message"), place).withColumn("_got", F.lit(True))
     joined = plan.join(r, ["root", "batch_no", "position"], "left")
     return joined.withColumns(
         {

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.columns import CHANGE_TYPES, KEY, pinned
+from tidemark.columns import CHANGE_TYPES, KEY, pinned, strip
 from tidemark.functions.coerce import blank, coerce, to_datetime, unread
 
 # Names in the two feeds' payloads.
@@ -40,9 +40,21 @@ HEADER_SCHEMA = (
 _MAP = "map<string,string>"
 
 
+def _members(text: Column) -> Column:
+    """The members of a JSON object; of a repeated name the last one counts."""
+
+    def once(entries: Column) -> Column:
+        names = F.map_keys(entries)
+        later = lambda e, i: F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"])
+        last = F.map_from_entries(F.filter(F.map_entries(entries), lambda e, i: ~later(e, i)))
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), last).otherwise(entries)
+
+    return F.transform(F.array(F.from_json(text, _MAP)), once)[0]
+
+
 def _object(text: Column) -> Column:
     """The entries of a JSON object, or null for any other value."""
-    return F.when(F.trim(text).startswith("{"), F.from_json(text, _MAP))
+    return F.when(strip(text).startswith("{"), _members(text))
 
 
 def _strings(values) -> Column:
@@ -55,7 +67,7 @@ def _either_case(entries: Column, name: str) -> Column:
 
 def joined(entries: Column, order: tuple[str, ...]) -> Column:
     """The trimmed non-blank parts of a compound value, in order, by one space."""
-    parts = [F.trim(_either_case(entries, n)) for n in order]
+    parts = [strip(_either_case(entries, n)) for n in order]
     return F.concat_ws(" ", *[F.when(p != "", p) for p in parts])
 
 
@@ -67,7 +79,7 @@ def name_text(entries: Column) -> Column:
 
 
 def _keys(text: Column) -> Column:
-    return F.when(F.trim(text).startswith("{"), F.json_object_keys(text))
+    return F.when(strip(text).startswith("{"), F.json_object_keys(text))
 
 
 def unwrap(text: Column, keys: Column | None = None) -> Column:
@@ -89,7 +101,7 @@ def unwrap(text: Column, keys: Column | None = None) -> Column:
 def field_tokens(names: Column) -> Column:
     """Field names of a header list: the part after the last dot, data fields only."""
     tokens = F.transform(
-        F.coalesce(names, _strings([])), lambda n: F.substring_index(F.trim(n), ".", -1)
+        F.coalesce(names, _strings([])), lambda n: F.substring_index(strip(n), ".", -1)
     )
     return F.array_distinct(
         F.filter(tokens, lambda t: t.isNotNull() & (t != "") & ~t.isin(*ENVELOPE_KEYS))
@@ -145,7 +157,7 @@ def _compound_targets(fields) -> Column:
 def _with_fiscal(df: DataFrame, fields) -> DataFrame:
     """Split a fiscal period object into its text, year and quarter fields."""
     df = df.withColumn("_fiscal", _object(F.col("_payload")["Fiscal"]))
-    year, quarter = (F.trim(F.col("_fiscal")[n]) for n in ("Year", "Quarter"))
+    year, quarter = (strip(F.col("_fiscal")[n]) for n in ("Year", "Quarter"))
     known = [f for f in FISCAL if f in fields]
     whole = F.col("_fiscal").isNotNull() & ~blank(year) & ~blank(quarter)
     broken = F.col("_fiscal").isNotNull() & (blank(year) | blank(quarter))
@@ -213,7 +225,7 @@ def _finish(df: DataFrame, keep, key: str, fields) -> DataFrame:
     # Lambdas evaluate a repeated expression each time: find the member names in a step of
     # their own, and only in rows that hold some object.
     df = df.withColumn("_flat", F.map_filter("_payload", lambda k, _: k.isin(*fields)))
-    df = df.withColumn("_nested", F.exists(F.map_values("_flat"), lambda v: F.trim(v).startswith("{")))
+    df = df.withColumn("_nested", F.exists(F.map_values("_flat"), lambda v: strip(v).startswith("{")))
     df = df.withColumn("_members", F.when(F.col("_nested"), F.transform_values("_flat", lambda _, v: _keys(v))))
     inner = F.transform_values("_flat", lambda k, v: unwrap(v, F.col("_members")[k]))
     flat = F.when(F.col("_nested"), inner).otherwise(F.col("_flat"))
@@ -243,11 +255,11 @@ def normalize_changes(
     """
     fields = [f for f in field_types if f not in ("Id", key)]
     keep = _kept_columns(events, ("seq", "body"))
-    df = events.withColumn("_env", F.from_json("body", _MAP))
+    df = events.withColumn("_env", _members(F.col("body")))
     inner = F.map_contains_key("_env", F.lit("payload"))
     df = df.withColumn(
-        "_payload", F.when(inner, F.from_json(F.col("_env")["payload"], _MAP)).otherwise(F.col("_env"))
-    ).withColumn("_payload", F.map_filter("_payload", lambda k, _: (F.trim(k) != "") & (k != "schema")))
+        "_payload", F.when(inner, _members(F.col("_env")["payload"])).otherwise(F.col("_env"))
+    ).withColumn("_payload", F.map_filter("_payload", lambda k, _: (strip(k) != "") & (k != "schema")))
     df = df.withColumn("_header", F.from_json(F.col("_payload")[HEADER], HEADER_SCHEMA))
     record_ids = F.col("_header.recordIds")
     own_id = F.col("_payload")["Id"]
@@ -305,7 +317,7 @@ def normalize_notices(
     types = {**NOTICE_TYPES, "undeleted": "UNDELETE"} if undelete else NOTICE_TYPES
     for name, kind in types.items():
         change = F.when(notice == name, kind).otherwise(change)
-    df = events.withColumns({"change_type": change, "_root": F.from_json("body", _MAP)})
+    df = events.withColumns({"change_type": change, "_root": _members(F.col("body"))})
     delete = F.col("change_type") == "DELETE"
     empty = F.map_from_arrays(_strings([]), _strings([]))
     df = df.withColumns(
@@ -356,7 +368,7 @@ def normalize_snapshot(records: DataFrame, field_types: dict[str, str], key: str
     """
     fields = [f for f in field_types if f not in ("Id", key)]
     keep = _kept_columns(records, ("seq", "body"))
-    df = records.withColumns({"_payload": F.from_json("body", _MAP), "seq": F.lit(0).cast("bigint")})
+    df = records.withColumns({"_payload": _members(F.col("body")), "seq": F.lit(0).cast("bigint")})
     df = df.withColumns(
         {
             key: F.col("_payload")["Id"],

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.columns import strip
 from tidemark.functions.naming import first_non_blank, non_blank, org_key
 
 # Keys of the two tables, statuses, the slot limit.
@@ -32,7 +33,7 @@ TRANSITIONS = {
 def url_host(url: Column) -> Column:
     """Host of an address, '-' when blank."""
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "-").otherwise(F.when(host != "", host))
+    return F.when(strip(F.coalesce(url, F.lit(""))) == "", "-").otherwise(F.when(host != "", host))
 
 
 def route_defaults(raw: DataFrame) -> DataFrame:
@@ -57,6 +58,14 @@ def route_defaults(raw: DataFrame) -> DataFrame:
     )
 
 
+def last_per_key(rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """The last row of every key, by ``order`` or as the rows come."""
+    numbered = rows.withColumn("_order", F.col(order) if order else F.monotonically_increasing_id())
+    values = [c for c in rows.columns if c not in keys]
+    last = numbered.groupBy(*keys).agg(F.max_by(F.struct(*values), "_order").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
 def upsert(
     stored: DataFrame,
     incoming: DataFrame,
@@ -66,20 +75,19 @@ def upsert(
 ) -> DataFrame:
     """Insert or update by key; ``keep`` columns survive an update.
 
-    With ``order``, several incoming rows may share a key: the first one inserts, the last
-    one sets the rest. Rows with a null in their key never match, as in a unique index.
+    Several incoming rows may share a key: the first one (by ``order``, or as they come)
+    inserts, the last one sets the rest. Rows with a null in their key never match, as in a unique index.
     """
     columns = stored.columns
     whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
     loose = incoming.where(~whole).select(*columns)
     incoming = incoming.where(whole)
     values = [c for c in columns if c not in keys]
-    if order:
-        by_key = incoming.groupBy(*keys).agg(
-            F.max_by(F.struct(*values), order).alias("_last"), F.min_by(F.struct(*values), order).alias("_first")
-        )
-    else:
-        by_key = incoming.select(*keys, F.struct(*values).alias("_last"), F.struct(*values).alias("_first"))
+    first = [c for c in values if c in keep]
+    incoming = incoming.withColumn("_order", F.col(order) if order else F.monotonically_increasing_id())
+    by_key = incoming.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "_order").alias("_last"), *([F.min_by(F.struct(*first), "_order").alias("_first")] if first else [])
+    )
     old = stored.withColumn("_stored", F.lit(True)).alias("o")
     new = by_key.withColumn("_incoming", F.lit(True)).alias("n")
     same = reduce(lambda a, b: a & b, (F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys))
@@ -122,12 +130,12 @@ def upsert_slots(slots: DataFrame, incoming: DataFrame, now: Column, order: str
     return upsert(slots, stamped, SLOT_KEY, ("activated_at", "created_at"), order)
 
 
-def transition(routes: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def transition(routes: DataFrame, changes: DataFrame, now: Column, order: str | None = None) -> DataFrame:
     """Apply status changes (route key, ``to``, ``message``, ``actor``) by key.
 
-    ``to`` is RELEASED, FAILED or RECOVERED. At most one change per route.
+    ``to`` is RELEASED, FAILED or RECOVERED. Of several changes of a route the last one counts.
     """
-    c = changes.select(*ROUTE_KEY, "to", "message", "actor")
+    c = last_per_key(changes, ROUTE_KEY, order).select(*ROUTE_KEY, "to", "message", "actor")
     joined = routes.join(c, list(ROUTE_KEY), "left")
     to = F.col("to")
     known = to.isin(*TRANSITIONS)
@@ -159,7 +167,7 @@ def deactivate_slots(slots: DataFrame, released: DataFrame, now: Column, match_o
     closes the object's slots of every organisation and leaves the note.
     """
     keys = list(SLOT_KEY) if match_org else ["routing_protocol", "selected_object"]
-    hit = released.select(*keys, F.col("note").alias("_note")) if match_org else released.select(*keys).distinct()
+    hit = last_per_key(released.select(*keys, F.col("note").alias("_note")), keys) if match_org else released.select(*keys).distinct()
     joined = slots.join(hit.withColumn("_hit", F.lit(True)), keys, "left")
     match = F.col("_hit") & F.col("is_active") if match_org else F.col("_hit")
     changed = {
@@ -173,7 +181,8 @@ def deactivate_slots(slots: DataFrame, released: DataFrame, now: Column, match_o
 
 def release_unsynced(routes: DataFrame, syncs: DataFrame, now: Column, message: str) -> DataFrame:
     """Release the routes a sync (``org_key``, ``my_domain``, ``synced_at``) did not see."""
-    joined = routes.join(syncs.select("org_key", "my_domain", "synced_at"), ["org_key", "my_domain"], "left")
+    latest = syncs.groupBy("org_key", "my_domain").agg(F.max("synced_at").alias("synced_at"))
+    joined = routes.join(latest, ["org_key", "my_domain"], "left")
     missed = F.col("synced_at").isNotNull() & (
         F.col("last_synced_at").isNull() | (F.col("last_synced_at") < F.col("synced_at"))
     )
@@ -204,8 +213,14 @@ def default_for_first(orgs: DataFrame, new_orgs: DataFrame) -> DataFrame:
 
 
 def merge_attributes(stored: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """New attributes over the stored ones; a blank new value keeps the stored one."""
-    o, n = stored.alias("o"), updates.alias("n")
+    """New attributes over the stored ones; a blank new value keeps the stored one.
+
+    Updates of one key apply as they come: of each attribute the last value that isn't blank.
+    """
+    given = [c for c in updates.columns if c != key]
+    numbered = updates.withColumn("_order", F.monotonically_increasing_id())
+    last = [F.max(F.when(non_blank(F.col(c)).isNotNull(), F.struct("_order", F.col(c).alias("v"))))["v"].alias(c) for c in given]
+    o, n = stored.alias("o"), numbered.groupBy(key).agg(*last).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "left")
     names = [c for c in stored.columns if c != key]
     merged = [
@@ -372,7 +387,7 @@ def status_by_object(routes: DataFrame) -> DataFrame:
     """
     protocol = F.upper("routing_protocol")
     active = routes.where((F.col("routing_status") == "ACTIVE") & protocol.isin(*PROTOCOLS))
-    active = active.where(F.trim("selected_object") != "")
+    active = active.where(strip("selected_object") != "")
     streaming = F.max((protocol == "STREAMING").cast("int"))
     per_object = active.groupBy("selected_object").agg(streaming.alias("_s"))
     status = F.when(F.col("_s") == 1, "STREAMING").otherwise("CDC")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.registry import last_per_key
+from tidemark.columns import strip
 from tidemark.functions.naming import connection, connection_url, non_blank, storage_schema_name
 
 # Vendors, page sizes, sort names, the database of a Postgres storage.
@@ -61,7 +63,7 @@ def normalize(registrations: DataFrame) -> DataFrame:
     port = F.coalesce(F.col("port"), c["port"])
     # An Oracle address without service or sid takes the schema name as its service.
     service = F.when(
-        (vendor == "ORACLE") & c["service"].isNull() & c["sid"].isNull(), F.trim(non_blank(F.col("schema_name")))
+        (vendor == "ORACLE") & c["service"].isNull() & c["sid"].isNull(), strip(non_blank(F.col("schema_name")))
     ).otherwise(c["service"])
     return parsed.select(
         *[x for x in registrations.columns if x not in ("port", "schema_name")],
@@ -106,7 +108,7 @@ def options(storages: DataFrame) -> DataFrame:
 
 def edit(headers: DataFrame, edits: DataFrame) -> DataFrame:
     """New name and description by id; an edited storage is PENDING again."""
-    e = edits.select("id", F.col("name").alias("_name"), F.col("description").alias("_desc"), F.lit(True).alias("_hit"))
+    e = last_per_key(edits.select("id", "name", "description"), ["id"]).select("id", F.col("name").alias("_name"), F.col("description").alias("_desc"), F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
     return headers.join(e, "id", "left").withColumns(
         {

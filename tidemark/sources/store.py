@@ -78,7 +78,7 @@ class TargetStore:
         # The path names the version: data/version=<n>/_bucket=<b>.
         stored = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
         log = self._rows(changes, stored).withColumn(
-            "_version", F.regexp_extract(F.input_file_name(), "version=([0-9]+)", 1).cast("bigint")
+            "_version", F.regexp_extract(F.input_file_name(), ".*/data/version=([0-9]+)/", 1).cast("bigint")
         )
         last = log.groupBy(self.key).agg(F.max("_version").alias("_version"))
         log = log.join(last, [self.key, "_version"])
@@ -103,10 +103,13 @@ class TargetStore:
 
         ``apply(stored rows of these keys)`` gives their new rows; a row with a false
         ``present`` column removes its key. Returns False for the batch that was published
-        last: a replay after a restart.
+        last of its feed (the part of its name before the last dash): a replay after a restart,
+        or a snapshot that is loaded again while the stream has moved on.
         """
         manifest = self._manifest() or {"version": 0, "batch": None, "buckets": self.buckets, "folders": {}}
-        if manifest["batch"] == batch:
+        feed = batch.rpartition("-")[0]
+        applied = manifest.get("applied", {})
+        if batch in (manifest["batch"], applied.get(feed)):
             return False
         keys = changed.select(self.key).distinct()
         # At most one row per bucket.
@@ -122,7 +125,7 @@ class TargetStore:
             for b in self._written(folder):
                 # A first folder is a base, which holds no marks: start such a bucket empty.
                 folders[str(b)] = [*folders.get(str(b), [EMPTY]), f"{folder}/{BUCKET}={b}"]
-        self._publish({**manifest, "version": manifest["version"] + 1, "batch": batch, "folders": folders})
+        self._publish({**manifest, "version": manifest["version"] + 1, "batch": batch, "applied": {**applied, feed: batch}, "folders": folders})
         return True
 
     def _write(self, rows: DataFrame, version: int) -> str:
