@@ -9,8 +9,12 @@ Candidates of a bucket are stars, never all pairs: a centre against the other me
 round takes centres from every bucket (members of the smallest components first), confirms
 the star's edges on the full sets, joins components, and drops each centre, which has met
 every other member, and each bucket whose members are all connected. Buckets with several
-components left go on with twice as many centres, so a group of near copies costs a few
-stars, and still every pair of a bucket is either compared or already connected.
+components left go on with more centres, so a group of near copies costs a few stars, and
+still every pair of a bucket is either compared or already connected.
+
+An edge of a star is only made where a bound allows a link: a set's parity bitmap flips one
+of ``BITS`` bits for each shingle, so two bitmaps differ in no more bits than the sets differ
+in shingles. Near copies that are too far apart so never become pairs, and no link is lost.
 
 With four bins a band and 32 bands, a pair at the threshold of 0.8 misses all buckets with a
 probability of 5e-8, at 0.85 of 6e-11.
@@ -37,6 +41,10 @@ from tidemark.session import cut_lineage
 
 BINS, BAND_BINS = 128, 4
 BANDS = BINS // BAND_BINS
+BITS = 512
+_PARTS = [f"p{i}" for i in range(BITS // 64)]
+#: Times as many centres a bucket gives in each further round.
+MORE_CENTRES = 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 # Odd multipliers and shifts of a 64-bit mixing function.
@@ -95,8 +103,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set in which every element flips one bit."""
+    flips = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bands) of every row."""
+    """(doc_id, n, h1, h2, bands, bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +122,11 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     bands[i] = keys
             sums = [[int(mix(s, salt).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for salt in (101, 202)]
             yield pa.record_batch(
-                [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h1", "h2", "bands"],
+                [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "n", "h1", "h2", "bands", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -148,17 +162,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketches = cut_lineage(sketch(rows, shingle))
     known = sketches.where("doc_id is not null and n > 0")
     same = ["n", "h1", "h2"]
-    nodes = cut_lineage(known.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
-    buckets = nodes.select(F.explode("bands").alias("key"), "node", F.col("n"))
+    nodes = cut_lineage(known.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("s")))
+    bits = [F.col("s.bits")[i].alias(p) for i, p in enumerate(_PARTS)]
+    buckets = nodes.select(F.explode("s.bands").alias("key"), "node", "n", *bits)
     shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = cut_lineage(buckets.join(shared, "key").distinct())
+    members = cut_lineage(buckets.join(shared, "key"))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = cut_lineage(full_sets(rows.join(wanted, "doc_id", "left_semi"), shingle).distinct())
     edges, labels = confirmed(members, sets, percent)
-    by_set = nodes.drop("bands")
-    if edges:
+    by_set = nodes.drop("s")
+    if edges is not None:
         by_set = by_set.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
-    linked = sketches.drop("bands").withColumn("_linked", F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    linked = sketches.drop("bands", "bits").withColumn("_linked", F.col("doc_id").isNotNull() & (F.col("n") > 0))
     by_set = by_set.withColumn("_linked", F.lit(True))
     out = linked.join(by_set, [*same, "_linked"], "left")
     component = F.coalesce("node", "doc_id")
@@ -168,37 +183,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(edges, components) of all similar pairs that share a bucket, in rounds of stars."""
     left = members.withColumn("comp", F.col("node")).withColumn("size", F.lit(1).cast("long"))
-    edges = labels = tested = None
+    edges = labels = None
     centres = 1
     while not left.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        first = F.min(F.struct("size", "node", "n", "comp")).alias("c")
-        stars = left.groupBy("key", salt.alias("salt")).agg(first).select("key", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.comp").alias("ca"))
+        first = F.min(F.struct("size", "node", "n", "comp", *_PARTS)).alias("c")
+        stars = left.groupBy("key", salt.alias("salt")).agg(first).select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "comp", *_PARTS)])
         stars = cut_lineage(stars)
-        pairs = left.join(stars, "key").where(
-            (F.col("comp") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+        apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c_{p}"))) for p in _PARTS), F.lit(0))
+        may_link = (
+            (left["key"] == stars["key"]) & (F.col("comp") != F.col("c_comp"))
+            & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
+            & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("c_n")))
         )
-        low, high = F.least("a", "node"), F.greatest("a", "node")
-        pairs = pairs.select(low.alias("a"), high.alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
+        low, high = F.least("c_node", "node"), F.greatest("c_node", "node")
+        pairs = cut_lineage(left.join(stars, may_link).select(low.alias("a"), high.alias("b")).distinct())
         with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         both = with_b.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        new = both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
-        edges = cut_lineage(new if edges is None else edges.union(new))
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(edges)
-        sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        sized = labels.join(sizes, "comp")
-        rest = left.select("key", "node", "n").join(stars.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        rest = rest.join(sized, "node", "left").select(
-            "key", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
-        )
+        new = cut_lineage(both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
+        rest = left.join(stars.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
+        if not new.isEmpty():
+            edges = new if edges is None else cut_lineage(edges.union(new))
+            labels = components(edges)
+            sized = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
+            rest = rest.drop("comp", "size").join(sized, "node", "left").select(
+                *members.columns, F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
+            )
         rest = cut_lineage(rest)
         open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         left = cut_lineage(rest.join(open_, "key", "left_semi"))
-        centres *= 2
+        centres *= MORE_CENTRES
     return edges, labels
 
 
