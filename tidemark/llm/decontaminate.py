@@ -201,8 +201,10 @@ def union(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def cut_words(text: str, spans: list[list[int]]) -> str:
+def cut_words(text: str | None, spans: list[list[int]]) -> str | None:
     """The text without the given word spans; white space around a cut becomes one space."""
+    if text is None or not spans:
+        return text
     data = text.encode()
     places = [m.span() for m in _WORD.finditer(data.translate(FOLD))]
     out, at = [], 0
@@ -220,7 +222,9 @@ def decontaminate(
     found = find_hits(docs, benchmark, window, block_words)
     cut = F.udf(lambda text, hits: cut_words(text, [[h.start, h.end] for h in hits]), "string")
     kept = found.where((F.size("hits") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    text = F.when(F.size("hits") > 0, cut("_row.text", "hits")).otherwise(F.col("_row.text"))
+    # A Python function is run on every row: only texts with something to cut are handed over.
+    hit = F.when(F.size("hits") > 0, F.col("_row.text").cast("string"))
+    text = F.when(F.size("hits") > 0, cut(hit, "hits")).otherwise(F.col("_row.text"))
     return kept.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -52,6 +52,8 @@ SMOOTH = 0.05
 SYMBOLS = 68
 #: Share of the labelled values of a kind that may score below its limit.
 MISSED = 0.02
+#: Natural log of the likelihood per symbol that a kind's limit gives way, as lengths differ.
+SLACK = 0.1
 #: Natural log of the likelihood ratio per symbol over ordinary tokens.
 MARGIN = 0.25
 
@@ -145,9 +147,10 @@ class Formats:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
         self.kinds = []
         for _, values in sorted(labelled.items()):
-            grammar = Grammar(values)
-            scores = sorted(grammar.score(v) for v in values)
-            self.kinds.append((grammar, scores[int(MISSED * len(scores))]))
+            # Half of the values for the automaton, the others for its limit.
+            grammar = Grammar(values[::2])
+            scores = sorted(grammar.score(v) for v in values[1::2] or values)
+            self.kinds.append((grammar, scores[int(MISSED * len(scores))] - SLACK))
         self.ordinary = Grammar(ordinary) if ordinary else None
 
     def score(self, token: str) -> float:
