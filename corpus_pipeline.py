@@ -48,12 +48,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = near_duplicates(docs, shingle=5, percent=80)
     gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     # Rows that share an id are one document; few or none, so texts are compared only there.
     twice = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice")
-    same = left["doc_id"].cast("long") == twice["_twice"]
-    once = left.join(twice, same, "left_anti")
-    return once.union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    doc_id = docs["doc_id"].cast("long")
+    once = docs.join(twice, doc_id == twice["_twice"], "left_anti")
+    again = docs.join(twice, doc_id == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
+    return once.union(again).join(gone.hint("shuffle_hash"), doc_id == gone["_gone"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

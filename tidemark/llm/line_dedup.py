@@ -143,9 +143,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns, ``text`` without later copies, and ``n_lines``, ``n_deleted``."""
     runs = repeated_runs(docs, min_words).groupBy(*_DOC).agg(F.collect_list(F.struct("from_pos", "to_pos")).alias("_runs"))
     text = F.col("text").cast("string")
-    keyed = docs.select(boxed(docs), text.alias("_text"), F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.md5(text)).alias("_text_id"))
+    keyed = docs.select(boxed(docs), F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.md5(text)).alias("_text_id"))
     same = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_text_id") == F.col("text_id"))
-    joined = keyed.join(cut_lineage(runs), same, "left").withColumn("_lines", F.split("_text", "\n"))
+    # Texts are shuffled once, in the box, at any number of runs, and aren't sorted.
+    joined = keyed.join(cut_lineage(runs).hint("shuffle_hash"), same, "left")
+    joined = joined.withColumn("_text", F.col("_row.text").cast("string")).withColumn("_lines", F.split("_text", "\n"))
     gone = lambda pos: F.exists("_runs", lambda r: (pos >= r["from_pos"]) & (pos <= r["to_pos"]))
     joined = joined.withColumn("_kept", F.when(F.col("_runs").isNotNull(), F.filter("_lines", lambda line, pos: ~gone(pos))))
     n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
