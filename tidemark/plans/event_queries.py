@@ -174,16 +174,15 @@ def notice_rejects(spark, sf_dir):
 
 @query(
     "value_length_profile", "P28",
-    """SELECT event_id AS seq, lst.field AS longest, lst.n AS length FROM (
-         SELECT event_id, CASE WHEN length(props) > length(event_type) THEN {'field':'Note','n':length(props)}
-           WHEN length(props) < length(event_type) THEN {'field':'Stage','n':length(event_type)}
-           ELSE {'field':'Note','n':length(props)} END AS lst FROM events)""",
+    """SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY length DESC, field) - 1 AS place, field, length FROM (
+         SELECT event_id AS seq, unnest(['Note', 'Stage', 'Gone']) AS field,
+           unnest([coalesce(length(props), 0), coalesce(length(event_type), 0), 0]) AS length FROM events)""",
 )
 def value_length_profile(spark, sf_dir):
     e = V.table(spark, sf_dir, "events")
     entries = F.create_map(F.lit("Note"), F.col("props"), F.lit("Stage"), F.col("event_type"), F.lit("Gone"), F.lit(None).cast("string"))
-    top = value_lengths(entries)[0]
-    return e.select(F.col("event_id").alias("seq"), top["field"].alias("longest"), top["length"].cast("bigint").alias("length"))
+    rows = e.select(F.col("event_id").alias("seq"), F.posexplode(value_lengths(entries)).alias("place", "pair"))
+    return rows.select("seq", F.col("place").cast("bigint").alias("place"), "pair.field", F.col("pair.length").cast("bigint").alias("length"))
 
 
 @query(

@@ -115,10 +115,11 @@ def upsert_slots(spark, sf_dir):
 
 
 def _changes(spark, sf_dir) -> DataFrame:
-    """A status change for the routes of customers with a large order: by its largest one."""
-    o = V.table(spark, sf_dir, "orders").where("o_totalprice > 300000")
-    last = o.groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"), F.max("o_orderkey").alias("ok"))
-    c = V.table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"))
+    """A status change for the routes of every even customer: by the last order, its odd neighbour's included."""
+    o = V.table(spark, sf_dir, "orders")
+    even = F.col("o_custkey") - F.col("o_custkey") % 2
+    last = o.groupBy(even.alias("even")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"), F.max("o_orderkey").alias("ok"))
+    c = V.table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("even"))
     to = F.when(F.col("s") == "F", "FAILED").when(F.col("s") == "O", "RECOVERED").otherwise("RELEASED")
     named = c.select(F.col("c_name").alias("selected_object"), to.alias("to"), F.col("ok").cast("string").alias("message"))
     keys = V.routes(spark, sf_dir).select(*R.ROUTE_KEY)
@@ -127,7 +128,7 @@ def _changes(spark, sf_dir) -> DataFrame:
 
 _CHANGES = """
 , ch AS (SELECT c_name, max_by(o_orderstatus, o_orderkey) AS s, CAST(max(o_orderkey) AS VARCHAR) AS msg FROM orders
-         JOIN customer ON o_custkey=c_custkey WHERE o_totalprice > 300000 GROUP BY c_name)
+         JOIN customer ON o_custkey - o_custkey % 2 = c_custkey GROUP BY c_name)
 """
 
 
@@ -233,14 +234,14 @@ def matched_objects(spark, sf_dir):
 
 @query(
     "route_details", "J7 S8",
-    f"""{_R}, n AS (SELECT c_name AS t, count(*) AS n FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderpriority='1-URGENT' GROUP BY 1)
+    f"""{_R}, n AS (SELECT c_name AS t, count(*) AS n FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1)
         SELECT org_key, selected_object, routing_protocol, coalesce(n, 0) AS synced_record_count, coalesce(n, 0) = 0 AS record_count_warning,
           CASE WHEN c_acctbal > 0 THEN 'Amount,Id,Name' ELSE '' END AS fields, c_acctbal <= 0 AS field_load_warning
         FROM r LEFT JOIN n ON t = target_table""",
 )
 def route_details(spark, sf_dir):
     c = V.table(spark, sf_dir, "customer")
-    o = V.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    o = V.table(spark, sf_dir, "orders")
     counts = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_name").alias("target_table")).agg(F.count(F.lit(1)).alias("n"))
     fields = c.where("c_acctbal > 0").select(
         F.col("c_name").alias("selected_object"), F.explode(F.array(F.lit("Name"), F.lit("Id"), F.lit("Amount"))).alias("name")

@@ -135,7 +135,7 @@ def storage_addresses(spark, sf_dir):
     return S.normalize(_addressed(spark, sf_dir)).drop("vendor", "raw_url", "username")
 
 
-_EDITS = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS description FROM customer WHERE c_acctbal > 4000"
+_EDITS = "SELECT 2 * c_custkey AS id, c_name AS name, c_mktsegment AS description FROM customer"
 
 
 @query(
@@ -145,23 +145,22 @@ _EDITS = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS description FR
         CASE WHEN e.id IS NULL THEN connection_status ELSE 'PENDING' END AS connection_status FROM h LEFT JOIN e ON e.id=h.id""",
 )
 def storage_edits(spark, sf_dir):
-    c = V.table(spark, sf_dir, "customer").where("c_acctbal > 4000")
-    edits = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"))
+    c = V.table(spark, sf_dir, "customer")
+    edits = c.select((2 * F.col("c_custkey")).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"))
     return S.edit(V.storage_headers(spark, sf_dir), edits).select("id", "name", "description", "connection_status")
 
 
 @query(
     "storage_test_results", "K16 S14",
-    f"""{_W}, t AS (SELECT user_id AS id, max_by(event_type, ts) AS kind, max_by(props, ts) AS message, max(epoch_us(ts)) AS us FROM events
-          WHERE event_type IN ('error','view') GROUP BY 1)
-        SELECT h.id, CASE WHEN t.id IS NULL THEN connection_status WHEN kind='view' THEN 'VERIFIED' ELSE 'FAILED' END AS connection_status,
-          kind='view' AS last_test_success, CASE WHEN kind='error' THEN message END AS last_error_message, us AS tested_us
+    f"""{_W}, t AS (SELECT 2 * user_id AS id, max_by(event_type, ts) AS kind, max_by(props, ts) AS message, max(epoch_us(ts)) AS us FROM events GROUP BY 1)
+        SELECT h.id, CASE WHEN t.id IS NULL THEN connection_status WHEN kind<>'error' THEN 'VERIFIED' ELSE 'FAILED' END AS connection_status,
+          kind<>'error' AS last_test_success, CASE WHEN kind='error' THEN message END AS last_error_message, us AS tested_us
         FROM h LEFT JOIN t ON t.id=h.id""",
 )
 def storage_test_results(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").where("event_type IN ('error', 'view')")
+    e = V.table(spark, sf_dir, "events")
     tests = e.select(
-        F.col("user_id").alias("id"), (F.col("event_type") == "view").alias("success"), F.col("props").alias("message"),
+        (2 * F.col("user_id")).alias("id"), (F.col("event_type") != "error").alias("success"), F.col("props").alias("message"),
         F.col("ts").cast("timestamp").alias("tested_at"),
     )
     out = S.record_tests(V.storage_headers(spark, sf_dir), tests)

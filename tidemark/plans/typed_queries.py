@@ -214,13 +214,20 @@ def route_keys(spark, sf_dir):
 
 @query(
     "masked_values", "C12",
-    """SELECT p_partkey, CASE WHEN v IS NULL OR trim(v)='' THEN NULL WHEN length(v)<=2 THEN repeat('*', length(v))
+    """SELECT p_partkey, field, CASE WHEN v IS NULL OR trim(v)='' THEN NULL WHEN length(v)<=2 THEN repeat('*', length(v))
          WHEN length(v)<=4 THEN v[1]||'***' ELSE v[1:2]||'******'||right(v,2) END AS masked
-       FROM (SELECT p_partkey, left(p_name, p_size % 8) AS v FROM part)""",
+       FROM (SELECT p_partkey, unnest(['name', 'key', 'size', 'blank']) AS field,
+               unnest([CASE WHEN p_size % 8 > 0 THEN p_name END, CAST(p_partkey AS VARCHAR), CAST(p_size AS VARCHAR), ' ']) AS v FROM part)""",
 )
 def masked_values(spark, sf_dir):
     p = V.table(spark, sf_dir, "part")
-    return p.select("p_partkey", M.mask(F.left("p_name", F.col("p_size") % 8)).alias("masked"))
+    values = {
+        "name": F.when(F.col("p_size") % 8 > 0, F.col("p_name")), "key": F.col("p_partkey").cast("string"),
+        "size": F.col("p_size").cast("string"), "blank": F.lit(" "),
+    }
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("v")) for n, v in values.items()])
+    rows = p.select("p_partkey", F.inline(pairs))
+    return rows.select("p_partkey", "field", M.mask(F.col("v")).alias("masked"))
 
 
 @query(

@@ -250,19 +250,20 @@ SELECT p_partkey AS id, replace(p_name,' ','_')||'_'||p_partkey AS name,
 
 
 def object_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status of the objects some supplier ships late: by the last letter of the flags."""
+    """Status of every even object: by the count of returned lines, its odd neighbour's included."""
     li = table(spark, sf_dir, "lineitem")
-    late = li.where("l_quantity >= 45").groupBy("l_partkey").agg(F.max("l_returnflag").alias("flag"))
+    even = F.col("l_partkey") - F.col("l_partkey") % 2
+    returned = li.groupBy(even.alias("even")).agg(F.count_if(F.col("l_returnflag") == "R").alias("n"))
     o = objects(spark, sf_dir)
-    joined = o.join(late, o["id"] == late["l_partkey"])
+    joined = o.join(returned, o["id"] == returned["even"])
     return joined.select(
-        F.col("name").alias("selected_object"), F.when(F.col("flag") == "R", "STREAMING").otherwise("CDC").alias("status")
+        F.col("name").alias("selected_object"), F.when(F.col("n") % 2 == 0, "STREAMING").otherwise("CDC").alias("status")
     )
 
 
 STATUSES_SQL = """
-SELECT o.name AS selected_object, CASE WHEN max(l_returnflag)='R' THEN 'STREAMING' ELSE 'CDC' END AS status
-FROM o JOIN lineitem ON o.id = l_partkey WHERE l_quantity >= 45 GROUP BY o.name
+SELECT o.name AS selected_object, CASE WHEN count(*) FILTER (l_returnflag='R') % 2 = 0 THEN 'STREAMING' ELSE 'CDC' END AS status
+FROM o JOIN lineitem ON o.id = l_partkey - l_partkey % 2 GROUP BY o.name
 """
 
 
