@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.columns import KEY, LAST_EVENT, LAST_MODIFIED
 from tidemark.functions.schema import schema_table
 from tidemark.operators import fold as K
 from tidemark.operators import normalize as N
@@ -13,7 +15,11 @@ from tidemark.operators.snapshot import snapshot_rows
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
 from tidemark.plans.mutation_queries import ROWS_TAIL, fold_sql
+from tidemark.session import shared_folder
 from tidemark.sources import describe as D
+from tidemark.sources.feeds import file_feed
+from tidemark.sources.store import TargetStore
+from tidemark.streaming.apply import start_route
 
 
 def _listed(names: str) -> Column:
@@ -69,6 +75,28 @@ def change_feed_applied(spark, sf_dir):
     )
 
 
+@query("change_feed_streamed", "S4 S9 T1 T2 T4 T6 T10", fold_sql(_CHANGES, tail=ROWS_TAIL))
+def change_feed_streamed(spark, sf_dir):
+    """The feed as files, applied to a store by a streaming route that is restarted half way."""
+    feed, checkpoint, path = (shared_folder(spark, kind) for kind in ("feeds", "routes", "stores"))
+    events = V.change_feed(spark, sf_dir)
+    half = (events.agg(F.max("seq")).first()[0] or 0) // 2
+    store = None
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        events.where(part).write.mode("append").parquet(feed)
+        out = N.normalize_changes(file_feed(spark, feed, fmt="parquet"), V.CHANGE_FIELDS, V.now())
+        mutations = N.typed(out, V.CHANGE_FIELDS)
+        if store is None:
+            times = [T.StructField(c, T.TimestampType()) for c in (LAST_MODIFIED, LAST_EVENT)]
+            columns = [mutations.schema[KEY], *mutations.schema["vals"].dataType.fields, *times]
+            store = TargetStore(spark, path, T.StructType(columns), buckets=8)
+        start_route(mutations, store, checkpoint, available_now=True, name="route").awaitTermination()
+    return store.read().select(
+        KEY, F.col("Amount").alias("value"), F.col("Note").alias("props"),
+        V.micros(LAST_MODIFIED).alias("lm_us"), V.micros(LAST_EVENT).alias("ev_us"),
+    )
+
+
 _CONTACTS = "FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import files as B
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
+from tidemark.sources.store import row_count
 
 #: The documents are small, so a smaller byte limit than the usual one makes both limits bind.
 BYTES = 40_000
@@ -114,6 +115,9 @@ def directory_scan(spark, sf_dir):
     return B.scan_directory(spark, sf_dir).orderBy("path")
 
 
-@query("target_row_count", "S8 A14", "SELECT count(*) AS n FROM lineitem")
+@query("target_row_count", "S8 A14", "SELECT count(*) AS n, 0 AS n_missing FROM lineitem")
 def target_row_count(spark, sf_dir):
-    return V.table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of a table by name, and of one that does not exist."""
+    V.table(spark, sf_dir, "lineitem").createOrReplaceTempView("counted_target")
+    counts = (row_count(spark, "counted_target"), row_count(spark, "no_such_target"))
+    return spark.createDataFrame([counts], "n bigint, n_missing bigint")

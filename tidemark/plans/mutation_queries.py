@@ -10,7 +10,9 @@ from tidemark.operators.skew import running
 from tidemark.operators.snapshot import upsert_snapshot
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
-from tidemark.streaming.apply import events_by_type, route_activity, type_order
+from tidemark.session import shared_folder
+from tidemark.sources.store import TargetStore
+from tidemark.streaming.apply import apply_batch, bootstrap, events_by_type, route_activity, type_order
 
 #: Mutations of every key in order, as views.mutations derives them.
 PLAIN = """
@@ -132,6 +134,26 @@ def guarded_fold_over_stored(spark, sf_dir):
     return _rows(K.apply_mutations(V.mutations(spark, sf_dir), V.customer_rows(spark, sf_dir)))
 
 
+#: Batches the events are committed in.
+BATCHES = 4
+
+
+@query("store_applied", "S9 S13 T2 T5 T10 K3 K9", fold_sql(PLAIN, STORED, ROWS_TAIL))
+def store_applied(spark, sf_dir):
+    """A stored table: snapshot, event batches with a replay of each kind, a compaction."""
+    stored, m = V.customer_rows(spark, sf_dir), V.mutations(spark, sf_dir).withColumn("reject_reason", F.lit(None).cast("string"))
+    store = TargetStore(spark, shared_folder(spark, "stores"), stored.schema, buckets=8)
+    bootstrap(store, stored, "snapshot-1")
+    width = (m.agg(F.max("seq")).first()[0] or 0) // BATCHES + 1
+    for n in range(BATCHES):
+        apply_batch(store, m.where(F.floor(F.col("seq") / width) == n), f"route-{n}")
+        if n == 1:
+            store.compact(changes=1)
+    if apply_batch(store, m, f"route-{BATCHES - 1}") or bootstrap(store, stored, "snapshot-1"):
+        raise RuntimeError("a replayed batch was applied again")
+    return _rows(store.read())
+
+
 @query("notice_fold_by_type", "T7 P4", fold_sql(NOTICES, tail=ROWS_TAIL))
 def notice_fold_by_type(spark, sf_dir):
     m = V.mutations(spark, sf_dir).where("change_type <> 'UNDELETE'")

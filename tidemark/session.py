@@ -57,13 +57,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path below the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows, written once as a table in the shared folder and read back.
 
     Survives lost executors. Cheaper than ``checkpoint()``, which computes its rows twice,
     and read back by column.
     """
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
