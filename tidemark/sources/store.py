@@ -130,7 +130,7 @@ class TargetStore:
 
     def _write(self, rows: DataFrame, version: int) -> str:
         folder = f"data/version={version:012d}"
-        rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(
+        rows.withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(
             BUCKET
         ).parquet(f"{self.path}/{folder}")
         return folder
