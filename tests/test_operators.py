@@ -11,7 +11,7 @@ from tidemark.functions.schema import schema_table, struct_type
 from tidemark.operators import registry as R
 from tidemark.operators import storage as S
 from tidemark.operators.catalog import page_info
-from tidemark.operators.skew import running, split_hot
+from tidemark.operators.skew import in_order, running, split_hot
 from tidemark.operators.snapshot import upsert_snapshot
 from tidemark.sources import describe as D
 from tidemark.sources.store import row_count
@@ -199,3 +199,37 @@ def test_running_values_of_hot_groups(spark):
     assert {r.k for r in hot.select("k").distinct().collect()} == {"hot"} and cold.count() + hot.count() == len(rows)
     assert split_hot(df, ["k"], 1000)[1] is None
 
+
+
+def test_places_follow_the_order(spark):
+    rows = spark.range(0, 1000, 1, 7).select(F.col("id"), (F.col("id") % 3).alias("g"))
+    got = in_order(rows.orderBy(F.desc("g"), "id")).collect()
+    want = sorted(range(1000), key=lambda i: (-(i % 3), i))
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got) == list(range(1, 1001))
+    assert in_order(rows.where("id < 0").orderBy("id")).count() == 0
+
+
+def test_history_events(spark):
+    routes = spark.createDataFrame(
+        [("o1", "Lead", "CDC", "ACTIVE"), ("o1", "Case", "CDC", "FAILED"), ("o2", "Lead", "STREAMING", None)],
+        "org_key string, selected_object string, routing_protocol string, routing_status string",
+    )
+    changes = spark.createDataFrame(
+        [
+            (1, "o1", "Lead", "CDC", "FAILED", "lost", "ann"), (2, "o1", "Lead", "CDC", "RELEASED", "by hand", "bob"),
+            (3, "o2", "Lead", "STREAMING", "RECOVERED", None, "bob"), (4, "o1", "Case", "CDC", "PAUSED", None, "bob"),
+            (5, "o9", "Lead", "CDC", "FAILED", None, "bob"),
+        ],
+        "n int, org_key string, selected_object string, routing_protocol string, to string, message string, actor string",
+    )
+    at = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    got = R.transition_events(routes, changes, at, order="n").drop("event_at").collect()
+    assert {tuple(r) for r in got} == {
+        ("o1", "Lead", "CDC", "RELEASED", "ACTIVE", "RELEASED", "by hand", "bob"),
+        ("o2", "Lead", "STREAMING", "RECOVERED", None, "ACTIVE", None, "bob"),
+    }
+    tests = spark.createDataFrame([(1, True, "fine"), (1, False, "shut"), (2, None, "?"), (9, True, "x")], "id int, success boolean, message string")
+    heads = spark.createDataFrame([(1,), (2,)], "id int")
+    got = S.test_events(heads, tests.withColumn("tested_at", at), "REGISTER").drop("tested_at").collect()
+    assert {tuple(r) for r in got} == {(1, "REGISTER", True, None), (1, "REGISTER", False, "shut"), (2, "REGISTER", None, None)}

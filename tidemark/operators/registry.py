@@ -238,7 +238,7 @@ def active_routes(routes: DataFrame, org: str | None = None) -> DataFrame:
     out = routes.where(F.col("routing_status") == "ACTIVE")
     if org is not None:
         return out.where(F.col("org_key") == org).orderBy("selected_object", "routing_protocol")
-    return out.orderBy("org_name", "selected_object", "routing_protocol")
+    return out.orderBy("org_name", "selected_object", "routing_protocol", "org_key")
 
 
 def recoverable_routes(routes: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def recoverable_routes(routes: DataFrame) -> DataFrame:
     blank = F.lit("")
     return routes.where(
         (F.coalesce("routing_status", blank) != "RELEASED") & (F.coalesce("source_status", blank) != "INACTIVE")
-    ).orderBy("org_name", "selected_object", F.desc("routing_protocol"))
+    ).orderBy("org_name", "selected_object", F.desc("routing_protocol"), "org_key")
 
 
 def both_active(routes: DataFrame, org: str) -> DataFrame:
@@ -334,7 +334,7 @@ def orgs_grouped(routes: DataFrame) -> DataFrame:
     """One row per organisation with an active route (A4)."""
     names = ("org_name", "instance_name", "org_type", "is_sandbox", "my_domain")
     active = routes.where(F.col("routing_status") == "ACTIVE")
-    return active.groupBy("org_key").agg(*[F.max(n).alias(n) for n in names]).orderBy("org_name")
+    return active.groupBy("org_key").agg(*[F.max(n).alias(n) for n in names]).orderBy("org_name", "org_key")
 
 
 def orgs_distinct(routes: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def orgs_distinct(routes: DataFrame) -> DataFrame:
         "org_key", "org_name", "my_domain", "target_storage_id", "target_storage_name",
         "target_schema", "instance_name", "org_type", "is_sandbox",
     )
-    return routes.where(F.col("routing_status") == "ACTIVE").select(*names).distinct().orderBy("org_name")
+    return routes.where(F.col("routing_status") == "ACTIVE").select(*names).distinct().orderBy("org_name", *[n for n in names if n != "org_name"])
 
 
 def dashboard_counts(routes: DataFrame) -> DataFrame:
@@ -431,6 +431,18 @@ def restarts_per_org(requested: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
+def transition_events(routes: DataFrame, changes: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """The history event of every route that ``transition`` changes, from its row before."""
+    c = last_per_key(changes, ROUTE_KEY, order).where(F.col("to").isin(*TRANSITIONS)).select(*ROUTE_KEY, "to", "message", "actor")
+    after = F.col("routing_status")
+    for name, values in TRANSITIONS.items():
+        after = F.when(F.col("to") == name, values["routing_status"]).otherwise(after)
+    return routes.select(*ROUTE_KEY, "routing_status").join(c, list(ROUTE_KEY)).select(
+        *ROUTE_KEY, F.col("to").alias("event_type"), F.col("routing_status").alias("status_before"),
+        after.alias("status_after"), "message", "actor", now.alias("event_at"),
+    )
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     """Append events to a history table."""
     rows.write.mode("append").parquet(path)

@@ -59,6 +59,21 @@ def segment(
     return keep_partitions(cut.withColumn(SEGMENT, F.spark_partition_id()))
 
 
+def in_order(df: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of an ordered DataFrame with their position in it, from 1.
+
+    Rows are numbered inside the partitions of the sort, and a partition's offset comes from
+    one row per partition: no window over all rows.
+    """
+    numbered = cut_lineage(df.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    offsets = sizes.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.join(offsets, part == F.col("_part")).select(*df.columns, place.alias(name))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

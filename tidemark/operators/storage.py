@@ -103,7 +103,7 @@ def totals(storages: DataFrame, size: int = 0) -> DataFrame:
 
 def options(storages: DataFrame) -> DataFrame:
     """Enabled storages by name."""
-    return storages.where("enabled").orderBy("name")
+    return storages.where("enabled").orderBy("name", "id")
 
 
 def edit(headers: DataFrame, edits: DataFrame) -> DataFrame:
@@ -137,6 +137,15 @@ def record_tests(headers: DataFrame, tests: DataFrame) -> DataFrame:
     ).select(*headers.columns)
 
 
+def test_events(headers: DataFrame, tests: DataFrame, kind: str = "TEST") -> DataFrame:
+    """The history event of every test (id, success, message, tested_at) of a known storage.
+
+    ``kind`` is TEST, REGISTER, UPDATE or DECRYPT.
+    """
+    known = tests.join(headers.select("id").distinct(), "id", "left_semi")
+    return known.select("id", F.lit(kind).alias("kind"), "success", F.when(~F.col("success"), F.col("message")).alias("message"), "tested_at")
+
+
 def cascade_delete(deleted: DataFrame, child: DataFrame, child_id: str = "storage_id") -> DataFrame:
     """The rows of a child table whose storage was not deleted."""
     d = deleted.select(F.col("id").alias("_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import files as B
+from tidemark.operators.skew import in_order
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
 from tidemark.sources.store import row_count
@@ -109,10 +110,30 @@ def upload_payloads(spark, sf_dir):
     return B.upload_payloads(files)
 
 
-@query("directory_scan", "S6 O10")
+TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
+    "lineitem", "nation", "orders", "pages", "part", "region", "supplier",
+)
+_TABLE_ROWS = " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, count(*) AS n_rows FROM {t}" for t in TABLES)
+
+
+@query("directory_scan", "S6 O10", f"SELECT file_name, n_rows, row_number() OVER (ORDER BY file_name) AS place FROM ({_TABLE_ROWS})")
 def directory_scan(spark, sf_dir):
-    """The table files themselves, in path order."""
-    return B.scan_directory(spark, sf_dir).orderBy("path")
+    """The table files in path order, with the rows that reading each of them gives."""
+    files = B.scan_directory(spark, sf_dir).where(F.col("file_name").endswith(".parquet"))
+    table = F.regexp_extract("path", r"([^/]+)\.parquet(/|$)", 1)
+    # One name per table of the folder.
+    tables = [r[0] for r in files.select(table).distinct().collect() if r[0] in TABLES]
+    plain = lambda path: F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+    listed = files.select(plain(F.col("path")).alias("path"), "file_name")
+    if not tables:
+        return listed.select("file_name", F.lit(0).cast("bigint").alias("n_rows"), F.lit(1).cast("bigint").alias("place")).limit(0)
+    rows = None
+    for t in sorted(tables):
+        read = V.table(spark, sf_dir, t).groupBy(plain(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("n_rows"))
+        rows = read if rows is None else rows.unionByName(read)
+    found = listed.join(rows, "path", "left").orderBy("path")
+    return in_order(found.select("file_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
 
 
 @query("target_row_count", "S8 A14", "SELECT count(*) AS n, 0 AS n_missing FROM lineitem")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import registry as R
+from tidemark.operators.skew import in_order
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
+from tidemark.session import shared_folder
 
 _R = f"WITH r AS ({V.ROUTES_SQL})"
 _SHOWN = ["org_key", "selected_object", "routing_protocol", "routing_status", "source_status"]
@@ -22,29 +24,37 @@ def _us(df: DataFrame, *names: str) -> DataFrame:
     )
 
 
-@query("active_routes", "F1 O1 S7", f"{_R} SELECT {_COLS} FROM r WHERE routing_status='ACTIVE'")
-def active_routes(spark, sf_dir):
-    return R.active_routes(V.routes(spark, sf_dir)).select(*_SHOWN)
+def _place(order: str) -> str:
+    """SQL for the position in a listing."""
+    return f"row_number() OVER (ORDER BY {order}) AS place"
 
 
+@query(
+    "active_routes", "F1 O1 S7",
+    f"{_R} SELECT {_COLS}, {_place('org_name, selected_object, routing_protocol, org_key')} FROM r WHERE routing_status='ACTIVE'",
+)
+def active_routes(spark, sf_dir):
+    return in_order(R.active_routes(V.routes(spark, sf_dir)).select(*_SHOWN))
 
 
 @query(
     "active_routes_of_org", "F1 F3 O1 S7",
-    f"{_R} SELECT {_COLS} FROM r WHERE routing_status='ACTIVE' AND source_status='ACTIVE' AND org_key=(SELECT min(org_key) FROM r)",
+    f"""{_R} SELECT {_COLS}, {_place('selected_object, routing_protocol DESC')} FROM r
+        WHERE routing_status='ACTIVE' AND source_status='ACTIVE' AND org_key=(SELECT min(org_key) FROM r)""",
 )
 def active_routes_of_org(spark, sf_dir):
     routes = V.routes(spark, sf_dir)
     org = routes.agg(F.min("org_key")).first()[0]
-    return R.both_active(R.active_routes(routes, org), org).select(*_SHOWN)
+    return in_order(R.both_active(R.active_routes(routes, org), org).select(*_SHOWN))
 
 
 @query(
     "recoverable_routes", "F2 O1",
-    f"{_R} SELECT {_COLS} FROM r WHERE coalesce(routing_status,'')<>'RELEASED' AND coalesce(source_status,'')<>'INACTIVE'",
+    f"""{_R} SELECT {_COLS}, {_place('org_name, selected_object, routing_protocol DESC, org_key')} FROM r
+        WHERE coalesce(routing_status,'')<>'RELEASED' AND coalesce(source_status,'')<>'INACTIVE'""",
 )
 def recoverable_routes(spark, sf_dir):
-    return R.recoverable_routes(V.routes(spark, sf_dir)).select(*_SHOWN)
+    return in_order(R.recoverable_routes(V.routes(spark, sf_dir)).select(*_SHOWN))
 
 
 @query(
@@ -147,6 +157,22 @@ def route_transitions(spark, sf_dir):
     return _us(out.select(*_SHOWN, "last_error_message", "released_at", "last_synced_at", "updated_by"), "released_at", "last_synced_at")
 
 
+@query(
+    "route_history", "S11 K13",
+    _R + _CHANGES + f"""
+SELECT org_key, selected_object, routing_protocol, CASE s WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'RECOVERED' ELSE 'RELEASED' END AS event_type,
+  routing_status AS status_before, CASE s WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'ACTIVE' ELSE 'RELEASED' END AS status_after,
+  msg AS message, 'ops' AS actor, {V.NOW_US} AS event_us
+FROM r JOIN ch ON selected_object = c_name""",
+)
+def route_history(spark, sf_dir):
+    """The events of a batch of status changes, appended to the history table and read back."""
+    events = R.transition_events(V.routes(spark, sf_dir), _changes(spark, sf_dir), V.now())
+    path = shared_folder(spark, "history")
+    R.append_history(events, path)
+    return _us(spark.read.parquet(path), "event_at")
+
+
 def _slot_sql(all_orgs: bool) -> str:
     hit = "msg IS NOT NULL" if all_orgs else "msg IS NOT NULL AND coalesce(routing_status='ACTIVE', false)"
     note = "'seed'" if all_orgs else f"CASE WHEN {hit} THEN msg ELSE 'seed' END"
@@ -286,19 +312,21 @@ def slot_availability(spark, sf_dir):
 @query(
     "orgs_grouped", "A4",
     f"""{_R} SELECT org_key, max(org_name) AS org_name, max(instance_name) AS instance_name, max(org_type) AS org_type,
-        bool_or(is_sandbox) AS is_sandbox, max(my_domain) AS my_domain FROM r WHERE routing_status='ACTIVE' GROUP BY org_key""",
+        bool_or(is_sandbox) AS is_sandbox, max(my_domain) AS my_domain, {_place('max(org_name), org_key')}
+        FROM r WHERE routing_status='ACTIVE' GROUP BY org_key""",
 )
 def orgs_grouped(spark, sf_dir):
-    return R.orgs_grouped(V.routes(spark, sf_dir))
+    return in_order(R.orgs_grouped(V.routes(spark, sf_dir)))
 
 
 @query(
     "orgs_distinct", "A5",
-    f"""{_R} SELECT DISTINCT org_key, org_name, my_domain, target_storage_id, target_storage_name, target_schema, instance_name,
-        org_type, is_sandbox FROM r WHERE routing_status='ACTIVE'""",
+    f"""{_R} SELECT *, {_place('org_name, org_key, my_domain, target_storage_id, target_storage_name, target_schema, instance_name, org_type, is_sandbox')}
+        FROM (SELECT DISTINCT org_key, org_name, my_domain, target_storage_id, target_storage_name, target_schema, instance_name,
+        org_type, is_sandbox FROM r WHERE routing_status='ACTIVE')""",
 )
 def orgs_distinct(spark, sf_dir):
-    return R.orgs_distinct(V.routes(spark, sf_dir))
+    return in_order(R.orgs_distinct(V.routes(spark, sf_dir)))
 
 
 @query(

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import storage as S
+from tidemark.operators.registry import append_history
+from tidemark.operators.skew import in_order
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
+from tidemark.session import shared_folder
 
 _W = f"WITH h AS ({V.HEADERS_SQL}), d AS ({V.DETAILS_SQL}), j AS (SELECT * FROM h JOIN d ON storage_id=id)"
 _SHOWN = ["id", "name", "storage_type", "connection_status", "vendor", "auth_method", "username"]
@@ -43,9 +46,9 @@ for _sort, _column in _SORTS.items():
         _listing_query(_sort, _column, _direction)
 
 
-@query("storage_options", "F9", f"{_W} SELECT id, name, connection_status, vendor FROM j WHERE enabled")
+@query("storage_options", "F9", f"{_W} SELECT id, name, connection_status, vendor, row_number() OVER (ORDER BY name, id) AS place FROM j WHERE enabled")
 def storage_options(spark, sf_dir):
-    return S.options(_storages(spark, sf_dir)).select("id", "name", "connection_status", "vendor")
+    return in_order(S.options(_storages(spark, sf_dir)).select("id", "name", "connection_status", "vendor"))
 
 
 @query("storage_totals", "A13", f"{_W} SELECT count(*) AS total, CAST(ceil(count(*)/100.0) AS BIGINT) AS pages FROM j")
@@ -135,6 +138,14 @@ def storage_addresses(spark, sf_dir):
     return S.normalize(_addressed(spark, sf_dir)).drop("vendor", "raw_url", "username")
 
 
+def _tests(spark, sf_dir) -> DataFrame:
+    """A connection test per event, of every second storage."""
+    return V.table(spark, sf_dir, "events").select(
+        (2 * F.col("user_id")).alias("id"), (F.col("event_type") != "error").alias("success"), F.col("props").alias("message"),
+        F.col("ts").cast("timestamp").alias("tested_at"),
+    )
+
+
 _EDITS = "SELECT 2 * c_custkey AS id, c_name AS name, c_mktsegment AS description FROM customer"
 
 
@@ -151,22 +162,31 @@ def storage_edits(spark, sf_dir):
 
 
 @query(
-    "storage_test_results", "K16 S14",
+    "storage_test_results", "K16",
     f"""{_W}, t AS (SELECT 2 * user_id AS id, max_by(event_type, ts) AS kind, max_by(props, ts) AS message, max(epoch_us(ts)) AS us FROM events GROUP BY 1)
         SELECT h.id, CASE WHEN t.id IS NULL THEN connection_status WHEN kind<>'error' THEN 'VERIFIED' ELSE 'FAILED' END AS connection_status,
           kind<>'error' AS last_test_success, CASE WHEN kind='error' THEN message END AS last_error_message, us AS tested_us
         FROM h LEFT JOIN t ON t.id=h.id""",
 )
 def storage_test_results(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events")
-    tests = e.select(
-        (2 * F.col("user_id")).alias("id"), (F.col("event_type") != "error").alias("success"), F.col("props").alias("message"),
-        F.col("ts").cast("timestamp").alias("tested_at"),
-    )
-    out = S.record_tests(V.storage_headers(spark, sf_dir), tests)
+    out = S.record_tests(V.storage_headers(spark, sf_dir), _tests(spark, sf_dir))
     return out.select("id", "connection_status", "last_test_success", "last_error_message", F.unix_micros("last_tested_at").alias("tested_us"))
 
 
+@query(
+    "storage_test_history", "S14",
+    f"""{_W} SELECT 2 * user_id AS id, 'TEST' AS kind, event_type<>'error' AS success, CASE WHEN event_type='error' THEN props END AS message,
+          epoch_us(ts) AS tested_us FROM events WHERE 2 * user_id IN (SELECT id FROM h)""",
+)
+def storage_test_history(spark, sf_dir):
+    """One history row per connection test, appended in two batches and read back."""
+    path = shared_folder(spark, "history")
+    tests, headers = _tests(spark, sf_dir), V.storage_headers(spark, sf_dir)
+    for batch in (F.coalesce("success", F.lit(False)), ~F.coalesce("success", F.lit(False))):
+        append_history(S.test_events(headers, tests.where(batch)), path)
+    return spark.read.parquet(path).select("id", "kind", "success", "message", F.unix_micros("tested_at").alias("tested_us"))
+
+
 @query(
     "cascade_deletes", "K17 J5",
     "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000)",

@@ -66,24 +66,30 @@ class TargetStore:
     def bucket(self):
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """The current rows; with ``only``, those of the given buckets."""
+    def read(self, only: list[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The current rows; with ``only``, of the given buckets; with ``keys``, of these keys.
+
+        Rows of other keys leave right after the scan, ahead of any shuffle of stored rows.
+        """
         manifest = self._manifest()
         folders = {} if manifest is None else manifest["folders"]
         lists = [v for b, v in sorted(folders.items()) if only is None or int(b) in only]
-        base = self._rows([v[0] for v in lists if v[0] != EMPTY], self.schema)
+        wanted = (lambda rows: rows) if keys is None else (lambda rows: rows.join(keys, self.key, "left_semi"))
+        base = wanted(self._rows([v[0] for v in lists if v[0] != EMPTY], self.schema))
         changes = [p for v in lists for p in v[1:]]
         if not changes:
             return base
         # The path names the version: data/version=<n>/_bucket=<b>.
         stored = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
-        log = self._rows(changes, stored).withColumn(
-            "_version", F.regexp_extract(F.input_file_name(), ".*/data/version=([0-9]+)/", 1).cast("bigint")
+        log = wanted(
+            self._rows(changes, stored).withColumn(
+                "_version", F.regexp_extract(F.input_file_name(), ".*/data/version=([0-9]+)/", 1).cast("bigint")
+            )
         )
-        last = log.groupBy(self.key).agg(F.max("_version").alias("_version"))
-        log = log.join(last, [self.key, "_version"])
-        kept = base.join(last.select(self.key), self.key, "left_anti")
-        return kept.unionByName(log.where(~F.col(GONE)).select(*self.schema.names))
+        # A batch writes a key once, so a key's latest version is one row.
+        last = log.groupBy(self.key).agg(F.max_by(F.struct(*stored.names), "_version").alias("_last"))
+        kept = base.join(log.select(self.key).distinct(), self.key, "left_anti")
+        return kept.unionByName(last.where(~F.col(f"_last.{GONE}")).select(*[F.col(f"_last.`{c}`").alias(c) for c in self.schema.names]))
 
     def _rows(self, paths: list[str], schema: T.StructType) -> DataFrame:
         if not paths:
@@ -116,7 +122,7 @@ class TargetStore:
         touched = [r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
         folders = manifest["folders"]
         if touched:
-            old = self.read(only=touched).join(keys, self.key, "left_semi")
+            old = self.read(only=touched, keys=keys)
             rows = apply(old)
             gone = ~F.col("present") if "present" in rows.columns else F.lit(False)
             rows = rows.select(*self.schema.names, gone.alias(GONE))
