@@ -82,7 +82,8 @@ def test_directory_scan_and_summary(spark, tmp_path):
     out = B.item_outcomes(plan_, results)
     assert {(r.file_name, r.success, r.message) for r in out.collect()} == {("b.txt", True, "ok"), ("a.bin", False, "NO_RESULT")}
     name = B.write_summary(out, str(tmp_path / "history"), "20240101-000000")
-    [total] = spark.read.json(name).collect()
+    assert (tmp_path / "history" / "upload-20240101-000000.json").is_file()
+    [total] = spark.read.option("multiLine", True).json(name).collect()
     assert (total.total_count, total.success_count, total.failure_count) == (2, 1, 1)
     [p] = B.progress(out).collect()
     assert (p.processed, p.percent) == (1, 50.0)

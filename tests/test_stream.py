@@ -3,14 +3,15 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.fold import apply_mutations, fold, mutation_counts
 from tidemark.operators.normalize import normalize_changes, normalize_notices, normalize_snapshot, typed
 from tidemark.operators.snapshot import snapshot_rows, upsert_snapshot
 from tidemark.sources.feeds import file_feed
-from tidemark.sources.store import TargetStore
-from tidemark.streaming.apply import bootstrap, start_route
+from tidemark.sources.store import KEPT_MANIFESTS, TargetStore
+from tidemark.streaming.apply import apply_batch, bootstrap, drop_route, initial_load, start_route
 from tidemark.functions.schema import struct_type
 
 FIELDS = [
@@ -71,8 +72,38 @@ def test_snapshot_then_stream_and_restart(spark, tmp_path):
     assert [r[0] for r in before] == ["b", "c"]
     assert store.compact(changes=1) > 0 and sorted(map(tuple, store.read().collect())) == before
     assert store.compact(changes=1) == 0 and store.last_batch() == "route-2"
-    store.drop()
-    assert store.count() == 0
+    drop_route(store, run["checkpoint"], run["out"])
+    assert store.count() == 0 and not (tmp_path / "target" / "data").exists()
+    assert not (tmp_path / "ckpt").exists() and not (tmp_path / "out").exists()
+
+
+def test_strict_batches_apply_whole_or_not_at_all(spark, tmp_path):
+    store = TargetStore(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+
+    def mutations(*events):
+        rows = spark.createDataFrame([(e["seq"], e["body"]) for e in events], "seq long, body string")
+        return typed(normalize_changes(rows, TYPES), TYPES)
+
+    good = event(1, "a", "CREATE", 2_100_000_000_000, 2_100_000_000_000, Title="A")
+    bad = event(2, "b", "CREATE", 2_100_000_000_000, 2_100_000_000_000, Amount="x1")
+    with pytest.raises(ValueError, match="route-0"):
+        apply_batch(store, mutations(good, bad), "route-0", strict=True)
+    assert store.count() == 0 and store.last_batch() is None
+    assert apply_batch(store, mutations(good), "route-0", strict=True) and store.count() == 1
+    assert apply_batch(store, mutations(good, bad), "route-1") and store.count() == 1
+
+
+def test_load_report_and_bounded_manifests(spark, tmp_path):
+    store = TargetStore(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+    rows = snapshot_rows(typed(normalize_snapshot(spark.createDataFrame([('{"Id":"a","Title":"A"}',), ('{"Id":"b"}',)], "body string"), TYPES), TYPES))
+    [r] = initial_load(store, rows, "snapshot-1").collect()
+    assert (r.batch, r.applied, r.row_count) == ("snapshot-1", True, 2) and r.duration_ms > 0
+    assert not initial_load(store, rows, "snapshot-1").first().applied
+    for _ in range(KEPT_MANIFESTS + 5):
+        store._publish({**store._manifest(), "version": store._manifest()["version"] + 1})
+    assert len(store._manifest_names()) == KEPT_MANIFESTS and store.count() == 2
+    # Only the rows of the wanted keys are read, from the base and from changes after it.
+    assert [x.sfid for x in store.read(keys=spark.createDataFrame([("b",), ("z",)], "sfid string")).collect()] == ["b"]
 
 
 def test_notice_stream_orders_by_type(spark, tmp_path):

@@ -228,8 +228,14 @@ def upload_payloads(files: DataFrame) -> DataFrame:
 
 
 def write_summary(outcomes: DataFrame, path: str, stamp: str) -> str:
-    """Totals as ``upload-<stamp>.json`` and the items beside it, as JSON lines."""
-    name = f"{path}/upload-{stamp}.json"
-    upload_summary(outcomes).coalesce(1).write.mode("overwrite").json(name)
+    """The run's totals as one indented file ``upload-<stamp>.json``, the items beside it as JSON lines."""
+    spark = outcomes.sparkSession
     outcomes.write.mode("overwrite").json(f"{path}/items-{stamp}")
+    [totals] = upload_summary(outcomes.withColumn("root", F.lit(0)).select("root", "success")).drop("root").collect() or [None]
+    counts = {"total_count": 0, "success_count": 0, "failure_count": 0} if totals is None else totals.asDict()
+    name = f"{path}/upload-{stamp}.json"
+    target = spark._jvm.org.apache.hadoop.fs.Path(name)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(counts, indent=2), "utf-8"))
+    out.close()
     return name

@@ -169,9 +169,7 @@ _KIND = """CASE WHEN o_orderpriority='1-URGENT' THEN NULL WHEN o_orderstatus='F'
 _KEYLESS = "(o_orderpriority='2-HIGH' AND o_orderstatus='F')"
 
 
-@query(
-    "notice_mutations", "P4 P6 P12 P13 P19 P20 S5",
-    f"""SELECT o_orderkey AS seq, 'k'||o_custkey AS sfid, t AS change_type,
+_NOTICES = f"""SELECT o_orderkey AS seq, 'k'||o_custkey AS sfid, t AS change_type,
          CASE WHEN t <> 'DELETE' THEN epoch_us(o_orderdate) END AS lm_us,
          CASE WHEN t = 'DELETE' THEN {V.NOW_US} ELSE epoch_us(o_orderdate) END AS ev_us,
          CASE WHEN t='DELETE' THEN '' WHEN o_orderpriority='5-LOW' THEN 'Amount,LastModifiedDate'
@@ -180,16 +178,34 @@ _KEYLESS = "(o_orderpriority='2-HIGH' AND o_orderstatus='F')"
          CASE WHEN t <> 'DELETE' AND o_orderpriority <> '5-LOW' THEN CAST(year(o_orderdate) AS INT) END AS fiscal_year,
          CASE WHEN t <> 'DELETE' AND o_orderpriority <> '5-LOW' THEN CAST(quarter(o_orderdate) AS INT) END AS fiscal_quarter,
          CASE WHEN t <> 'DELETE' AND o_orderpriority <> '3-MEDIUM' THEN o_totalprice END AS amount
-       FROM (SELECT *, {_KIND} AS t FROM orders) WHERE t IS NOT NULL AND NOT {_KEYLESS}""",
-)
-def notice_mutations(spark, sf_dir):
-    out = N.typed(N.normalize_notices(V.notice_feed(spark, sf_dir), V.ORDER_FIELDS, V.now()), V.ORDER_FIELDS)
-    return N.accepted(out).select(
+       FROM (SELECT *, {_KIND} AS t FROM orders) WHERE t IS NOT NULL AND NOT {_KEYLESS}"""
+
+
+def _notice_rows(out: DataFrame) -> DataFrame:
+    return out.select(
         "seq", "sfid", "change_type", F.unix_micros("lm").alias("lm_us"), F.unix_micros("ev").alias("ev_us"),
         _listed("target_fields").alias("targets"), *_order_values(),
     )
 
 
+@query("notice_mutations", "P4 P6 P12 P13 P19 P20", _NOTICES)
+def notice_mutations(spark, sf_dir):
+    out = N.typed(N.normalize_notices(V.notice_feed(spark, sf_dir), V.ORDER_FIELDS, V.now()), V.ORDER_FIELDS)
+    return _notice_rows(N.accepted(out))
+
+
+@query("notices_streamed", "S5 T1", _NOTICES)
+def notices_streamed(spark, sf_dir):
+    """The same notifications as files of a stream, normalised into a table until nothing is left."""
+    feed, checkpoint, path = (shared_folder(spark, kind) for kind in ("feeds", "routes", "mutations"))
+    V.notice_feed(spark, sf_dir).write.parquet(feed)
+    read = file_feed(spark, feed, notices=True, fmt="parquet")
+    out = N.accepted(N.typed(N.normalize_notices(read, V.ORDER_FIELDS, V.now()), V.ORDER_FIELDS))
+    sink = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return _notice_rows(spark.read.schema(out.schema).parquet(path))
+
+
 @query(
     "notice_rejects", "P4 P6 T8",
     f"""SELECT o_orderkey AS seq, CASE WHEN o_orderpriority='1-URGENT' THEN 'change_type' ELSE 'no_key' END AS reject_reason

@@ -12,7 +12,7 @@ from tidemark.plans import views as V
 from tidemark.plans.checked import query
 from tidemark.session import shared_folder
 from tidemark.sources.store import TargetStore
-from tidemark.streaming.apply import apply_batch, bootstrap, events_by_type, route_activity, type_order
+from tidemark.streaming.apply import apply_batch, bootstrap, events_by_type, initial_load, route_activity, type_order
 
 #: Mutations of every key in order, as views.mutations derives them.
 PLAIN = """
@@ -154,6 +154,19 @@ def store_applied(spark, sf_dir):
     return _rows(store.read())
 
 
+@query(
+    "initial_load", "A14 T5",
+    f"""SELECT 'snapshot-1' AS batch, unnest([true, false]) AS applied, n AS row_count, true AS timed
+        FROM (SELECT count(*) AS n FROM ({STORED}))""",
+)
+def initial_load_(spark, sf_dir):
+    """The report of a snapshot's load, and of its repetition, which changes nothing."""
+    stored = V.customer_rows(spark, sf_dir)
+    store = TargetStore(spark, shared_folder(spark, "stores"), stored.schema, buckets=8)
+    reports = initial_load(store, stored, "snapshot-1").union(initial_load(store, stored, "snapshot-1"))
+    return reports.select("batch", "applied", "row_count", (F.col("duration_ms") >= 0).alias("timed"))
+
+
 @query("notice_fold_by_type", "T7 P4", fold_sql(NOTICES, tail=ROWS_TAIL))
 def notice_fold_by_type(spark, sf_dir):
     m = V.mutations(spark, sf_dir).where("change_type <> 'UNDELETE'")

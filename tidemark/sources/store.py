@@ -21,6 +21,8 @@ from tidemark.columns import KEY
 
 BUCKET = "_bucket"
 GONE = "_gone"
+#: Manifests that stay for readers of an older version.
+KEPT_MANIFESTS = 20
 #: The base of a bucket that began with changes.
 EMPTY = ""
 
@@ -61,6 +63,8 @@ class TargetStore:
         self._fs.mkdirs(self._path(f"{self.path}/manifests"))
         if not self._fs.rename(staged, self._path(f"{self.path}/manifests/{name}")):
             raise RuntimeError(f"another writer published {name}")
+        for old in self._manifest_names()[:-KEPT_MANIFESTS]:
+            self._fs.delete(self._path(f"{self.path}/manifests/{old}"), False)
 
     # -- reading --------------------------------------------------------------------
     def bucket(self):
@@ -167,11 +171,12 @@ class TargetStore:
         self._publish({"version": version, "batch": batch, "buckets": self.buckets, "folders": folders})
 
     def drop(self) -> None:
-        """Unpublish the table: readers find no rows; the files stay for a cleaner."""
+        """Unpublish the table, so that readers find no rows, and then remove its files."""
         manifest = self._manifest() or {"version": 0}
         self._publish(
             {"version": manifest["version"] + 1, "batch": None, "buckets": self.buckets, "folders": {}}
         )
+        self._fs.delete(self._path(f"{self.path}/data"), True)
 
 
 def row_count(spark: SparkSession, table: str) -> int:

@@ -8,6 +8,7 @@ Rejected events go to a table beside it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -47,17 +48,40 @@ def bootstrap(store: TargetStore, snapshot: DataFrame, batch: str, guard: str =
     return store.commit(batch, snapshot, lambda old: upsert_snapshot(old, snapshot, store.key, guard))
 
 
+def initial_load(store: TargetStore, snapshot: DataFrame, batch: str, guard: str = "column") -> DataFrame:
+    """Bootstrap, and report one row: whether it was applied, the target's rows, its duration."""
+    start = time.monotonic()
+    done = bootstrap(store, snapshot, batch, guard)
+    took = int(1000 * (time.monotonic() - start))
+    report = [(batch, done, store.count(), took)]
+    return snapshot.sparkSession.createDataFrame(report, "batch string, applied boolean, row_count bigint, duration_ms bigint")
+
+
+def drop_route(store: TargetStore, *folders: str) -> None:
+    """Remove a route's target and its data: checkpoint, rejects and counts folders.
+
+    The route's streaming query has to be stopped before.
+    """
+    store.drop()
+    spark = store.spark
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def apply_batch(
     store: TargetStore,
     mutations: DataFrame,
     batch: str,
     out: str | None = None,
     limit: int = GROUP_LIMIT,
+    strict: bool = False,
 ) -> bool:
     """Fold one batch of typed mutations into the target, all or nothing.
 
     With ``out``, the rejected events and the batch counters are written below it, each in a
-    folder of the batch, which a replay replaces.
+    folder of the batch, which a replay replaces. With ``strict``, a batch that holds a rejected
+    event raises ``ValueError`` and nothing of it is applied.
     """
     mutations = mutations.persist()
     kept: list[DataFrame] = []
@@ -70,6 +94,8 @@ def apply_batch(
     try:
         if out:
             rejected(mutations).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch}")
+        if strict and not rejected(mutations).isEmpty():
+            raise ValueError(f"batch {batch} holds rejected events")
         done = store.commit(batch, accepted(mutations), merge)
         if out and kept:
             mutation_counts(kept[0]).write.mode("overwrite").parquet(f"{out}/counts/batch={batch}")
@@ -91,6 +117,7 @@ def start_route(
     on_batch: Callable[[DataFrame, int], None] | None = None,
     limit: int = GROUP_LIMIT,
     compact_after: int = 50,
+    strict: bool = False,
 ) -> StreamingQuery:
     """One streaming query per route over its normalised, typed mutations.
 
@@ -103,7 +130,7 @@ def start_route(
     use_utc(mutations.sparkSession)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(store, batch, f"{name or 'route'}-{batch_id}", out, limit)
+        apply_batch(store, batch, f"{name or 'route'}-{batch_id}", out, limit, strict)
         if (batch_id + 1) % compact_after == 0:
             store.compact(compact_after)
         if on_batch:
