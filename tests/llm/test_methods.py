@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import dac, decontaminate, lattice, near_dedup, packing, secrets, tokens, url_rules, warc
 
@@ -164,3 +165,10 @@ def test_signatures_and_parity_bound():
     assert (near_dedup.band_keys(sig)[0] == near_dedup.band_keys(sig)[1]).any()
     apart = np.unpackbits((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint8)).sum()
     assert apart <= len(np.setxor1d(a, b))
+
+
+def test_slices_keep_all_rows():
+    batch = pa.record_batch([pa.array(range(2 * near_dedup.SLICE_ROWS + 1))], names=["doc_id"])
+    cut = list(near_dedup.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 5)])))
+    assert max(b.num_rows for b in cut) == near_dedup.SLICE_ROWS
+    assert [i for b in cut for i in b[0].to_pylist()] == [*range(batch.num_rows), *range(5)]

@@ -43,6 +43,8 @@ BINS, BAND_BINS = 128, 4
 BANDS = BINS // BAND_BINS
 BITS = 512
 _PARTS = [f"p{i}" for i in range(BITS // 64)]
+#: Rows whose sets a worker holds at a time.
+SLICE_ROWS = 1_000
 #: Times as many centres a bucket gives in each further round.
 MORE_CENTRES = 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -109,11 +111,18 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few sets whatever the batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(first, SLICE_ROWS)
+
+
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, h1, h2, bands, bits) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, size) for t in batch[1].cast(pa.binary()).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
@@ -131,7 +140,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, size).view(np.int64) for t in batch[1].cast(pa.binary()).to_pylist()]
             yield pa.record_batch([batch[0], pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
