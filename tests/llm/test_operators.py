@@ -125,6 +125,36 @@ def test_odd_rows_through_the_other_operators(spark, docs):
     assert {r.spans[0].kind if r.spans else None for r in secrets.find_secrets(docs).collect()} == {None}
 
 
+def test_secrets_where_most_candidates_are_bare_keys(spark):
+    rng = random.Random(11)
+    key = lambda: "sk_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    some = lambda n: rng.sample(words, n)
+    rows, bare, other = [], set(), set()
+    for i in range(120):
+        keys, long = [key() for _ in range(10)], "-".join([*some(4), str(rng.randint(1, 99))])
+        bare.update(keys)
+        other.add(long)
+        rows.append((i, " ".join([*some(30), f"api_key: {key()}", *some(5), long, *some(5), *keys, *some(5)])))
+    texts = dict(rows)
+    found = {texts[r.doc_id][s.start : s.end] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == "format"}
+    assert len(found & bare) >= 0.95 * len(bare) and not found & other
+
+
+def test_ordinary_tokens_of_tasks_hold_the_smallest_of_all():
+    rng = random.Random(12)
+    parts = [{f"w{rng.randint(0, 4000)}" for _ in range(rng.randint(0, 900))} for _ in range(12)]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    handed = set()
+    for task in (parts[:5], parts[5:]):
+        smallest = secrets.Smallest(50)
+        for part in task:
+            handed.update(smallest.add(part))
+    assert sorted(handed, key=digest)[:50] == sorted(set().union(*parts), key=digest)[:50]
+    text = "my-token=abcdefgh1/x plain ab12 well-known x9y8x7w6v5u4t3s2r1q0 " + "0f" * 20 + "tail end"
+    assert secrets.ordinary(text, secrets.base_spans(text)[0]) == {"plain", "ab12", "well-known", "end"}
+
+
 def test_warc_round_trip(spark):
     same, url = "<p>" + "x" * 200, "http://a.example.org/\r\nz"
     rows = [(3, url, same), (1, None, same), (2, "u", same), (4, "u", None), (5, "u", ""), (6, "u", "é" * 49), (7, "u", "é" * 49), (None, "u", same)]

@@ -4,21 +4,26 @@ Three patterns give the base spans. Their values are the labelled credentials: o
 bounded sample (the ``SAMPLE`` distinct values of the smallest hash) becomes a prefix tree with
 counts, whose states are merged where the frequencies of their next symbols, and those of
 all that follows, agree within Hoeffding's bound. The result is a probabilistic automaton a
-kind, and one more for a sample of ordinary long tokens. Every long token with letters and
+kind, and one more for a sample of ordinary tokens. Every long token with letters and
 digits outside the base spans is a candidate; it is added as ``format`` where some kind's
 automaton gives it a likelihood per symbol that nearly all labelled values of the kind reach,
-and clearly more than the automaton of ordinary tokens gives.
+and clearly more than the automaton of ordinary tokens gives. Ordinary tokens are those that
+are no candidates (plain words, numbers, short mixed tokens) outside the base spans, so a
+format is never taken for ordinary because it is common.
 
 Texts are read once, by plain regular expressions on whole texts; what is found is written
-and learned from, so neither texts nor candidates meet in one place.
+and learned from, so neither texts nor candidates meet in one place. Of the ordinary tokens a
+task hands on those of the smallest digests, which hold the smallest of all.
 
 Defined results: a null or empty text has no span; offsets are code points, the end
 exclusive, over the whole match; equal rows get equal results; without labelled values
-nothing is added; an empty table gives none; further columns are ignored.
+nothing is added; without ordinary tokens the limits of the kinds decide alone; an empty table
+gives none; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -41,15 +46,17 @@ _KEYWORDS = ("passw", "secret", "token", "api")
 
 #: Tokens that are scored: long enough, with a digit and a letter.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 
-#: Labelled values of a kind, and ordinary tokens, that automata are inferred from.
+#: Labelled values of a kind, and ordinary tokens (no candidates), that automata are inferred from.
 SAMPLE = 2000
 #: Significance of the test that keeps two states apart.
 ALPHA = 0.05
 #: Added to every count of a symbol when scoring.
 SMOOTH = 0.05
 SYMBOLS = 68
+_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Share of the labelled values of a kind that may score below its limit.
 MISSED = 0.02
 #: Natural log of the likelihood per symbol that a kind's limit gives way, as lengths differ.
@@ -185,26 +192,68 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row its base spans with values, and its candidates."""
+def ordinary(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Distinct tokens that are no candidates and touch no base span."""
+    if spans:
+        # Spans become spaces, together with what they cut off.
+        parts, at = [], 0
+        for start, _, end in spans:
+            if end > at:
+                parts += [text[at:start].rstrip(_SYMBOLS), " "]
+                rest = _TOKEN.match(text, end)
+                at = rest.end() if rest else end
+        text = "".join([*parts, text[at:]])
+    return {t for t in set(_TOKEN.findall(text)) if t.isalpha() or not (CANDIDATE.fullmatch(t) and _MIXED.match(t))}
+
+
+class Smallest:
+    """The ``size`` tokens of the smallest digests among those seen so far."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.kept: dict[str, str] = {}
+        self.limit = "g"
+
+    def add(self, tokens: Iterable[str]) -> list[str]:
+        """Those of the tokens that came to be kept."""
+        digests = {t: hashlib.md5(t.encode(), usedforsecurity=False).hexdigest() for t in tokens if t not in self.kept}
+        new = {t: d for t, d in digests.items() if d < self.limit}
+        self.kept = dict(sorted((self.kept | new).items(), key=lambda e: e[1])[: self.size])
+        if len(self.kept) == self.size:
+            self.limit = max(self.kept.values())
+        return [t for t in new if t in self.kept]
+
+
+def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Per row its base spans with values, and its candidates; ``plain`` are ordinary tokens of a task."""
     fields = [
         ("doc_id", pa.int64()), ("start", pa.list_(pa.int64())), ("kind", pa.list_(pa.int32())), ("end", pa.list_(pa.int64())),
         ("value", pa.list_(pa.string())), ("c_start", pa.list_(pa.int64())), ("c_end", pa.list_(pa.int64())), ("token", pa.list_(pa.string())),
+        ("plain", pa.list_(pa.string())),
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        smallest = Smallest(sample)
         for batch in batches:
             columns: list[list] = [[] for _ in fields[1:]]
+            plain: set[str] = set()
+            handed: list[str] = []
             for text in batch[1].to_pylist():
                 spans, values = base_spans(text or "")
                 tokens = candidates(text or "", spans)
-                row = ([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], values, [t[0] for t in tokens], [t[1] for t in tokens], [t[2] for t in tokens])
+                plain |= ordinary(text or "", spans)
+                if len(plain) >= 10 * sample:
+                    handed += smallest.add(plain)
+                    plain = set()
+                row = ([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], values, [t[0] for t in tokens], [t[1] for t in tokens], [t[2] for t in tokens], [])
                 for column, cell in zip(columns, row, strict=True):
                     column.append(cell)
+            if batch.num_rows:
+                columns[-1][0] = handed + smallest.add(plain)
             arrays = [batch[0], *[pa.array(c, t) for c, (_, t) in zip(columns, fields[1:], strict=True)]]
             yield pa.record_batch(arrays, names=[n for n, _ in fields])
 
-    schema = "doc_id long, start array<long>, kind array<int>, end array<long>, value array<string>, c_start array<long>, c_end array<long>, token array<string>"
+    schema = "doc_id long, start array<long>, kind array<int>, end array<long>, value array<string>, c_start array<long>, c_end array<long>, token array<string>, plain array<string>"
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
 
 
@@ -213,13 +262,13 @@ def infer(found: DataFrame, sample: int = SAMPLE) -> Formats:
     labelled = found.select(F.explode(F.arrays_zip("kind", "value")).alias("x")).select(F.col("x.kind").alias("kind"), F.col("x.value").alias("value")).distinct()
     order = [F.xxhash64("value"), F.col("value")]
     values = {KINDS[k]: [r.value for r in labelled.where(F.col("kind") == k).orderBy(*order).limit(sample).collect()] for k in range(3)}
-    ordinary = found.select(F.explode("token").alias("value")).distinct().orderBy(*order).limit(sample).collect()
-    return Formats({k: v for k, v in values.items() if v}, [r.value for r in ordinary])
+    plain = found.select(F.explode("plain").alias("value")).distinct().orderBy(F.md5("value"), "value").limit(sample).collect()
+    return Formats({k: v for k, v in values.items() if v}, [r.value for r in plain])
 
 
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row ``doc_id`` and its spans (``kind``, ``start``, ``end``, ``score``) in order."""
-    found = cut_lineage(scan(docs))
+    found = cut_lineage(scan(docs, sample))
     shared = docs.sparkSession.sparkContext.broadcast(infer(found, sample))
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
