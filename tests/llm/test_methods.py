@@ -151,6 +151,18 @@ def test_secret_base_spans_and_grammar():
     assert sum(formats.score(t) >= 0 for t in other) == 0
 
 
+def test_short_bare_secrets_are_scored():
+    rng = random.Random(13)
+    key = lambda: "".join(rng.choice("bcdfghjkmnpqrstvwxz23456789") for _ in range(12))
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 10))) for _ in range(400)]
+    mixed = [w + str(rng.randint(1, 99)) for w in words if len(w) < 5]
+    formats = secrets.Formats({"assign": [key() for _ in range(400)]}, words + mixed)
+    bare = [k for k in (key() for _ in range(200)) if any(c.isdigit() for c in k) and any(c.isalpha() for c in k)]
+    other = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(7, 12))) + str(rng.randint(1, 99)) for _ in range(200)]
+    found = lambda tokens: sum(formats.score(t) >= 0 for _, _, t in secrets.candidates(" ".join(tokens), []))
+    assert found(bare) >= 0.9 * len(bare) and found(other) == 0
+
+
 def test_signatures_and_parity_bound():
     rng = random.Random(6)
     base = [f"w{i}" for i in range(300)]

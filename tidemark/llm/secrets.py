@@ -4,8 +4,8 @@ Three patterns give the base spans. Their values are the labelled credentials: o
 bounded sample (the ``SAMPLE`` distinct values of the smallest hash) becomes a prefix tree with
 counts, whose states are merged where the frequencies of their next symbols, and those of
 all that follows, agree within Hoeffding's bound. The result is a probabilistic automaton a
-kind, and one more for a sample of ordinary tokens. Every long token with letters and
-digits outside the base spans is a candidate; it is added as ``format`` where some kind's
+kind, and one more for a sample of ordinary tokens. Every token with letters and digits
+outside the base spans, as long as the shortest labelled value, is a candidate; it is added as ``format`` where some kind's
 automaton gives it a likelihood per symbol that nearly all labelled values of the kind reach,
 and clearly more than the automaton of ordinary tokens gives. Ordinary tokens are those that
 are no candidates (plain words, numbers, short mixed tokens) outside the base spans, so a
@@ -44,8 +44,8 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "format")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
-#: Tokens that are scored: long enough, with a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Tokens that are scored: as long as the shortest labelled value, with a digit and a letter.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min(LEAST_ASSIGN, LEAST_ACCESS))
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 
@@ -180,7 +180,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """Long mixed tokens that touch no base span."""
+    """Mixed tokens of at least a labelled value's length that touch no base span."""
     out, k, reach = [], 0, -1
     for m in CANDIDATE.finditer(text):
         if not _MIXED.match(m[0]):
