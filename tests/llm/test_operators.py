@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,57 @@ def test_statistics_and_outliers(spark, docs):
     assert outliers.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def _text(rng, n, repeated=0, ruled=0, marks=0, long=False):
+    """``n`` or more words in lines of ten; with words said twice, equal short lines, symbols, or long words."""
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(3, 9) * (3 if long else 1))) for _ in range(n - repeated)]
+    words += words[:repeated]
+    words[5:5] = ["#"] * marks
+    lines = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+    for i in range(ruled):
+        lines.insert(2 * i, "read more")
+    return "\n".join(lines)
+
+
+def _plant(rng, spread):
+    """(id, text) of clean texts, and of outliers in each statistic with ids from 1000."""
+    clean = [_text(rng, n, repeated=rng.choice([0, 0, 0, 0, 3])) for n in spread]
+    planted = [_text(rng, 200, long=True), _text(rng, 200, marks=60), _text(rng, 250, ruled=20), _text(rng, 200, repeated=40), _text(rng, 100, repeated=24)]
+    return [*enumerate(clean), *enumerate(planted, 1000)]
+
+
+def _brute(rows):
+    """Ids kept by determinants over many starts, rows and not classes being ranked."""
+    rng = np.random.default_rng(1)
+    n = np.array([r.n_words for r in rows], float)
+    x = np.array([[np.log(r.word_chars / r.n_words), *(np.sqrt(v / r.n_words) for v in (r.n_symbols, r.n_dup_lines, r.n_repeat_words))] for r in rows])
+    errors = np.zeros((len(n), 4, 4))
+    errors[:, 2, 2], errors[:, 3, 3] = 0.25 / n, 1.5 / n
+    floors = np.diag([0.05**2, 0.05**2, 0, 0])
+    estimate = lambda at, factor: (x[at].mean(0), factor * np.cov(x[at].T, bias=True) + floors)
+    apart = lambda m, c: np.einsum("ni,nij,nj->n", x - m, np.linalg.inv(c + errors), x - m)
+    best = None
+    for _ in range(60):
+        m, c = estimate(rng.choice(len(n), 8, replace=False), 1.0)
+        for _ in range(15):
+            core = np.argsort(apart(m, c), kind="stable")[: int(np.ceil(0.75 * len(n)))]
+            m, c = estimate(core, outliers.consistency(0.75))
+        det = np.linalg.slogdet(c + errors[core].mean(0))[1]
+        if best is None or det < best[0]:
+            best = det, m, c
+    m, c = estimate(apart(*best[1:]) <= outliers.chi2_quantile(0.975, 4), outliers.consistency(0.975))
+    return {r.doc_id for r, d in zip(rows, apart(m, c), strict=True) if d <= outliers.chi2_quantile(0.999, 4)}
+
+
+def test_outliers_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i + shift, t, lang, "a") for shift, lang in ((0, "en"), (5000, "de")) for i, t in _plant(rng, [rng.randint(60, 600) for _ in range(90)])]
+    out = outliers.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not any(r.base_failed for r in out)
+    kept = {r.doc_id for r in out if r.kept}
+    assert kept == _brute([r for r in out if r.lang == "en"]) | _brute([r for r in out if r.lang == "de"])
+    assert kept == {i for i, *_ in rows if i % 5000 < 1000}
+
+
 def test_odd_rows_through_the_other_operators(spark, docs):
     assert sorted(r.n_deleted for r in line_dedup.dedup_lines(docs).collect()) == [0] * len(ROWS)
     pieces = packing.pack(docs, with_ids=True).collect()

@@ -9,10 +9,14 @@ are summed by group and distance class and the classes up to the one where three
 reached are added up; equal distances so stay together and no order of rows matters. Two
 starts are followed (median and MAD; all rows) and the one of the smaller determinant is
 kept, made consistent with the normal distribution and reweighted once. A document is
-rejected beyond a squared Mahalanobis distance that one in a million normal ones exceeds.
+rejected beyond a squared Mahalanobis distance that one in a thousand normal ones exceeds.
 
-Counts of words have a floor of variance (``FLOORS``): most documents have no symbol and no
-repeat at all, and a scatter of nought would reject every other one.
+Most documents have no symbol and no repeat at all, and a scatter of nought would reject every
+other one. Word lengths and symbols have a floor of variance (``FLOORS``). Repeats have the
+sampling error of their own count in the document: the root of a count of Poisson events of
+``u`` words each (``REPEAT_UNITS``) has a variance of ``u / 4``, the root of its share of ``n``
+words one of ``u / 4n``. So few repeats in a short document are no outliers, the same share in
+a long one is.
 
 Only DataFrame functions are used; sets of a text's word windows are arrays of its row.
 
@@ -43,10 +47,12 @@ REPEAT_WORDS = 3
 CORE = 0.75
 STEPS = 4
 LEAST_ROWS = 50
-#: Standard deviations that every scatter has at least, by statistic.
-FLOORS = (0.05, 0.05, 0.15, 0.15)
+#: Standard deviations that are added to every scatter, by statistic; repeats have a document's own.
+FLOORS = (0.05, 0.05, 0.0, 0.0)
+#: Counted by an event of the last two statistics: a line, and the words of a window seen twice.
+REPEAT_UNITS = (1, 2 * REPEAT_WORDS)
 #: Share of normal documents beyond the last distance that is kept.
-REJECTED = 1e-6
+REJECTED = 1e-3
 #: Distance classes per unit of the logarithm.
 CLASSES = 64
 
@@ -114,10 +120,19 @@ def vector() -> list[Column]:
     return [F.log(F.col("word_chars") / n), per_word("n_symbols"), per_word("n_dup_lines"), per_word("n_repeat_words")]
 
 
+def _errors() -> list[Column]:
+    """Variances of the last two statistics by the sampling of a document of ``1 / r`` words."""
+    return [F.lit(u / 4) * F.col("r") for u in REPEAT_UNITS]
+
+
 def _estimate(moments: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
-    """Centre, whitening matrix and log determinant from n, sums ``s_i`` and products ``p_ij``."""
+    """Centre, scatter and log determinant from n, sums ``s_i``, ``sr`` and products ``p_ij``.
+
+    The scatter is given as the rows ``l_ij`` of its Cholesky factor for the first two statistics,
+    and what they leave of the last two (``v22``, ``v32``, ``v33``), to which errors are added.
+    """
     mean = [F.round(F.col(f"s{i}") / F.col("n"), 10).alias(f"m{i}") for i in range(_DIM)]
-    d = moments.select(*keys, *mean, "n", *[f"p{i}{j}" for i, j in _PAIRS])
+    d = moments.select(*keys, *mean, (F.col("sr") / F.col("n")).alias("r"), "n", *[f"p{i}{j}" for i, j in _PAIRS])
     cov = []
     for i, j in _PAIRS:
         c = factor * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
@@ -125,38 +140,41 @@ def _estimate(moments: DataFrame, keys: Sequence[str], factor: float) -> DataFra
             c = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2
         cov.append(F.round(c, 10).alias(f"c{i}{j}"))
     means = [f"m{i}" for i in range(_DIM)]
-    d = d.select(*keys, *means, *cov)
-    # Cholesky factor l and its inverse w, an entry a step, each a column of its own.
-    for j in range(_DIM):
-        before = [F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)]
-        d = d.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - sum(before, F.lit(0.0)), F.lit(FLOORS[j] ** 2 / 4))))
-        d = d.withColumns({
-            f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")
-            for i in range(j + 1, _DIM)
-        }) if j + 1 < _DIM else d
-    for j in range(_DIM):
-        d = d.withColumn(f"w{j}{j}", 1 / F.col(f"l{j}{j}"))
-        for i in range(j + 1, _DIM):
-            d = d.withColumn(f"w{i}{j}", -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}"))
-    det = sum((F.log(f"l{j}{j}") for j in range(_DIM)), F.lit(0.0))
-    return d.select(*keys, *means, *[f"w{i}{j}" for i, j in _PAIRS], det.alias("det"))
+    d = d.select(*keys, *means, "r", *cov)
+    d = d.withColumn("l00", F.sqrt("c00"))
+    d = d.withColumns({f"l{i}0": F.col(f"c{i}0") / F.col("l00") for i in (1, 2, 3)})
+    d = d.withColumn("l11", F.sqrt(F.greatest(F.col("c11") - F.col("l10") * F.col("l10"), F.lit(FLOORS[1] ** 2 / 4))))
+    d = d.withColumns({f"l{i}1": (F.col(f"c{i}1") - F.col(f"l{i}0") * F.col("l10")) / F.col("l11") for i in (2, 3)})
+    left = lambda i, j: F.col(f"c{i}{j}") - F.col(f"l{i}0") * F.col(f"l{j}0") - F.col(f"l{i}1") * F.col(f"l{j}1")
+    d = d.withColumns({"v22": F.greatest(left(2, 2), F.lit(0.0)), "v33": F.greatest(left(3, 3), F.lit(0.0))})
+    most = F.sqrt(F.col("v22") * F.col("v33"))
+    d = d.withColumn("v32", F.greatest(-most, F.least(most, left(3, 2))))
+    e2, e3 = _errors()
+    rest = (F.col("v22") + e2) * (F.col("v33") + e3) - F.col("v32") * F.col("v32")
+    det = F.log("l00") + F.log("l11") + 0.5 * F.log(rest)
+    return d.select(*keys, *means, *_SCATTER, det.alias("det"))
+
+
+_SCATTER = ["l00", "l10", "l11", "l20", "l21", "l30", "l31", "v22", "v32", "v33"]
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance under the joined estimate."""
-    total = F.lit(0.0)
-    for i in range(_DIM):
-        z = sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0))
-        total = total + z * z
-    return total
+    """Squared Mahalanobis distance under the joined estimate and the row's sampling errors."""
+    y = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_DIM)]
+    z0 = y[0] / F.col("l00")
+    z1 = (y[1] - F.col("l10") * z0) / F.col("l11")
+    r2, r3 = (y[i] - F.col(f"l{i}0") * z0 - F.col(f"l{i}1") * z1 for i in (2, 3))
+    e2, e3 = _errors()
+    a, b, c = F.col("v22") + e2, F.col("v33") + e3, F.col("v32")
+    return z0 * z0 + z1 * z1 + (b * r2 * r2 - 2 * c * r2 * r3 + a * r3 * r3) / (a * b - c * c)
 
 
 def _moments() -> list[Column]:
     x = [F.col(f"x{i}") for i in range(_DIM)]
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(_DIM)], *[F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS]]
+    return [F.count(F.lit(1)).alias("n"), F.sum("r").alias("sr"), *[F.sum(x[i]).alias(f"s{i}") for i in range(_DIM)], *[F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS]]
 
 
-_MOMENT_NAMES = ["n", *[f"s{i}" for i in range(_DIM)], *[f"p{i}{j}" for i, j in _PAIRS]]
+_MOMENT_NAMES = ["n", "sr", *[f"s{i}" for i in range(_DIM)], *[f"p{i}{j}" for i, j in _PAIRS]]
 
 
 def _join(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
@@ -166,17 +184,17 @@ def _join(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFram
 
 
 def fit(table: DataFrame) -> DataFrame:
-    """Estimates (centre, whitening matrix) by group, from a table with ``x0..``."""
-    rows = table.where("not base_failed").select(*_GROUP, *[f"x{i}" for i in range(_DIM)])
+    """Estimates (centre, scatter) by group, from a table with ``x0..`` and ``r``."""
+    rows = table.where("not base_failed").select(*_GROUP, "r", *[f"x{i}" for i in range(_DIM)])
     every = rows.groupBy(*_GROUP).agg(*_moments(), *[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"q{i}") for i in range(_DIM)])
     every = cut_lineage(every.where(F.col("n") >= LEAST_ROWS))
     away = _join(rows, every.select(*_GROUP, *[f"q{i}" for i in range(_DIM)])).groupBy(*_GROUP).agg(
-        *[F.first(f"q{i}").alias(f"q{i}") for i in range(_DIM)],
+        F.avg("r").alias("sr"), *[F.first(f"q{i}").alias(f"q{i}") for i in range(_DIM)],
         *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"q{i}")), 0.5, 10000).alias(f"d{i}") for i in range(_DIM)],
     )
     # As moments of one row: centre q, scatter (1.4826 MAD)^2.
     robust = away.select(
-        *_GROUP, F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), *[F.col(f"q{i}").alias(f"s{i}") for i in range(_DIM)],
+        *_GROUP, F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), "sr", *[F.col(f"q{i}").alias(f"s{i}") for i in range(_DIM)],
         *[(F.col(f"q{i}") * F.col(f"q{j}") + ((1.4826 * F.col(f"d{i}")) ** 2 if i == j else 0.0)).alias(f"p{i}{j}") for i, j in _PAIRS],
     )
     classical = every.select(*_GROUP, F.lit(1).alias("start"), *_MOMENT_NAMES)
@@ -184,7 +202,7 @@ def fit(table: DataFrame) -> DataFrame:
     now = cut_lineage(_estimate(robust.unionByName(classical), keys, 1.0))
     for _ in range(STEPS):
         apart = F.floor(CLASSES * F.log1p(_distance())).alias("class")
-        classes = _join(rows, now).select(*keys, apart, *[f"x{i}" for i in range(_DIM)]).groupBy(*keys, "class").agg(*_moments())
+        classes = _join(rows, now).select(*keys, apart, "r", *[f"x{i}" for i in range(_DIM)]).groupBy(*keys, "class").agg(*_moments())
         # One row per group, start and class: a bounded number whatever the number of documents.
         of = Window.partitionBy(*keys)
         reached = F.sum("n").over(of.orderBy("class")) - F.col("n")
@@ -204,7 +222,7 @@ def judge(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
     group = [F.col(f"_row.{c}").cast("string").alias(f"_{c}") for c in ("lang", "source")]
     row = F.struct(*[F.col(f"_row.`{c}`").alias(c) for c in names]).alias("_row")
     counted = counted.select(
-        row, *STATISTICS, "base_failed", *group, *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(vector())]
+        row, *STATISTICS, "base_failed", *group, F.when(~F.col("base_failed"), 1 / F.col("n_words")).alias("r"), *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(vector())]
     )
     table = cut_lineage(counted)
     # Documents of a small group are fitted together with those of the language's other small groups.
