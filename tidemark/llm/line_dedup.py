@@ -28,7 +28,7 @@ gives none; further columns are kept, ``n_lines`` and the like are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACES, boxed, read_table
@@ -38,17 +38,23 @@ from tidemark.session import cut_lineage
 #: Words of the shortest run that is a repeat.
 MIN_WORDS = 50
 
-_DOC = ["doc", "text_id"]
+#: A document: its id (the least long for a null one), whether it has one, the digest of its text.
+_DOC = ["doc", "has_id", "text_id"]
+
+
+def _key(text: Column) -> list[Column]:
+    doc = F.col("doc_id").cast("long")
+    return [F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), doc.isNotNull().alias("has_id"), F.unhex(F.md5(text)).alias("text_id")]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, text_id, i, pos, line, w): lines with words, ``i`` counts them, ``pos`` all lines."""
+    """(doc, has_id, text_id, i, pos, line, w): lines with words, ``i`` counts them, ``pos`` all lines."""
     text = F.col("text").cast("string")
     listed = F.transform(
         F.split(text, "\n"),
         lambda line, pos: F.struct(pos.alias("pos"), F.unhex(F.md5(line)).alias("line"), F.size(F.filter(F.split(line, SPACES), lambda w: w != "")).alias("w")),
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.unhex(F.md5(text)).alias("text_id"), listed.alias("listed"))
+    rows = docs.select(*_key(text), listed.alias("listed"))
     rows = rows.select(*_DOC, F.posexplode(F.filter("listed", lambda x: x["w"] > 0)).alias("i", "x"))
     return rows.select(*_DOC, F.col("i").cast("long").alias("i"), F.col("x.pos").cast("long").alias("pos"), F.col("x.line").alias("line"), F.col("x.w").cast("long").alias("w"))
 
@@ -73,7 +79,7 @@ def _segments(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, text_id, start, length): the shortest runs of ``min_words`` words from and to each line."""
+    """(doc, has_id, text_id, start, length): the shortest runs of ``min_words`` words from and to each line."""
     segment = [*_DOC, "segment"]
     after = F.sum("w").over(Window.partitionBy(*segment).orderBy("i"))
     placed = lines.select(*segment, "i", after.alias("after"), (after - F.col("w")).alias("before"))
@@ -94,7 +100,7 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, text_id, from_pos, to_pos): line ranges to delete, not overlapping."""
+    """(doc, has_id, text_id, from_pos, to_pos): line ranges to delete, not overlapping."""
     lines = cut_lineage(lines_of(docs))
     known = _named(lines, ["line"]).select(*_DOC, "i", "pos", "w", "rank")
     # Rows that are the same document are one.
@@ -119,11 +125,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wide = wide.join(head, [*_DOC, "start", "h"]).withColumn("at", F.col("start") + F.col("length") - F.col("h"))
     wide = cut_lineage(wide.join(tail, [*_DOC, "at", "h"]).select(*_DOC, "start", "length", "r1", "r2"))
     # One row per interval of several suffixes, with its first in the documents' order.
-    place = F.struct(F.coalesce("doc", F.lit(-(1 << 63))).alias("d"), F.col("text_id").alias("t"), F.col("start").alias("s"))
+    place = F.struct(*_DOC, "start")
     intervals = wide.groupBy("length", "r1", "r2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = wide.join(intervals, ["length", "r1", "r2"]).where(place != F.col("first"))
-    own = (F.col("first.t") == F.col("text_id")) & (F.col("first.d") == place["d"])
-    start = F.when(own, F.greatest(F.col("start"), F.col("first.s") + F.col("length"))).otherwise(F.col("start"))
+    own = F.struct(*_DOC) == F.struct(*[F.col(f"first.{c}").alias(c) for c in _DOC])
+    start = F.when(own, F.greatest(F.col("start"), F.col("first.start") + F.col("length"))).otherwise(F.col("start"))
     later = later.select(*_DOC, start.alias("a"), (F.col("start") + F.col("length") - 1).alias("b")).where("a <= b").distinct()
     # Overlapping and touching runs are one.
     by_start = Window.partitionBy(*_DOC).orderBy("a", "b")
@@ -133,8 +139,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     places = known.select(*[F.col(c).alias(f"k_{c}") for c in _DOC], "i", "pos")
 
     def at(rows: DataFrame, place: str, name: str) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in _DOC]
-        return rows.join(places, [*same, F.col(place) == F.col("i")]).drop("k_doc", "k_text_id", "i").withColumnRenamed("pos", name)
+        same = [F.col(c) == F.col(f"k_{c}") for c in _DOC]
+        return rows.join(places, [*same, F.col(place) == F.col("i")]).drop(*[f"k_{c}" for c in _DOC], "i").withColumnRenamed("pos", name)
 
     return at(at(merged, "a", "from_pos"), "b", "to_pos").select(*_DOC, "from_pos", "to_pos")
 
@@ -143,8 +149,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns, ``text`` without later copies, and ``n_lines``, ``n_deleted``."""
     runs = repeated_runs(docs, min_words).groupBy(*_DOC).agg(F.collect_list(F.struct("from_pos", "to_pos")).alias("_runs"))
     text = F.col("text").cast("string")
-    keyed = docs.select(boxed(docs), F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.md5(text)).alias("_text_id"))
-    same = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_text_id") == F.col("text_id"))
+    keyed = docs.select(boxed(docs), *_key(text)).withColumnsRenamed({c: f"_{c}" for c in _DOC})
+    same = [F.col(f"_{c}") == F.col(c) for c in _DOC]
     # Texts are shuffled once, in the box, at any number of runs, and aren't sorted.
     joined = keyed.join(cut_lineage(runs).hint("shuffle_hash"), same, "left")
     joined = joined.withColumn("_text", F.col("_row.text").cast("string")).withColumn("_lines", F.split("_text", "\n"))
