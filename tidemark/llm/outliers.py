@@ -22,9 +22,10 @@ Only DataFrame functions are used; sets of a text's word windows are arrays of i
 
 Defined results: a null, empty or blank text has no words and fails; texts shorter than a
 window repeat nothing; null languages and sources are groups like others; the groups of a
-language with fewer than ``LEAST_ROWS`` fitted rows are one group, which rejects nothing if it
-is still smaller; repeated rows are judged alike; an empty table gives none; other columns are kept by ``judge``, those named like a statistic
-are replaced.
+language with fewer than ``LEAST_ROWS`` fitted rows are one group, which is judged by an estimate
+over the documents of all languages, however many, if it is still smaller; repeated rows are
+judged alike; an empty table gives none; other columns are kept by ``judge``, those named like a
+statistic are replaced.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ _DIM = len(FLOORS)
 _PAIRS = [(i, j) for i in range(_DIM) for j in range(i + 1)]
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _GROUP = ["_lang", "_source"]
+#: Language or source of what is pooled.
+_POOL = "\0"
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -186,8 +189,12 @@ def _join(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFram
 def fit(table: DataFrame) -> DataFrame:
     """Estimates (centre, scatter) by group, from a table with ``x0..`` and ``r``."""
     rows = table.where("not base_failed").select(*_GROUP, "r", *[f"x{i}" for i in range(_DIM)])
+    # The rows without a language of their own are judged among all.
+    alone = F.col("_lang").eqNullSafe(_POOL) & F.col("_source").eqNullSafe(_POOL)
+    if not rows.where(alone).isEmpty():
+        rows = rows.where(~alone).unionByName(rows.withColumns({k: F.lit(_POOL) for k in _GROUP}))
     every = rows.groupBy(*_GROUP).agg(*_moments(), *[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"q{i}") for i in range(_DIM)])
-    every = cut_lineage(every.where(F.col("n") >= LEAST_ROWS))
+    every = cut_lineage(every)
     away = _join(rows, every.select(*_GROUP, *[f"q{i}" for i in range(_DIM)])).groupBy(*_GROUP).agg(
         F.avg("r").alias("sr"), *[F.first(f"q{i}").alias(f"q{i}") for i in range(_DIM)],
         *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"q{i}")), 0.5, 10000).alias(f"d{i}") for i in range(_DIM)],
@@ -214,6 +221,13 @@ def fit(table: DataFrame) -> DataFrame:
     return cut_lineage(_estimate(near.groupBy(*_GROUP).agg(*_moments()), _GROUP, consistency(0.975)).drop("det"))
 
 
+def _pool_small(table: DataFrame, key: str) -> DataFrame:
+    """The table, with the pool as ``key`` of the groups that have fewer than ``LEAST_ROWS`` fitted rows."""
+    sizes = table.where("not base_failed").groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_fitted"))
+    small = F.coalesce("_fitted", F.lit(0)) < LEAST_ROWS
+    return _join(table, sizes, "left").withColumn(key, F.when(small, F.lit(_POOL)).otherwise(F.col(key))).drop("_fitted")
+
+
 def judge(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
     """``carried`` columns (all) with the statistics, ``base_failed``, ``distance`` and ``kept``."""
     results = (*STATISTICS, "base_failed", "distance", "kept")
@@ -225,10 +239,9 @@ def judge(docs: DataFrame, carried: Sequence[str] | None = None) -> DataFrame:
         row, *STATISTICS, "base_failed", *group, F.when(~F.col("base_failed"), 1 / F.col("n_words")).alias("r"), *[F.when(~F.col("base_failed"), x).alias(f"x{i}") for i, x in enumerate(vector())]
     )
     table = cut_lineage(counted)
-    # Documents of a small group are fitted together with those of the language's other small groups.
-    sizes = table.where("not base_failed").groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("_fitted"))
-    table = _join(table, sizes, "left")
-    table = table.withColumn("_source", F.when(F.coalesce("_fitted", F.lit(0)) < LEAST_ROWS, F.lit("\0")).otherwise(F.col("_source")))
+    # Documents of a small group are fitted together with those of the language's other small groups,
+    # and those of a small pool with all.
+    table = _pool_small(_pool_small(table, "_source"), "_lang")
     judged = _join(table, fit(table), "left")
     apart = F.when(~F.col("base_failed"), _distance())
     fine = ~F.col("base_failed") & (F.coalesce(apart, F.lit(0.0)) <= chi2_quantile(1 - REJECTED, _DIM))
