@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "warc", "secrets", "dac", "near_dedup", "line_dedup", "lattice", "outliers", "packing", "decontaminate", "url_rules",
-    "merkle",
+    "merkle", "pii", "alignment",
 )
 
 
