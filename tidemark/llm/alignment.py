@@ -127,8 +127,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
         plain = [p.replace(_MARK, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
-        if any(re.search(r"\S\s", p) or _GUARD in p for p in plain):
-            raise ValueError("a piece goes on into white space or holds a line end")
+        if any(re.search(r"\S\x20", p) or _GUARD in p for p in plain):
+            raise ValueError("a piece goes on into a space or holds a line end")
         closing = "".join(re.escape(c) for c in _CLOSING if not any(re.search(_LETTERS + re.escape(c), p, re.ASCII) for p in plain))
         #: Places inside a segment that both vocabularies always cut.
         self.inner = re.compile(r"(?<=\S)(?=\n)" + (f"|{_LETTERS}(?=[{closing}](?![A-Za-z0-9]))" if closing else ""))
@@ -152,7 +152,7 @@ class Aligner:
 
     def pieces(self, text: bytes) -> list[bytes]:
         """What follows each space that is a cut, the first space being put before the text."""
-        if any(r in text for r in _RUNS) or _CONTROL.search(text):
+        if text.startswith(b"\x20") or any(r in text for r in _RUNS) or _CONTROL.search(text):
             return _BREAK.split(b" " + text)[1:]
         return text.split(b" ")
 
