@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,20 @@ def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def carry(spark: SparkSession, value: Any, slot: str) -> Callable[[], Any]:
+    """A value of bounded size for tasks; its classes travel with it, so workers need no package.
+
+    A worker keeps the last value of a slot, whatever the number of tasks it runs.
+    """
+    held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> Any:
+        kept = vars(sys.modules["__main__"]).setdefault("_tidemark_state", {})
+        if kept.get(slot, (None, None))[0] != key:
+            kept.pop(slot, None)
+            kept[slot] = key, pickle.loads(held.value)
+        return kept[slot][1]
+
+    return get

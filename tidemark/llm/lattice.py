@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import carry, read_table
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -203,11 +203,11 @@ def block_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def train(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary) -> Lattice:
     """Piece probabilities after one pass of expected counts over the training words."""
-    shared = spark.sparkContext.broadcast(Lattice(vocabulary, vocabulary.prior))
+    shared = carry(spark, Lattice(vocabulary, vocabulary.prior), "lattice")
     size = len(vocabulary.prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = shared.value, [0.0] * size
+        lattice, counts = shared(), [0.0] * size
         for batch in batches:
             for word, c in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 lattice.expect(word, float(c), counts)
@@ -230,10 +230,10 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, block_bytes:
     words = cut_lineage(counted.groupBy("word").agg(F.sum("c").alias("c")))
     totals = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     tokens, distinct = totals.n or 0, totals.v or 0
-    shared = spark.sparkContext.broadcast(train(spark, words, Vocabulary(vocabulary or default_vocabulary())))
+    shared = carry(spark, train(spark, words, Vocabulary(vocabulary or default_vocabulary())), "lattice")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = shared.value
+        lattice = shared()
         for batch in batches:
             logs = [lattice.score(w) for w in batch[0].to_pylist()]
             yield pa.record_batch([batch[0], batch[1], pa.array(logs, pa.float64())], names=["word", "c", "log_p"])

@@ -4,12 +4,20 @@ Three patterns give the base spans. Their values are the labelled credentials: o
 bounded sample (the ``SAMPLE`` distinct values of the smallest hash) becomes a prefix tree with
 counts, whose states are merged where the frequencies of their next symbols, and those of
 all that follows, agree within Hoeffding's bound. The result is a probabilistic automaton a
-kind, and one more for a sample of ordinary tokens. Every token with letters and digits
+kind, and one more for the words of ordinary tokens. Every token with letters and digits
 outside the base spans, as long as the shortest labelled value, is a candidate; it is added as ``format`` where some kind's
-automaton gives it a likelihood per symbol that nearly all labelled values of the kind reach,
-and clearly more than the automaton of ordinary tokens gives. Ordinary tokens are those that
-are no candidates (plain words, numbers, short mixed tokens) outside the base spans, so a
-format is never taken for ordinary because it is common.
+automaton gives it a likelihood per symbol that nearly all labelled values of the kind reach
+and a uniform guess doesn't exceed (but for a little), and clearly more than its likelihood as an ordinary token.
+
+States back off to the automaton's symbols and those to a uniform guess; a symbol that a state
+never saw leads to where it leads from the start, so no token stays in a state it doesn't fit.
+
+Ordinary tokens are those that are no candidates (plain words, numbers, short mixed tokens)
+outside the base spans, so a format is never taken for ordinary because it is common. A mixed
+token is ordinary as a chain of parts: words, in one of three spellings, and numbers, joined
+by a mark or a change of kind. Its words have the likelihood of the words' automaton (seldom any letters), so names,
+slugs and versions are ordinary however seldom their chain occurs, while a random key, whose
+runs are short and unlike words, is not.
 
 Texts are read once, by plain regular expressions on whole texts; what is found is written
 and learned from, so neither texts nor candidates meet in one place. Of the ordinary tokens a
@@ -17,7 +25,7 @@ task hands on those of the smallest digests, which hold the smallest of all.
 
 Defined results: a null or empty text has no span; offsets are code points, the end
 exclusive, over the whole match; equal rows get equal results; without labelled values
-nothing is added; without ordinary tokens the limits of the kinds decide alone; an empty table
+nothing is added; without ordinary tokens words are as likely as any letters; an empty table
 gives none; further columns are ignored.
 """
 
@@ -32,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import carry, read_table
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -53,16 +61,27 @@ _MIXED = re.compile(r"(?=[^0-9]*[0-9])[^A-Za-z]*[A-Za-z]")
 SAMPLE = 2000
 #: Significance of the test that keeps two states apart.
 ALPHA = 0.05
-#: Added to every count of a symbol when scoring.
-SMOOTH = 0.05
+#: Weight of a state's back-off to the automaton's symbols, and of those to a uniform guess.
+BACK_OFF, UNSEEN = 10.0, 1.0
 SYMBOLS = 68
 _SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Natural log of the likelihood per symbol of a uniform guess.
+UNIFORM = -math.log(SYMBOLS + 1)
 #: Share of the labelled values of a kind that may score below its limit.
 MISSED = 0.02
 #: Natural log of the likelihood per symbol that a kind's limit gives way, as lengths differ.
 SLACK = 0.1
 #: Natural log of the likelihood ratio per symbol over ordinary tokens.
 MARGIN = 0.25
+#: Natural log of the odds against a mixed token being a secret, which its whole likelihood ratio has to beat.
+ODDS = 14.0
+
+#: Parts of an ordinary token: words in capitals, other words, numbers, and the marks between.
+_PART = re.compile(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+)|([0-9]+)|([+/_=-])")
+#: Chances that an ordinary token goes on after a part, that this is at a mark, that a number or a
+#: new word goes on, and that a word is new: of any letters, unlike those the automaton was inferred from.
+GOES_ON, AT_MARK, LONGER, NEW_WORD = 0.25, 0.5, 0.8, 0.1
+_MARKS = 5
 
 
 class Grammar:
@@ -89,6 +108,7 @@ class Grammar:
             self.ended[state] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
+        self.settle()
 
     def _merge_all(self) -> None:
         settled, front = [0], [(0, c) for c in sorted(self.to[0])]
@@ -137,19 +157,77 @@ class Grammar:
                 else:
                     self.to[a][c] = self.to[b][c]
 
-    def score(self, s: str) -> float:
-        """Natural log of the likelihood per symbol, the end being one."""
+    def settle(self) -> None:
+        """Chances of symbols whatever the state, which states back off to."""
+        count: dict[str, float] = {}
+        ends = 0
+        todo, found = [0], {0}
+        while todo:
+            state = todo.pop()
+            ends += self.ended[state]
+            for c, after in self.to[state].items():
+                count[c] = count.get(c, 0) + self.uses[state][c]
+                if after not in found:
+                    found.add(after)
+                    todo.append(after)
+        total = sum(count.values()) + ends + UNSEEN
+        self.rare = UNSEEN / (SYMBOLS + 1) / total
+        self.symbol = {c: n / total + self.rare for c, n in count.items()}
+        self.end = ends / total + self.rare
+
+    def log(self, s: str) -> float:
+        """Natural log of the likelihood of a string and its end."""
         state, total = 0, 0.0
         for c in s:
-            n = self.seen[state] + SMOOTH * SYMBOLS
-            total += math.log((self.uses[state].get(c, 0) + SMOOTH) / n)
-            state = self.to[state].get(c, state)
-        total += math.log((self.ended[state] + SMOOTH) / (self.seen[state] + SMOOTH * SYMBOLS))
-        return total / (len(s) + 1)
+            n = self.uses[state].get(c, 0)
+            total += math.log((n + BACK_OFF * self.symbol.get(c, self.rare)) / (self.seen[state] + BACK_OFF))
+            state = self.to[state][c] if n else self.to[0].get(c, 0)
+        return total + math.log((self.ended[state] + BACK_OFF * self.end) / (self.seen[state] + BACK_OFF))
+
+    def score(self, s: str) -> float:
+        """Natural log of the likelihood per symbol, the end being one."""
+        return self.log(s) / (len(s) + 1)
+
+
+class Ordinary:
+    """Likelihood of tokens as chains of words and numbers."""
+
+    def __init__(self, tokens: Iterable[str]) -> None:
+        words = sorted({m[1].lower() for t in tokens for m in _PART.finditer(t) if m[1]})
+        self.words = Grammar(words) if words else None
+        self.known: dict[str, float] = {}
+
+    def word(self, word: str) -> float:
+        """One of three spellings of a word: small, with a capital, in capitals."""
+        if word not in self.known:
+            low = word.lower()
+            log = math.log(NEW_WORD * (1 - LONGER) / LONGER) + len(low) * math.log(LONGER / 26)
+            if self.words:
+                known = math.log(1 - NEW_WORD) + self.words.log(low)
+                log = max(log, known) + math.log1p(math.exp(-abs(log - known)))
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[word] = log - math.log(3)
+        return self.known[word]
+
+    def score(self, token: str) -> float:
+        """Natural log of the likelihood per symbol, the end being one."""
+        total, joined = 0.0, True
+        for m in _PART.finditer(token):
+            if m[3]:
+                total += math.log(GOES_ON * AT_MARK / _MARKS)
+                joined = True
+                continue
+            if not joined:
+                total += math.log(GOES_ON * (1 - AT_MARK))
+            total += math.log(0.5)
+            total += self.word(m[1]) if m[1] else -len(m[2]) * math.log(10) + (len(m[2]) - 1) * math.log(LONGER) + math.log(1 - LONGER)
+            joined = False
+        return (total + math.log(1 - GOES_ON)) / (len(token) + 1)
 
 
 class Formats:
-    """Automata of the kinds, their limits, and the automaton of ordinary tokens."""
+    """Automata of the kinds, their limits, and what ordinary tokens are made of."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
         self.kinds = []
@@ -157,12 +235,12 @@ class Formats:
             # Half of the values for the automaton, the others for its limit.
             grammar = Grammar(values[::2])
             scores = sorted(grammar.score(v) for v in values[1::2] or values)
-            self.kinds.append((grammar, scores[int(MISSED * len(scores))] - SLACK))
-        self.ordinary = Grammar(ordinary) if ordinary else None
+            self.kinds.append((grammar, max(scores[int(MISSED * len(scores))], UNIFORM) - SLACK))
+        self.ordinary = Ordinary(ordinary)
 
     def score(self, token: str) -> float:
-        """How far the best kind's likelihood is above its limit and that of ordinary tokens."""
-        plain = self.ordinary.score(token) + MARGIN if self.ordinary else -math.inf
+        """How far the best kind's likelihood is above its limit and that of an ordinary token."""
+        plain = self.ordinary.score(token) + MARGIN + ODDS / (len(token) + 1)
         return max((min(s - limit, s - plain) for s, limit in ((g.score(token), limit) for g, limit in self.kinds)), default=-math.inf)
 
 
@@ -269,11 +347,11 @@ def infer(found: DataFrame, sample: int = SAMPLE) -> Formats:
 def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row ``doc_id`` and its spans (``kind``, ``start``, ``end``, ``score``) in order."""
     found = cut_lineage(scan(docs, sample))
-    shared = docs.sparkSession.sparkContext.broadcast(infer(found, sample))
+    shared = carry(docs.sparkSession, infer(found, sample), "formats")
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats = shared.value
+        formats = shared()
         for batch in batches:
             out = []
             for start, kind, end, c_start, c_end, tokens in zip(*(batch[n].to_pylist() for n in ("start", "kind", "end", "c_start", "c_end", "token")), strict=True):
