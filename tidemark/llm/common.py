@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_root
 
+#: A key with this many rows, and with a hundred-thousandth of all rows, is heavy: there are at
+#: most ``HEAVY_KEYS`` such keys whatever the input, few enough to broadcast.
+HEAVY_ROWS, HEAVY_KEYS = 1_000, 100_000
+
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,6 +47,21 @@ def unboxed(columns: list[str], without: tuple[str, ...] = ()) -> list[Column]:
     return [F.col(f"_row.`{c}`").alias(c) for c in columns if c not in without]
 
 
+def join_counted(rows: DataFrame, unique: DataFrame, keys: list[str], count: str = "_n") -> DataFrame:
+    """Inner join of rows with one row a key, whose ``count`` says how many of the rows have the key.
+
+    Rows of heavy keys meet their broadcast row where they are, so no task gets all rows of a
+    key; the others are shuffled. ``count`` is dropped. Both sides are best written tables.
+    """
+    total = unique.agg(F.sum(count).alias("n"), F.max(count).alias("most")).first()
+    least = max(HEAVY_ROWS, -(-(total.n or 0) // HEAVY_KEYS))
+    if (total.most or 0) < least:
+        return rows.join(unique.drop(count), keys)
+    heavy = F.broadcast(unique.where(F.col(count) >= least).drop(count))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(unique.where(F.col(count) < least).drop(count), keys)
+    return rows.join(heavy, keys).select(*light.columns).union(light)
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """An unused path below the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}"

@@ -2,8 +2,9 @@
 
 A document's word shingles are hashed once; the smallest value in each of ``BINS`` bins is its
 signature, and an empty bin borrows from the bin that its own sequence of probes meets first
-(optimal densification). ``BANDS`` bands of four bins are its buckets. Documents of equal
-shingle sets are one node, whose size and two 64-bit sums over the set tell sets apart.
+(optimal densification). ``BANDS`` bands of four bins are its buckets. Rows of equal
+shingle sets are one node, whose size and two 64-bit sums over the set tell sets apart; ids
+play no part in it, so rows that share an id are linked by their own texts.
 
 Candidates of a bucket are stars, never all pairs: a centre against the other members. Each
 round takes centres from every bucket (members of the smallest components first), confirms
@@ -22,7 +23,9 @@ probability of 5e-8, at 0.85 of 6e-11.
 Defined results: a null or empty text, or one without words, has an empty set and is linked
 with nothing; a text of fewer words than a shingle has one shingle, the whole; repeated rows
 have equal sets and so one component; rows of a null id are alone, with a null component;
-an empty table gives none; further columns are ignored by ``near_duplicates``.
+rows that share an id but not the text are documents of their own, which may be in different
+components (``component_id`` is the smallest id of a row's own one); an empty table gives none;
+further columns are ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table
+from tidemark.llm.common import HEAVY_ROWS, join_counted, read_table
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -43,8 +46,8 @@ BINS, BAND_BINS = 128, 4
 BANDS = BINS // BAND_BINS
 BITS = 512
 _PARTS = [f"p{i}" for i in range(BITS // 64)]
-#: Rows whose sets a worker holds at a time.
-SLICE_ROWS = 1_000
+#: Bytes of text whose sets a worker holds at a time; a longer text is held alone.
+SLICE_BYTES = 1_000_000
 #: Times as many centres a bucket gives in each further round.
 MORE_CENTRES = 16
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -111,40 +114,55 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a worker holds few sets whatever the batch."""
+def slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and shingle sets of a few texts at a time, so that a worker holds few bytes whatever the batch."""
     for batch in batches:
-        for first in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(first, SLICE_ROWS)
+        texts = batch[1].cast(pa.binary())
+        first, ends = 0, None
+        if batch.num_rows:
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + batch.num_rows + 1]
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + SLICE_BYTES, "right")) - 1)
+            yield batch[0].slice(first, last - first), [shingle_set(t.as_py(), size) for t in texts.slice(first, last - first)]
+            first = last
+        del texts, batch, ends
+        pa.default_memory_pool().release_unused()
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of numbers as one Arrow list column, without Python numbers in between."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def figures(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    """Size and two sums of each set, which tell sets apart."""
+    sums = {f"h{k}": [mix(s, salt).sum(dtype=np.uint64) for s in sets] for k, salt in ((1, 101), (2, 202))}
+    return {"n": pa.array([len(s) for s in sets], pa.int64())} | {k: pa.array(np.array(v, np.uint64).view(np.int64)) for k, v in sums.items()}
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bands, bits) of every row."""
+    """(doc_id, text_id, n, h1, h2, bands, bits) of every row; ``bands`` is empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t, size) for t in batch[1].cast(pa.binary()).to_pylist()]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            bands: list = [None] * len(sets)
-            if full:
-                for i, keys in zip(full, band_keys(signature([sets[i] for i in full])).astype(np.int64), strict=True):
-                    bands[i] = keys
-            sums = [[int(mix(s, salt).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for salt in (101, 202)]
-            yield pa.record_batch(
-                [batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h1", "h2", "bands", "bits"],
-            )
+        for ids, sets in slices(batches, size):
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(signature(full)) if full else ())
+            bands = [next(keys) if len(s) else s for s in sets]
+            columns = {"doc_id": ids.field(0), "text_id": ids.field(1)} | figures(sets) | {"bands": lists(bands), "bits": lists([parity(s) for s in sets])}
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t, size).view(np.int64) for t in batch[1].cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([batch[0], pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        for _, sets in slices(batches, size):
+            columns = figures(sets) | {"set": lists(sets)}
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, "node long, set array<long>")
+    return docs.mapInArrow(run, "n long, h1 long, h2 long, set array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,50 +181,73 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def text_id(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
+    """Per row: ``doc_id``, ``text_id``, ``n_shingles``, ``component_id``, ``kept`` and ``first``.
+
+    ``first`` holds for the rows of one text of a component, the one of the least (id, text id).
+    """
     if 0.01 * percent < 0.7:
         raise ValueError("the bands are made for thresholds of 70 percent and more")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("text_id")).alias("ids")
+    rows = docs.select(ids, F.col("text").cast("string").alias("text"))
     sketches = cut_lineage(sketch(rows, shingle))
     known = sketches.where("doc_id is not null and n > 0")
     same = ["n", "h1", "h2"]
-    nodes = cut_lineage(known.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("s")))
+    owner = F.struct("doc_id", "text_id")
+    nodes = known.groupBy(*same).agg(F.min(owner).alias("owner"), F.min_by(F.struct("bands", "bits"), owner).alias("s"), F.count(F.lit(1)).alias("_n"))
+    nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
     bits = [F.col("s.bits")[i].alias(p) for i, p in enumerate(_PARTS)]
     buckets = nodes.select(F.explode("s.bands").alias("key"), "node", "n", *bits)
-    shared = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = cut_lineage(buckets.join(shared, "key"))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut_lineage(full_sets(rows.join(wanted, "doc_id", "left_semi"), shingle).distinct())
-    edges, labels = confirmed(members, sets, percent)
-    by_set = nodes.drop("s")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("crowd", F.col("_n"))
+    members = cut_lineage(join_counted(buckets, cut_lineage(shared), ["key"]))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("owner", "node", *same)
+    owners = rows.join(wanted.select(F.col("owner").alias("ids")), "ids", "left_semi")
+    # Rows repeated whole give their set more than once.
+    sets = full_sets(owners, shingle).join(wanted.drop("owner"), same).select("node", "set").dropDuplicates(["node"])
+    edges, labels = confirmed(members, cut_lineage(sets), percent)
+    by_set = nodes.select(*same, "_n", "owner", "node")
     if edges is not None:
         by_set = by_set.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
-    linked = sketches.drop("bands", "bits").withColumn("_linked", F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    by_set = by_set.withColumn("_linked", F.lit(True))
-    out = linked.join(by_set, [*same, "_linked"], "left")
-    component = F.coalesce("node", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    least = by_set.groupBy("node").agg(F.min("owner").alias("first"))
+    by_set = cut_lineage(by_set.join(least, "node").select(*same, "_n", "first"))
+    found = join_counted(known.select("doc_id", "text_id", *same), by_set, same)
+    mine = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.text_id") == F.col("text_id"))
+    found = found.select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.doc_id") == F.col("doc_id")).alias("kept"), mine.alias("first"))
+    alone = sketches.where("doc_id is null or n = 0").select("doc_id", "text_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first"))
+    return found.union(alone)
 
 
 def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(edges, components) of all similar pairs that share a bucket, in rounds of stars."""
+    """(edges, components) of all similar pairs that share a bucket, in rounds of stars.
+
+    A bucket of a large crowd is dealt to several tasks; its stars are sent to each of them.
+    """
+    shares = F.ceil(F.col("crowd") / HEAVY_ROWS)
+    share = F.pmod(F.xxhash64("node"), shares).alias("share")
+    to_all = F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")
     left = members.withColumn("comp", F.col("node")).withColumn("size", F.lit(1).cast("long"))
     edges = labels = None
     centres = 1
     while not left.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
         first = F.min(F.struct("size", "node", "n", "comp", *_PARTS)).alias("c")
-        stars = left.groupBy("key", salt.alias("salt")).agg(first).select("key", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "comp", *_PARTS)])
-        stars = cut_lineage(stars)
+        stars = left.groupBy("key", salt.alias("salt")).agg(first, F.max("crowd").alias("crowd"))
+        stars = cut_lineage(stars.select("key", "crowd", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "comp", *_PARTS)]))
+        dealt = left.withColumn("share", share)
+        sent = stars.select(F.col("key").alias("c_key"), to_all.alias("c_share"), *[c for c in stars.columns if c.startswith("c_")])
         apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c_{p}"))) for p in _PARTS), F.lit(0))
         may_link = (
-            (left["key"] == stars["key"]) & (F.col("comp") != F.col("c_comp"))
+            (F.col("key") == F.col("c_key")) & (F.col("share") == F.col("c_share")) & (F.col("comp") != F.col("c_comp"))
             & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
             & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("c_n")))
         )
         low, high = F.least("c_node", "node"), F.greatest("c_node", "node")
-        pairs = cut_lineage(left.join(stars, may_link).select(low.alias("a"), high.alias("b")).distinct())
+        pairs = cut_lineage(dealt.join(sent, may_link).select(low.alias("a"), high.alias("b")).distinct())
         with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         both = with_b.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         new = cut_lineage(both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
@@ -219,8 +260,8 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
                 *members.columns, F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
             )
         rest = cut_lineage(rest)
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        left = cut_lineage(rest.join(open_, "key", "left_semi"))
+        open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("crowd").alias("crowd")).where("low <> high")
+        left = cut_lineage(rest.withColumn("share", share).join(open_.select("key", to_all), ["key", "share"], "left_semi").drop("share"))
         centres *= MORE_CENTRES
     return edges, labels
 
@@ -233,4 +274,4 @@ def similar(a: Column, b: Column, percent: int) -> Column:
 
 @query("op7_near_dedup")
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("text_id", "first")
