@@ -9,8 +9,9 @@
 5. ``packing``: what is left, as pieces of training sequences.
 
 All stages but the last return the columns of their input, with ``n_chars`` brought up to date
-where a text was changed. Null ids and repeated rows are kept apart as each operator says; of
-rows that share an id, the near-duplicate stage keeps one.
+where a text was changed. Null ids are kept apart as each operator says. Rows that share an id
+but not the text are documents of their own in every stage; of a row that occurs more than once
+with the same id and text, the near-duplicate stage keeps one, the least by its other columns.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, read_table
+from tidemark.llm.common import boxed, new_folder, read_table, unboxed
 from tidemark.llm.decontaminate import decontaminate as cut_benchmark
 from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.near_dedup import near_duplicates, text_id
 from tidemark.llm.outliers import judge
 from tidemark.llm.packing import pack
 
@@ -47,13 +48,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = near_duplicates(docs, shingle=5, percent=80)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    # Rows that share an id are one document; few or none, so texts are compared only there.
-    twice = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice")
-    doc_id = docs["doc_id"].cast("long")
-    once = docs.join(twice, doc_id == twice["_twice"], "left_anti")
-    again = docs.join(twice, doc_id == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).join(gone.hint("shuffle_hash"), doc_id == gone["_gone"], "left_anti")
+    doc_id, text = docs["doc_id"].cast("long"), text_id(docs["text"])
+    # A row is known by its id and its text, so rows that share an id are told apart.
+    gone = judged.where("not first").select(F.col("doc_id").alias("_gone"), F.col("text_id").alias("_text")).distinct()
+    left = docs.join(gone.hint("shuffle_hash"), (doc_id == F.col("_gone")) & (text == F.col("_text")), "left_anti")
+    # Of a row that occurs more than once one stays, the least by its other columns.
+    again = judged.where("first and doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_again"), F.col("text_id").alias("_text"))
+    again = again.agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again", "_text")
+    same = (doc_id == F.col("_again")) & (text == F.col("_text"))
+    keyed = docs.select(boxed(docs), doc_id.alias("_d"), text.alias("_t")).join(again, (F.col("_d") == F.col("_again")) & (F.col("_t") == F.col("_text")), "left_semi")
+    one = keyed.groupBy("_d", "_t").agg(F.min("_row").alias("_row")).select(*unboxed(docs.columns))
+    return left.join(again, same, "left_anti").union(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
