@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import alignment
+from tidemark.llm import alignment, tokens
 
 ODD = [
     "a  b", " lead", "trail  ", "\n", "\n\n a\n b\t c \n", "x  y", "x   y z", "A.B, c.d; e...", "it's we'll I'D", "<s> </s> <unk> <0x41> <|endoftext|>",
@@ -24,7 +24,7 @@ def _whole(text, a, b, vocab_a):
     if not text:
         return None
     full = (" " + text).encode()
-    alphabet = alignment.byte_alphabet()
+    alphabet = tokens.byte_alphabet()
     ids_a = a.encode(" " + text, add_special_tokens=False).ids
     spelt_a = [bytes(alphabet[c] for c in vocab_a[i]) for i in ids_a]
     ids_b = b.encode(text)

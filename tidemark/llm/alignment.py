@@ -26,11 +26,12 @@ however long; an empty table gives none; further columns are ignored, whatever t
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import read_table, worker_state
 from tidemark.llm.registry import query
+from tidemark.llm.tokens import byte_alphabet
 from tidemark.session import shared_folder
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 24_000_000
 #: Pieces a Python worker remembers, and their bytes, before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 32_000_000
+REMEMBERED, REMEMBERED_BYTES = 300_000, 32_000_000
+#: Bytes of text that are looked up together, and units that are aligned together.
+SLICE_BYTES, LEARNED_AT_ONCE = 1_500_000, 50_000
+#: Probes around the middle that intervals make together; bits of an id in a pair.
+FAR_PROBES, PAIR_BITS = 32, 20
 _MARK, _GUARD = "▁", "\n"
 #: A space after anything but white space; runs of white space are never cut.
 _BREAK = re.compile(
@@ -53,17 +59,12 @@ _BREAK = re.compile(
 #: Without these every space of a text is such a space.
 _RUNS = (b"\x20\x20", b"\n\x20", b"\t\x20", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _CONTROL = re.compile(rb"[\x00-\x08\x0b-\x1f\x7f]")
+#: Fixed value: what a byte-level vocabulary is split at before its merges.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTERS = r"(?<=[A-Za-z0-9])"
 _CLOSING = ".,;:!?"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """(tokens of A, tokens of B) up to each common end, by divide and conquer.
 
@@ -90,24 +91,43 @@ def cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def links(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """(A token, B token) of all pairs whose byte ranges overlap; empty tokens overlap nothing."""
-    out, j = [], 0
-    before = 0
-    for i, end in enumerate(ends_a):
-        while j and (ends_b[j - 1] > before):
-            j -= 1
-        while j < len(ends_b) and ends_b[j] <= before:
-            j += 1
-        k = j
-        start = ends_b[k - 1] if k else 0
-        while k < len(ends_b) and start < end:
-            if max(start, before) < min(ends_b[k], end):
-                out.append((i, k))
-            start = ends_b[k]
-            k += 1
-        before = end
-    return out
+def cuts_of_many(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A tokens up to each common end in many intervals [first, last) at a time, in order.
+
+    All ends are counted on from one interval to the next. The intervals of a round are probed
+    and halved together; one whose cut is far from its middle is left to ``cuts``.
+    """
+    found = [last]
+    low, high, step = first, last, np.zeros(len(first), np.int64)
+    while len(low):
+        open_ = high - low > 1
+        far = open_ & (step > FAR_PROBES)
+        for a, c in zip(low[far].tolist(), high[far].tolist(), strict=True):
+            before = ends_a[a - 1] if a else 0
+            b, d = np.searchsorted(ends_b, [before, ends_a[c - 1]], "right")
+            found.append(a + np.array([k for k, _ in cuts(ends_a[a:c].tolist(), ends_b[b:d].tolist())[:-1]], np.int64))
+        open_ &= ~far
+        low, high, step = low[open_], high[open_], step[open_]
+        # The middle, one after, one before, two after, ..; an interval's own end is no cut inside.
+        k = (low + high - 1) // 2 + (step + 1) // 2 * np.where(step % 2, 1, -1)
+        inside = (k >= low) & (k < high - 1)
+        end = ends_a[np.where(inside, k, low)]
+        hit = inside & (ends_b[np.searchsorted(ends_b, end)] == end)
+        cut = k[hit] + 1
+        found.append(cut)
+        left = ~hit & (step <= 2 * (high - low))
+        low, high, step = (
+            np.concatenate([low[hit], cut, low[left]]), np.concatenate([cut, high[hit], high[left]]),
+            np.concatenate([np.zeros(2 * len(cut), np.int64), step[left] + 1]),
+        )
+    return np.sort(np.concatenate(found))
+
+
+def gathered(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs ``at`` of a list of runs that begin at ``starts``, and the runs' sizes."""
+    sizes = starts[at + 1] - starts[at]
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - ends + sizes, sizes), sizes
 
 
 class Aligner:
@@ -123,29 +143,51 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in alphabet for c in t)}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        spelt = {i: bytes(alphabet[c] for c in t) for t, i in vocabulary.items() if all(c in alphabet for c in t)}
+        self.bytes_a = [spelt.get(i, b"") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.len_a, self.len_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
+        # What a token is followed by in a text of groups.
+        self.said_a = [f"{i}{c}" for i in range(len(self.bytes_a)) for c in ",|"]
+        self.said_b = [f"{i}{c}" for i in range(len(pieces)) for c in (",", ";", "")]
         plain = [p.replace(_MARK, " ") for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         if any(re.search(r"\S\x20", p) or _GUARD in p for p in plain):
             raise ValueError("a piece goes on into a space or holds a line end")
-        closing = "".join(re.escape(c) for c in _CLOSING if not any(re.search(_LETTERS + re.escape(c), p, re.ASCII) for p in plain))
+        closing = "".join(c for c in _CLOSING if not any(re.search(_LETTERS + re.escape(c), p, re.ASCII) for p in plain))
         #: Places inside a segment that both vocabularies always cut.
-        self.inner = re.compile(r"(?<=\S)(?=\n)" + (f"|{_LETTERS}(?=[{closing}](?![A-Za-z0-9]))" if closing else ""))
+        self.inner = re.compile(r"(?<=\S)(?=\n)" + (f"|{_LETTERS}(?=[{re.escape(closing)}](?![A-Za-z0-9]))" if closing else ""))
+        self.closing = closing
         self.lead = len(self.b.encode(_GUARD))
+        self.fast = self._same_vocabulary(path_a, spelt)
         self.forget()
 
+    def _same_vocabulary(self, path: str, spelt: dict[int, bytes]):
+        """An encoder of the same ids, several times as fast, if the ids of A are the order of its merges."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        split, merges = model["pre_tokenizer"], model["model"].get("merges", [])
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        ids = [model["model"]["vocab"].get("".join(m)) for m in pairs]
+        if model["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or ids != list(range(256, 256 + len(ids))):
+            return None
+        import tiktoken
+
+        ranks = {b: i for i, b in spelt.items() if i < 256 + len(ids)}
+        return tiktoken.Encoding("a", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
     def forget(self) -> None:
-        self.units: dict[str, tuple] = {}
         self.known: dict[bytes, int] = {}
+        #: Where each piece's units begin in ``parts``.
+        self.starts, self.parts = np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.size = 0
-        self.pair_number: dict[tuple[int, int], int] = {}
+        self.units: dict[str, int] = {}
         self.groups: list[bytes] = []
-        #: A row a piece: tokens of A and of B, groups, links, and whether its bytes disagree.
+        #: A row a unit: tokens of A and of B, groups, links, and whether its bytes disagree.
         self.figures = np.zeros((0, 5), np.int64)
-        #: Where each piece's pair numbers begin in ``linked``.
-        self.starts = np.zeros(1, np.int64)
-        self.linked = np.zeros(0, np.int64)
+        #: Where each unit's links, as pairs of ids, begin in ``linked``.
+        self.link_starts, self.linked = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def full(self) -> bool:
         return len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES
@@ -156,68 +198,89 @@ class Aligner:
             return _BREAK.split(b" " + text)[1:]
         return text.split(b" ")
 
-    def align(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]], list[tuple[int, int]]] | None]:
-        """Per segment its A and B ids, cuts and links; None where tokens spell other bytes."""
-        encoded = self.a.encode_batch_fast(segments, add_special_tokens=False)
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A and B ids of parts of a text: nothing is put before them."""
+        if self.fast:
+            ids_a = [self.fast.encode_ordinary(u) for u in units]
+        else:
+            ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         # The space put before a text and a line end are tokens of their own, so they come off cleanly.
-        pieces = self.b.encode([_GUARD + s for s in segments], num_threads=1)
-        for segment, in_a, in_b in zip(segments, encoded, pieces, strict=True):
-            ids_a, ids_b, data = in_a.ids, in_b[self.lead :], segment.encode()
-            spelt_a, spelt_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(spelt_a) != data or b"".join(spelt_b) != data:
-                yield None
-                continue
-            ends_a, ends_b = list(accumulate(map(len, spelt_a))), list(accumulate(map(len, spelt_b)))
-            yield ids_a, ids_b, cuts(ends_a, ends_b), links(ends_a, ends_b)
-
-    def _unit(self, aligned: tuple | None) -> tuple:
-        """Figures, groups as text and pair numbers of an aligned segment."""
-        if aligned is None:
-            return (0, 0, 0, 0, 1), b"", ()
-        ids_a, ids_b, found, pairs = aligned
-        a, b = [*map(str, ids_a)], [*map(str, ids_b)]
-        groups, i, j = [], 0, 0
-        for k, m in found:
-            groups.append(f"{','.join(a[i:k])}|{','.join(b[j:m])}")
-            i, j = k, m
-        number = self.pair_number
-        linked = tuple([number.setdefault((ids_a[x], ids_b[y]), len(number)) for x, y in pairs])
-        return (len(a), len(b), len(found), len(pairs), 0), ";".join(groups).encode(), linked
+        return ids_a, [ids[self.lead :] for ids in self.b.encode([_GUARD + u for u in units], num_threads=1)]
+
+    def learn_units(self, units: list[str]) -> None:
+        """Encode and align units, all of them at a time."""
+        encoded = self.encode(units)
+        data = [u.encode() for u in units]
+        agree = np.ones(len(units), bool)
+        spelt = [b"".join(map(known.__getitem__, chain.from_iterable(ids))) for known, ids in zip((self.bytes_a, self.bytes_b), encoded, strict=True)]
+        if spelt[0] != (whole := b"".join(data)) or spelt[1] != whole:
+            for k, d in enumerate(data):
+                agree[k] = all(b"".join(map(known.__getitem__, ids[k])) == d for known, ids in zip((self.bytes_a, self.bytes_b), encoded, strict=True))
+            encoded = tuple([x if ok else [] for x, ok in zip(ids, agree, strict=True)] for ids in encoded)
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in encoded)
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, n.sum()) for ids, n in zip(encoded, (n_a, n_b), strict=True))
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        last_a, last_b, full = np.cumsum(n_a), np.cumsum(n_b), n_a > 0
+        cut = cuts_of_many(ends_a, ends_b, (last_a - n_a)[full], last_a[full])
+        groups = np.diff(np.searchsorted(cut, last_a, "right"), prepend=0)
+        # Between two neighbouring ends of either kind lies the overlap of one pair.
+        ends = np.union1d(ends_a, ends_b)
+        pairs = a[np.searchsorted(ends_a, ends)] << PAIR_BITS | b[np.searchsorted(ends_b, ends)]
+        self.linked = np.concatenate([self.linked, pairs])
+        n_links = n_a + n_b - groups
+        self.link_starts = np.concatenate([self.link_starts, self.link_starts[-1] + np.cumsum(n_links)])
+        self.figures = np.concatenate([self.figures, np.stack([n_a, n_b, groups, n_links, ~agree], axis=1)])
+        # Groups as text: each token with what follows it, A's before B's in every group.
+        cut_b = np.searchsorted(ends_b, ends_a[cut - 1], "right")
+        closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        closes_a[cut - 1] = closes_b[cut_b - 1] = 1
+        closes_b[last_b[full] - 1] = 2
+        group_a, group_b = (np.repeat(np.arange(len(cut)), np.diff(c, prepend=0)) for c in (cut, cut_b))
+        said = np.empty(len(a) + len(b), np.int64)
+        said[np.arange(len(a)) + np.concatenate([[0], cut_b])[group_a]] = a * 2 + closes_a
+        said[np.arange(len(b)) + cut[group_b]] = ~(b * 3 + closes_b)
+        words = [self.said_a[i] if i >= 0 else self.said_b[~i] for i in said.tolist()]
+        at = 0
+        for unit, n in zip(units, (n_a + n_b).tolist(), strict=True):
+            self.units[unit] = len(self.groups)
+            self.groups.append("".join(words[at : at + n]).encode())
+            at += n
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Remember pieces: each is aligned once, and so is each part of them that recurs."""
-        split = {p: self.inner.split(" " + p.decode()) for p in sorted(pieces)}
-        new = sorted({u for units in split.values() for u in units if u not in self.units})
-        for unit, aligned in zip(new, self.align(new), strict=True):
-            self.units[unit] = self._unit(aligned)
-        figures, linked, sizes = [], [], []
-        for piece, units in split.items():
-            parts = [self.units[u] for u in units]
-            self.known[piece] = len(self.groups)
-            self.size += len(piece)
-            self.groups.append(parts[0][1] if len(parts) == 1 else b";".join([p[1] for p in parts]))
-            figures.append(parts[0][0] if len(parts) == 1 else [sum(x) for x in zip(*(p[0] for p in parts), strict=True)])
-            before = len(linked)
-            for p in parts:
-                linked += p[2]
-            sizes.append(len(linked) - before)
-        self.figures = np.concatenate([self.figures, np.array(figures, np.int64)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.linked = np.concatenate([self.linked, np.array(linked, np.int64)])
-
-    def document(self, pieces: list[bytes]) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-        """Figures and digest of the groups of a text, its distinct pair numbers and how often each is linked."""
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        figures = self.figures[at].sum(0)
-        none = np.zeros(0, np.int64)
-        if not len(at) or figures[4]:
-            return np.zeros(5, np.int64), "", none, none
-        digest = hashlib.sha256(b";".join(map(self.groups.__getitem__, at.tolist()))).hexdigest()
-        once, times = np.unique(at, return_counts=True)
-        first, sizes = self.starts[once], self.starts[once + 1] - self.starts[once]
-        places = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-        pairs, back = np.unique(self.linked[places], return_inverse=True)
-        return figures, digest, pairs, np.bincount(back, weights=np.repeat(times, sizes), minlength=len(pairs)).astype(np.int64)
+        """Remember pieces by their units: what lies between places that are always cuts."""
+        split = []
+        for p in sorted(pieces):
+            text = " " + p.decode()
+            split.append(self.inner.split(text) if text[-1] in self.closing or "\n" in text or not text[1:].isalpha() else [text])
+            self.known[p] = len(self.known)
+            self.size += len(p)
+        new = sorted({u for units in split for u in units if u not in self.units})
+        for first in range(0, len(new), LEARNED_AT_ONCE):
+            self.learn_units(new[first : first + LEARNED_AT_ONCE])
+        self.parts = np.concatenate([self.parts, np.fromiter(map(self.units.__getitem__, chain.from_iterable(split)), np.int64)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([*map(len, split)])])
+
+    def documents(self, found: list[list[bytes]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts in known pieces: figures, digests of the groups, and their distinct pairs.
+
+        The pairs come as one list, with how often a text links each and how many a text has.
+        """
+        pieces = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64)
+        places, sizes = gathered(self.starts, pieces)
+        units, ends = self.parts[places], np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([*map(len, found)])]
+        figures = np.diff(np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.figures[units], axis=0)])[ends], axis=0, prepend=np.zeros((1, 5), np.int64))
+        listed, starts, good = units.tolist(), np.concatenate([[0], ends[:-1]]).tolist(), (figures[:, 4] == 0) & (figures[:, 0] > 0)
+        digests = [
+            hashlib.sha256(b";".join(map(self.groups.__getitem__, listed[i:j]))).hexdigest() if ok else "" for i, j, ok in zip(starts, ends.tolist(), good.tolist(), strict=True)
+        ]
+        figures[~good] = 0
+        owner = np.repeat(np.arange(len(found)), np.diff(ends, prepend=0))
+        kept = good[owner]
+        places, sizes = gathered(self.link_starts, units[kept])
+        keys = np.sort(np.repeat(owner[kept], sizes) << 2 * PAIR_BITS | self.linked[places])
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        pairs = keys[new] & ((1 << 2 * PAIR_BITS) - 1)
+        return figures, digests, pairs, np.diff(new, append=len(keys)), np.bincount(keys[new] >> 2 * PAIR_BITS, minlength=len(found))
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
@@ -247,45 +310,37 @@ def block_table(docs: DataFrame, paths: tuple[str, str], block_bytes: int = BLOC
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def save() -> pa.RecordBatch:
-            ids, figures, digests, pairs, times = (list(c) for c in zip(*held, strict=True))
-            flat = np.concatenate(pairs)
-            # Pairs that many documents hold come first, so that steps between places are small.
+            ids, figures, digests, pairs, times, sizes = zip(*held, strict=True)
+            flat, sums = np.concatenate(pairs), np.concatenate(figures)
+            # The pairs of a document ascend, so the steps between their places are small.
             numbers, n = np.unique(flat, return_counts=True)
-            order = np.argsort(-n, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            places = place[np.searchsorted(numbers, flat)]
-            ends = np.cumsum([len(p) for p in pairs])
-            inside = [np.argsort(places[e - len(p) : e]) + (e - len(p)) for p, e in zip(pairs, ends, strict=True)]
-            sorted_ = np.concatenate(inside)
-            named = list(both.pair_number)
-            listed = [named[i] for i in numbers[order].tolist()]
-            sums = np.array(figures)
+            steps = np.diff(np.searchsorted(numbers, flat), prepend=0)
             columns = [
-                ids, *(sums[:, k] for k in range(len(_FIGURES))), digests, [len(p) for p in pairs], np.diff(places[sorted_], prepend=0), np.concatenate(times)[sorted_],
-                [p[0] for p in listed], [p[1] for p in listed], n[order],
+                [*chain.from_iterable(ids)], *(sums[:, k] for k in range(len(_FIGURES))), [*chain.from_iterable(digests)],
+                np.concatenate(sizes), steps, np.concatenate(times), numbers >> PAIR_BITS, numbers & ((1 << PAIR_BITS) - 1), n,
             ]
-            arrays = [pa.array([pa.array(c, t)], pa.list_(t)) if isinstance(c, list) else pa.array([pa.array(c).cast(t)], pa.list_(t)) for c, (_, t) in zip(columns, lists, strict=True)]
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c).cast(t)) for c, (_, t) in zip(columns, lists, strict=True)]
             return pa.record_batch([pa.array([block], pa.int64()), *arrays], names=["block", *[n for n, _ in lists]])
 
         for batch in batches:
-            texts = batch[1].cast(pa.binary()).to_pylist()
+            texts = batch[1].cast(pa.binary())
             first = 0
-            while first < len(texts):
-                last, taken = first, 0
-                while last < len(texts) and taken < block_bytes // 8:
-                    taken, last = taken + len(texts[last] or b""), last + 1
-                found = [both.pieces(t) if t else [] for t in texts[first:last]]
+            while first < batch.num_rows:
+                taken, part = 0, []
+                while first + len(part) < batch.num_rows and taken < min(SLICE_BYTES, block_bytes):
+                    part.append(texts[first + len(part)].as_py() or b"")
+                    taken += len(part[-1])
+                found = [both.pieces(t) if t else [] for t in part]
                 new = set().union(*found).difference(both.known)
                 if new:
                     both.learn(new)
-                held += [(doc_id, *both.document(pieces)) for doc_id, pieces in zip(batch[0].slice(first, last - first).to_pylist(), found, strict=True)]
-                size, first = size + taken, last
-                if size >= block_bytes or both.full():
+                held.append((batch[0].slice(first, len(part)).to_pylist(), *both.documents(found)))
+                size, first = size + taken, first + len(part)
+                if size >= block_bytes:
                     yield save()
                     block, held, size = block + 1, [], 0
-                    if both.full():
-                        both.forget()
+                if both.full():
+                    both.forget()
         if held:
             yield save()
 

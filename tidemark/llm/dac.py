@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import file_system, new_folder, read_table
 from tidemark.llm.registry import query
-from tidemark.llm.tokens import default_tokenizer, encoder, ids_crc32
+from tidemark.llm.tokens import default_tokenizer, encoded_rows, ids_crc32
 from tidemark.session import cut_lineage
 
 MAGIC = b"TDAC1\0\0\0"
@@ -135,8 +135,6 @@ def write_dac(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
-        end = np.array([end_id], dtype=encode.dtype).tobytes()
         system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         part, held, ids, tokens, number = TaskContext.get().partitionId(), [], [], 0, 0
@@ -147,15 +145,13 @@ def write_dac(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
                 sink.write(file_bytes(held, ids))
             return pa.record_batch([pa.array([v], t) for v, t in ((name, pa.string()), (part, pa.int64()), (number, pa.int64()), (len(held), pa.int64()), (tokens, pa.int64()))], names=["file", "part", "number", "docs", "tokens"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()).to_pylist(), strict=True):
-                doc = np.frombuffer(encode.encode(text or b"") + end, dtype=encode.dtype)
-                if held and tokens + len(doc) > file_tokens:
-                    yield save()
-                    held, ids, tokens, number = [], [], 0, number + 1
-                held.append(doc_id)
-                ids.append(doc)
-                tokens += len(doc)
+        for doc_id, doc in encoded_rows(batches, path, end_id):
+            if held and tokens + len(doc) > file_tokens:
+                yield save()
+                held, ids, tokens, number = [], [], 0, number + 1
+            held.append(doc_id)
+            ids.append(doc)
+            tokens += len(doc)
         if held:
             yield save()
 

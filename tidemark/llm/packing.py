@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import read_table
 from tidemark.llm.registry import query
-from tidemark.llm.tokens import default_tokenizer, encoder, ids_crc32
+from tidemark.llm.tokens import default_tokenizer, encoded_rows, ids_crc32
 
 CAPACITY = 4096
 #: Tokens that are balanced together in one task; bounds its memory.
@@ -107,18 +107,14 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
-        end = np.array([end_id], dtype=encode.dtype).tobytes()
         held, tokens, first = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()).to_pylist(), strict=True):
-                ids = np.frombuffer(encode.encode(text or b"") + end, dtype=encode.dtype)
-                held.append((doc_id, ids))
-                tokens += len(ids)
-                if tokens >= chunk_tokens:
-                    out, first = chunk(held, first)
-                    yield out
-                    held, tokens = [], 0
+        for doc_id, ids in encoded_rows(batches, path, end_id):
+            held.append((doc_id, ids))
+            tokens += len(ids)
+            if tokens >= chunk_tokens:
+                out, first = chunk(held, first)
+                yield out
+                held, tokens = [], 0
         if held:
             yield chunk(held, first)[0]
 

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm.common import worker_state
 
-#: Distinct words a Python worker remembers before it starts anew.
-REMEMBERED = 1_000_000
-#: Longer words are encoded each time.
+#: Distinct words a Python worker learns before it forgets those it didn't meet since the last time.
+REMEMBERED = 200_000
+#: Longer words are forgotten at once.
 LONG_WORD = 64
+#: Bytes of text that are encoded together; a longer text is taken alone.
+SLICE_BYTES = 2_000_000
+
+# The normal forms and the pattern of word tokenizers whose parts can be encoded one by one.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Latin words: none of their characters composes with another, or has a small form of several.
+_LATIN = "[!-~\u00a1-\u012f\u0131-\u024f]+"
 
 
 def default_tokenizer() -> str:
@@ -25,66 +37,121 @@ class WordEncoder:
     """Packed ids of texts.
 
     Where a tokenizer drops white space and folds case, the ids of a text are those of its
-    words one after the other, so each distinct word goes to the library once and is then
-    remembered. This is tried out on a probe when the encoder is made; any other tokenizer
-    encodes whole texts, and so does a text that spells a special token.
+    words one after the other, so each distinct word is encoded once and then remembered. This
+    is tried out on a probe when the encoder is made; any other tokenizer encodes whole texts,
+    and so does a text that spells a special token. Where the tokenizer's file has the known
+    normal forms and pattern, a Latin word is the ids of its parts, for which the library's
+    model is asked directly; other words go through the whole of the library.
     """
 
     def __init__(self, path: str) -> None:
         # Spark has a worker for every core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.by_word = bool(self.special) and self._ids("Ab c,\nD. e\x0bf") == [
-            i for w in ("ab", "c,", "d.", "e", "f") for i in self._ids(w)
-        ]
+        self.by_word = bool(self.special) and self._ids("Ab c,\nD. e\x0bf") == [i for w in ("ab", "c,", "d.", "e", "f") for i in self._ids(w)]
         self.marks = [s[:2].encode() for s in self.special]
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.model = self.tokenizer.model if self._in_parts(file) else None
+        self.latin, self.parts = regex.compile(_LATIN), regex.compile(_PARTS)
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+
+    @staticmethod
+    def _in_parts(file: dict) -> bool:
+        normal, split = file["normalizer"] or {}, (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = {"type": "Split", "pattern": {"Regex": _PARTS}, "behavior": "Removed", "invert": True}
+        plain = len(split) == 2 and split[0] == known and split[1]["type"] == "ByteLevel" and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
+        return normal.get("normalizers") == _NORMAL and plain and not file["model"].get("dropout")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        if not self.by_word or any(m in text for m in self.marks):
-            return self._pack(self._ids(text.decode()))
-        found = text.lower().split()
-        known = self.known
-        new = {w for w in found if w not in known}
-        if not new:
-            return b"".join(map(known.__getitem__, found))
-        if len(known) > REMEMBERED:
-            known.clear()
-            new = set(found)
-        long = {w: self._pack(self._ids(w.decode())) for w in new if len(w) > LONG_WORD}
-        self._learn(new.difference(long))
-        if not long:
-            return b"".join(map(known.__getitem__, found))
-        return b"".join(long[w] if w in long else known[w] for w in found)
+    def _pack(self, ids: Iterable[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of each text; words new to the worker are learned together."""
+        whole = [not self.by_word or any(m in t for m in self.marks) for t in texts]
+        found = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
+        new = set().union(*found).difference(self.known)
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        out = [self._pack(self._ids(t.decode())) if w else b"".join(map(get, f)) for t, f, w in zip(texts, found, whole, strict=True)]
+        for word in new:
+            if len(word) > LONG_WORD:
+                del self.known[word]
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        return out
 
     def _learn(self, new: set[bytes]) -> None:
-        """Remember new words; a closing full stop or comma is a token run of its own."""
-        known, ends = self.known, {}
-        for w in new:
-            if len(w) > 1 and w[-1:] in b".,;:!?" and w[-2:-1].isalnum():
-                ends[w] = w[:-1], w[-1:]
-        alone = {w for w in new if w not in ends} | {p for parts in ends.values() for p in parts if p not in known}
-        listed, gap = list(alone), self.special[0]
-        texts = [gap.join(w.decode() for w in listed[i : i + 128]) for i in range(0, len(listed), 128)]
+        known, before, others = self.known, self.before, []
+        for word in new:
+            ids = before.get(word)
+            if ids is None:
+                text = word.decode()
+                if self.model is None or not self.latin.fullmatch(text):
+                    others.append(word)
+                    continue
+                text = text.lower()
+                ids = self._part(text) if text.isalpha() else b"".join(map(self._part, self.parts.findall(text)))
+            known[word] = ids
+        if others:
+            self._learn_whole(others)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what the tokenizer's pattern keeps together."""
+        key = part.encode()
+        ids = self.known.get(key) or self.before.get(key)
+        if ids is None:
+            spelt = part if part.isascii() else key.decode("latin-1").translate(self.alphabet)
+            ids = self._pack([t.id for t in self.model.tokenize(spelt)])
+            if len(key) <= LONG_WORD:
+                self.known[key] = ids
+        return ids
+
+    def _learn_whole(self, words: list[bytes]) -> None:
+        gap = self.special[0]
+        texts = [gap.join(w.decode() for w in words[i : i + 128]) for i in range(0, len(words), 128)]
         gap_id = self.tokenizer.token_to_id(gap)
         place = 0
         for encoded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.asarray(encoded.ids, dtype=np.int64)
             for part in np.split(ids, np.flatnonzero(ids == gap_id)):
-                known[listed[place]] = self._pack(part[1:] if len(part) and part[0] == gap_id else part)
+                self.known[words[place]] = self._pack((part[1:] if len(part) and part[0] == gap_id else part).tolist())
                 place += 1
-        for w, (core, end) in ends.items():
-            known[w] = known[core] + known[end]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def encoded_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(id, ids with the end id) of rows (id, text), a few texts at a time whatever the batch."""
+    encode = encoder(path)
+    end = np.array([end_id], dtype=encode.dtype).tobytes()
+    for batch in batches:
+        texts, first = batch[1].cast(pa.binary()), 0
+        while first < batch.num_rows:
+            part, taken = [], 0
+            while first + len(part) < batch.num_rows and taken < SLICE_BYTES:
+                part.append(texts[first + len(part)].as_py() or b"")
+                taken += len(part[-1])
+            for doc_id, ids in zip(batch[0].slice(first, len(part)).to_pylist(), encode.encode_all(part), strict=True):
+                yield doc_id, np.frombuffer(ids + end, dtype=encode.dtype)
+            first += len(part)
 
 
 def encoder(path: str) -> WordEncoder:
