@@ -10,8 +10,8 @@ from tidemark.operators.fold import apply_mutations, fold, mutation_counts
 from tidemark.operators.normalize import normalize_changes, normalize_notices, normalize_snapshot, typed
 from tidemark.operators.snapshot import snapshot_rows, upsert_snapshot
 from tidemark.sources.feeds import file_feed
-from tidemark.sources.store import KEPT_MANIFESTS, TargetStore
-from tidemark.streaming.apply import apply_batch, bootstrap, drop_route, initial_load, start_route
+from tidemark.sources.store import KeyedTable
+from tidemark.streaming.apply import apply_batch, apply_waiting, bootstrap, drop_route, initial_load, start_route, start_routes
 from tidemark.functions.schema import struct_type
 
 FIELDS = [
@@ -33,7 +33,7 @@ def event(seq, key, change, lm, ev, **payload):
 
 
 def test_snapshot_then_stream_and_restart(spark, tmp_path):
-    store = TargetStore(spark, str(tmp_path / "target"), struct_type(FIELDS), buckets=4)
+    store = KeyedTable(spark, str(tmp_path / "target"), struct_type(FIELDS), buckets=4)
     records = [(json.dumps({"Id": k, "Title": t, "Amount": 1, "LastModifiedDate": 2_000_000_000_000}),) for k, t in (("a", "A"), ("b", "B"))]
     snapshot = snapshot_rows(typed(normalize_snapshot(spark.createDataFrame(records, "body string"), TYPES), TYPES))
     assert bootstrap(store, snapshot, "snapshot-1") and not bootstrap(store, snapshot, "snapshot-1")
@@ -59,26 +59,24 @@ def test_snapshot_then_stream_and_restart(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "rejects")).count() == 1
     [c] = spark.read.parquet(str(tmp_path / "out" / "counts")).collect()
     assert (c.inserted, c.updated, c.deleted, c.ignored) == (1, 1, 0, 2)
-    version = store._manifest()["version"]
+    assert store.last_batch("route") == "route-0"
     go()  # nothing new: the checkpoint remembers what was read
-    assert store._manifest()["version"] == version
+    assert store.last_batch("route") == "route-0"
     write(feed, "2.json", [event(6, "b", "DELETE", None, 2_200_000_000_000), event(7, "b", "UNDELETE", 5, 5, Title="back")])
     go()
     rows = {r.sfid: (r.Title, r.Amount) for r in store.read().collect()}
     assert rows["b"] == ("back", None) and len(rows) == 3
     write(feed, "3.json", [event(8, "a", "DELETE", None, 2_200_000_000_000)])
     go()
-    before = sorted(map(tuple, store.read().collect()))
-    assert [r[0] for r in before] == ["b", "c"]
-    assert store.compact(changes=1) > 0 and sorted(map(tuple, store.read().collect())) == before
-    assert store.compact(changes=1) == 0 and store.last_batch() == "route-2"
+    assert sorted(r.sfid for r in store.read().collect()) == ["b", "c"] and store.last_batch("route") == "route-2"
+    assert not list((tmp_path / "target" / "staged").iterdir())
     drop_route(store, run["checkpoint"], run["out"])
-    assert store.count() == 0 and not (tmp_path / "target" / "data").exists()
+    assert store.count() == 0 and not (tmp_path / "target").exists()
     assert not (tmp_path / "ckpt").exists() and not (tmp_path / "out").exists()
 
 
 def test_strict_batches_apply_whole_or_not_at_all(spark, tmp_path):
-    store = TargetStore(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
 
     def mutations(*events):
         rows = spark.createDataFrame([(e["seq"], e["body"]) for e in events], "seq long, body string")
@@ -88,26 +86,106 @@ def test_strict_batches_apply_whole_or_not_at_all(spark, tmp_path):
     bad = event(2, "b", "CREATE", 2_100_000_000_000, 2_100_000_000_000, Amount="x1")
     with pytest.raises(ValueError, match="route-0"):
         apply_batch(store, mutations(good, bad), "route-0", strict=True)
-    assert store.count() == 0 and store.last_batch() is None
+    assert store.count() == 0 and store.last_batch("route") is None
     assert apply_batch(store, mutations(good), "route-0", strict=True) and store.count() == 1
     assert apply_batch(store, mutations(good, bad), "route-1") and store.count() == 1
 
 
-def test_load_report_and_bounded_manifests(spark, tmp_path):
-    store = TargetStore(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+def test_load_report(spark, tmp_path):
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
     rows = snapshot_rows(typed(normalize_snapshot(spark.createDataFrame([('{"Id":"a","Title":"A"}',), ('{"Id":"b"}',)], "body string"), TYPES), TYPES))
     [r] = initial_load(store, rows, "snapshot-1").collect()
     assert (r.batch, r.applied, r.row_count) == ("snapshot-1", True, 2) and r.duration_ms > 0
     assert not initial_load(store, rows, "snapshot-1").first().applied
-    for _ in range(KEPT_MANIFESTS + 5):
-        store._publish({**store._manifest(), "version": store._manifest()["version"] + 1})
-    assert len(store._manifest_names()) == KEPT_MANIFESTS and store.count() == 2
-    # Only the rows of the wanted keys are read, from the base and from changes after it.
-    assert [x.sfid for x in store.read(keys=spark.createDataFrame([("b",), ("z",)], "sfid string")).collect()] == ["b"]
+
+
+def _changes(spark, *events):
+    return typed(normalize_changes(spark.createDataFrame([(e["seq"], e["body"]) for e in events], "seq long, body string"), TYPES), TYPES)
+
+
+def _stored(store):
+    return {r.sfid: r.Title for r in store.read().collect()}
+
+
+def test_an_interrupted_batch_is_copied_again_and_not_applied_twice(spark, tmp_path):
+    """An older delete that the row only takes after this batch lowered its event time: applied twice it would delete."""
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=4)
+    first = [event(n, k, "CREATE", 2_000_000_000_000, 2_500_000_000_000, Title=k) for n, k in enumerate("abcdefgh")]
+    assert apply_batch(store, _changes(spark, *first), "route-0")
+    second = [event(20, "a", "DELETE", None, 2_300_000_000_000), event(21, "a", "UPDATE", 2_100_000_000_000, 2_200_000_000_000, Title="kept")]
+    second += [event(22, "b", "DELETE", None, 2_600_000_000_000), event(23, "z", "CREATE", 2_100_000_000_000, 2_200_000_000_000, Title="new")]
+    mutations, want = _changes(spark, *second), {**{k: k for k in "acdefgh"}, "a": "kept", "z": "new"}
+
+    def broken(table, batch):
+        raise OSError("the driver is gone")
+
+    # The driver is lost before the copy, and a second time after it, before the batch is marked.
+    publish, KeyedTable.publish = KeyedTable.publish, broken
+    try:
+        with pytest.raises(OSError, match="gone"):
+            apply_batch(store, mutations, "route-1")
+    finally:
+        KeyedTable.publish = publish
+    assert _stored(store) == {k: k for k in "abcdefgh"} and store.is_staged("route-1")
+    staged = store.staging("route-1")
+    spark.read.parquet(f"{staged}/rows").write.mode("overwrite").partitionBy("_bucket").option("partitionOverwriteMode", "dynamic").parquet(f"{store.path}/data")
+    assert apply_batch(store, mutations, "route-1") and _stored(store) == want
+    assert not apply_batch(store, mutations, "route-1") and _stored(store) == want
+
+
+def test_a_half_staged_batch_is_staged_anew(spark, tmp_path):
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+    spark.createDataFrame([("junk", 0)], "sfid string, _bucket int").write.partitionBy("_bucket").parquet(f"{store.staging('route-0')}/rows")
+    assert apply_batch(store, _changes(spark, event(1, "a", "CREATE", 5, 5, Title="A")), "route-0") and _stored(store) == {"a": "A"}
+
+
+def test_a_batch_rewrites_only_its_buckets_and_empties_some(spark, tmp_path):
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=16)
+    assert apply_batch(store, _changes(spark, *[event(n, f"k{n}", "CREATE", 5, 5, Title=f"T{n}") for n in range(40)]), "route-0")
+    files = lambda: {p for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    before = files()
+    assert apply_batch(store, _changes(spark, event(50, "k7", "UPDATE", 6, 6, Title="new")), "route-1")
+    assert len({p.parent for p in before - files()}) == 1 and _stored(store)["k7"] == "new"
+    assert apply_batch(store, _changes(spark, *[event(60 + n, f"k{n}", "DELETE", None, 9) for n in range(40)]), "route-2")
+    assert store.count() == 0 and not files()
+    assert apply_batch(store, _changes(spark, event(200, "k1", "CREATE", 7, 7, Title="back")), "route-3") and _stored(store) == {"k1": "back"}
+
+
+def test_batches_leave_no_temporary_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.session.checkpoint_root", lambda spark: str(tmp_path / "shared"))
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+    events = [event(n, "hot", "UPDATE" if n else "CREATE", n + 5, n + 5, Title=f"T{n}") for n in range(60)]
+    assert apply_batch(store, _changes(spark, *events), "route-0", limit=20) and _stored(store) == {"hot": "T59"}
+    left = tmp_path / "shared" / "tables"
+    assert left.exists() and not list(left.iterdir())
+
+
+def test_routes_of_one_query_fail_and_recover_apart(spark, tmp_path):
+    feed, waiting, out = tmp_path / "feed", str(tmp_path / "waiting"), str(tmp_path / "out")
+    tables = {r: KeyedTable(spark, str(tmp_path / r), struct_type(FIELDS), buckets=2) for r in ("one", "two")}
+
+    def go(strict):
+        read = file_feed(spark, str(feed))
+        mutations = typed(normalize_changes(read, TYPES), TYPES).withColumn("route", F.when(F.col("sfid").startswith("a"), "one").otherwise("two"))
+        start_routes(mutations, "route", tables.get, str(tmp_path / "c"), waiting, out, available_now=True, strict=strict).awaitTermination()
+        return mutations.schema
+
+    write(feed, "1.json", [event(1, "a1", "CREATE", 5, 5, Title="A"), event(2, "b1", "CREATE", 5, 5, Title="B"), event(3, "b2", "CREATE", 5, 5, Amount="x1")])
+    go(True)
+    assert _stored(tables["one"]) == {"a1": "A"} and tables["two"].count() == 0
+    [f] = spark.read.parquet(f"{out}/failed").collect()
+    assert f.route == "two" and "rejected" in f.error
+    # The failed route keeps the order of its batches; the other one isn't held up.
+    write(feed, "2.json", [event(4, "a1", "UPDATE", 6, 6, Title="A2"), event(5, "b1", "UPDATE", 6, 6, Title="B2")])
+    schema = go(True)
+    assert _stored(tables["one"]) == {"a1": "A2"} and tables["two"].count() == 0
+    assert apply_waiting(spark, schema, "route", tables.get, waiting, out) == {}
+    assert _stored(tables["one"]) == {"a1": "A2"} and _stored(tables["two"]) == {"b1": "B2"}
+    assert not list((tmp_path / "waiting").iterdir()) and spark.read.schema("route string").parquet(f"{out}/failed").count() == 0
 
 
 def test_notice_stream_orders_by_type(spark, tmp_path):
-    store = TargetStore(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
     feed = tmp_path / "f"
     write(feed, "1.json", [
         {"seq": 1, "event_type": "updated", "body": json.dumps({"Id": "a", "Title": "late", "LastModifiedDate": "2024-01-02T00:00:00Z"})},

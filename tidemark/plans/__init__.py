@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "mutation_queries", "event_queries", "typed_queries", "registry_queries", "catalog_queries", "storage_queries",
-    "file_queries",
+    "file_queries", "table_queries",
 )
 
 

@@ -18,7 +18,7 @@ from tidemark.plans.mutation_queries import ROWS_TAIL, fold_sql
 from tidemark.session import shared_folder
 from tidemark.sources import describe as D
 from tidemark.sources.feeds import file_feed
-from tidemark.sources.store import TargetStore
+from tidemark.sources.store import KeyedTable
 from tidemark.streaming.apply import start_route
 
 
@@ -75,23 +75,25 @@ def change_feed_applied(spark, sf_dir):
     )
 
 
-@query("change_feed_streamed", "S4 S9 T1 T2 T4 T6 T10", fold_sql(_CHANGES, tail=ROWS_TAIL))
+def table_schema(mutations: DataFrame) -> T.StructType:
+    """Columns of a target that typed mutations are applied to."""
+    times = [T.StructField(c, T.TimestampType()) for c in (LAST_MODIFIED, LAST_EVENT)]
+    return T.StructType([mutations.schema[KEY], *mutations.schema["vals"].dataType.fields, *times])
+
+
+@query("change_feed_streamed", "S4 S9 T1 T2 T6 T10", fold_sql(_CHANGES, tail=ROWS_TAIL))
 def change_feed_streamed(spark, sf_dir):
-    """The feed as files, applied to a store by a streaming route that is restarted half way."""
-    feed, checkpoint, path = (shared_folder(spark, kind) for kind in ("feeds", "routes", "stores"))
+    """The feed as files, applied to a table by a streaming route that is restarted half way."""
+    feed, checkpoint, path = (shared_folder(spark, kind) for kind in ("feeds", "routes", "tables"))
     events = V.change_feed(spark, sf_dir)
-    half = (events.agg(F.max("seq")).first()[0] or 0) // 2
-    store = None
+    half = events.agg(F.floor(F.max("seq") / 2)).scalar()
     for part in (F.col("seq") <= half, F.col("seq") > half):
         events.where(part).write.mode("append").parquet(feed)
         out = N.normalize_changes(file_feed(spark, feed, fmt="parquet"), V.CHANGE_FIELDS, V.now())
         mutations = N.typed(out, V.CHANGE_FIELDS)
-        if store is None:
-            times = [T.StructField(c, T.TimestampType()) for c in (LAST_MODIFIED, LAST_EVENT)]
-            columns = [mutations.schema[KEY], *mutations.schema["vals"].dataType.fields, *times]
-            store = TargetStore(spark, path, T.StructType(columns), buckets=8)
-        start_route(mutations, store, checkpoint, available_now=True, name="route").awaitTermination()
-    return store.read().select(
+        table = KeyedTable(spark, path, table_schema(mutations), buckets=8)
+        start_route(mutations, table, checkpoint, available_now=True, name="route").awaitTermination()
+    return table.read().select(
         KEY, F.col("Amount").alias("value"), F.col("Note").alias("props"),
         V.micros(LAST_MODIFIED).alias("lm_us"), V.micros(LAST_EVENT).alias("ev_us"),
     )

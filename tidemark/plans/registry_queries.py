@@ -86,8 +86,8 @@ i AS (SELECT org_key, c_name, protocol, max_by(o_orderpriority, o_orderkey) AS l
 """
 
 
-@query(
-    "upsert_routes", "K11 S10 J3",
+#: The routes after every registration was upserted.
+UPSERTED_ROUTES = (
     _R + _INCOMING.format(now=V.NOW_US) + f"""
 SELECT coalesce(r.org_key, i.org_key) AS org_key, coalesce(selected_object, c_name) AS selected_object,
   coalesce(routing_protocol, protocol) AS routing_protocol, coalesce(i.label, r.object_label) AS object_label,
@@ -97,10 +97,11 @@ SELECT coalesce(r.org_key, i.org_key) AS org_key, coalesce(selected_object, c_na
   coalesce(r.activated_us, i.act_us) AS activated_us, CASE WHEN r.org_key IS NULL THEN {V.NOW_US} ELSE created_us END AS created_us,
   CASE WHEN i.org_key IS NULL THEN updated_us ELSE {V.NOW_US} END AS updated_us,
   CASE WHEN i.org_key IS NULL THEN synced_us ELSE {V.NOW_US} END AS synced_us
-FROM r FULL OUTER JOIN i ON r.org_key=i.org_key AND selected_object=c_name AND routing_protocol=protocol""",
+FROM r FULL OUTER JOIN i ON r.org_key=i.org_key AND selected_object=c_name AND routing_protocol=protocol"""
 )
-def upsert_routes(spark, sf_dir):
-    out = R.upsert_routes(V.routes(spark, sf_dir), V.registrations(spark, sf_dir), V.now(), order="o_orderkey")
+
+
+def upserted_columns(out: DataFrame) -> DataFrame:
     out = out.select(
         *R.ROUTE_KEY, "object_label", "routing_status", "target_schema", "created_by", "updated_by",
         "activated_at", "created_at", "updated_at", "last_synced_at",
@@ -108,6 +109,11 @@ def upsert_routes(spark, sf_dir):
     return _us(out, "activated_at", "created_at", "updated_at", "last_synced_at")
 
 
+@query("upsert_routes", "K11 S10 J3", UPSERTED_ROUTES)
+def upsert_routes(spark, sf_dir):
+    return upserted_columns(R.upsert_routes(V.routes(spark, sf_dir), V.registrations(spark, sf_dir), V.now(), order="o_orderkey"))
+
+
 @query(
     "upsert_slots", "K12",
     _R + _INCOMING.format(now=V.NOW_US) + f"""

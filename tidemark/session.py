@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +65,44 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
+#: Folders that the innermost ``temporary_tables`` removes.
+_TEMPORARY: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what ``cut_lineage`` wrote inside; nothing that reads it may be left."""
+    paths: list[str] = []
+    token = _TEMPORARY.set(paths)
+    try:
+        yield
+    finally:
+        _TEMPORARY.reset(token)
+        for path in paths:
+            delete_folder(spark, path)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _folder(spark, path)
+    return system.exists(folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a folder."""
+    system, folder = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(folder) if s.isDirectory()) if system.exists(folder) else []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows, written once as a table in the shared folder and read back.
 
@@ -69,6 +110,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and read back by column.
     """
     path = shared_folder(df.sparkSession, "tables")
+    if (temporary := _TEMPORARY.get()) is not None:
+        temporary.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,187 +1,158 @@
-"""A keyed target table on parquet with atomic batch commits.
-
-Rows are spread over buckets by key hash. A bucket is a base folder and, after it, the
-changes of later batches: whole rows, or a mark that the key is gone. A batch therefore
-writes only the rows it changes, and reads only the buckets its keys fall in; ``compact``
-folds the changes of long lists into a new base. Everything a batch wrote becomes visible
-by publishing a manifest, a small file that lists the folders of each bucket: readers see
-the table before or after a batch, never between, and a replayed batch id is skipped.
-Where the catalog has a MERGE-capable table format, ``DataFrame.mergeInto`` does the same.
+"""A keyed target table on plain parquet, changed batch by batch.
+
+The table is a folder of parquet files partitioned by ``_bucket``, a hash of the key, and
+sorted by key: any engine can read it. A batch joins its rows with the stored rows of the
+buckets its keys fall in, in one plan, and its result replaces these buckets by a dynamic
+partition overwrite. Choose the number of buckets so that one is worth rewriting for a few
+changed keys (some 100 MB), and a trigger that gathers enough changes; where the catalog has
+tables that support MERGE, ``DataFrame.mergeInto`` writes less.
+
+A batch's result is written to a staging folder first, and copied into the table when it is
+complete. So a job that fails, or a batch that is refused, leaves the table as it was; and a
+batch that was interrupted while it was copied is copied again from what was staged, not
+applied a second time to rows that it already changed. The last batch of each feed is kept
+beside the table, so a replayed batch is skipped. A reader that scans while buckets are being
+replaced may see some of them before the batch and some after it.
 """
 
 from __future__ import annotations
 
-import json
+import warnings
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.columns import KEY
+from tidemark.session import delete_folder, folder_exists, subfolders
 
 BUCKET = "_bucket"
-GONE = "_gone"
-#: Manifests that stay for readers of an older version.
-KEPT_MANIFESTS = 20
-#: The base of a bucket that began with changes.
-EMPTY = ""
 
 
-class TargetStore:
+class KeyedTable:
+    """Rows by key (one column, or several) below ``path``, with its columns given by ``schema``."""
+
     def __init__(
-        self, spark: SparkSession, path: str, schema: T.StructType, buckets: int = 64, key: str = KEY
+        self, spark: SparkSession, path: str, schema: T.StructType, buckets: int = 64, key: str | Sequence[str] = KEY
     ) -> None:
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        manifest = self._manifest()
-        self.buckets = manifest["buckets"] if manifest else buckets
-
-    # -- manifest -------------------------------------------------------------------
-    def _manifest_names(self) -> list[str]:
-        folder = self._path(f"{self.path}/manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
-
-    def _manifest(self) -> dict | None:
-        """The latest published manifest. Its size is bounded by the number of buckets."""
-        names = self._manifest_names()
-        if not names:
-            return None
-        rows = self.spark.read.text(f"{self.path}/manifests/{names[-1]}", wholetext=True).first()
-        return json.loads(rows[0])
-
-    def _publish(self, manifest: dict) -> None:
-        name = f"v{manifest['version']:012d}.json"
-        staged = self._path(f"{self.path}/staged-{name}")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
-        out.close()
-        self._fs.mkdirs(self._path(f"{self.path}/manifests"))
-        if not self._fs.rename(staged, self._path(f"{self.path}/manifests/{name}")):
-            raise RuntimeError(f"another writer published {name}")
-        for old in self._manifest_names()[:-KEPT_MANIFESTS]:
-            self._fs.delete(self._path(f"{self.path}/manifests/{old}"), False)
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        self.keys = [key] if isinstance(key, str) else list(key)
+        self._data = f"{self.path}/data"
 
-    # -- reading --------------------------------------------------------------------
-    def bucket(self):
-        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+    @property
+    def key(self) -> str:
+        if len(self.keys) != 1:
+            raise ValueError("the table has several key columns")
+        return self.keys[0]
 
-    def read(self, only: list[int] | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """The current rows; with ``only``, of the given buckets; with ``keys``, of these keys.
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-        Rows of other keys leave right after the scan, ahead of any shuffle of stored rows.
-        """
-        manifest = self._manifest()
-        folders = {} if manifest is None else manifest["folders"]
-        lists = [v for b, v in sorted(folders.items()) if only is None or int(b) in only]
-        wanted = (lambda rows: rows) if keys is None else (lambda rows: rows.join(keys, self.key, "left_semi"))
-        base = wanted(self._rows([v[0] for v in lists if v[0] != EMPTY], self.schema))
-        changes = [p for v in lists for p in v[1:]]
-        if not changes:
-            return base
-        # The path names the version: data/version=<n>/_bucket=<b>.
-        stored = T.StructType([*self.schema.fields, T.StructField(GONE, T.BooleanType())])
-        log = wanted(
-            self._rows(changes, stored).withColumn(
-                "_version", F.regexp_extract(F.input_file_name(), ".*/data/version=([0-9]+)/", 1).cast("bigint")
-            )
-        )
-        # A batch writes a key once, so a key's latest version is one row.
-        last = log.groupBy(self.key).agg(F.max_by(F.struct(*stored.names), "_version").alias("_last"))
-        kept = base.join(log.select(self.key).distinct(), self.key, "left_anti")
-        return kept.unionByName(last.where(~F.col(f"_last.{GONE}")).select(*[F.col(f"_last.`{c}`").alias(c) for c in self.schema.names]))
-
-    def _rows(self, paths: list[str], schema: T.StructType) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in paths])
+    # -- reading --------------------------------------------------------------------
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The current rows; with ``buckets``, only their folders are read."""
+        stored = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        if not folder_exists(self.spark, self._data):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(stored).parquet(self._data)
+        return (rows if buckets is None else rows.where(F.col(BUCKET).isin(list(buckets)))).drop(BUCKET)
 
     def count(self) -> int:
         return self.read().count()
 
-    def last_batch(self) -> str | None:
-        manifest = self._manifest()
-        return manifest and manifest["batch"]
+    def last_batch(self, feed: str) -> str | None:
+        """The name of the batch of a feed that was applied last."""
+        folder = f"{self.path}/applied/{feed}"
+        row = self.spark.read.schema("batch string").parquet(folder).first() if folder_exists(self.spark, f"{folder}/_SUCCESS") else None
+        return row and row.batch
 
     # -- writing --------------------------------------------------------------------
-    def commit(self, batch: str, changed: DataFrame, apply) -> bool:
-        """Apply a batch to the stored rows of the keys of ``changed``.
+    def staging(self, batch: str) -> str:
+        return f"{self.path}/staged/{batch}"
+
+    def is_staged(self, batch: str) -> bool:
+        return folder_exists(self.spark, f"{self.staging(batch)}/touched/_SUCCESS")
+
+    def is_applied(self, batch: str) -> bool:
+        """Whether the batch is the last one of its feed, the part of its name before the last dash."""
+        return self.last_batch(batch.rpartition("-")[0]) == batch
+
+    def commit(self, batch: str, changed: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> bool:
+        """Apply a batch to the stored rows of the buckets of ``changed``.
 
-        ``apply(stored rows of these keys)`` gives their new rows; a row with a false
-        ``present`` column removes its key. Returns False for the batch that was published
-        last of its feed (the part of its name before the last dash): a replay after a restart,
-        or a snapshot that is loaded again while the stream has moved on.
+        ``apply(stored rows of these buckets)`` gives all their new rows; rows with a false
+        ``present`` column are left out. Returns False for a batch that was applied already: a
+        replay after a restart, or a snapshot that is loaded again.
         """
-        manifest = self._manifest() or {"version": 0, "batch": None, "buckets": self.buckets, "folders": {}}
-        feed = batch.rpartition("-")[0]
-        applied = manifest.get("applied", {})
-        if batch in (manifest["batch"], applied.get(feed)):
+        if self.is_applied(batch):
             return False
-        keys = changed.select(self.key).distinct()
-        # At most one row per bucket.
-        touched = [r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
-        folders = manifest["folders"]
-        if touched:
-            old = self.read(only=touched, keys=keys)
-            rows = apply(old)
-            gone = ~F.col("present") if "present" in rows.columns else F.lit(False)
-            rows = rows.select(*self.schema.names, gone.alias(GONE))
-            folder = self._write(rows, manifest["version"] + 1)
-            folders = dict(folders)
-            for b in self._written(folder):
-                # A first folder is a base, which holds no marks: start such a bucket empty.
-                folders[str(b)] = [*folders.get(str(b), [EMPTY]), f"{folder}/{BUCKET}={b}"]
-        self._publish({**manifest, "version": manifest["version"] + 1, "batch": batch, "applied": {**applied, feed: batch}, "folders": folders})
+        if not self.is_staged(batch):
+            self.stage(batch, changed, apply)
+        self.publish(batch)
         return True
 
-    def _write(self, rows: DataFrame, version: int) -> str:
-        folder = f"data/version={version:012d}"
-        rows.withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(
-            BUCKET
-        ).parquet(f"{self.path}/{folder}")
-        return folder
-
-    def compact(self, changes: int = 8) -> int:
-        """Give buckets with at least so many change folders a new base; returns how many."""
-        manifest = self._manifest()
-        long = [] if manifest is None else [b for b, v in manifest["folders"].items() if len(v) > changes]
-        if not long:
-            return 0
-        folder = self._write(self.read(only=[int(b) for b in long]), manifest["version"] + 1)
-        written = self._written(folder)
-        folders = {b: v for b, v in manifest["folders"].items() if b not in long}
-        folders |= {b: [f"{folder}/{BUCKET}={b}"] for b in long if int(b) in written}
-        self._publish({**manifest, "version": manifest["version"] + 1, "folders": folders})
-        return len(long)
-
-    def _written(self, folder: str) -> set[int]:
-        statuses = self._fs.listStatus(self._path(f"{self.path}/{folder}"))
-        names = [s.getPath().getName() for s in statuses]
-        return {int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")}
-
-    def overwrite(self, batch: str, rows: DataFrame) -> None:
-        """Publish ``rows`` as the whole table."""
-        version = (self._manifest() or {"version": 0})["version"] + 1
-        folder = self._write(rows.select(*self.schema.names), version)
-        folders = {str(b): [f"{folder}/{BUCKET}={b}"] for b in self._written(folder)}
-        self._publish({"version": version, "batch": batch, "buckets": self.buckets, "folders": folders})
+    def stage(
+        self,
+        batch: str,
+        changed: DataFrame,
+        apply: Callable[[DataFrame], DataFrame],
+        totals: dict[str, Column] | None = None,
+    ) -> dict[str, int]:
+        """Write a batch's result beside the table; ``totals`` over its rows, taken while they are written.
+
+        The totals include rows that end up absent. They belong to the last step of the write,
+        where a task that is run again doesn't count twice.
+        """
+        # At most one row per bucket.
+        touched = self._touched(changed)
+        observed = Observation(f"batch {batch}")
+        rows = apply(self.read([r[BUCKET] for r in touched.collect()]))
+        rows = rows.withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET))
+        if totals:
+            rows = rows.observe(observed, *[c.alias(n) for n, c in totals.items()])
+        if "present" in rows.columns:
+            rows = rows.where("present")
+        rows = rows.select(*self.schema.names, BUCKET).sortWithinPartitions(BUCKET, *self.keys)
+        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.staging(batch)}/rows")
+        # Written last: a staged batch without it is staged anew.
+        touched.coalesce(1).write.mode("overwrite").parquet(f"{self.staging(batch)}/touched")
+        return dict(observed.get) if totals else {}
+
+    def _touched(self, changed: DataFrame) -> DataFrame:
+        return changed.select(self.bucket().alias(BUCKET)).distinct()
+
+    def publish(self, batch: str) -> None:
+        """Replace the touched buckets by what was staged; may be repeated after a failure."""
+        folder, stored = self.staging(batch), T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        touched = {r[0] for r in self.spark.read.schema(f"{BUCKET} int").parquet(f"{folder}/touched").collect()}
+        filled = {int(name.partition("=")[2]) for name in subfolders(self.spark, f"{folder}/rows")}
+        if filled:
+            rows = self.spark.read.schema(stored).parquet(f"{folder}/rows").hint("rebalance", F.col(BUCKET))
+            writer = rows.sortWithinPartitions(BUCKET, *self.keys).write.mode("overwrite").partitionBy(BUCKET)
+            writer.option("partitionOverwriteMode", "dynamic").parquet(self._data)
+        for b in touched - filled:  # all rows of the bucket are gone
+            delete_folder(self.spark, f"{self._data}/{BUCKET}={b}")
+        feed = batch.rpartition("-")[0]
+        self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/applied/{feed}")
+        delete_folder(self.spark, folder)
 
     def drop(self) -> None:
-        """Unpublish the table, so that readers find no rows, and then remove its files."""
-        manifest = self._manifest() or {"version": 0}
-        self._publish(
-            {"version": manifest["version"] + 1, "batch": None, "buckets": self.buckets, "folders": {}}
-        )
-        self._fs.delete(self._path(f"{self.path}/data"), True)
+        """Remove the table and all that is kept beside it."""
+        delete_folder(self.spark, self.path)
+
+
+def upsert_into(
+    table: KeyedTable, batch: str, incoming: DataFrame, upsert: Callable[[DataFrame, DataFrame], DataFrame]
+) -> bool:
+    """Multi-row insert with an upsert tail (S10): ``upsert(stored, incoming)`` on the buckets of the incoming keys."""
+    return table.commit(batch, incoming, lambda stored: upsert(stored, incoming))
 
 
 def row_count(spark: SparkSession, table: str) -> int:
-    """Rows of a named table; 0 when it does not exist or cannot be read."""
+    """Rows of a named table; 0, with a warning, when it does not exist or cannot be read."""
     try:
         return spark.table(table).count()
-    except Exception:  # the caller shows a warning next to a count of 0
+    except Exception as e:  # any failure yields 0
+        warnings.warn(f"rows of {table} could not be counted: {str(e).splitlines()[0][:200]}", stacklevel=2)
         return 0
