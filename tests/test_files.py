@@ -20,7 +20,7 @@ def plan(spark, roots, limit, **limits):
     rows = [(root, f"f{i:06d}", int(s)) for root, sizes in roots.items() for i, s in enumerate(sizes)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "root string, path string, size bigint")
-    got = B.plan_batches(df, segment_rows=limit, **limits).orderBy("root", "path").collect()
+    got = B.plan_batches(df, block_rows=limit, **limits).orderBy("root", "path").collect()
     out = {}
     for r in got:
         out.setdefault(r.root, []).append((r.batch_no, r.position))
@@ -36,7 +36,7 @@ def test_limits(spark):
     assert got["zero"][24:26] == [(0, 24), (1, 0)]
 
 
-def test_segments_match_the_loop(spark):
+def test_blocks_match_the_loop(spark):
     rng = random.Random(5)
     roots = {
         "hot": [rng.choice([0, 1, 3, 50, 400, 2000]) for _ in range(900)],
@@ -50,22 +50,18 @@ def test_segments_match_the_loop(spark):
     assert plan(spark, roots, 60, max_items=3, max_bytes=1000) == want
 
 
-def test_summaries_of_random_segments():
-    import numpy as np
-
+def test_many_blocks_of_a_huge_root(spark):
+    """Blocks as short as a batch, entered at every place; batches that end with a block or the root."""
     rng = random.Random(9)
-    for _ in range(300):
-        sizes = [rng.choice([0, 1, 4, 9, 30]) for _ in range(rng.randrange(1, 40))]
-        cut = rng.randrange(1, len(sizes) + 1)
-        head, cases, n, total = json.loads(B._summary(np.array(sizes[cut:], dtype=np.int64), 5, 10)) if cut < len(sizes) else ([], [], 0, 0)
-        want = next_fit(sizes, 5, 10)
-        batch, position = want[cut - 1]
-        count = position + 1
-        used = sum(sizes[cut - count:cut])
-        i = B._first_start(head, count, used, 5, 10)
-        end = (batch, count + n, used + total) if i is None else (batch + cases[i][0], cases[i][1], cases[i][2])
-        last = want[-1]
-        assert end[:2] == (last[0], last[1] + 1)
+    roots = {f"r{n}": [rng.choice([0, 1, 4, 9, 30]) for _ in range(n)] for n in (1, 4, 5, 6, 10, 11, 399, 400)}
+    want = {r: next_fit(s, 5, 10) for r, s in roots.items()}
+    assert plan(spark, roots, 5, max_items=5, max_bytes=10) == want
+
+
+def test_no_files(spark):
+    none = spark.createDataFrame([], "root string, path string, size bigint")
+    out = B.plan_batches(none)
+    assert out.columns == ["root", "path", "size", "batch_no", "position"] and out.count() == 0
 
 
 def test_directory_scan_and_summary(spark, tmp_path):

@@ -280,35 +280,40 @@ def test_fold_matches_the_loop_for_small_and_hot_keys(spark):
         assert as_state(apply_mutations(m, limit=limit, segment_rows=limit)) == fresh
 
 
-def test_run_summary_matches_stepping():
-    from tidemark.operators.hot_fold import BARE_CREATE, CREATE, DELETE, NOTHING, UPDATE, Run, step
+def _hot_case(spark, events, stored, segment_rows):
+    m, t = frames(spark, events, stored)
+    state, counts = loop(events, stored)
+    folded = fold(m, t, limit=0, segment_rows=segment_rows)
+    assert as_state(folded.where("present")) == state
+    [c] = mutation_counts(folded).collect()
+    assert {n: c[n] for n in counts} == counts
+
 
-    rng = random.Random(3)
+def test_short_runs_with_wrong_guesses_match_the_loop(spark, monkeypatch):
+    """Runs of a few events, guesses from the last one alone: many are wrong at first."""
+    from tidemark.operators import hot_fold
+
+    monkeypatch.setattr(hot_fold, "TAIL", 1)
+    rng = random.Random(17)
     times = [None, -3, -1, 0, 1, 2, 3, 5, 8]
-    for _ in range(3000):
-        events = [
-            (rng.choice([DELETE, UPDATE, CREATE, BARE_CREATE, NOTHING]), rng.choice(times), rng.choice(times))
-            for _ in range(rng.randrange(0, 9))
-        ]
-        run = Run()
-        for e in events:
-            run.add(*e)
-        run = Run.loads(run.dumps())
-        entries = [None] + [(rng.choice(times), rng.choice(times)) for _ in range(12)]
-        for entry in entries:
-            state = entry
-            for e in events:
-                state = step(state, *e)[0]
-            assert run.apply(entry) == state, (events, entry)
-
-
-def test_run_summary_stays_small_on_an_ordinary_history():
-    from tidemark.operators.hot_fold import CREATE, DELETE, UPDATE, Run
-
-    run, rng = Run(), random.Random(1)
-    for t in range(20_000):
-        run.add(rng.choice([UPDATE, UPDATE, CREATE, DELETE]), t + rng.randrange(-50, 50), t)
-    assert len(run.classes) < 20
+    events = []
+    for seq in range(700):
+        kind = rng.choice(["CREATE", "UNDELETE", "UPDATE", "UPDATE", "DELETE"])
+        targets = rng.choice([[], ["x"], ["y"], ["x", "y"]])
+        events.append((seq, f"k{rng.randrange(25)}", kind, rng.choice(times), rng.choice(times), targets, {"x": rng.choice([None, seq]), "y": f"v{seq}"}))
+    stored = {f"k{i}": {"x": i, "y": "s", "lm": rng.choice(times), "ev": rng.choice(times)} for i in range(0, 30, 2)}
+    _hot_case(spark, events, stored, 30)
+
+
+def test_runs_that_accept_nothing_pass_a_state_on(spark):
+    """A row newer than a whole history of stale events reaches its end; creates raise its event time on the way."""
+    kinds = ["UPDATE", "CREATE", "UPDATE", "DELETE"]
+    events = [(n, "far", kinds[n % 4], n, n, ["x"], {"x": n, "y": "v"}) for n in range(300)]
+    events += [(n, "gone", "UPDATE", n, n, ["x"], {"x": n, "y": "v"}) for n in range(300, 500)]
+    stored = {"far": {"x": 1, "y": "s", "lm": 10_000, "ev": 10_000}}
+    _hot_case(spark, events, stored, 25)
+    rows = {"far": {"x": 1, "y": "s", "lm": 10_000, "ev": None}}
+    _hot_case(spark, [e for e in events if e[2] != "DELETE"], rows, 25)
 
 
 def test_snapshot_guards(spark):

@@ -1,28 +1,27 @@
 """Planning uploads of files in bounded batches.
 
-Next-fit is sequential: whether a file opens a batch depends on all files before it. But a
-batch holds at most ``max_items`` files, so a segment of files meets only that many cases:
-the place of its first new batch. Segments are summarised for every case in parallel, the
-few summaries are walked per root, and the segments are replayed in parallel.
+Next-fit is sequential: whether a file opens a batch depends on all files before it. But where
+the batch after one begins depends on a few files only, and a batch holds at most
+``max_items`` of them, so a block of files is entered at one of that many places. The ways
+through the blocks are pointers, which are followed by doubling instead of one after the other.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.registry import last_per_key
-from tidemark.operators.skew import SEGMENT, SEGMENT_ROWS, running, segment
-from tidemark.session import cut_lineage, small_side
+from tidemark.operators.skew import SEGMENT_ROWS, numbered_in, running
+from tidemark.session import cut_lineage
 
 # Batch limits, the outcome of a file without a result.
 MAX_ITEMS = 25
 MAX_BYTES = 6_000_000
+#: Files of one block, which one array expression holds.
+BLOCK_FILES = 1024
 NO_RESULT = "NO_RESULT"
 
 
@@ -45,51 +44,87 @@ def scan_directory(spark: SparkSession, root: str, content: bool = False) -> Dat
     )
 
 
-def _starts(sizes: np.ndarray, max_items: int, max_bytes: int) -> np.ndarray:
-    """For a batch opened at each file, the place of the next batch after it."""
-    n = len(sizes)
-    prefix = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.arange(n)
-    by_bytes = np.searchsorted(prefix, prefix[:-1] + max_bytes, side="right") - 1
-    return np.maximum(place + 1, np.minimum(np.minimum(place + max_items, by_bytes), n))
-
-
-def _first_start(sizes, count: int, used: int, max_items: int, max_bytes: int) -> int | None:
-    """Where the first new batch opens, entering with ``count`` files of ``used`` bytes."""
-    for i, size in enumerate(sizes):
-        if count and (count >= max_items or used + size > max_bytes):
-            return i
-        count, used = count + 1, used + size
-    return None
-
-
-def _summary(sizes: np.ndarray, max_items: int, max_bytes: int) -> str:
-    n = len(sizes)
-    after = _starts(sizes, max_items, max_bytes)
-    opened = np.zeros(n + 1, dtype=np.int64)
-    last = np.arange(n + 1)
-    for i in range(n - 1, -1, -1):
-        j = after[i]
-        opened[i], last[i] = (1, i) if j >= n else (1 + opened[j], last[j])
-    prefix = np.concatenate([[0], np.cumsum(sizes)])
-    cases = [
-        [int(opened[i]), int(n - last[i]), int(prefix[n] - prefix[last[i]])] for i in range(min(n, max_items + 1))
-    ]
-    return json.dumps([[int(s) for s in sizes[: max_items + 1]], cases, n, int(prefix[n])])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]):
-    """(root, segment) runs of one sorted partition, which holds a bounded number of files."""
-    batches = list(batches)
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches)
-    keys = list(zip(table.column("root").to_pylist(), table.column(SEGMENT).to_pylist()))
-    start = 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or keys[i] != keys[start]:
-            yield keys[start], table.slice(start, i - start)
-            start = i
+def _blocks(files: DataFrame, rows: int, max_items: int) -> DataFrame:
+    """(root, block, sizes, n): ``rows`` consecutive files each, with the sizes of the next few after them."""
+    block = F.floor(F.col("i") / rows).cast("bigint")
+    ahead = (F.col("i") % rows < max_items) & (F.col("i") >= rows)
+    # The first files of a block are looked at by the last ones of the block before.
+    to = F.explode(F.when(ahead, F.array(block, block - 1)).otherwise(F.array(block))).alias("block")
+    listed = files.select("root", "i", "size", to).groupBy("root", "block").agg(F.sort_array(F.collect_list(F.struct("i", "size"))).alias("x"))
+    own = F.least(F.size("x"), F.lit(rows))
+    return listed.select("root", "block", F.col("x.size").alias("sizes"), own.alias("n"))
+
+
+def _held(max_items: int, max_bytes: int) -> Column:
+    """For a batch opened at each file of a block, the files it holds."""
+    none = F.struct(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("full"))
+
+    def add(s: Column, size: Column) -> Column:
+        # The first file is taken whatever its size.
+        fits = ~s["full"] & ((s["k"] == 0) | (s["used"] + size <= max_bytes))
+        return F.struct((s["k"] + fits.cast("int")).alias("k"), (s["used"] + F.coalesce(size, F.lit(0))).alias("used"), (~fits).alias("full"))
+
+    return F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.aggregate(F.slice("sizes", p, max_items), none, add)["k"])
+
+
+def _walked(entry: Column) -> Column:
+    """Where the batches lead that begin at ``entry``: the next start behind the block, and the starts inside."""
+    none = F.struct(entry.cast("int").alias("at"), F.lit(0).cast("bigint").alias("starts"), F.lit(0).alias("last"), F.lit(0).alias("p"))
+
+    def over(s: Column, held: Column) -> Column:
+        opens = s["at"] == s["p"]
+        return F.struct(
+            (s["at"] + F.when(opens, held).otherwise(0)).alias("at"), (s["starts"] + opens.cast("int")).alias("starts"),
+            F.when(opens, s["p"]).otherwise(s["last"]).alias("last"), (s["p"] + 1).alias("p"),
+        )
+
+    return F.aggregate("held", none, over)
+
+
+def _placed(entry: Column, batch: Column, since: Column) -> Column:
+    """(batch_no, position) of each file of a block that is entered at ``entry``."""
+    none = F.struct(
+        entry.cast("int").alias("at"), (batch - 1).cast("bigint").alias("batch_no"), since.cast("bigint").alias("position"), F.lit(0).alias("p"),
+        F.array().cast("array<struct<batch_no:bigint,position:bigint>>").alias("out"),
+    )
+
+    def over(s: Column, held: Column) -> Column:
+        opens = s["at"] == s["p"]
+        number, place = s["batch_no"] + opens.cast("int"), F.when(opens, F.lit(0).cast("bigint")).otherwise(s["position"])
+        return F.struct(
+            (s["at"] + F.when(opens, held).otherwise(0)).alias("at"), number.alias("batch_no"), (place + 1).alias("position"), (s["p"] + 1).alias("p"),
+            F.concat(s["out"], F.array(F.struct(number.alias("batch_no"), place.alias("position")))).alias("out"),
+        )
+
+    return F.aggregate("held", none, over)["out"]
+
+
+def _entries(blocks: DataFrame, max_items: int, most: int) -> DataFrame:
+    """(root, block, entry, batch, since): where the first batch of each block begins, and its number.
+
+    ``since`` is the place that the block's first file has in the batch that came into it. The
+    way through a block, from each place it may be entered at, is a pointer into the next
+    block; pointers over 1, 2, 4, .. blocks are joined, and taken from the root's first file.
+    """
+    ways = blocks.select("root", "block", "n", "held", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(max_items)) - 1)).alias("entry"))
+    ways = ways.withColumn("w", _walked(F.col("entry")))
+    step = cut_lineage(ways.select("root", "block", "entry", (F.col("w.at") - F.col("n")).alias("to"), F.col("w.starts").alias("starts"), (F.col("n") - F.col("w.last")).cast("bigint").alias("since")))
+    steps, far = [step], 1
+    while 2 * far < most:
+        one = steps[-1]
+        two = one.select("root", (F.col("block") - far).alias("block"), F.col("entry").alias("to"), F.col("to").alias("to2"), F.col("starts").alias("starts2"), F.col("since").alias("since2"))
+        joined = one.join(two, ["root", "block", "to"])
+        steps.append(cut_lineage(joined.select("root", "block", "entry", F.col("to2").alias("to"), (F.col("starts") + F.col("starts2")).alias("starts"), F.col("since2").alias("since"))))
+        far *= 2
+    found = blocks.where("block = 0").select("root", "block", F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("since"))
+    if most <= 1:
+        return found
+    for pointers in reversed(steps):
+        on = found.drop("since").join(pointers, ["root", "block", "entry"])
+        ahead = on.select("root", (F.col("block") + far).alias("block"), F.col("to").alias("entry"), (F.col("batch") + F.col("starts")).alias("batch"), "since")
+        found = cut_lineage(found.unionByName(ahead))
+        far //= 2
+    return found
 
 
 def plan_batches(
@@ -97,76 +132,28 @@ def plan_batches(
     max_items: int = MAX_ITEMS,
     max_bytes: int = MAX_BYTES,
     order: str = "path",
-    segment_rows: int = SEGMENT_ROWS,
+    block_rows: int = BLOCK_FILES,
 ) -> DataFrame:
     """Next-fit batches per ``root`` in order: adds ``batch_no`` and ``position`` (B1).
 
     A batch is closed before a file when it holds ``max_items`` files or the file would take
     it over ``max_bytes``; a larger file travels alone. ``order`` is unique within a root.
-    """
 
-    def summarise(batches):
-        for (root, seg), part in _groups(batches):
-            sizes = part.column("size").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("root").combine_chunks().slice(0, 1), pa.array([seg], pa.int32()),
-                 pa.array([_summary(sizes, max_items, max_bytes)])],
-                names=["root", SEGMENT, "summary"],
-            )
-
-    def walk(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r[SEGMENT])
-        batch, count, used, out = -1, 0, 0, []
-        for row in rows:
-            out.append((row["root"], row[SEGMENT], batch, count, used))
-            head, cases, n, total = json.loads(row["summary"])
-            i = _first_start(head, count, used, max_items, max_bytes)
-            if batch < 0:  # the root's first file opens its first batch
-                i = 0
-            if i is None:
-                count, used = count + n, used + total
-            else:
-                opened, count, used = cases[i]
-                batch += opened
-        names = ["root", SEGMENT, "batch0", "count0", "used0"]
-        types = [table.schema.field("root").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*out), types)})
-
-    def replay(batches):
-        for _, part in _groups(batches):
-            sizes = part.column("size").to_numpy()
-            n, first = len(sizes), part.slice(0, 1).to_pylist()[0]
-            batch, count, used = first["batch0"], first["count0"], first["used0"]
-            i = 0 if batch < 0 else _first_start(sizes[: max_items + 1].tolist(), count, used, max_items, max_bytes)
-            after = _starts(sizes, max_items, max_bytes)
-            opens = np.zeros(n, dtype=np.int64)
-            while i is not None and i < n:
-                opens[i] = 1
-                i = int(after[i])
-            number = batch + np.cumsum(opens)
-            place = np.arange(n)
-            last_open = np.maximum.accumulate(np.where(opens == 1, place, -1))
-            position = np.where(last_open >= 0, place - last_open, place + count)
-            kept = part.drop_columns([SEGMENT, "batch0", "count0", "used0"])
-            kept = kept.append_column("batch_no", pa.array(number, pa.int64()))
-            yield from kept.append_column("position", pa.array(position, pa.int64())).to_batches()
-
-    cut = segment(files, ["root"], [order], segment_rows)
-    root_type = cut.schema["root"].dataType.simpleString()
-    summaries = cut.select("root", SEGMENT, "size").mapInArrow(
-        summarise, f"root {root_type}, {SEGMENT} int, summary string"
-    )
-    entries = cut_lineage(
-        summaries.groupBy("root").applyInArrow(
-            walk, f"root {root_type}, {SEGMENT} int, batch0 bigint, count0 bigint, used0 bigint"
-        )
-    )
-    joined = cut.join(small_side(entries, entries.count()), ["root", SEGMENT])
-    joined = joined.select(*files.columns, SEGMENT, "batch0", "count0", "used0")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return joined.sortWithinPartitions("root", SEGMENT, order).mapInArrow(
-        replay, schema + ", batch_no bigint, position bigint"
-    )
+    Files are numbered in their root and cut into blocks of ``block_rows``. What a batch opened
+    at a file would hold needs only the next few files, and how batches run through a block only
+    where its first one begins, so a root of any size is spread over all tasks.
+    """
+    rows = max(block_rows, max_items)
+    numbered = cut_lineage(numbered_in(files, ["root"], [order], "i"))
+    most = numbered.agg(F.max("i")).first()[0]
+    if most is None:
+        return files.select("*", F.lit(0).cast("bigint").alias("batch_no"), F.lit(0).cast("bigint").alias("position"))
+    blocks = _blocks(numbered, rows, max_items).withColumn("held", _held(max_items, max_bytes)).drop("sizes")
+    blocks = cut_lineage(blocks)
+    entered = blocks.join(_entries(blocks, max_items, most // rows + 1), ["root", "block"])
+    placed = entered.select("root", "block", F.posexplode(_placed(F.col("entry"), F.col("batch"), F.col("since"))).alias("p", "x"))
+    placed = placed.select("root", (F.col("block") * rows + F.col("p")).alias("i"), "x.batch_no", "x.position")
+    return numbered.join(placed, ["root", "i"]).select(*files.columns, "batch_no", "position")
 
 
 def batch_table(plan: DataFrame) -> DataFrame:

@@ -1,235 +1,191 @@
 """The guarded fold for keys with more events than one task may hold.
 
-A stored row has only two times that decide what happens next, so a run of events can be
-summarised as a small function of them: entering the run, the first event that is accepted
-fixes the state, whatever came before. The steps:
-
-1. cut the events into segments of consecutive events (range partitioning);
-2. summarise every segment as a ``Run``, in parallel;
-3. per key, walk the summaries from the stored row: the state each segment starts in;
-4. replay every segment from that state, in parallel, marking what each event did;
-5. find the last accepted event that set each column (a hash aggregation of event numbers,
-   combined before its shuffle), and fetch the values of those few events.
+What a run of events leaves behind seldom depends on where it began: the first accepted event
+fixes the row's times, whatever came before. So the runs of a key are folded in parallel, each
+from a guess of the state it is entered with, and the guesses are then held against the states
+that the runs before leave:
+
+1. cut the events, without their values, into runs of consecutive events (range partitioning)
+   and collect each run as an array;
+2. fold the last ``TAIL`` events of every run, from no row: what they leave is the guess that
+   the next run is entered with (the key's first run is entered with the stored row);
+3. fold every run from its guess, in an array expression that keeps, of the values, only the
+   number of the last event that set each column;
+4. a key whose every guess is what the run before leaves is done. Otherwise its runs are walked,
+   one row a run: a run entered with its guess leaves what it left; one that accepts nothing
+   from the state it is entered with (its thresholds tell) passes it on; any other is folded
+   again, and so on until no guess is wrong;
+5. fetch the values of the few events that set a column last.
+
+The first wrong guess of a key is right after the next round, so rounds end. More than two need
+runs that neither pass a state on nor forget it.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import BARE_CREATE, COUNTERS, CREATE, DELETE, NOTHING, UPDATE
-from tidemark.operators.skew import SEGMENT, segment
+from tidemark.operators.fold import BARE_CREATE, COUNTERS, CREATE, DELETE, UPDATE
 from tidemark.session import cut_lineage, small_side
 
-NEVER = float("-inf")
-ALWAYS = float("inf")
-FINAL = -1
-
-
-def _later(a: int | None, b: int | None) -> int:
-    """The later time, null counting as 1970."""
-    return max(0 if a is None else a, 0 if b is None else b)
-
-
-def step(state, kind: int, lm: int | None, ev: int | None):
-    """(next state, action). A state is None (no row) or (lm, ev) in microseconds."""
-    if state is None:
-        if kind in (UPDATE, DELETE, NOTHING):
-            return None, "ignored"
-        return ((None, None) if kind == BARE_CREATE else (lm, ev)), "inserted"
-    row_lm, row_ev = state
-    if kind == DELETE:
-        gone = row_ev is None or (ev is not None and row_ev <= ev)
-        return (None, "deleted") if gone else (state, "ignored")
-    if kind in (UPDATE, CREATE):
-        if lm is None or row_lm is None or row_lm <= lm:
-            return (lm, ev), "updated"
-        if kind == CREATE:
-            return (row_lm, _later(row_ev, ev)), "stale"
-    return state, "ignored"
-
-
-class Run:
-    """What a run of events does to the state it starts in.
-
-    ``classes`` lists, in order of acceptance, which present rows some event accepts and
-    the state they leave in: ``[lm_reach, ev_reach, null_ev, state]`` holds rows with
-    ``lm <= lm_reach`` (or null, if any) or ``ev <= ev_reach`` (or null, if ``null_ev``).
-    A row in no class keeps ``lm``; its ``ev`` is raised to ``raised``, the latest event
-    time of the creates that found it too new. Neighbouring classes that reach the same
-    state are joined, which keeps the list short: rows that accept the same event agree
-    from then on.
-    """
-
-    def __init__(self) -> None:
-        self.from_absent = None
-        self.classes: list[list] = []
-        self.raised: int | None = None
-        # how far the classes reach so far
-        self._lm, self._ev, self._null = NEVER, NEVER, False
-
-    def add(self, kind: int, lm: int | None, ev: int | None) -> None:
-        self.from_absent = step(self.from_absent, kind, lm, ev)[0]
-        for c in self.classes:
-            c[3] = step(c[3], kind, lm, ev)[0]
-        if kind in (UPDATE, CREATE):
-            reach = ALWAYS if lm is None else lm
-            if reach > self._lm:
-                self._lm = reach
-                self.classes.append([reach, NEVER, False, (lm, ev)])
-            if kind == CREATE:
-                create_ev = 0 if ev is None else ev
-                self.raised = create_ev if self.raised is None else max(self.raised, create_ev)
-        elif kind == DELETE:
-            reach, null_ev = NEVER, False
-            if ev is not None and ev > self._ev and (self.raised is None or self.raised <= ev):
-                reach = self._ev = ev
-            if not self._null and (self.raised is None or (ev is not None and _later(None, self.raised) <= ev)):
-                null_ev = self._null = True
-            if reach != NEVER or null_ev:
-                self.classes.append([NEVER, reach, null_ev, None])
-        if len(self.classes) > 1:
-            self._join_equal()
-
-    def _join_equal(self) -> None:
-        joined = self.classes[:1]
-        for c in self.classes[1:]:
-            last = joined[-1]
-            if last[3] == c[3]:
-                last[:3] = [max(last[0], c[0]), max(last[1], c[1]), last[2] or c[2]]
-            else:
-                joined.append(c)
-        self.classes = joined
-
-    def apply(self, state):
-        if state is None:
-            return self.from_absent
-        lm, ev = state
-        for lm_reach, ev_reach, null_ev, result in self.classes:
-            by_lm = lm_reach != NEVER and (lm is None or lm <= lm_reach)
-            by_ev = null_ev if ev is None else ev <= ev_reach
-            if by_lm or by_ev:
-                return result
-        return (lm, ev if self.raised is None else _later(ev, self.raised))
-
-    def dumps(self) -> str:
-        return json.dumps([self.from_absent, self.classes, self.raised])
-
-    @classmethod
-    def loads(cls, text: str) -> Run:
-        run = cls()
-        absent, classes, run.raised = json.loads(text)
-        run.from_absent = None if absent is None else tuple(absent)
-        run.classes = [[*c[:3], None if c[3] is None else tuple(c[3])] for c in classes]
-        return run
-
-
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per (key, segment); the rows arrive sorted by both and ``seq``."""
-    current, run, schema = None, None, None
-    for batch in batches:
-        key_type = batch.schema.field(0).type
-        schema = pa.schema([("key", key_type), (SEGMENT, pa.int32()), ("run", pa.string())])
-        done = []
-        for k, s, kd, lm, ev in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (k, s) != current:
-                if run is not None:
-                    done.append((*current, run.dumps()))
-                current, run = (k, s), Run()
-            run.add(kd, lm, ev)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), schema.types)], schema=schema)
-    if run is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v], t) for v, t in zip((*current, run.dumps()), schema.types)], schema=schema
-        )
+#: Events at the end of a run that its guess comes from.
+TAIL = 512
+RUN = "_run"
+_STATE = "struct<present:boolean,lm:bigint,ev:bigint>"
 
 
-def _walk(table: pa.Table) -> pa.Table:
-    """Entry state of each segment of one key, and its state after the last (FINAL)."""
-    rows = sorted(table.select([SEGMENT, "run"]).to_pylist(), key=lambda r: r[SEGMENT])
-    first = table.slice(0, 1).to_pylist()[0]
-    state = (first["_lm"], first["_ev"]) if first["_stored"] else None
-    states = []
-    for row in rows:
-        states.append((row[SEGMENT], state))
-        state = Run.loads(row["run"]).apply(state)
-    states.append((FINAL, state))
-    return pa.table(
-        {
-            "key": pa.array([first["key"]] * len(states), table.schema.field("key").type),
-            SEGMENT: pa.array([s for s, _ in states], pa.int32()),
-            "present": pa.array([st is not None for _, st in states], pa.bool_()),
-            "lm0": pa.array([st and st[0] for _, st in states], pa.int64()),
-            "ev0": pa.array([st and st[1] for _, st in states], pa.int64()),
-        }
+def _state(present: Column, lm: Column, ev: Column) -> Column:
+    return F.struct(present.alias("present"), lm.cast("bigint").alias("lm"), ev.cast("bigint").alias("ev"))
+
+
+def _absent() -> Column:
+    return _state(F.lit(False), F.lit(None), F.lit(None))
+
+
+def _step(s: Column, e: Column) -> Column:
+    """(state, action) after one event; an action is a place in ``COUNTERS``."""
+    k, absent = e["kind"], _absent()
+    inserted, updated, deleted, stale, ignored = (F.lit(i) for i in range(len(COUNTERS)))
+    fresh = e["lm"].isNull() | s["lm"].isNull() | (s["lm"] <= e["lm"])
+    own = _state(F.lit(True), e["lm"], e["ev"])
+    raised = _state(F.lit(True), s["lm"], F.greatest(F.coalesce(s["ev"], F.lit(0)), F.coalesce(e["ev"], F.lit(0))))
+
+    def out(state: Column, action: Column) -> Column:
+        return F.struct(state.alias("state"), action.alias("action"))
+
+    return (
+        F.when(s["present"] & (k == DELETE) & (s["ev"].isNull() | (s["ev"] <= e["ev"])), out(absent, deleted))
+        .when(s["present"] & k.isin(UPDATE, CREATE) & fresh, out(own, updated))
+        .when(s["present"] & (k == CREATE), out(raised, stale))
+        .when(~s["present"] & (k == CREATE), out(own, inserted))
+        .when(~s["present"] & (k == BARE_CREATE), out(_state(F.lit(True), F.lit(None), F.lit(None)), inserted))
+        .otherwise(out(s, ignored))
     )
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, seq, action, touched) of every event."""
-    current, state = None, None
-    for batch in batches:
-        actions = []
-        columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7, 8)]
-        for k, s, kd, lm, ev, present, lm0, ev0 in zip(*columns):
-            if (k, s) != current:
-                current, state = (k, s), ((lm0, ev0) if present else None)
-            state, action = step(state, kd, lm, ev)
-            actions.append(action)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(actions, pa.string()), batch.column(9)],
-            names=["key", "seq", "action", "touched"],
-        )
+def _folded(events: Column, entry: Column, columns: int) -> Column:
+    """What a run leaves: ``state``, the counters, ``since`` (last insert or delete), ``q0..`` (last setters)."""
+    none = F.lit(None).cast("bigint")
+    start = F.struct(
+        entry.alias("state"), *[F.lit(0).cast("bigint").alias(c) for c in COUNTERS], none.alias("since"), *[none.alias(f"q{i}") for i in range(columns)]
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        def merged(x: Column) -> Column:
+            a = x["action"]
+            wrote = a.isin(0, 1)
+            return F.struct(
+                x["state"].alias("state"),
+                *[(s[c] + F.when(a == i, 1).otherwise(0)).alias(c) for i, c in enumerate(COUNTERS)],
+                F.when(a.isin(0, 2), e["seq"]).otherwise(s["since"]).alias("since"),
+                *[F.when(wrote & F.get(e["touched"], F.lit(i)), e["seq"]).otherwise(s[f"q{i}"]).alias(f"q{i}") for i in range(columns)],
+            )
+
+        # One element, so that the step is computed once and then read by every field.
+        return F.element_at(F.transform(F.array(_step(s["state"], e)), merged), 1)
 
+    return F.aggregate(events, start, step)
 
-def event_actions(
-    events: DataFrame, stored: DataFrame | None, key: str, rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """(key, seq, action, touched) of every event, and the final (key, present, lm0, ev0).
 
-    ``touched`` lists the places of the columns an event sets; it only passes through.
-    """
-    micros = [F.unix_micros(c).alias(c) for c in ("lm", "ev")]
+def _left(events: Column) -> Column:
+    """The state that events leave which begin without a row."""
+    return F.aggregate(events, _absent(), lambda s, e: _step(s, e)["state"])
+
+
+def runs_of(events: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, run, events, figures): consecutive events of a key, with what decides on a state they pass on."""
     names = events.schema["set"].dataType.names
-    touched = F.array_compact(F.array(*[F.when(F.col("set")[n].isNotNull(), i) for i, n in enumerate(names)]))
-    control = events.select(F.col(key).alias("key"), "seq", "kind", *micros, touched.cast("array<int>").alias("touched"))
-    cut = segment(control, ["key"], ["seq"], rows)
-    key_type = cut.schema["key"].dataType.simpleString()
-    seq_type = cut.schema["seq"].dataType.simpleString()
-
-    runs = cut.select("key", SEGMENT, "kind", "lm", "ev").mapInArrow(
-        _summarise, f"key {key_type}, {SEGMENT} int, run string"
+    control = events.select(
+        F.col(key).alias("key"), "seq", "kind", F.unix_micros("lm").alias("lm"), F.unix_micros("ev").alias("ev"),
+        F.array(*[F.col("set")[n].isNotNull() for n in names]).alias("touched"),
+    )
+    parts = max(1, math.ceil(events.count() / rows))
+    # Written with the number of its run, which comes from sampled bounds.
+    cut = cut_lineage(control.repartitionByRange(parts, "key", "seq").withColumn(RUN, F.spark_partition_id()))
+    kind, writes = F.col("kind"), F.col("kind").isin(UPDATE, CREATE)
+    runs = cut.groupBy("key", RUN).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "kind", "lm", "ev", "touched"))).alias("events"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(kind == CREATE).alias("creates"),
+        F.count_if(kind.isin(CREATE, BARE_CREATE)).alias("inserts"),
+        F.max(F.when(writes, F.coalesce("lm", F.lit((1 << 63) - 1)))).alias("top_lm"),
+        F.max(F.when(kind == DELETE, F.coalesce("ev", F.lit(-(1 << 63))))).alias("top_delete"),
+        F.max(F.when(kind == CREATE, F.coalesce("ev", F.lit(0)))).alias("top_create"),
     )
+    tail = F.when(F.size("events") > TAIL, F.slice("events", -TAIL, TAIL)).otherwise(F.col("events"))
+    return cut_lineage(runs.withColumn("guess", _left(tail)))
+
+
+def _beyond(time: int | None, top: int | None) -> bool:
+    """Whether no event up to ``top`` (None: there is none) is accepted by a row of this time."""
+    return top is None or (time is not None and time > top)
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """Per run of one key the state it is entered with and how it was dealt with."""
+    rows = sorted(table.to_pylist(), key=lambda r: r[RUN])
+    state, out = rows[0]["start"], []
+    for r in rows:
+        entry = state
+        if entry == r["entry"]:
+            how, state = "folded", r["state"]
+        elif not entry["present"] and not r["inserts"]:
+            how = "passed"
+        elif entry["present"] and _beyond(entry["lm"], r["top_lm"]) and _beyond(entry["ev"], r["top_delete"]):
+            how = "passed"
+            if r["creates"]:
+                state = {**entry, "ev": max(entry["ev"] or 0, r["top_create"])}
+        else:
+            how, state = "again", r["state"]
+        out.append((r["key"], r[RUN], entry, how, state))
+    kind = pa.struct([("present", pa.bool_()), ("lm", pa.int64()), ("ev", pa.int64())])
+    types = [table.schema.field("key").type, pa.int32(), kind, pa.string(), kind]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("key", RUN, "entry", "how", "left"), zip(*out, strict=True), types, strict=True)})
+
+
+def folded_runs(runs: DataFrame, stored: DataFrame | None, key: str, columns: int) -> DataFrame:
+    """Per run what it did to the row it is entered with (``state``, counters, ``since``, ``q0..``)."""
+    in_key = Window.partitionBy("key").orderBy(RUN)
+    heads = runs.select("key", RUN, "guess")
     if stored is None:
-        runs = runs.selectExpr("*", "false _stored", "cast(null as bigint) _lm", "cast(null as bigint) _ev")
+        heads = heads.withColumn("start", _absent())
     else:
-        start = stored.select(
-            F.col(key).alias("key"),
-            "_stored",
-            F.unix_micros("_lm").alias("_lm"),
-            F.unix_micros("_ev").alias("_ev"),
-        )
-        runs = runs.join(start, "key", "left").fillna(False, ["_stored"])
-    walked = cut_lineage(
-        runs.groupBy("key").applyInArrow(
-            _walk, f"key {key_type}, {SEGMENT} int, present boolean, lm0 bigint, ev0 bigint"
-        )
-    )
-    entries = small_side(walked.where(F.col(SEGMENT) != FINAL), walked.count())
-    # A broadcast join keeps the segments in order; a shuffled one is sorted again here.
-    actions = (
-        cut.join(entries, ["key", SEGMENT])
-        .select("key", SEGMENT, "seq", "kind", "lm", "ev", "present", "lm0", "ev0", "touched")
-        .sortWithinPartitions("key", SEGMENT, "seq")
-        .mapInArrow(_replay, f"key {key_type}, seq {seq_type}, action string, touched array<int>")
-    )
-    final = walked.where(F.col(SEGMENT) == FINAL).drop(SEGMENT)
-    return actions, final
+        start = _state(F.lit(True), F.unix_micros("_lm"), F.unix_micros("_ev"))
+        first = small_side(stored.select(F.col(key).alias("key"), start.alias("start")), stored.count())
+        heads = heads.join(first, "key", "left").withColumn("start", F.coalesce("start", _absent()))
+    todo = heads.select("key", RUN, "start", F.coalesce(F.lag("guess").over(in_key), F.col("start")).alias("entry"))
+    done = None
+    while True:
+        found = runs.drop("guess").join(todo, ["key", RUN]).withColumn("x", _folded(F.col("events"), F.col("entry"), columns))
+        new = cut_lineage(found.drop("events").select("*", "x.*").drop("x"))
+        done = new if done is None else cut_lineage(done.join(new, ["key", RUN], "left_anti").unionByName(new))
+        met = F.coalesce(F.lag("state").over(in_key), F.col("start"))
+        wrong = done.select("key", met.alias("met"), "entry").where(~F.col("met").eqNullSafe(F.col("entry"))).select("key").distinct()
+        if wrong.isEmpty():
+            return done
+        key_type = done.schema["key"].dataType.simpleString()
+        narrow = done.join(wrong, "key", "left_semi").select("key", RUN, "start", "entry", "state", "inserts", "creates", "top_lm", "top_delete", "top_create")
+        walked = cut_lineage(narrow.groupBy("key").applyInArrow(_walk, f"key {key_type}, {RUN} int, entry {_STATE}, how string, left {_STATE}"))
+        again = walked.where("how = 'again'")
+        if again.isEmpty():
+            return _with_passed(done, walked, columns)
+        # A key's later guesses follow the walk; they are held against the outcome in the next round.
+        todo = again.select("key", RUN, "entry").join(done.select("key", RUN, "start"), ["key", RUN])
+
+
+def _with_passed(done: DataFrame, walked: DataFrame, columns: int) -> DataFrame:
+    """The runs of walked keys that passed a state on, in place of what they did to their guess."""
+    passed = walked.where("how = 'passed'").select("key", RUN, F.col("entry").alias("_entry"), F.col("left").alias("_left"))
+    both = done.join(passed, ["key", RUN], "left")
+    on = F.col("_entry").isNotNull()
+    stale = F.when(F.col("_entry.present"), F.col("creates")).otherwise(0)
+    as_passed = {c: F.lit(0).cast("bigint") for c in COUNTERS} | {"stale": stale.cast("bigint"), "ignored": (F.col("n") - stale).cast("bigint")}
+    as_passed |= {c: F.lit(None).cast("bigint") for c in ("since", *[f"q{i}" for i in range(columns)])} | {"state": F.col("_left")}
+    return both.withColumns({c: F.when(on, v).otherwise(F.col(c)) for c, v in as_passed.items()}).drop("_entry", "_left")
 
 
 def fold_segments(
@@ -237,38 +193,29 @@ def fold_segments(
 ) -> DataFrame:
     """(key, s): the same state column as the array fold gives for smaller keys."""
     events = cut_lineage(events)
-    actions, final = event_actions(events, stored, key, segment_rows)
-    action = F.col("action")
-    wrote = action.isin("inserted", "updated")
+    done = folded_runs(runs_of(events, key, segment_rows), stored, key, len(fields))
+    setters = [f"q{i}" for i in range(len(fields))]
     per_key = cut_lineage(
-        actions.groupBy("key").agg(
-            F.max(F.when(action.isin("inserted", "deleted"), F.col("seq"))).alias("since"),
-            *[F.count_if(action == c).cast("bigint").alias(c) for c in COUNTERS],
-            *[
-                F.max(F.when(wrote & F.array_contains("touched", i), F.col("seq"))).alias(f"_q{i}")
-                for i in range(len(fields))
-            ],
+        done.groupBy("key").agg(
+            F.max_by("state", RUN).alias("state"), F.max("since").alias("since"),
+            *[F.sum(c).cast("bigint").alias(c) for c in COUNTERS], *[F.max(q).alias(q) for q in setters],
         )
     )
     # A column set only before the last insert or delete counts as untouched.
-    written = [F.when(F.col("since").isNull() | (F.col(f"_q{i}") >= F.col("since")), F.col(f"_q{i}")) for i in range(len(fields))]
-    wanted = per_key.select("key", *[w.alias(f"_q{i}") for i, w in enumerate(written)])
+    written = [F.when(F.col("since").isNull() | (F.col(q) >= F.col("since")), F.col(q)).alias(q) for q in setters]
+    wanted = per_key.select("key", *written)
     rows = events.select(F.col(key).alias("key"), "seq", "set").join(small_side(wanted, per_key.count()), "key")
-    rows = rows.where(F.array_contains(F.array(*[f"_q{i}" for i in range(len(fields))]), F.col("seq")))
+    rows = rows.where(F.array_contains(F.array(*setters), F.col("seq")))
     last = rows.groupBy("key").agg(
-        *[
-            F.max_by(F.col("set")[f.name], F.when(F.col("seq") == F.col(f"_q{i}"), F.col("seq"))).alias(f"_v{i}")
-            for i, f in enumerate(fields)
-        ]
+        *[F.max_by(F.col("set")[f.name], F.when(F.col("seq") == F.col(q), F.col("seq"))).alias(f"_v{i}") for i, (f, q) in enumerate(zip(fields, setters, strict=True))]
     )
-    joined = final.join(per_key.select("key", "since", *COUNTERS), "key").join(last, "key", "left")
     # One row per hot key, read by two branches of the plan: worth keeping.
-    return cut_lineage(joined.select(
+    return cut_lineage(per_key.join(last, "key", "left").select(
         F.col("key").alias(key),
         F.struct(
-            "present",
-            F.timestamp_micros("lm0").alias("lm"),
-            F.timestamp_micros("ev0").alias("ev"),
+            F.col("state.present").alias("present"),
+            F.timestamp_micros("state.lm").alias("lm"),
+            F.timestamp_micros("state.ev").alias("ev"),
             F.col("since").isNotNull().alias("reset"),
             F.struct(*[F.col(f"_v{i}").alias(f.name) for i, f in enumerate(fields)]).alias("vals"),
             *COUNTERS,

@@ -74,6 +74,21 @@ def in_order(df: DataFrame, name: str = "place") -> DataFrame:
     return numbered.join(offsets, part == F.col("_part")).select(*df.columns, place.alias(name))
 
 
+def numbered_in(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """The rows with their position in their group, from 0, for groups of any size without nulls in their keys.
+
+    Rows are dealt out by range, written with the number of their part, and numbered inside it;
+    a group's offset in a part comes from one row per group and part.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    offsets = sizes.select(*keys, "_part", before.alias("_before"))
+    placed = dealt.withColumn("_place", place).join(offsets, [*keys, "_part"])
+    return placed.select(*df.columns, (F.col("_before") + F.col("_place") - 1).alias(name))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

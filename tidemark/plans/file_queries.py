@@ -13,7 +13,7 @@ from tidemark.sources.store import row_count
 
 #: The documents are small, so a smaller byte limit than the usual one makes both limits bind.
 BYTES = 40_000
-#: Small enough for one root's files to need several segments.
+#: Small enough for one root's files to need several blocks.
 SEGMENT_FILES = 300
 
 _FILES = "SELECT source AS root, '/'||source||'/'||lpad(CAST(doc_id AS VARCHAR),12,'0') AS path, strlen(text) AS size, doc_id FROM documents"
@@ -46,7 +46,7 @@ def file_batches(spark, sf_dir):
 @query("file_batches_of_one_root", "B1 O10", _plan_sql(_ONE_ROOT, _PLAN_TAIL))
 def file_batches_of_one_root(spark, sf_dir):
     files = V.files(spark, sf_dir).withColumn("root", F.lit("/")).drop("file_name")
-    return B.plan_batches(files, max_bytes=BYTES, segment_rows=SEGMENT_FILES)
+    return B.plan_batches(files, max_bytes=BYTES, block_rows=SEGMENT_FILES)
 
 
 @query(
