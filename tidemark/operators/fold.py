@@ -12,8 +12,9 @@ last-modified and last-event times):
 * everything else changes nothing.
 
 Keys with a bounded number of events are folded inside one array expression, so the
-events are shuffled once. The events of larger keys are cut into segments and folded in
-parallel (``tidemark.operators.hot_fold``). Both give the same rows.
+events are shuffled once; where a batch neither deletes nor misses a time, by a running maximum
+instead (``tidemark.operators.plain_fold``). The events of larger keys are cut into runs and
+folded in parallel (``tidemark.operators.hot_fold``). All give the same rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.columns import CREATE_LIKE, KEY, LAST_EVENT, LAST_MODIFIED, pinned
+from tidemark.operators.plain_fold import fold_plain, is_plain
 from tidemark.operators.skew import GROUP_LIMIT, SEGMENT_ROWS, on_keys, split_hot
 from tidemark.session import cut_lineage
 
@@ -171,6 +173,7 @@ def fold(
     key: str = KEY,
     limit: int = GROUP_LIMIT,
     segment_rows: int = SEGMENT_ROWS,
+    plain: bool | None = None,
 ) -> DataFrame:
     """Outcome per key that has a mutation or a stored row.
 
@@ -179,12 +182,15 @@ def fold(
 
     ``seq`` is unique within a key. The mutations are read twice: a pass over the keys that
     counts their events, and the fold; a caller whose mutations are costly to compute
-    persists them or writes them out first.
+    persists them or writes them out first. ``plain`` says whether all of them set columns at
+    known times, and only then may be true; by default the first pass finds out.
     """
     fields = value_columns(mutations)
     names = [f.name for f in fields]
     events = prepare(mutations.where(F.col(key).isNotNull()), key)
-    cold, hot, hot_keys = split_hot(events, [key], limit)
+    fine = is_plain(F.col("kind"), F.col("lm"), UPDATE, CREATE)
+    cold, hot, hot_keys, all_fine = split_hot(events, [key], limit, fine)
+    plain = all_fine if plain is None else plain
     stored = target.select(
         key,
         F.col(LAST_MODIFIED).cast("timestamp").alias("_lm"),
@@ -199,6 +205,11 @@ def fold(
         stored_hot = cut_lineage(on_keys(stored, hot_keys, [key], "left_semi"))
         stored = on_keys(stored, hot_keys, [key], "left_anti")
 
+    if plain:
+        outcome = fold_plain(cold, stored, key, fields, CREATE)
+        if hot is None:
+            return outcome
+        return outcome.unionByName(_finish(_hot(hot, stored_hot, key, fields, segment_rows), key, names, stored is not None))
     per_key = cold.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("seq", "kind", "lm", "ev", "set"))).alias("_events")
     )
@@ -220,12 +231,14 @@ def fold(
     if hot is None:
         return _finish(folded, key, names, stored is not None)
 
+    return _finish(folded.unionByName(_hot(hot, stored_hot, key, fields, segment_rows)), key, names, stored is not None)
+
+
+def _hot(hot: DataFrame, stored_hot: DataFrame | None, key: str, fields: list[T.StructField], segment_rows: int) -> DataFrame:
     from tidemark.operators.hot_fold import fold_segments
 
-    hot_folded = fold_segments(hot, stored_hot, key, fields, segment_rows)
-    if stored_hot is not None:
-        hot_folded = hot_folded.join(stored_hot.drop("_lm", "_ev", "_stored"), key, "left")
-    return _finish(folded.unionByName(hot_folded), key, names, stored is not None)
+    folded = fold_segments(hot, stored_hot, key, fields, segment_rows)
+    return folded if stored_hot is None else folded.join(stored_hot.drop("_lm", "_ev", "_stored"), key, "left")
 
 
 def cold_type(per_key: DataFrame) -> T.ArrayType:
@@ -256,9 +269,10 @@ def apply_mutations(
     key: str = KEY,
     limit: int = GROUP_LIMIT,
     segment_rows: int = SEGMENT_ROWS,
+    plain: bool | None = None,
 ) -> DataFrame:
     """The target's rows after the mutations."""
-    out = fold(mutations, target, key, limit, segment_rows)
+    out = fold(mutations, target, key, limit, segment_rows, plain)
     return out.where("present").drop("present", *COUNTERS)
 
 

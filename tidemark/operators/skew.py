@@ -26,18 +26,20 @@ SEGMENT = "_segment"
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
-) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(rows of groups within the limit, rows of larger groups, keys of those).
+    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, test: Column | None = None
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
+    """(rows of groups within the limit, rows of larger groups, keys of those, whether ``test`` holds for all rows).
 
-    The last two are None when every group is within the limit.
+    The second and third are None when every group is within the limit.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-    if hot.isEmpty():
-        return df, None, None
-    hot = cut_lineage(hot)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.lit(True) if test is None else test).alias("_fine"))
+    figures = sizes.agg(F.max("_n").alias("most"), F.min("_fine").alias("fine")).first()
+    fine = figures.fine is not False
+    if (figures.most or 0) <= limit:
+        return df, None, None, fine
+    hot = cut_lineage(sizes.where(F.col("_n") > limit).select(*keys))
     hot = small_side(hot, hot.count())
-    return on_keys(df, hot, keys, "left_anti"), on_keys(df, hot, keys, "left_semi"), hot
+    return on_keys(df, hot, keys, "left_anti"), on_keys(df, hot, keys, "left_semi"), hot, fine
 
 
 def on_keys(df: DataFrame, some: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -105,7 +107,7 @@ def running(
     A window spills, so groups of up to ``limit`` rows are left to one.
     """
     end = 0 if inclusive else -1
-    cold, hot, _ = split_hot(df, keys, limit) if keys else (None, df, None)
+    cold, hot, _, _ = split_hot(df, keys, limit) if keys else (None, df, None, True)
     if not keys and df.count() <= limit:
         cold, hot = df, None
     aggregate = {"sum": F.sum, "max": F.max}

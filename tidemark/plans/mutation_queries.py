@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import fold as K
+from tidemark.operators.plain_fold import accept_flags, last_accepted
 from tidemark.operators.skew import running
 from tidemark.operators.snapshot import upsert_snapshot
 from tidemark.plans import views as V
@@ -185,16 +186,6 @@ def mutation_kinds(spark, sf_dir):
     )
 
 
-def accept_flags(mutations: DataFrame, **limits: int) -> DataFrame:
-    """Whether each mutation is accepted, where there are no deletes and no missing times.
-
-    Accepted means not older than any earlier mutation of its key (W2).
-    """
-    us = mutations.withColumn("lm_us", F.unix_micros("lm"))
-    out = running(us, ["sfid"], ["seq"], {"newest": ("max", F.col("lm_us"))}, inclusive=False, **limits)
-    return out.withColumn("accepted", F.col("newest").isNull() | (F.col("lm_us") >= F.col("newest")))
-
-
 _FLAGS = f"""
 SELECT *, coalesce(lm >= max(lm) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted
 FROM ({{m}}) WHERE t <> 'DELETE'
@@ -219,13 +210,33 @@ def accept_flags_hot(spark, sf_dir):
         FROM ({_FLAGS.format(m=PLAIN)}) WHERE accepted GROUP BY k""",
 )
 def last_accepted_values(spark, sf_dir):
-    m = V.mutations(spark, sf_dir).where("change_type <> 'DELETE'")
-    kept = accept_flags(m).where("accepted")
-    touched = F.when(F.array_contains("target_fields", "props"), F.col("seq"))
-    return kept.groupBy("sfid").agg(
-        F.max_by("vals.value", "seq").alias("value"), F.max_by("vals.props", touched).alias("props"),
-        F.max("lm_us").alias("lm_us"),
-    )
+    return last_accepted(V.mutations(spark, sf_dir).where("change_type <> 'DELETE'"))
+
+
+#: Batches without deletes and missing times: the one kind in which every event sets something.
+UNDELETED = f"SELECT * FROM ({PLAIN}) WHERE t <> 'DELETE'"
+
+
+@query("plain_fold_rows", "W2 W3 K3 K5", fold_sql(UNDELETED, tail=ROWS_TAIL))
+def plain_fold_rows(spark, sf_dir):
+    """Folded by running maxima, as nothing in the batch deletes or misses a time."""
+    return _rows(K.apply_mutations(V.mutations(spark, sf_dir).where("change_type <> 'DELETE'"), plain=True))
+
+
+@query("plain_fold_over_stored_rows", "W2 W3 K3 K6 J3", fold_sql(UNDELETED, STORED, ROWS_TAIL))
+def plain_fold_over_stored(spark, sf_dir):
+    return _rows(K.apply_mutations(V.mutations(spark, sf_dir).where("change_type <> 'DELETE'"), V.customer_rows(spark, sf_dir)))
+
+
+@query("plain_fold_counts", "W2 A9 K6", fold_sql(UNDELETED, STORED, COUNTS_TAIL))
+def plain_fold_counts(spark, sf_dir):
+    return K.mutation_counts(K.fold(V.mutations(spark, sf_dir).where("change_type <> 'DELETE'"), V.customer_rows(spark, sf_dir)))
+
+
+@query("plain_fold_hot_key", "W2 W3 K3", fold_sql(f"SELECT * FROM ({SKEWED}) WHERE t <> 'DELETE'", tail=ROWS_TAIL))
+def plain_fold_hot_key(spark, sf_dir):
+    m = V.skewed_mutations(spark, sf_dir).where("change_type <> 'DELETE'")
+    return _rows(K.apply_mutations(m, limit=HOT_LIMIT, segment_rows=HOT_LIMIT))
 
 
 @query(
