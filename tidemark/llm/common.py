@@ -91,12 +91,13 @@ def carry(spark: SparkSession, value: Any, slot: str) -> Callable[[], Any]:
     A worker keeps the last value of a slot, whatever the number of tasks it runs.
     """
     held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: last_state(slot, key, lambda: pickle.loads(held.value))
 
-    def get() -> Any:
-        kept = vars(sys.modules["__main__"]).setdefault("_tidemark_state", {})
-        if kept.get(slot, (None, None))[0] != key:
-            kept.pop(slot, None)
-            kept[slot] = key, pickle.loads(held.value)
-        return kept[slot][1]
 
-    return get
+def last_state(slot: str, key: str, make: Callable[[], Any]) -> Any:
+    """An object of the Python worker; only the last one of a slot is kept."""
+    kept = vars(sys.modules["__main__"]).setdefault("_tidemark_state", {})
+    if kept.get(slot, (None, None))[0] != key:
+        kept.pop(slot, None)
+        kept[slot] = key, make()
+    return kept[slot][1]

@@ -6,9 +6,10 @@ at every word, the longest run ending there that occurs in some item. A run of a
 ``window`` words is read off the state. Only runs of words that occur in the items are
 streamed, as any other word brings the automaton back to its root.
 
-Items are taken in blocks of at most ``block_words`` words (a longer item is a block of its
-own); each block is one automaton, broadcast because its size is bounded, and all documents
-pass all blocks one after the other without a shuffle.
+Distinct items are taken in blocks by a running sum of their words, so a block holds less than
+``block_words`` words and one item more. Each block is one automaton, built in a task and
+written to the shared folder; the driver holds the files' names. All documents pass all blocks
+without a shuffle, a worker holding one automaton at a time.
 
 Defined results: a null or empty text has no words and no hit; an item without words never
 occurs; items with equal ids count once, a null id as the text ``null``; repeated documents
@@ -18,8 +19,9 @@ whatever their names.
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,8 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import boxed, read_table
+from tidemark.llm.common import ascii_lower, boxed, file_system, last_state, new_folder, read_table
 from tidemark.llm.registry import query
+from tidemark.operators.skew import running
+from tidemark.session import cut_lineage
 
 WINDOW = 10
 #: Words of the items in one automaton.
@@ -41,6 +45,8 @@ MAX_COVERAGE = 0.5
 #: Lower-cases A-Z and turns every other ASCII character that is not alphanumeric into a space.
 FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
+#: A word of a text whose A-Z are in lower case, as the fold leaves it.
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 class Automaton:
@@ -147,48 +153,77 @@ class Automaton:
         return spans, items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """One automaton per block of items; a block's items are all that the driver holds."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = items.select(F.sum(F.length(F.regexp_replace("text", "[^ \\n]+", "")) + 1).alias("n")).first()
-    blocks = max(1, math.ceil((sized.n or 0) / block_words))
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = sorted((r.item_id, r.text) for r in block.collect())
-        yield Automaton([(i, t.encode().translate(FOLD).split()) for i, t in rows], window)
+def automata(benchmark: DataFrame, folder: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Files of the automata of all blocks of items, in the order of the items."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)).cast("long")
+    items = cut_lineage(items.distinct().withColumn("n", n).where("n > 0"))
+    before = running(items, [], ["item_id", "text"], {"before": ("sum", F.col("n"))}, inclusive=False)
+    blocks = before.select(F.floor(F.coalesce("before", F.lit(0)) / block_words).alias("block"), "item_id", "text")
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+        machine = Automaton([(i, t.encode().translate(FOLD).split()) for i, t in rows], window)
+        system, root = file_system(folder)
+        system.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.automaton"
+        with system.open_output_stream(f"{root}/{name}") as sink:
+            sink.write(pickle.dumps(vars(machine)))
+        return pa.table({"block": table["block"].slice(0, 1), "file": [name]})
+
+    # A file that a lost task left behind is not listed.
+    built = cut_lineage(blocks.groupBy("block").applyInArrow(build, "block long, file string"))
+    return [r.file for r in built.orderBy("block").collect()]
+
+
+def opened(folder: str, file: str) -> Automaton:
+    """An automaton from its file; a worker keeps the last one."""
+
+    def read() -> Automaton:
+        system, root = file_system(folder)
+        machine = Automaton.__new__(Automaton)
+        with system.open_input_stream(f"{root}/{file}") as source:
+            vars(machine).update(pickle.loads(source.read()))
+        return machine
+
+    return last_state("automaton", file, read)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``_row`` (all columns of the documents), ``n_words``, ``hits`` (word spans) and ``items``."""
     spark = docs.sparkSession
     text_at = docs.columns.index("text")
+    folder = new_folder(spark, "automata")
+    files = automata(benchmark, folder, window, block_words)
     out = docs.select(
         boxed(docs), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"), F.array().cast("array<string>").alias("items")
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
-    for automaton in automata(benchmark, window, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = shared.value
-            for batch in batches:
-                counts, hits, items = [], [], []
-                texts = batch[0].field(text_at).cast(pa.string()).cast(pa.binary()).to_pylist()
-                for text, spans, names in zip(texts, batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
-                    found = (text or b"").translate(FOLD).split()
-                    new, now = machine.search(found) if found else ([], set())
-                    counts.append(len(found))
-                    hits.append(union([[s["start"], s["end"]] for s in spans] + new) if spans else new)
-                    items.append(sorted(now.union(names)))
-                columns = [
-                    batch[0], pa.array(counts, pa.int64()),
-                    pa.array([[{"start": s, "end": e} for s, e in h] for h in hits], batch.schema.field("hits").type),
-                    pa.array(items, batch.schema.field("items").type),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = out.mapInArrow(run, schema)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch[0].field(text_at).cast(pa.string()).cast(pa.binary())
+            counts = [0] * batch.num_rows
+            hits: list[list[list[int]]] = [[] for _ in counts]
+            items: list[set[str]] = [set() for _ in counts]
+            for place, file in enumerate(files or [None]):
+                machine = opened(folder, file) if file else None
+                for i in range(batch.num_rows):
+                    found = (texts[i].as_py() or b"").translate(FOLD).split()
+                    if not place:
+                        counts[i] = len(found)
+                    if found and machine:
+                        new, now = machine.search(found)
+                        hits[i] = union(hits[i] + new) if hits[i] and new else hits[i] or new
+                        items[i] |= now
+            columns = [
+                batch[0], pa.array(counts, pa.int64()),
+                pa.array([[{"start": s, "end": e} for s, e in h] for h in hits], batch.schema.field("hits").type),
+                pa.array([sorted(names) for names in items], batch.schema.field("items").type),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return out.mapInArrow(run, schema)
 
 
 def union(spans: list[list[int]]) -> list[list[int]]:
