@@ -179,8 +179,11 @@ def test_signatures_and_parity_bound():
     assert apart <= len(np.setxor1d(a, b))
 
 
-def test_slices_keep_all_rows():
-    batch = pa.record_batch([pa.array(range(2 * near_dedup.SLICE_ROWS + 1))], names=["doc_id"])
-    cut = list(near_dedup.slices(iter([batch, batch.slice(0, 0), batch.slice(0, 5)])))
-    assert max(b.num_rows for b in cut) == near_dedup.SLICE_ROWS
-    assert [i for b in cut for i in b[0].to_pylist()] == [*range(batch.num_rows), *range(5)]
+def test_slices_keep_all_rows(monkeypatch):
+    monkeypatch.setattr(near_dedup, "SLICE_BYTES", 100)
+    texts = ["a b", None, "", "c " * 90, "d e f g"] * 30
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    cut = list(near_dedup.slices(iter([batch.slice(3), batch.slice(0, 0), batch.slice(0, 3)]), 3))
+    assert [i for ids, _ in cut for i in ids.to_pylist()] == [*range(3, len(texts)), *range(3)]
+    assert all(sum(len(texts[i] or "") for i in ids.to_pylist()) <= 100 or len(ids) == 1 for ids, _ in cut)
+    assert [len(s) for _, sets in cut for s in sets] == [len(near_dedup.shingle_set((t or "").encode(), 3)) for t in texts[3:] + texts[:3]]

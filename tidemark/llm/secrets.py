@@ -74,14 +74,15 @@ SLACK = 0.1
 #: Natural log of the likelihood ratio per symbol over ordinary tokens.
 MARGIN = 0.25
 #: Natural log of the odds against a mixed token being a secret, which its whole likelihood ratio has to beat.
-ODDS = 14.0
+ODDS = 13.0
 
-#: Parts of an ordinary token: words in capitals, other words, numbers, and the marks between.
-_PART = re.compile(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+)|([0-9]+)|([+/_=-])")
+#: Parts of an ordinary token: the marks between (among them an x for "times"), words in capitals,
+#: other words, and numbers.
+_PART = re.compile(r"(?P<mark>[+/_=-]|(?<=[0-9])[xX](?=[0-9]))|(?P<word>[A-Z]+(?![a-z])|[A-Z]?[a-z]+)|(?P<number>[0-9]+)")
 #: Chances that an ordinary token goes on after a part, that this is at a mark, that a number or a
 #: new word goes on, and that a word is new: of any letters, unlike those the automaton was inferred from.
 GOES_ON, AT_MARK, LONGER, NEW_WORD = 0.25, 0.5, 0.8, 0.1
-_MARKS = 5
+_MARKS = 6
 
 
 class Grammar:
@@ -193,15 +194,19 @@ class Ordinary:
     """Likelihood of tokens as chains of words and numbers."""
 
     def __init__(self, tokens: Iterable[str]) -> None:
-        words = sorted({m[1].lower() for t in tokens for m in _PART.finditer(t) if m[1]})
+        words = sorted({m["word"].lower() for t in tokens for m in _PART.finditer(t) if m["word"]})
         self.words = Grammar(words) if words else None
+        # Letters of a new word are half as in the known ones, half any.
+        known = self.words.symbol if self.words else {}
+        self.letters = {c: math.log(LONGER * (0.5 * n + 0.5 / 26)) for c, n in known.items()}
+        self.rare = math.log(LONGER * 0.5 / 26)
         self.known: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         """One of three spellings of a word: small, with a capital, in capitals."""
         if word not in self.known:
             low = word.lower()
-            log = math.log(NEW_WORD * (1 - LONGER) / LONGER) + len(low) * math.log(LONGER / 26)
+            log = math.log(NEW_WORD * (1 - LONGER) / LONGER) + sum([self.letters.get(c, self.rare) for c in low])
             if self.words:
                 known = math.log(1 - NEW_WORD) + self.words.log(low)
                 log = max(log, known) + math.log1p(math.exp(-abs(log - known)))
@@ -214,14 +219,17 @@ class Ordinary:
         """Natural log of the likelihood per symbol, the end being one."""
         total, joined = 0.0, True
         for m in _PART.finditer(token):
-            if m[3]:
+            if m["mark"]:
                 total += math.log(GOES_ON * AT_MARK / _MARKS)
                 joined = True
                 continue
             if not joined:
                 total += math.log(GOES_ON * (1 - AT_MARK))
             total += math.log(0.5)
-            total += self.word(m[1]) if m[1] else -len(m[2]) * math.log(10) + (len(m[2]) - 1) * math.log(LONGER) + math.log(1 - LONGER)
+            if m["word"]:
+                total += self.word(m["word"])
+            else:
+                total += math.log((1 - LONGER) / LONGER) + len(m["number"]) * math.log(LONGER / 10)
             joined = False
         return (total + math.log(1 - GOES_ON)) / (len(token) + 1)
 

@@ -77,6 +77,9 @@ class WordEncoder:
     def _pack(self, ids: Iterable[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
+
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text; words new to the worker are learned together."""
         whole = [not self.by_word or any(m in t for m in self.marks) for t in texts]
