@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import carry, read_table
+from tidemark.llm.common import carry, join_counted, read_table
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -227,7 +227,7 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, block_bytes:
     blocks = block_table(docs, block_bytes)
     listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("i", "x"))
     counted = listed.select("block", "i", F.col("x.words").alias("word"), F.col("x.train").alias("c"))
-    words = cut_lineage(counted.groupBy("word").agg(F.sum("c").alias("c")))
+    words = cut_lineage(counted.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("_n")))
     totals = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     tokens, distinct = totals.n or 0, totals.v or 0
     shared = carry(spark, train(spark, words, Vocabulary(vocabulary or default_vocabulary())), "lattice")
@@ -236,10 +236,11 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, block_bytes:
         lattice = shared()
         for batch in batches:
             logs = [lattice.score(w) for w in batch[0].to_pylist()]
-            yield pa.record_batch([batch[0], batch[1], pa.array(logs, pa.float64())], names=["word", "c", "log_p"])
+            yield pa.record_batch([batch[0], batch[1], batch[2], pa.array(logs, pa.float64())], names=["word", "c", "_n", "log_p"])
 
-    scored = words.mapInArrow(score, "word binary, c long, log_p double")
-    figures = counted.select("block", "i", "word").join(scored, "word").select("block", "i", "c", "log_p")
+    scored = cut_lineage(words.mapInArrow(score, "word binary, c long, _n long, log_p double"))
+    # A word of very many blocks meets its row in each of them, and not all in one task.
+    figures = join_counted(counted.select("block", "i", "word"), scored, ["word"]).select("block", "i", "c", "log_p")
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
         row = texts.slice(0, 1)

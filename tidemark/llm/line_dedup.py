@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, boxed, read_table
+from tidemark.llm.common import SPACES, boxed, join_counted, read_table
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -64,9 +64,10 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     The numbers grow with the keys: they are partition and place after a range sort.
     """
-    classes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    ranks = cut_lineage(classes.sort(*keys).select(*keys, F.monotonically_increasing_id().alias("rank")))
-    return rows.join(ranks, keys)
+    classes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ranks = cut_lineage(classes.sort(*keys).select(*keys, "_n", F.monotonically_increasing_id().alias("rank")))
+    # Rows of a very common line, or pair, stay where they are.
+    return join_counted(rows, ranks, keys)
 
 
 def _segments(lines: DataFrame, min_words: int) -> DataFrame:
@@ -126,8 +127,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     wide = cut_lineage(wide.join(tail, [*_DOC, "at", "h"]).select(*_DOC, "start", "length", "r1", "r2"))
     # One row per interval of several suffixes, with its first in the documents' order.
     place = F.struct(*_DOC, "start")
-    intervals = wide.groupBy("length", "r1", "r2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = wide.join(intervals, ["length", "r1", "r2"]).where(place != F.col("first"))
+    intervals = wide.groupBy("length", "r1", "r2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("_n"))
+    intervals = cut_lineage(intervals.where("first <> last").drop("last"))
+    later = join_counted(wide, intervals, ["length", "r1", "r2"]).where(place != F.col("first"))
     own = F.struct(*_DOC) == F.struct(*[F.col(f"first.{c}").alias(c) for c in _DOC])
     start = F.when(own, F.greatest(F.col("start"), F.col("first.start") + F.col("length"))).otherwise(F.col("start"))
     later = later.select(*_DOC, start.alias("a"), (F.col("start") + F.col("length") - 1).alias("b")).where("a <= b").distinct()

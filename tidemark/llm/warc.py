@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import file_system, new_folder, read_table
+from tidemark.llm.common import file_system, join_counted, new_folder, read_table
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
@@ -191,13 +191,14 @@ def parse_record(data: bytes) -> dict:
 
 
 def decide(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """(page_id, size, digest, first) of every distinct page and payload, without payloads."""
+    """(page_id, digest, refers_to) of the pages whose records revisit another's, without payloads."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     facts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("digest"))
-    facts = cut_lineage(facts.distinct())
-    shared = facts.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    # Only payloads that several pages have go through the join; a hot digest is one row there.
-    return facts.join(shared.where("n > 1").select("digest", "first"), "digest", "left")
+    facts = cut_lineage(facts.where(F.col("size") >= least).select("page_id", "digest").distinct())
+    shared = facts.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # Short payloads and those of one page aren't joined; pages of a hot digest stay where they are.
+    found = join_counted(facts, cut_lineage(shared), ["digest"])
+    return found.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_SHARED, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -205,10 +206,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_SHARED, arc
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    said = decide(pages, least).select(
-        F.col("page_id").alias("_page"), F.col("digest").alias("_digest"),
-        F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
-    )
+    said = decide(pages, least).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     same = rows["page_id"].eqNullSafe(said["_page"]) & (rows["digest"] == said["_digest"])
     joined = rows.join(said.hint("shuffle_hash"), same, "left").select("page_id", "url", "html", "digest", "refers_to")
 
