@@ -76,9 +76,8 @@ def test_several_incoming_rows_of_a_key(spark):
     stored = spark.createDataFrame([("a", "x", "old", "k")], "org_key string, obj string, v string, w string")
     new = spark.createDataFrame([("a", "x", "1", "p"), ("a", "x", "2", "q"), ("b", "y", "3", "r")], stored.schema)
     assert sorted(map(tuple, R.upsert(stored, new.coalesce(1), ["org_key", "obj"], ["w"]).collect())) == [("a", "x", "2", "k"), ("b", "y", "3", "r")]
-    merged = R.merge_attributes(
-        stored.select("org_key", "v", "w"), spark.createDataFrame([("a", "n1", "m1"), ("a", " ", "m2")], "org_key string, v string, w string").coalesce(1), "org_key"
-    )
+    updates = spark.createDataFrame([("a", 2, " ", "m2"), ("a", 1, "n1", "m1"), ("a", 0, "n0", None)], "org_key string, n int, v string, w string")
+    merged = R.merge_attributes(stored.select("org_key", "v", "w"), updates.repartition(3), "org_key", order="n")
     assert [tuple(r) for r in merged.collect()] == [("a", "n1", "m2")]
     heads = spark.createDataFrame([(1, "n", "d", "VERIFIED")], "id int, name string, description string, connection_status string")
     edits = spark.createDataFrame([(1, "n1", "d1"), (1, "n2", "d2")], "id int, name string, description string").coalesce(1)

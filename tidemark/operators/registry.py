@@ -208,23 +208,26 @@ def set_default(orgs: DataFrame, new_default: Column) -> DataFrame:
 
 def default_for_first(orgs: DataFrame, new_orgs: DataFrame) -> DataFrame:
     """Add organisations; the first one (by key) becomes default when none is."""
-    first = None if not orgs.where("is_default").isEmpty() else new_orgs.agg(F.min("org_key")).first()[0]
-    return orgs.unionByName(set_default(new_orgs, F.lit(first).cast("string")).select(*orgs.columns))
+    # Scalar subqueries of the one plan.
+    taken = orgs.agg(F.coalesce(F.max("is_default"), F.lit(False))).scalar()
+    first = new_orgs.agg(F.min("org_key")).scalar()
+    return orgs.unionByName(set_default(new_orgs, F.when(~taken, first)).select(*orgs.columns))
 
 
-def merge_attributes(stored: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+def merge_attributes(stored: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """New attributes over the stored ones; a blank new value keeps the stored one.
 
-    Updates of one key apply as they come: of each attribute the last value that isn't blank.
+    Updates of one key apply by ``order``; without it, a key has one update. Of each attribute
+    the last value that isn't blank counts.
     """
-    given = [c for c in updates.columns if c != key]
-    numbered = updates.withColumn("_order", F.monotonically_increasing_id())
-    last = [F.max(F.when(non_blank(F.col(c)).isNotNull(), F.struct("_order", F.col(c).alias("v"))))["v"].alias(c) for c in given]
-    o, n = stored.alias("o"), numbered.groupBy(key).agg(*last).alias("n")
+    given = [c for c in updates.columns if c not in (key, order)]
+    place = F.col(order) if order else F.lit(0)
+    last = [F.max_by(c, F.when(non_blank(F.col(c)).isNotNull(), place)).alias(c) for c in given]
+    o, n = stored.alias("o"), updates.groupBy(key).agg(*last).alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "left")
     names = [c for c in stored.columns if c != key]
     merged = [
-        (F.coalesce(non_blank(F.col(f"n.{c}")), F.col(f"o.{c}")) if c in updates.columns else F.col(f"o.{c}")).alias(c)
+        (F.coalesce(non_blank(F.col(f"n.{c}")), F.col(f"o.{c}")) if c in given else F.col(f"o.{c}")).alias(c)
         for c in names
     ]
     return joined.select(F.col(f"o.{key}").alias(key), *merged)
@@ -233,7 +236,7 @@ def merge_attributes(stored: DataFrame, updates: DataFrame, key: str) -> DataFra
 # -- filters and lookups ----------------------------------------------------------------
 
 
-def active_routes(routes: DataFrame, org: str | None = None) -> DataFrame:
+def active_routes(routes: DataFrame, org: str | Column | None = None) -> DataFrame:
     """Active routes in listing order (F1, O1)."""
     out = routes.where(F.col("routing_status") == "ACTIVE")
     if org is not None:
@@ -249,7 +252,7 @@ def recoverable_routes(routes: DataFrame) -> DataFrame:
     ).orderBy("org_name", "selected_object", F.desc("routing_protocol"), "org_key")
 
 
-def both_active(routes: DataFrame, org: str) -> DataFrame:
+def both_active(routes: DataFrame, org: str | Column) -> DataFrame:
     """One organisation's routes that are active on both sides."""
     on = (F.col("routing_status") == "ACTIVE") & (F.col("source_status") == "ACTIVE")
     return routes.where(on & (F.col("org_key") == org)).orderBy("selected_object", F.desc("routing_protocol"))
@@ -262,7 +265,7 @@ def skipped(routes: DataFrame) -> DataFrame:
     )
 
 
-def find_route(routes: DataFrame, org: str, obj: str, protocol: str) -> DataFrame:
+def find_route(routes: DataFrame, org: str | Column, obj: str | Column, protocol: str | Column) -> DataFrame:
     """The one route of a key."""
     return routes.where(
         (F.col("org_key") == org) & (F.col("selected_object") == obj) & (F.col("routing_protocol") == protocol)

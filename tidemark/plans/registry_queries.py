@@ -44,7 +44,7 @@ def active_routes(spark, sf_dir):
 )
 def active_routes_of_org(spark, sf_dir):
     routes = V.routes(spark, sf_dir)
-    org = routes.agg(F.min("org_key")).first()[0]
+    org = routes.agg(F.min("org_key")).scalar()
     return in_order(R.both_active(R.active_routes(routes, org), org).select(*_SHOWN))
 
 
@@ -72,8 +72,8 @@ def skipped_routes(spark, sf_dir):
 )
 def route_by_key(spark, sf_dir):
     routes = V.routes(spark, sf_dir)
-    first = routes.agg(F.min(F.struct(*R.ROUTE_KEY)).alias("k")).first()["k"]
-    return R.find_route(routes, *first).select(*_SHOWN)
+    first = routes.agg(F.min(F.struct(*R.ROUTE_KEY)).alias("k"))
+    return R.find_route(routes, *[first.select(f"k.{c}").scalar() for c in R.ROUTE_KEY]).select(*_SHOWN)
 
 
 _INCOMING = """
@@ -220,8 +220,7 @@ def release_unsynced_routes(spark, sf_dir):
 )
 def default_org(spark, sf_dir):
     orgs = V.routes(spark, sf_dir).select("org_key").distinct()
-    last = orgs.agg(F.max("org_key")).first()[0]
-    return R.set_default(orgs, F.lit(last))
+    return R.set_default(orgs, orgs.agg(F.max("org_key")).scalar())
 
 
 @query(
@@ -250,6 +249,23 @@ def merge_attributes(spark, sf_dir):
     return R.merge_attributes(c, new, "c_custkey")
 
 
+@query(
+    "merge_attributes_in_order", "K20",
+    """SELECT c_custkey, coalesce(s, c_name) AS name, coalesce(p, c_mktsegment) AS segment FROM customer
+       LEFT JOIN (SELECT o_custkey, max_by(o_orderstatus||o_orderkey, o_orderkey) FILTER (o_orderstatus <> 'P') AS s,
+         max_by(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'O') AS p FROM orders GROUP BY 1) ON o_custkey=c_custkey""",
+)
+def merge_attributes_in_order(spark, sf_dir):
+    """Every order as an update of its customer: several of one key, some of them blank or null."""
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey").cast("string")
+    new = V.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.when(status == "P", "  ").otherwise(F.concat(status, key)).alias("name"),
+        F.when(status == "O", F.col("o_orderpriority")).alias("segment"),
+    )
+    return R.merge_attributes(c, new, "c_custkey", order="o_orderkey")
+
+
 # -- lookups ----------------------------------------------------------------------------
 
 
