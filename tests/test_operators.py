@@ -232,3 +232,18 @@ def test_history_events(spark):
     heads = spark.createDataFrame([(1,), (2,)], "id int")
     got = S.test_events(heads, tests.withColumn("tested_at", at), "REGISTER").drop("tested_at").collect()
     assert {tuple(r) for r in got} == {(1, "REGISTER", True, None), (1, "REGISTER", False, "shut"), (2, "REGISTER", None, None)}
+
+
+def test_deep_pages_read_one_range(spark, tmp_path):
+    from tidemark.operators.order_index import index_order
+
+    rows = spark.range(5000).select(F.col("id"), (F.col("id") * 7919 % 5003).alias("k"), F.when(F.col("id") % 10 > 0, F.col("id") % 3).alias("g"))
+    order = [F.col("g").desc_nulls_first(), F.col("k").asc()]
+    index = index_order(rows, order, str(tmp_path / "listing"), range_rows=250)
+    want = [r.id for r in rows.orderBy(*order).collect()]
+    assert index.total().first().total == 5000
+    for page, size in ((1, 10), (251, 10), (500, 10), (7, 333), (501, 10), (16, 333), (1, 5000)):
+        assert [r.id for r in index.page(page, size).collect()] == want[(page - 1) * size : page * size]
+    assert len({f.split("_range=")[1].split("/")[0] for f in index.page(300, 10).inputFiles()}) == 1
+    none = index_order(rows.where("id < 0"), order, str(tmp_path / "none"))
+    assert none.page(1, 10).collect() == [] and none.total().first().total == 0

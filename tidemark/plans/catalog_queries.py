@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog as O
+from tidemark.operators.order_index import index_order
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
 
@@ -95,6 +97,38 @@ def search_total(spark, sf_dir):
     return O.search_page(V.objects(spark, sf_dir), "st", None, 1, 10)[1]
 
 
+#: Rows of a range that are few enough for the given tables to have several.
+RANGE_ROWS = 100
+
+
+def _deep(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """The page in the middle of a listing, and where it stands."""
+    index = index_order(rows, order, range_rows=RANGE_ROWS)
+    page = index.total().first().total // 2 // size + 1
+    return index.page(page, size).withColumn("page", F.lit(page).cast("bigint"))
+
+
+def _deep_sql(rows: str, order: str, size: int) -> str:
+    return f"""WITH d AS ({rows}), n AS (SELECT count(*) // 2 // {size} AS p FROM d)
+      SELECT * EXCLUDE (place, p), p + 1 AS page FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS place FROM d), n WHERE place // {size} = p"""
+
+
+@query("deep_search_page", "O4 O3", _deep_sql(f"SELECT id, name, label FROM ({V.OBJECTS_SQL}) o WHERE contains(lower(coalesce(label,'')), 'st') OR contains(lower(name), 'st')", f"{_SERVICE_ORDERS['LABEL_DESC']}, name", 20))
+def deep_search_page(spark, sf_dir):
+    return _deep(O.search(V.objects(spark, sf_dir), "st"), O.service_order("LABEL_DESC"), 20)
+
+
+@query("deep_status_page", "O7 O2", _deep_sql(f"{_O} SELECT * FROM j WHERE status='STREAMING'", f"{_LIST_ORDERS['LABEL_ASC']}, name", 10))
+def deep_status_page(spark, sf_dir):
+    return _deep(O.filter_status(_listing(spark, sf_dir), "STREAMING"), O.list_order("LABEL_ASC"), 10)
+
+
+@query("deep_page_of_items", "O4", _deep_sql("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem", "l_shipdate DESC, l_orderkey, l_linenumber", 50))
+def deep_page_of_items(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return _deep(rows, [F.col("l_shipdate").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()], 50)
+
+
 def _page_info_sql(size: int, page: int) -> str:
     return f"""SELECT total, pages, page, CASE WHEN total=0 THEN 0 ELSE least((page-1)*{size}, total)+1 END AS start_index,
       least(least((page-1)*{size}, total)+{size}, total) AS end_index,
