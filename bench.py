@@ -19,6 +19,8 @@ HEADLINE = (
     "guarded_fold_counts",
     "guarded_fold_over_stored_rows",
     "guarded_fold_hot_key",
+    "plain_fold_rows",
+    "store_applied",
     "accept_flags_hot_key",
     "change_feed_mutations",
     "change_feed_applied",
