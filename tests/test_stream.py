@@ -184,6 +184,23 @@ def test_routes_of_one_query_fail_and_recover_apart(spark, tmp_path):
     assert not list((tmp_path / "waiting").iterdir()) and spark.read.schema("route string").parquet(f"{out}/failed").count() == 0
 
 
+def test_a_running_route_applies_what_arrives(spark, tmp_path):
+    """The usual trigger: the query stays up, and files that arrive later are batches of their own."""
+    store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
+    feed = tmp_path / "feed"
+    write(feed, "1.json", [event(1, "a", "CREATE", 5, 5, Title="A")])
+    mutations = typed(normalize_changes(file_feed(spark, str(feed)), TYPES), TYPES)
+    query = start_route(mutations, store, str(tmp_path / "c"), name="live")
+    try:
+        query.processAllAvailable()
+        assert _stored(store) == {"a": "A"} and store.last_batch("live") == "live-0"
+        write(feed, "2.json", [event(2, "a", "UPDATE", 6, 6, Title="A2"), event(3, "b", "CREATE", 6, 6, Title="B")])
+        query.processAllAvailable()
+        assert query.isActive and _stored(store) == {"a": "A2", "b": "B"} and store.last_batch("live") == "live-1"
+    finally:
+        query.stop()
+
+
 def test_notice_stream_orders_by_type(spark, tmp_path):
     store = KeyedTable(spark, str(tmp_path / "t"), struct_type(FIELDS), buckets=2)
     feed = tmp_path / "f"
