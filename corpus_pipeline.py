@@ -47,18 +47,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = near_duplicates(docs, shingle=5, percent=80)
-    doc_id, text = docs["doc_id"].cast("long"), text_id(docs["text"])
+    judged = near_duplicates(docs, shingle=5, percent=80).withColumnsRenamed({"doc_id": "_doc", "text_id": "_text"})
     # A row is known by its id and its text, so rows that share an id are told apart.
-    gone = judged.where("not first").select(F.col("doc_id").alias("_gone"), F.col("text_id").alias("_text")).distinct()
-    left = docs.join(gone.hint("shuffle_hash"), (doc_id == F.col("_gone")) & (text == F.col("_text")), "left_anti")
+    same = ["_doc", "_text"]
+    keyed = docs.select(boxed(docs), docs["doc_id"].cast("long").alias("_doc"), text_id(docs["text"]).alias("_text"))
+    gone = judged.where("not first").select(*same).distinct()
+    left = keyed.join(gone.hint("shuffle_hash"), same, "left_anti")
     # Of a row that occurs more than once one stays, the least by its other columns.
-    again = judged.where("first and doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_again"), F.col("text_id").alias("_text"))
-    again = again.agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again", "_text")
-    same = (doc_id == F.col("_again")) & (text == F.col("_text"))
-    keyed = docs.select(boxed(docs), doc_id.alias("_d"), text.alias("_t")).join(again, (F.col("_d") == F.col("_again")) & (F.col("_t") == F.col("_text")), "left_semi")
-    one = keyed.groupBy("_d", "_t").agg(F.min("_row").alias("_row")).select(*unboxed(docs.columns))
-    return left.join(again, same, "left_anti").union(one)
+    again = judged.where("first and _doc is not null and n_shingles > 0").groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*same)
+    one = left.join(again, same, "left_semi").groupBy(*same).agg(F.min("_row").alias("_row"))
+    return left.join(again, same, "left_anti").select("_row").union(one.select("_row")).select(*unboxed(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
