@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidemark.columns import CREATE_LIKE, KEY, LAST_EVENT, LAST_MODIFIED, pinned
 from tidemark.operators.plain_fold import fold_plain, is_plain
-from tidemark.operators.skew import GROUP_LIMIT, SEGMENT_ROWS, on_keys, split_hot
+from tidemark.operators.skew import GROUP_LIMIT, SEGMENT_ROWS, on_keys, split_and_test
 from tidemark.session import cut_lineage
 
 #: What the control fold needs to know about a mutation.
@@ -189,7 +189,7 @@ def fold(
     names = [f.name for f in fields]
     events = prepare(mutations.where(F.col(key).isNotNull()), key)
     fine = is_plain(F.col("kind"), F.col("lm"), UPDATE, CREATE)
-    cold, hot, hot_keys, all_fine = split_hot(events, [key], limit, fine)
+    cold, hot, hot_keys, all_fine = split_and_test(events, [key], limit, fine)
     plain = all_fine if plain is None else plain
     stored = target.select(
         key,

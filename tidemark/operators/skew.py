@@ -26,13 +26,20 @@ SEGMENT = "_segment"
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, test: Column | None = None
-) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
-    """(rows of groups within the limit, rows of larger groups, keys of those, whether ``test`` holds for all rows).
+    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows of groups within the limit, rows of larger groups, keys of those).
 
-    The second and third are None when every group is within the limit.
+    The last two are None when every group is within the limit.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.lit(True) if test is None else test).alias("_fine"))
+    return split_and_test(df, keys, limit, F.lit(True))[:3]
+
+
+def split_and_test(
+    df: DataFrame, keys: Sequence[str], limit: int, test: Column
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None, bool]:
+    """``split_hot``, and whether ``test`` holds for all rows, in the same pass."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(test).alias("_fine"))
     figures = sizes.agg(F.max("_n").alias("most"), F.min("_fine").alias("fine")).first()
     fine = figures.fine is not False
     if (figures.most or 0) <= limit:
@@ -107,7 +114,7 @@ def running(
     A window spills, so groups of up to ``limit`` rows are left to one.
     """
     end = 0 if inclusive else -1
-    cold, hot, _, _ = split_hot(df, keys, limit) if keys else (None, df, None, True)
+    cold, hot, _ = split_hot(df, keys, limit) if keys else (None, df, None)
     if not keys and df.count() <= limit:
         cold, hot = df, None
     aggregate = {"sum": F.sum, "max": F.max}
