@@ -20,7 +20,6 @@ HEADLINE = (
     "guarded_fold_over_stored_rows",
     "guarded_fold_hot_key",
     "plain_fold_rows",
-    "store_applied",
     "accept_flags_hot_key",
     "change_feed_mutations",
     "change_feed_applied",
