@@ -247,3 +247,20 @@ def test_deep_pages_read_one_range(spark, tmp_path):
     assert len({f.split("_range=")[1].split("/")[0] for f in index.page(300, 10).inputFiles()}) == 1
     none = index_order(rows.where("id < 0"), order, str(tmp_path / "none"))
     assert none.page(1, 10).collect() == [] and none.total().first().total == 0
+
+
+def test_mean_sync_time_of_many_routes(spark, tmp_path):
+    from tidemark.plans.registry_queries import release_unsynced_routes
+
+    # The microseconds of 20,000 routes of one organisation add up to more than 64 bits.
+    customers = spark.range(20_000).select(
+        F.col("id").alias("c_custkey"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("c_name"), F.lit(1).alias("c_nationkey"),
+        F.lit(10.0).alias("c_acctbal"), F.lit("HOUSEHOLD").alias("c_mktsegment"),
+    )
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, "N", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    out = release_unsynced_routes(spark, str(tmp_path))
+    got = {r.routing_status: (r.n, r.least, r.most) for r in out.withColumn("i", F.substring("selected_object", 2, 9).cast("int")).groupBy("routing_status").agg(
+        F.count("i").alias("n"), F.min("i").alias("least"), F.max("i").alias("most")).collect()}
+    assert got == {"RELEASED": (10_000, 0, 9_999), "ACTIVE": (10_000, 10_000, 19_999)}

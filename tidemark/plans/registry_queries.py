@@ -208,7 +208,9 @@ FROM r LEFT JOIN s ON r.org_key=s.org_key AND r.my_domain=s.my_domain""",
 )
 def release_unsynced_routes(spark, sf_dir):
     routes = V.routes(spark, sf_dir)
-    mean = F.round(F.sum(F.unix_micros("last_synced_at")) / F.count(F.lit(1))).cast("bigint")
+    # The times of ten thousand routes add up to more than 64 bits.
+    total = F.sum(F.unix_micros("last_synced_at").cast("decimal(20,0)"))
+    mean = F.round(total / F.count(F.lit(1))).cast("bigint")
     syncs = routes.where("is_sandbox").groupBy("org_key", "my_domain").agg(F.timestamp_micros(mean).alias("synced_at"))
     out = R.release_unsynced(routes, syncs, V.now(), "not seen")
     return _us(out.select(*R.ROUTE_KEY, "routing_status", "last_error_message", "last_synced_at"), "last_synced_at")
