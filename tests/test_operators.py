@@ -249,6 +249,23 @@ def test_deep_pages_read_one_range(spark, tmp_path):
     assert none.page(1, 10).collect() == [] and none.total().first().total == 0
 
 
+def test_a_long_listing_of_small_ranges_has_few_of_them(spark, tmp_path):
+    from tidemark.operators.order_index import RANGE_ROWS, RANGES, index_order, range_count
+    from tidemark.session import subfolders
+
+    rows = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(7)).alias("g"), "id")
+    order = [F.col("g").desc(), F.col("id").asc()]
+    index = index_order(rows, order, str(tmp_path / "listing"), range_rows=5)
+    assert len(subfolders(spark, str(tmp_path / "listing" / "rows"))) <= RANGES
+    want = [tuple(r) for r in rows.orderBy(*order).collect()]
+    for page in (1, 31, 60, 61):
+        assert [tuple(r) for r in index.page(page, 50).collect()] == want[(page - 1) * 50 : page * 50]
+    assert index.total().first().total == 3000
+    assert [range_count(n, 100) for n in (0, 1, 250, 25_600)] == [1, 1, 3, 256]
+    # Few ranges of bounded size, and from some length on more of them.
+    assert range_count(36_000_000, 100) == 360 == 36_000_000 // RANGE_ROWS
+
+
 def test_mean_sync_time_of_many_routes(spark, tmp_path):
     from tidemark.plans.registry_queries import release_unsynced_routes
 

@@ -4,6 +4,10 @@
 range of their order, a folder of parquet files a range, with a count a range beside them. The
 running counts tell which ranges a page lies in, mostly one; only their files are read and only
 their rows sorted, whatever the number of the page.
+
+A range costs a task, a folder and bounds that the driver holds. So small ranges, which suit a
+short listing, are only made up to ``RANGES`` of them; a longer listing has as many, of more
+rows each, up to ``RANGE_ROWS``, and from there on more ranges again.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from tidemark.session import shared_folder
 
 #: Rows of a range, which one task sorts for a page.
 RANGE_ROWS = 100_000
+#: Ranges that may have fewer rows than that.
+RANGES = 256
 PART = "_range"
 
 
@@ -51,11 +57,16 @@ class OrderIndex:
         return rows.orderBy(*self.order).offset(start - ranges[0][1]).limit(size)
 
 
+def range_count(rows: int, range_rows: int) -> int:
+    """Ranges of a listing, of about ``range_rows`` rows where that makes no great number of them."""
+    return max(1, min(math.ceil(rows / range_rows), max(RANGES, math.ceil(rows / RANGE_ROWS))))
+
+
 def index_order(rows: DataFrame, order: Sequence[Column], path: str | None = None, range_rows: int = RANGE_ROWS) -> OrderIndex:
     """Write an ordered listing, which any number of pages may then be taken from."""
     spark = rows.sparkSession
     path = path or shared_folder(spark, "listings")
-    parts = max(1, math.ceil(rows.count() / range_rows))
+    parts = range_count(rows.count(), range_rows)
     dealt = rows.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id())
     dealt.write.partitionBy(PART).parquet(f"{path}/rows")
     stored = T.StructType([*rows.schema.fields, T.StructField(PART, T.IntegerType())])
