@@ -281,3 +281,15 @@ def test_mean_sync_time_of_many_routes(spark, tmp_path):
     got = {r.routing_status: (r.n, r.least, r.most) for r in out.withColumn("i", F.substring("selected_object", 2, 9).cast("int")).groupBy("routing_status").agg(
         F.count("i").alias("n"), F.min("i").alias("least"), F.max("i").alias("most")).collect()}
     assert got == {"RELEASED": (10_000, 0, 9_999), "ACTIVE": (10_000, 10_000, 19_999)}
+
+
+def test_rows_of_few_row_groups_are_spread(spark):
+    from tidemark.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    # As many splits as cores, of which one holds all rows.
+    lumped = spark.range(0, 4000, 1, cores).where("id < 1000")
+    sizes = [r["count"] for r in spread(lumped).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 1000 / cores
+    many = spark.range(0, 4000, 1, 8 * cores)
+    assert spread(many) is many

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.columns import CHANGE_TYPES, KEY, pinned, strip
+from tidemark.columns import CHANGE_TYPES, KEY, WHITE_SPACE, pinned, strip
 from tidemark.functions.coerce import blank, coerce, to_datetime, unread
 
 # Names in the two feeds' payloads.
@@ -52,9 +52,14 @@ def _members(text: Column) -> Column:
     return F.transform(F.array(F.from_json(text, _MAP)), once)[0]
 
 
+def _lead(text) -> Column:
+    """The text without white space at its start: tells how it begins without a look at its end."""
+    return F.ltrim(text, F.lit(WHITE_SPACE))
+
+
 def _object(text: Column) -> Column:
     """The entries of a JSON object, or null for any other value."""
-    return F.when(strip(text).startswith("{"), _members(text))
+    return F.when(_lead(text).startswith("{"), _members(text))
 
 
 def _strings(values) -> Column:
@@ -79,7 +84,7 @@ def name_text(entries: Column) -> Column:
 
 
 def _keys(text: Column) -> Column:
-    return F.when(strip(text).startswith("{"), F.json_object_keys(text))
+    return F.when(_lead(text).startswith("{"), F.json_object_keys(text))
 
 
 def unwrap(text: Column, keys: Column | None = None) -> Column:
@@ -225,7 +230,7 @@ def _finish(df: DataFrame, keep, key: str, fields) -> DataFrame:
     # Lambdas evaluate a repeated expression each time: find the member names in a step of
     # their own, and only in rows that hold some object.
     df = df.withColumn("_flat", F.map_filter("_payload", lambda k, _: k.isin(*fields)))
-    df = df.withColumn("_nested", F.exists(F.map_values("_flat"), lambda v: strip(v).startswith("{")))
+    df = df.withColumn("_nested", F.exists(F.map_values("_flat"), lambda v: _lead(v).startswith("{")))
     df = df.withColumn("_members", F.when(F.col("_nested"), F.transform_values("_flat", lambda _, v: _keys(v))))
     inner = F.transform_values("_flat", lambda k, v: unwrap(v, F.col("_members")[k]))
     flat = F.when(F.col("_nested"), inner).otherwise(F.col("_flat"))
@@ -259,7 +264,7 @@ def normalize_changes(
     inner = F.map_contains_key("_env", F.lit("payload"))
     df = df.withColumn(
         "_payload", F.when(inner, _members(F.col("_env")["payload"])).otherwise(F.col("_env"))
-    ).withColumn("_payload", F.map_filter("_payload", lambda k, _: (strip(k) != "") & (k != "schema")))
+    ).withColumn("_payload", F.map_filter("_payload", lambda k, _: (_lead(k) != "") & (k != "schema")))
     df = df.withColumn("_header", F.from_json(F.col("_payload")[HEADER], HEADER_SCHEMA))
     record_ids = F.col("_header.recordIds")
     own_id = F.col("_payload")["Id"]

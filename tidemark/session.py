@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows a side may have before an explicit broadcast is dropped for a shuffle join.
 BROADCAST_ROWS = 500_000
+#: Splits a core from which on an input is taken to be spread evenly.
+SPLITS_PER_CORE = 4
 
 
 def build_session(app: str, master: str, shuffle_partitions: int) -> SparkSession:
@@ -131,9 +133,10 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores, ahead of work that is heavy per row.
+    """Rows of an input of few splits over all cores, ahead of work that is heavy per row.
 
-    An input with at least as many splits as cores, as any large one has, is left alone.
+    Splits of a file hold whole row groups, so of few splits some may hold most rows and others
+    none. An input with several splits a core, as any large one has, is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = SPLITS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
