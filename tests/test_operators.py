@@ -293,3 +293,13 @@ def test_rows_of_few_row_groups_are_spread(spark):
     assert sum(sizes) == 1000 and max(sizes) <= 1000 / cores
     many = spark.range(0, 4000, 1, 8 * cores)
     assert spread(many) is many
+
+
+def test_applied_changes_are_normalised_once(spark, sf_dir, monkeypatch):
+    from tidemark.plans import event_queries as Q
+
+    read = []
+    apply = Q.K.apply_mutations
+    monkeypatch.setattr(Q.K, "apply_mutations", lambda m, *a, **k: read.append(m) or apply(m, *a, **k))
+    Q.change_feed_applied(spark, sf_dir).collect()
+    assert "from_json" not in read[0]._jdf.queryExecution().optimizedPlan().toString()

@@ -15,7 +15,7 @@ from tidemark.operators.snapshot import snapshot_rows
 from tidemark.plans import views as V
 from tidemark.plans.checked import query
 from tidemark.plans.mutation_queries import ROWS_TAIL, fold_sql
-from tidemark.session import shared_folder
+from tidemark.session import cut_lineage, shared_folder
 from tidemark.sources import describe as D
 from tidemark.sources.feeds import file_feed
 from tidemark.sources.store import KeyedTable
@@ -68,7 +68,8 @@ def change_feed_rejects(spark, sf_dir):
 
 @query("change_feed_applied", "P1 P20 K3 K5 K9 T2 T3", fold_sql(_CHANGES, tail=ROWS_TAIL))
 def change_feed_applied(spark, sf_dir):
-    rows = K.apply_mutations(N.accepted(_changes(spark, sf_dir)))
+    # The fold reads its mutations twice: they are normalised once, and written.
+    rows = K.apply_mutations(cut_lineage(N.accepted(_changes(spark, sf_dir))))
     return rows.select(
         "sfid", F.col("Amount").alias("value"), F.col("Note").alias("props"),
         V.micros("_oc_last_modified_at").alias("lm_us"), V.micros("_oc_last_event_at").alias("ev_us"),
