@@ -109,3 +109,17 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = common.new_folder(spark, "dac")
     assert dac.read_dac(dac.write_dac(docs, folder), folder).collect() == [] == packing.pack(docs).collect()
+
+
+def test_words_of_letters_go_straight_to_the_model():
+    encode = tokens.WordEncoder(tokens.default_tokenizer())
+    assert encode.model is not None
+
+    class Unused:
+        def fullmatch(self, text):
+            raise AssertionError(text)
+
+    encode.latin = Unused()
+    text = "Plain WORDS of letters plain"
+    want = _ids([text], 1)[0][:-1]
+    assert np.frombuffer(encode.encode(text.encode()), encode.dtype).tolist() == want

@@ -100,6 +100,9 @@ class WordEncoder:
         known, before, others = self.known, self.before, []
         for word in new:
             ids = before.get(word)
+            if ids is None and word.isalpha() and self.model is not None:
+                # Letters of ASCII, as most words: one part, spelt as it is.
+                ids = known.get(word) or self._spelt(word.decode())
             if ids is None:
                 text = word.decode()
                 if self.model is None or not self.latin.fullmatch(text):
@@ -117,11 +120,14 @@ class WordEncoder:
         ids = self.known.get(key) or self.before.get(key)
         if ids is None:
             spelt = part if part.isascii() else key.decode("latin-1").translate(self.alphabet)
-            ids = self._pack([t.id for t in self.model.tokenize(spelt)])
+            ids = self._spelt(spelt)
             if len(key) <= LONG_WORD:
                 self.known[key] = ids
         return ids
 
+    def _spelt(self, text: str) -> bytes:
+        return self._pack([t.id for t in self.model.tokenize(text)])
+
     def _learn_whole(self, words: list[bytes]) -> None:
         gap = self.special[0]
         texts = [gap.join(w.decode() for w in words[i : i + 128]) for i in range(0, len(words), 128)]
