@@ -201,14 +201,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     owner = F.struct("doc_id", "text_id")
     nodes = known.groupBy(*same).agg(F.min(owner).alias("owner"), F.min_by(F.struct("bands", "bits"), owner).alias("s"), F.count(F.lit(1)).alias("_n"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
+    # Bitmaps are several times as long as the rest of a bucket's row: they stay with their nodes.
     bits = [F.col("s.bits")[i].alias(p) for i, p in enumerate(_PARTS)]
-    buckets = nodes.select(F.explode("s.bands").alias("key"), "node", "n", *bits)
+    buckets = nodes.select(F.explode("s.bands").alias("key"), "node", "n")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("crowd", F.col("_n"))
     members = cut_lineage(join_counted(buckets, cut_lineage(shared), ["key"]))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("owner", "node", *same)
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("owner", "node", *same, *bits)
     owners = rows.join(wanted.select(F.col("owner").alias("ids")), "ids", "left_semi")
     # Rows repeated whole give their set more than once.
-    sets = full_sets(owners, shingle).join(wanted.drop("owner"), same).select("node", "set").dropDuplicates(["node"])
+    sets = full_sets(owners, shingle).join(wanted.drop("owner"), same).select("node", "set", *_PARTS).dropDuplicates(["node"])
     edges, labels = confirmed(members, cut_lineage(sets), percent)
     by_set = nodes.select(*same, "_n", "owner", "node")
     if edges is not None:
@@ -225,8 +226,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(edges, components) of all similar pairs that share a bucket, in rounds of stars.
 
-    A bucket of a large crowd is dealt to several tasks; its stars are sent to each of them.
+    ``sets`` has each member's full set and bitmap. A bucket of a large crowd is dealt to
+    several tasks; its stars are sent to each of them.
     """
+    bits = sets.select("node", *_PARTS)
     shares = F.ceil(F.col("crowd") / HEAVY_ROWS)
     share = F.pmod(F.xxhash64("node"), shares).alias("share")
     to_all = F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")
@@ -235,11 +238,11 @@ def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
     centres = 1
     while not left.isEmpty():
         salt = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        first = F.min(F.struct("size", "node", "n", "comp", *_PARTS)).alias("c")
+        first = F.min(F.struct("size", "node", "n", "comp")).alias("c")
         stars = left.groupBy("key", salt.alias("salt")).agg(first, F.max("crowd").alias("crowd"))
-        stars = cut_lineage(stars.select("key", "crowd", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "comp", *_PARTS)]))
-        dealt = left.withColumn("share", share)
-        sent = stars.select(F.col("key").alias("c_key"), to_all.alias("c_share"), *[c for c in stars.columns if c.startswith("c_")])
+        stars = cut_lineage(stars.select("key", "crowd", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "comp")]))
+        dealt = left.join(bits, "node").withColumn("share", share)
+        sent = stars.join(bits.withColumnsRenamed({c: f"c_{c}" for c in bits.columns}), "c_node").select(F.col("key").alias("c_key"), to_all.alias("c_share"), "c_node", "c_n", "c_comp", *[f"c_{p}" for p in _PARTS])
         apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c_{p}"))) for p in _PARTS), F.lit(0))
         may_link = (
             (F.col("key") == F.col("c_key")) & (F.col("share") == F.col("c_share")) & (F.col("comp") != F.col("c_comp"))
