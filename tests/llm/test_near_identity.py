@@ -86,6 +86,37 @@ def test_hot_buckets_are_dealt_out(spark, monkeypatch):
     assert out == dict(zip((d for d, _ in rows), _brute(rows, 3, 85), strict=True))
 
 
+def _near_copies(rng):
+    """Copies of one text: some alike, some too far apart to link, which yet share buckets."""
+    base = _text(rng).split()
+    for i in range(36):
+        words = base[:]
+        for k in range(0, len(base), 80 if i % 3 == 0 else 20):
+            words[k + rng.randrange(20)] = f"n{rng.random()}"
+        yield i, " ".join(words)
+
+
+def test_a_group_of_near_copies_takes_two_rounds(spark, monkeypatch):
+    rows, rounds, seen = list(_near_copies(random.Random(4))), [], []
+    test, whole = near_dedup.similar, near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "similar", lambda *a: rounds.append(a) or test(*a))
+    monkeypatch.setattr(near_dedup, "confirmed", lambda members, *rest: seen.append(members) or whole(members, *rest))
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    assert out == dict(zip((d for d, _ in rows), _brute(rows, 3, 85), strict=True))
+    assert 1 < len(set(out.values())) < len(rows) and len(rounds) == 2
+    buckets = [tuple(r.nodes) for r in seen[0].groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).collect()]
+    assert len(set(buckets)) == len(buckets) > 1
+
+
+def test_buckets_of_too_many_centres_go_on(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
+    monkeypatch.setattr(near_dedup, "MORE_CENTRES", 2)
+    rows, rounds, test = list(_near_copies(random.Random(5))), [], near_dedup.similar
+    monkeypatch.setattr(near_dedup, "similar", lambda *a: rounds.append(a) or test(*a))
+    out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    assert out == dict(zip((d for d, _ in rows), _brute(rows, 3, 85), strict=True)) and len(rounds) > 2
+
+
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_recall_on_a_given_table(spark, sf_dir, size, percent):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]

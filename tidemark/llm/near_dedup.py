@@ -6,12 +6,14 @@ signature, and an empty bin borrows from the bin that its own sequence of probes
 shingle sets are one node, whose size and two 64-bit sums over the set tell sets apart; ids
 play no part in it, so rows that share an id are linked by their own texts.
 
-Candidates of a bucket are stars, never all pairs: a centre against the other members. Each
-round takes centres from every bucket (members of the smallest components first), confirms
-the star's edges on the full sets, joins components, and drops each centre, which has met
-every other member, and each bucket whose members are all connected. Buckets with several
-components left go on with more centres, so a group of near copies costs a few stars, and
-still every pair of a bucket is either compared or already connected.
+Buckets of the same members are one bucket. Candidates of a bucket are stars: a centre against
+the other members. The first round takes one centre from every bucket, confirms the star's edges
+on the full sets and joins components. In a bucket with several components left, the members
+outside its main component (the one with most members there) are the next centres: each pair
+that is still apart has one of them, so the bucket is done. A bucket with too many of them gives
+a share first, joins components again and goes on with more. So a group of near copies costs a
+star and its stragglers, most tables two rounds, and still every pair of a bucket is either
+compared or already connected.
 
 An edge of a star is only made where a bound allows a link: a set's parity bitmap flips one
 of ``BITS`` bits for each shingle, so two bitmaps differ in no more bits than the sets differ
@@ -48,8 +50,8 @@ BITS = 512
 _PARTS = [f"p{i}" for i in range(BITS // 64)]
 #: Bytes of text whose sets a worker holds at a time; a longer text is held alone.
 SLICE_BYTES = 1_000_000
-#: Times as many centres a bucket gives in each further round.
-MORE_CENTRES = 16
+#: Centres a bucket gives in the second round at most, about; times as many in each further one.
+CENTRES, MORE_CENTRES = 16, 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 # Odd multipliers and shifts of a 64-bit mixing function.
@@ -143,31 +145,33 @@ def figures(sets: list[np.ndarray]) -> dict[str, pa.Array]:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_id, n, h1, h2, bands, bits) of every row; ``bands`` is empty for an empty set."""
+    """(doc_id, text_id, n, h1, h2, bands) of every row; ``bands`` is empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in slices(batches, size):
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(signature(full)) if full else ())
             bands = [next(keys) if len(s) else s for s in sets]
-            columns = {"doc_id": ids.field(0), "text_id": ids.field(1)} | figures(sets) | {"bands": lists(bands), "bits": lists([parity(s) for s in sets])}
+            columns = {"doc_id": ids.field(0), "text_id": ids.field(1)} | figures(sets) | {"bands": lists(bands)}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, "doc_id long, text_id long, n long, h1 long, h2 long, bands array<long>, bits array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, set, bitmap) of every (node, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in slices(batches, size):
-            columns = figures(sets) | {"set": lists(sets)}
-            yield pa.record_batch(list(columns.values()), names=list(columns))
+        for nodes, sets in slices(batches, size):
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(len(sets), len(_PARTS))
+            yield pa.record_batch([nodes, lists(sets), *map(pa.array, bits.T)], names=["node", "set", *_PARTS])
 
-    return docs.mapInArrow(run, "n long, h1 long, h2 long, set array<long>")
+    return texts.mapInArrow(run, ", ".join(["node long", "set array<long>", *[f"{p} long" for p in _PARTS]]))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes of the edges (a, b); comp is the smallest node reachable."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(node, comp) of the nodes of the written edges (a, b); comp is the smallest node reachable."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -199,18 +203,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     known = sketches.where("doc_id is not null and n > 0")
     same = ["n", "h1", "h2"]
     owner = F.struct("doc_id", "text_id")
-    nodes = known.groupBy(*same).agg(F.min(owner).alias("owner"), F.min_by(F.struct("bands", "bits"), owner).alias("s"), F.count(F.lit(1)).alias("_n"))
+    nodes = known.groupBy(*same).agg(F.min(owner).alias("owner"), F.min_by("bands", owner).alias("bands"), F.count(F.lit(1)).alias("_n"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
-    # Bitmaps are several times as long as the rest of a bucket's row: they stay with their nodes.
-    bits = [F.col("s.bits")[i].alias(p) for i, p in enumerate(_PARTS)]
-    buckets = nodes.select(F.explode("s.bands").alias("key"), "node", "n")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("crowd", F.col("_n"))
-    members = cut_lineage(join_counted(buckets, cut_lineage(shared), ["key"]))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("owner", "node", *same, *bits)
-    owners = rows.join(wanted.select(F.col("owner").alias("ids")), "ids", "left_semi")
-    # Rows repeated whole give their set more than once.
-    sets = full_sets(owners, shingle).join(wanted.drop("owner"), same).select("node", "set", *_PARTS).dropDuplicates(["node"])
-    edges, labels = confirmed(members, cut_lineage(sets), percent)
+    buckets = nodes.select(F.explode("bands").alias("key"), "node", "n")
+    # Near copies share most of their buckets: one of each set of members, known by its size and two sums, stands for all.
+    marks = {f"m{k}": F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)}
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("main"), *[m.alias(c) for c, m in marks.items()])
+    shared = cut_lineage(shared.where("_n > 1").groupBy("_n", "main", *marks).agg(F.min("key").alias("key")).select("key", "main", "_n"))
+    members = cut_lineage(join_counted(buckets, shared.select("key", "_n", F.col("_n").alias("crowd")), ["key"]))
+    # Bitmaps are several times as long as the rest of a bucket's row: they are made with the sets, of those that share a bucket.
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("owner").alias("ids"), "node")
+    # A row may be repeated whole.
+    owners = rows.join(wanted, "ids").groupBy("ids").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+    edges, labels = confirmed(members, shared.select("key", "main", (F.col("_n") - 1).alias("others")), cut_lineage(full_sets(owners, shingle)), percent)
     by_set = nodes.select(*same, "_n", "owner", "node")
     if edges is not None:
         by_set = by_set.join(labels, "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
@@ -223,50 +228,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return found.union(alone)
 
 
-def confirmed(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+def confirmed(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
     """(edges, components) of all similar pairs that share a bucket, in rounds of stars.
 
-    ``sets`` has each member's full set and bitmap. A bucket of a large crowd is dealt to
+    ``open_`` names each bucket's first centre and the number of its other members; ``sets``
+    has each member's full set and bitmap. A bucket of a large crowd is dealt to
     several tasks; its stars are sent to each of them.
     """
-    bits = sets.select("node", *_PARTS)
     shares = F.ceil(F.col("crowd") / HEAVY_ROWS)
-    share = F.pmod(F.xxhash64("node"), shares).alias("share")
-    to_all = F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")
-    left = members.withColumn("comp", F.col("node")).withColumn("size", F.lit(1).cast("long"))
-    edges = labels = None
-    centres = 1
-    while not left.isEmpty():
-        salt = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
-        first = F.min(F.struct("size", "node", "n", "comp")).alias("c")
-        stars = left.groupBy("key", salt.alias("salt")).agg(first, F.max("crowd").alias("crowd"))
-        stars = cut_lineage(stars.select("key", "crowd", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "comp")]))
-        dealt = left.join(bits, "node").withColumn("share", share)
-        sent = stars.join(bits.withColumnsRenamed({c: f"c_{c}" for c in bits.columns}), "c_node").select(F.col("key").alias("c_key"), to_all.alias("c_share"), "c_node", "c_n", "c_comp", *[f"c_{p}" for p in _PARTS])
+    to_all = F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("c_share")
+    left = members.join(sets.select("node", *_PARTS), "node").withColumn("comp", F.col("node"))
+    labels = sets.select("node", F.col("node").alias("comp"))
+    edges = None
+    most = 1
+    while True:
+        if most == 1:
+            centre = F.col("node") == F.col("main")
+        else:
+            counts = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+            main = F.max_by("comp", F.struct("rows", "comp")).alias("main")
+            open_ = cut_lineage(counts.groupBy("key").agg(main, (F.sum("rows") - F.max("rows")).alias("others")).where("others > 0"))
+            drawn = F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("others") / most)) == 0
+            centre = (F.col("comp") != F.col("main")) & drawn
+        if open_.isEmpty():
+            return edges, labels
+        dealt = left.join(open_, "key").withColumn("share", F.pmod(F.xxhash64("node"), shares)).withColumn("centre", centre)
+        dealt = cut_lineage(dealt.drop("main"))
+        sent = dealt.where("centre").select(F.col("key").alias("c_key"), to_all, *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "comp", *_PARTS)])
         apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c_{p}"))) for p in _PARTS), F.lit(0))
         may_link = (
             (F.col("key") == F.col("c_key")) & (F.col("share") == F.col("c_share")) & (F.col("comp") != F.col("c_comp"))
+            & (~F.col("centre") | (F.col("node") > F.col("c_node")))
             & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
             & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("c_n")))
         )
-        low, high = F.least("c_node", "node"), F.greatest("c_node", "node")
-        pairs = cut_lineage(dealt.join(sent, may_link).select(low.alias("a"), high.alias("b")).distinct())
+        ends = {name: (F.least(c, f"c_{c}"), F.greatest(c, f"c_{c}")) for name, c in (("", "node"), ("comp_", "comp"))}
+        columns = [x.alias(f"{name}{side}") for name, both in ends.items() for side, x in zip("ab", both, strict=True)]
+        pairs = dealt.join(sent, may_link).select(*columns).distinct()
         with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         both = with_b.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        new = cut_lineage(both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select("a", "b"))
-        rest = left.join(stars.select("key", F.col("c_node").alias("node")), ["key", "node"], "left_anti")
+        new = cut_lineage(both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select(*pairs.columns))
+        # A bucket whose centres were all there are has no pair left.
+        left = dealt.where(F.col("others") > most).select(*left.columns)
         if not new.isEmpty():
-            edges = new if edges is None else cut_lineage(edges.union(new))
-            labels = components(edges)
-            sized = labels.join(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
-            rest = rest.drop("comp", "size").join(sized, "node", "left").select(
-                *members.columns, F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size")
-            )
-        rest = cut_lineage(rest)
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("crowd").alias("crowd")).where("low <> high")
-        left = cut_lineage(rest.withColumn("share", share).join(open_.select("key", to_all), ["key", "share"], "left_semi").drop("share"))
-        centres *= MORE_CENTRES
-    return edges, labels
+            edges = new.select("a", "b") if edges is None else edges.union(new.select("a", "b"))
+            joined = components(new.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+            joined = joined.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+            labels = labels.join(joined, "comp", "left").select("node", F.coalesce("now", "comp").alias("comp"))
+            left = left.join(joined, "comp", "left").withColumn("comp", F.coalesce("now", "comp")).select(*left.columns)
+        left = cut_lineage(left)
+        most = CENTRES if most == 1 else most * MORE_CENTRES
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
