@@ -10,9 +10,9 @@ Buckets of the same members are one bucket. Candidates of a bucket are stars: a
 the other members. The first round takes one centre from every bucket, confirms the star's edges
 on the full sets and joins components. In a bucket with several components left, the members
 outside its main component (the one with most members there) are the next centres: each pair
-that is still apart has one of them, so the bucket is done. A bucket with too many of them gives
-a share first, joins components again and goes on with more. So a group of near copies costs a
-star and its stragglers, most tables two rounds, and still every pair of a bucket is either
+that is still apart has one of them, so the bucket is done. A bucket with too many pairs of
+them gives a few drawn from all its members first, joins components again and goes on with more. So a group of near copies costs a
+few stars and its stragglers, small buckets take two rounds and large ones few more, and still every pair of a bucket is either
 compared or already connected.
 
 An edge of a star is only made where a bound allows a link: a set's parity bitmap flips one
@@ -50,7 +50,8 @@ BITS = 512
 _PARTS = [f"p{i}" for i in range(BITS // 64)]
 #: Bytes of text whose sets a worker holds at a time; a longer text is held alone.
 SLICE_BYTES = 1_000_000
-#: Centres a bucket gives in the second round at most, about; times as many in each further one.
+#: Centres that a large bucket gives in the second round, about, and times as many in each further
+#: one. A bucket of no more pairs than the square of it gives all centres that are needed.
 CENTRES, MORE_CENTRES = 16, 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -243,16 +244,17 @@ def confirmed(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: in
     most = 1
     while True:
         if most == 1:
-            centre = F.col("node") == F.col("main")
+            centre, done = F.col("node") == F.col("main"), F.col("others") == 1
         else:
             counts = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
             main = F.max_by("comp", F.struct("rows", "comp")).alias("main")
             open_ = cut_lineage(counts.groupBy("key").agg(main, (F.sum("rows") - F.max("rows")).alias("others")).where("others > 0"))
-            drawn = F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("others") / most)) == 0
-            centre = (F.col("comp") != F.col("main")) & drawn
+            done = F.col("others") * F.col("crowd") <= most * most
+            drawn = F.pmod(F.xxhash64("node", F.lit(most)), F.ceil(F.col("crowd") / most)) == 0
+            centre = F.when(done, F.col("comp") != F.col("main")).otherwise(drawn)
         if open_.isEmpty():
             return edges, labels
-        dealt = left.join(open_, "key").withColumn("share", F.pmod(F.xxhash64("node"), shares)).withColumn("centre", centre)
+        dealt = left.join(open_, "key").withColumn("share", F.pmod(F.xxhash64("node"), shares)).withColumns({"centre": centre, "done": done})
         dealt = cut_lineage(dealt.drop("main"))
         sent = dealt.where("centre").select(F.col("key").alias("c_key"), to_all, *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "comp", *_PARTS)])
         apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"c_{p}"))) for p in _PARTS), F.lit(0))
@@ -269,7 +271,7 @@ def confirmed(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: in
         both = with_b.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         new = cut_lineage(both.where(similar(F.col("set_a"), F.col("set_b"), percent)).select(*pairs.columns))
         # A bucket whose centres were all there are has no pair left.
-        left = dealt.where(F.col("others") > most).select(*left.columns)
+        left = dealt.where("not done").select(*left.columns)
         if not new.isEmpty():
             edges = new.select("a", "b") if edges is None else edges.union(new.select("a", "b"))
             joined = components(new.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
