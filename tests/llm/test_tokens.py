@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -123,3 +124,22 @@ def test_words_of_letters_go_straight_to_the_model():
     text = "Plain WORDS of letters plain"
     want = _ids([text], 1)[0][:-1]
     assert np.frombuffer(encode.encode(text.encode()), encode.dtype).tolist() == want
+
+
+def test_words_that_differ_in_marks_share_their_parts():
+    encode = tokens.WordEncoder(tokens.default_tokenizer())
+    texts = ["Word word, (word) word.", "word! été; ÉTÉ, word's"]
+    got = encode.encode_all([t.encode() for t in texts])
+    assert [np.frombuffer(p, encode.dtype).tolist() for p in got] == [i[:-1] for i in _ids(texts, 0)]
+    assert set(encode.known) <= {p.encode() for p in ("\n", "word", ",", "(", ")", ".", "!", ";", "été", "'s")}
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_rows_keep_their_ids_whatever_the_slices(rows, monkeypatch, kind):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 300)
+    rows = [(i, t) for i, t in rows if i < 1100]
+    ids = [[*i[:-1], 7] for i in _ids([t for _, t in rows], 0)]
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], kind)], names=["doc_id", "text"])
+    none = batch.slice(0, 0)
+    got = list(tokens.encoded_rows(iter([none, batch.slice(0, 10), batch.slice(10), none]), tokens.default_tokenizer(), 7))
+    assert [(i, x.tolist()) for i, x in got] == [(i, x) for (i, _), x in zip(rows, ids, strict=True)]

@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.common import worker_state
 
-#: Distinct words a Python worker learns before it forgets those it didn't meet since the last time.
+#: Distinct words and parts of words a Python worker learns before it forgets those it didn't meet since the last time.
 REMEMBERED = 200_000
 #: Longer words are forgotten at once.
 LONG_WORD = 64
 #: Bytes of text that are encoded together; a longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 8_000_000
 
 # The normal forms and the pattern of word tokenizers whose parts can be encoded one by one.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same parts of small ASCII letters, and line breaks between words.
+_ASCII_PARTS = rb"\n|[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9a-z]+"
 #: Latin words: none of their characters composes with another, or has a small form of several.
 _LATIN = "[!-~\u00a1-\u012f\u0131-\u024f]+"
 
@@ -37,11 +41,12 @@ class WordEncoder:
     """Packed ids of texts.
 
     Where a tokenizer drops white space and folds case, the ids of a text are those of its
-    words one after the other, so each distinct word is encoded once and then remembered. This
+    words one after the other, so each distinct word is encoded once for many texts. This
     is tried out on a probe when the encoder is made; any other tokenizer encodes whole texts,
     and so does a text that spells a special token. Where the tokenizer's file has the known
     normal forms and pattern, a Latin word is the ids of its parts, for which the library's
-    model is asked directly; other words go through the whole of the library.
+    model is asked directly; other words go through the whole of the library. The parts of
+    ASCII words and all other words are remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,13 +60,14 @@ class WordEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = bool(self.special) and self._ids("Ab c,\nD. e\x0bf") == [i for w in ("ab", "c,", "d.", "e", "f") for i in self._ids(w)]
-        self.marks = [s[:2].encode() for s in self.special]
+        self.marks = sorted({s[:2] for s in self.special})
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.model = self.tokenizer.model if self._in_parts(file) else None
-        self.latin, self.parts = regex.compile(_LATIN), regex.compile(_PARTS)
+        self.latin, self.parts = regex.compile(_LATIN), regex.compile(rf"\n|{_PARTS}")
+        self.ascii_parts = re.compile(_ASCII_PARTS)
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
 
     @staticmethod
@@ -82,54 +88,87 @@ class WordEncoder:
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text; words new to the worker are learned together."""
-        whole = [not self.by_word or any(m in t for m in self.marks) for t in texts]
-        found = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*found).difference(self.known)
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        out = [self._pack(self._ids(t.decode())) if w else b"".join(map(get, f)) for t, f, w in zip(texts, found, whole, strict=True)]
-        for word in new:
-            if len(word) > LONG_WORD:
-                del self.known[word]
+        return self.encode_column(pa.array(texts, pa.binary()).view(pa.string()))
+
+    def encode_column(self, texts: pa.StringArray) -> list[bytes]:
+        """Packed ids of each text of a column without nulls.
+
+        Arrow finds the distinct words of all texts, and copies their ids to where they occur.
+        """
+        out: list[bytes | None] = [None] * len(texts)
+        whole = np.full(len(texts), not self.by_word)
+        for mark in self.marks if self.by_word else ():
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._pack(self._ids(texts[i].as_py()))
+        others = np.flatnonzero(~whole)
+        if len(others):
+            # Taken, as ascii_lower goes wrong on a slice that was cast.
+            words = pc.ascii_split_whitespace(pc.ascii_lower(texts.take(pa.array(others))))
+            coded = words.flatten().dictionary_encode()
+            ids = self._ids_of(coded.dictionary).take(coded.indices)
+            ends, packed = _bounds(ids)[words.offsets.to_numpy()].tolist(), memoryview(ids.buffers()[2] or b"")
+            for k, i in enumerate(others.tolist()):
+                out[i] = bytes(packed[ends[k] : ends[k + 1]])
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
         return out
 
-    def _learn(self, new: set[bytes]) -> None:
-        known, before, others = self.known, self.before, []
+    def _ids_of(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Packed ids of each of the distinct words of some texts."""
+        if self.model is None:
+            return self._known_ids(words.view(pa.binary()).to_pylist(), self._learn_whole)
+        ascii = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+        if ascii.all():
+            return self._ids_in_parts(words.view(pa.binary()), self.ascii_parts)
+        odd = words.filter(pa.array(~ascii)).view(pa.binary()).to_pylist()
+        texts = [w.decode() for w in odd]
+        latin = np.array([self.latin.fullmatch(t) is not None for t in texts])
+        small = "\n".join(t for t, known in zip(texts, latin, strict=True) if known).lower()
+        kinds = [
+            self._ids_in_parts(words.filter(pa.array(ascii)).view(pa.binary()), self.ascii_parts),
+            self._ids_in_parts(pa.array(small.split("\n") if small else [], pa.string()), self.parts),
+            self._known_ids([w for w, known in zip(odd, latin, strict=True) if not known], self._learn_whole),
+        ]
+        kind = np.zeros(len(words), np.int8)
+        kind[~ascii] = 2 - latin
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(words))
+        return pa.concat_arrays(kinds).take(pa.array(place))
+
+    def _ids_in_parts(self, words: pa.BinaryArray | pa.StringArray, pattern) -> pa.LargeBinaryArray:
+        """Ids of small words: those of their parts, found in all words at once."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        gap = b"\n" if pa.types.is_binary(words.type) else "\n"
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), gap)[0].as_py()
+        coded = pa.array([*pattern.findall(joined), gap], words.type).dictionary_encode()
+        ids = self._known_ids(coded.dictionary.view(pa.binary()).to_pylist(), self._learn_parts).take(coded.indices)
+        # A word ends at its line break, which has no ids.
+        breaks = np.flatnonzero(coded.indices.to_numpy() == coded.dictionary.index(gap).as_py())
+        bounds = np.concatenate([[0], _bounds(ids)[breaks]])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), ids.buffers()[2]])
+
+    def _known_ids(self, distinct: list[bytes], learn: Callable[[set[bytes]], None]) -> pa.LargeBinaryArray:
+        known, before = self.known, self.before
+        new = set(distinct).difference(known)
+        for word in new.intersection(before):
+            known[word] = before[word]
+        learn(new.difference(before))
+        ids = pa.array(map(known.__getitem__, distinct), pa.large_binary(), size=len(distinct))
         for word in new:
-            ids = before.get(word)
-            if ids is None and word.isalpha() and self.model is not None:
-                # Letters of ASCII, as most words: one part, spelt as it is.
-                ids = known.get(word) or self._spelt(word.decode())
-            if ids is None:
-                text = word.decode()
-                if self.model is None or not self.latin.fullmatch(text):
-                    others.append(word)
-                    continue
-                text = text.lower()
-                ids = self._part(text) if text.isalpha() else b"".join(map(self._part, self.parts.findall(text)))
-            known[word] = ids
-        if others:
-            self._learn_whole(others)
-
-    def _part(self, part: str) -> bytes:
-        """Ids of what the tokenizer's pattern keeps together."""
-        key = part.encode()
-        ids = self.known.get(key) or self.before.get(key)
-        if ids is None:
-            spelt = part if part.isascii() else key.decode("latin-1").translate(self.alphabet)
-            ids = self._spelt(spelt)
-            if len(key) <= LONG_WORD:
-                self.known[key] = ids
+            if len(word) > LONG_WORD:
+                del known[word]
         return ids
 
-    def _spelt(self, text: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(text)])
+    def _learn_parts(self, new: Iterable[bytes]) -> None:
+        """What the tokenizer's pattern keeps together; a line break is none."""
+        for part in new:
+            spelt = part.decode() if part.isalnum() else part.decode("latin-1").translate(self.alphabet)
+            self.known[part] = self._pack([t.id for t in self.model.tokenize(spelt)]) if part != b"\n" else b""
 
-    def _learn_whole(self, words: list[bytes]) -> None:
-        gap = self.special[0]
+    def _learn_whole(self, new: Iterable[bytes]) -> None:
+        words, gap = list(new), self.special[0]
         texts = [gap.join(w.decode() for w in words[i : i + 128]) for i in range(0, len(words), 128)]
         gap_id = self.tokenizer.token_to_id(gap)
         place = 0
@@ -140,6 +179,11 @@ class WordEncoder:
                 place += 1
 
 
+def _bounds(packed: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value begins in the bytes of an array without nulls, and the end of the last."""
+    return np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+
+
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -152,15 +196,17 @@ def encoded_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> I
     encode = encoder(path)
     end = np.array([end_id], dtype=encode.dtype).tobytes()
     for batch in batches:
-        texts, first = batch[1].cast(pa.binary()), 0
+        if not batch.num_rows:
+            continue
+        texts = pc.fill_null(batch[1], "")
+        sizes, first = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
         while first < batch.num_rows:
-            part, taken = [], 0
-            while first + len(part) < batch.num_rows and taken < SLICE_BYTES:
-                part.append(texts[first + len(part)].as_py() or b"")
-                taken += len(part[-1])
-            for doc_id, ids in zip(batch[0].slice(first, len(part)).to_pylist(), encode.encode_all(part), strict=True):
+            reach = SLICE_BYTES + (int(sizes[first - 1]) if first else 0)
+            last = min(int(np.searchsorted(sizes, reach)) + 1, batch.num_rows)
+            part = texts.slice(first, last - first).cast(pa.string())
+            for doc_id, ids in zip(batch[0].slice(first, last - first).to_pylist(), encode.encode_column(part), strict=True):
                 yield doc_id, np.frombuffer(ids + end, dtype=encode.dtype)
-            first += len(part)
+            first = last
 
 
 def encoder(path: str) -> WordEncoder:
