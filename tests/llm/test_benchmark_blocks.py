@@ -51,3 +51,19 @@ def test_no_items_and_no_documents(spark):
     [r] = decontaminate.digest(decontaminate.find_hits(docs, none)).collect()
     assert (r.n_words, r.n_hit, r.contaminated) == (2, 0, False)
     assert decontaminate.decontaminate(docs.limit(0), none).collect() == []
+
+
+def test_texts_are_cut_where_hits_are_found(spark):
+    """One Python worker a task finds and cuts: no second function holds a worker of its own."""
+    item = "one two three four five six seven eight nine ten"
+    long = " ".join(f"w{i}" for i in range(40))
+    texts = [(1, f"{long}, {item.upper()}!  {long}"), (2, item), (3, long), (4, None), (5, ""), (6, f"é {long}\n{item}\nß {item} {long}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("left", "hits", "items", "n_words")})
+    bench = spark.createDataFrame([(1, item), (2, "w39 é ß w0 w7")], "item_id long, text string")
+    want = {1: f"{long}, !  {long}", 3: long, 4: None, 5: "", 6: f"é {long} \nß {long}"}
+    for block_words in (5, 1_000_000):
+        out = decontaminate.decontaminate(docs, bench, block_words=block_words)
+        assert out.columns == docs.columns
+        assert {r.doc_id: (r.text, r.left) for r in out.collect()} == {d: (t, "x") for d, t in want.items()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan

@@ -143,3 +143,19 @@ def test_rows_keep_their_ids_whatever_the_slices(rows, monkeypatch, kind):
     none = batch.slice(0, 0)
     got = list(tokens.encoded_rows(iter([none, batch.slice(0, 10), batch.slice(10), none]), tokens.default_tokenizer(), 7))
     assert [(i, x.tolist()) for i, x in got] == [(i, x) for (i, _), x in zip(rows, ids, strict=True)]
+
+
+def test_memory_is_given_back_after_every_slice(monkeypatch):
+    """Workers idle beside later stages, so what a slice took may not stay with them."""
+    given, pool = [], pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            given.append(1)
+            pool.release_unused()
+
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 10)
+    monkeypatch.setattr(tokens.pa, "default_memory_pool", Pool)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["word " * 4, "b " * 9, None])], names=["doc_id", "text"])
+    found = list(tokens.encoded_rows(iter([batch, batch]), tokens.default_tokenizer(), 1))
+    assert [d for d, _ in found] == [1, 2, 3] * 2 and len(given) == 2 * 2

@@ -189,14 +189,18 @@ def opened(folder: str, file: str) -> Automaton:
     return last_state("automaton", file, read)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``_row`` (all columns of the documents), ``n_words``, ``hits`` (word spans) and ``items``."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, with_left: bool = False) -> DataFrame:
+    """``_row`` (all columns of the documents), ``n_words``, ``hits`` (word spans) and ``items``.
+
+    On request also ``left``: the text without its hits, null for a text that has none.
+    """
     spark = docs.sparkSession
     text_at = docs.columns.index("text")
     folder = new_folder(spark, "automata")
     files = automata(benchmark, folder, window, block_words)
+    left = [F.lit(None).cast("string").alias("left")] if with_left else []
     out = docs.select(
-        boxed(docs), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"), F.array().cast("array<string>").alias("items")
+        boxed(docs), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("hits"), F.array().cast("array<string>").alias("items"), *left
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema])
 
@@ -221,6 +225,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                 pa.array([[{"start": s, "end": e} for s, e in h] for h in hits], batch.schema.field("hits").type),
                 pa.array([sorted(names) for names in items], batch.schema.field("items").type),
             ]
+            if with_left:
+                cut = [cut_words(texts[i].as_py().decode(errors="replace"), h) if h else None for i, h in enumerate(hits)]
+                columns.append(pa.array(cut, batch.schema.field("left").type))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return out.mapInArrow(run, schema)
@@ -254,12 +261,10 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Documents without hit spans; those with a larger share of hit words than allowed go."""
-    found = find_hits(docs, benchmark, window, block_words)
-    cut = F.udf(lambda text, hits: cut_words(text, [[h.start, h.end] for h in hits]), "string")
+    # Cut where they are found: a function of its own would take a second Python worker a core.
+    found = find_hits(docs, benchmark, window, block_words, with_left=True)
     kept = found.where((F.size("hits") == 0) | (n_hit() <= max_coverage * F.col("n_words")))
-    # A Python function is run on every row: only texts with something to cut are handed over.
-    hit = F.when(F.size("hits") > 0, F.col("_row.text").cast("string"))
-    text = F.when(F.size("hits") > 0, cut(hit, "hits")).otherwise(F.col("_row.text"))
+    text = F.when(F.size("hits") > 0, F.col("left")).otherwise(F.col("_row.text"))
     return kept.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
