@@ -158,4 +158,4 @@ def test_memory_is_given_back_after_every_slice(monkeypatch):
     monkeypatch.setattr(tokens.pa, "default_memory_pool", Pool)
     batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["word " * 4, "b " * 9, None])], names=["doc_id", "text"])
     found = list(tokens.encoded_rows(iter([batch, batch]), tokens.default_tokenizer(), 1))
-    assert [d for d, _ in found] == [1, 2, 3] * 2 and len(given) == 2 * 2
+    assert [d for d, _ in found] == [1, 2, 3] * 2 and len(given) == 2 * 3
