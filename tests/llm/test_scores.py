@@ -101,3 +101,15 @@ def test_scores_are_sums_over_all_segmentations(spark):
 
 def test_empty_table(spark):
     assert lattice.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_block_is_many_small_rows(spark):
+    """Row sizes bound what the JVM and a worker hold at a time, whatever a block holds."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = lattice.block_table(docs).collect()
+    assert len({r.block for r in made}) == 1
+    assert max(len(r.words) for r in made) <= 5_000 and max(sum(r.sizes) for r in made) <= 25_000 + 101
+    assert sorted(d for r in made for d in r.doc_id) == list(range(300))
+    assert len({w for r in made for w in r.words}) == sum(len(r.words) for r in made) == 30_001
+    _check(lattice.score_documents(docs).collect(), rows)

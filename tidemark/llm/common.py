@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import sys
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ from tidemark.session import checkpoint_root
 #: most ``HEAVY_KEYS`` such keys whatever the input, few enough to broadcast.
 HEAVY_ROWS, HEAVY_KEYS = 1_000, 100_000
 
+#: Writer's options for tables of rows of some 100 kB: a reader holds a whole row group at a time.
+WIDE_ROWS = {"parquet.block.row.count.limit": "64"}
+
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,6 +91,23 @@ def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker has freed; it outlives its task, idle beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed; small ones take a byte or two."""
+    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``packed``."""
+    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), "<i4").astype(np.int64)
+
+
 def carry(spark: SparkSession, value: Any, slot: str) -> Callable[[], Any]:
     """A value of bounded size for tasks; its classes travel with it, so workers need no package.
 

@@ -12,7 +12,9 @@ training counts, and for each document the numbers and counts of its words. Word
 blocks are summed in Spark, every distinct word is scored once, and the figures go back to
 the blocks, where they are added up per document. So a frequent word is one row per block
 and no row per occurrence, and nothing that grows with the corpus is held in one place; the
-expected counts on the driver are one number per piece.
+expected counts on the driver are one number per piece. A block is written as many rows, each
+with some of its words and some of its documents, so no row is larger than a few hundred kB
+(or than one document's words).
 
 Defined results: a null or empty text is its end token alone; a null id trains, as the crc32
 of an empty text is nought; rows are scored one by one, also repeated ones; long words are
@@ -25,18 +27,21 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import carry, join_counted, read_table
+from tidemark.llm.common import WIDE_ROWS, carry, give_back, join_counted, packed, read_table, unpacked
 from tidemark.llm.registry import query
 from tidemark.session import cut_lineage
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 24_000_000
+#: Words, and words of documents, in a row of a block.
+ROW_WORDS, ROW_PLACES = 5_000, 25_000
 #: Pieces that the prior counts as seen, shared out by its weights.
 PRIOR_PIECES = 10_000.0
 FOLDS, HELD_OUT = 5, 1
@@ -157,10 +162,14 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def block_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as blocks of words and counts."""
+    """Documents as blocks of words and counts, a block being some rows.
+
+    ``first`` is the number of a row's first word in its block. The words of a document are the
+    ``steps`` from one word's number to the next, which go on from document to document in a row.
+    """
     fields = [
-        ("block", pa.int64()), ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())),
-        ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
+        ("block", pa.int64()), ("first", pa.int32()), ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("doc_id", pa.list_(pa.int64())),
+        ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("steps", pa.binary()), ("times", pa.binary()),
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,35 +179,51 @@ def block_table(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         number: dict[bytes, int] = {}
         ids, held, at, times, size = [], [], [], [], 0
 
-        def save() -> pa.RecordBatch:
-            sizes = [len(a) for a in at]
-            flat, n = np.concatenate(at), np.concatenate(times)
-            trained = np.repeat(~np.array(held), sizes)
-            train = np.bincount(flat[trained], weights=n[trained], minlength=len(number)).astype(np.int64)
-            columns = (block, list(number), train, ids, held, np.array(sizes, np.int32), flat.astype(np.int32), n.astype(np.int32))
-            return pa.record_batch([pa.array([c], t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+        def save() -> Iterator[pa.RecordBatch]:
+            words, train = list(number), np.zeros(len(number), np.int64)
+            for places, n, out in zip(at, times, held, strict=True):
+                if not out:
+                    train[places] += n
+            # Documents of a row are those that begin within the same ROW_PLACES places.
+            starts = np.concatenate([[0], np.cumsum([*map(len, at)])[:-1]])
+            bounds = [*np.flatnonzero(np.diff(starts // ROW_PLACES, prepend=-1)).tolist(), len(at)]
+            for first, of in zip_longest(range(0, len(words), ROW_WORDS), zip(bounds, bounds[1:], strict=False)):
+                of_words = slice(0, 0) if first is None else slice(first, first + ROW_WORDS)
+                of_docs = slice(*(of or (0, 0)))
+                steps = np.diff(np.concatenate([np.zeros(1, np.int32), *at[of_docs]]))
+                columns = (
+                    block, first or 0, words[of_words], train[of_words], ids[of_docs], held[of_docs], [*map(len, at[of_docs])],
+                    packed(steps), packed(np.concatenate([np.zeros(0, np.int32), *times[of_docs]])),
+                )
+                yield pa.record_batch([pa.array([c], t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
         for batch in batches:
-            for doc_id, text in zip(batch[0].to_pylist(), batch[1].cast(pa.binary()).to_pylist(), strict=True):
-                found = (text or b"").lower().split()
+            texts = batch[1].cast(pa.binary())
+            for i, doc_id in enumerate(batch[0].to_pylist()):
+                text = texts[i].as_py() or b""
+                found = text.lower().split()
                 found.append(END)
-                numbers = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found))
+                numbers = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
                 places, counts = np.unique(numbers, return_counts=True)
                 ids.append(doc_id)
                 held.append(held_out(doc_id))
                 at.append(places)
-                times.append(counts)
-                size += len(text or b"")
+                times.append(counts.astype(np.int32))
+                size += len(text)
                 if size >= block_bytes:
-                    yield save()
+                    yield from save()
                     block, number, size = block + 1, {}, 0
                     ids, held, at, times = [], [], [], []
+                    give_back()
         if ids:
-            yield save()
+            yield from save()
+        number = batch = texts = None
+        ids, held, at, times = [], [], [], []
+        give_back()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    schema = "block long, words array<binary>, train array<long>, doc_id array<long>, held array<boolean>, sizes array<int>, at array<int>, times array<int>"
-    return cut_lineage(rows.mapInArrow(run, schema))
+    schema = "block long, first int, words array<binary>, train array<long>, doc_id array<long>, held array<boolean>, sizes array<int>, steps binary, times binary"
+    return cut_lineage(rows.mapInArrow(run, schema), **WIDE_ROWS)
 
 
 def train(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary) -> Lattice:
@@ -225,8 +250,8 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, block_bytes:
     """Per row: counts, the unigram ``base_score`` and the lattice ``score``, both log10."""
     spark = docs.sparkSession
     blocks = block_table(docs, block_bytes)
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("i", "x"))
-    counted = listed.select("block", "i", F.col("x.words").alias("word"), F.col("x.train").alias("c"))
+    listed = blocks.select("block", "first", F.posexplode(F.arrays_zip("words", "train")).alias("i", "x"))
+    counted = listed.select("block", (F.col("first") + F.col("i")).alias("i"), F.col("x.words").alias("word"), F.col("x.train").alias("c"))
     words = cut_lineage(counted.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("_n")))
     totals = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     tokens, distinct = totals.n or 0, totals.v or 0
@@ -243,29 +268,33 @@ def score_documents(docs: DataFrame, vocabulary: str | None = None, block_bytes:
     figures = join_counted(counted.select("block", "i", "word"), scored, ["word"]).select("block", "i", "c", "log_p")
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        row = texts.slice(0, 1)
-        column = lambda name: row[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        give_back()
         order = found["i"].to_numpy()
         c, log_p = np.zeros(len(order), np.int64), np.zeros(len(order))
         c[order], log_p[order] = found["c"].to_numpy(), found["log_p"].to_numpy()
-        at, times, sizes = column("at"), column("times").astype(np.int64), column("sizes").astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        total = lambda values: np.add.reduceat(values, starts)
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        ids = row["doc_id"].combine_chunks().flatten()
-        return pa.table(
-            {
-                "doc_id": ids,
-                "held_out": row["held"].combine_chunks().flatten(),
-                "n_tokens": total(times),
-                "n_known": total(times * (c[at] > 0)),
-                "train_tokens": np.full(len(ids), tokens, np.int64),
-                "base_score": total(times * base[at]),
-                "score": total(times * log_p[at]) / math.log(10),
-            }
-        )
-
-    texts = blocks.select(F.col("block").alias("of"), "doc_id", "held", "sizes", "at", "times")
+        base, seen = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), c > 0
+
+        def part(row: pa.Table) -> pa.Table:
+            ids, held, sizes = (row[name].combine_chunks().flatten() for name in ("doc_id", "held", "sizes"))
+            sizes = sizes.to_numpy().astype(np.int64)
+            starts, n = np.concatenate([[0], np.cumsum(sizes)[:-1]]), int(sizes.sum())
+            at, times = np.cumsum(unpacked(row["steps"][0].as_py(), n)), unpacked(row["times"][0].as_py(), n)
+            total = lambda values: np.add.reduceat(values, starts)
+            return pa.table(
+                {
+                    "doc_id": ids,
+                    "held_out": held,
+                    "n_tokens": total(times),
+                    "n_known": total(times * seen[at]),
+                    "train_tokens": np.full(len(ids), tokens, np.int64),
+                    "base_score": total(times * base[at]),
+                    "score": total(times * log_p[at]) / math.log(10),
+                }
+            )
+
+        return pa.concat_tables([part(texts.slice(k, 1)) for k in range(texts.num_rows)])
+
+    texts = blocks.where(F.size("doc_id") > 0).select(F.col("block").alias("of"), "doc_id", "held", "sizes", "steps", "times")
     both = texts.groupBy("of").cogroup(figures.groupBy("block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.applyInArrow(add_up, schema)

@@ -105,16 +105,16 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in system.listStatus(folder) if s.isDirectory()) if system.exists(folder) else []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """The rows, written once as a table in the shared folder and read back.
 
     Survives lost executors. Cheaper than ``checkpoint()``, which computes its rows twice,
-    and read back by column.
+    and read back by column. ``options`` are the writer's.
     """
     path = shared_folder(df.sparkSession, "tables")
     if (temporary := _TEMPORARY.get()) is not None:
         temporary.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
