@@ -95,3 +95,18 @@ def test_cuts_are_all_common_ends(seed):
         found = alignment.cuts(sorted(ends_a), sorted(ends_b))
         common = sorted(ends_a & ends_b)
         assert found == [(sorted(ends_a).index(e) + 1, sorted(ends_b).index(e) + 1) for e in common]
+
+
+def test_a_block_is_many_small_rows(spark, monkeypatch):
+    """Row sizes bound what the JVM and a worker hold at a time, whatever a block holds."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 30_000)
+    monkeypatch.setattr(alignment, "ROW_PAIRS", 200, raising=False)
+    made = alignment.block_table(docs, alignment.default_tokenizers()).collect()
+    assert len({r.block for r in made}) == 1
+    assert max(len(r.a) for r in made) <= 200 < sum(len(r.a) for r in made) and max(len(r.doc_id) for r in made) <= 100
+    assert sorted(d for r in made for d in r.doc_id) == list(range(300))
+    assert len({(a, b) for r in made for a, b in zip(r.a, r.b, strict=True)}) == sum(len(r.a) for r in made)
+    assert _run(docs) == _brute(rows)

@@ -14,7 +14,8 @@ number of documents that hold it linked, of which a document gets the sum over i
 the number of links that are the best of their A id. Workers write, for each block of some
 megabytes of text, the distinct pairs and every document's places and times among them; pairs
 are summed in Spark, and their counts go back to the blocks, one row per pair and block, where
-they are added up. So no row is made per token, and no table of pairs is held in one place.
+they are added up. So no row is made per token, and no table of pairs is held in one place. A
+block is written as many rows, each with some of its pairs and the documents of some text.
 
 Defined results: a null or empty text, and one whose tokens' bytes differ from the text with
 a space before it (as where it spells a vocabulary's own space mark), has no tokens: counts are
@@ -31,17 +32,17 @@ import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, worker_state
+from tidemark.llm.common import WIDE_ROWS, give_back, packed, read_table, unpacked, worker_state
 from tidemark.llm.registry import query
 from tidemark.llm.tokens import byte_alphabet
-from tidemark.session import shared_folder
+from tidemark.session import cut_lineage
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 24_000_000
@@ -49,6 +50,8 @@ BLOCK_BYTES = 24_000_000
 REMEMBERED, REMEMBERED_BYTES = 300_000, 32_000_000
 #: Bytes of text that are looked up together, and units that are aligned together.
 SLICE_BYTES, LEARNED_AT_ONCE = 1_500_000, 50_000
+#: Pairs in a row of a block.
+ROW_PAIRS = 5_000
 #: Probes around the middle that intervals make together; bits of an id in a pair.
 FAR_PROBES, PAIR_BITS = 32, 20
 _MARK, _GUARD = "▁", "\n"
@@ -161,7 +164,10 @@ class Aligner:
         self.closing = closing
         self.lead = len(self.b.encode(_GUARD))
         self.fast = self._same_vocabulary(path_a, spelt)
+        if self.fast:
+            self.a = None  # tens of MB that are not asked again
         self.forget()
+        give_back()
 
     def _same_vocabulary(self, path: str, spelt: dict[int, bytes]):
         """An encoder of the same ids, several times as fast, if the ids of A are the order of its merges."""
@@ -297,10 +303,14 @@ _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def block_table(docs: DataFrame, paths: tuple[str, str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents in blocks: their figures, and their pairs as places among the block's pairs."""
+    """Documents in blocks: their figures, and their pairs as places among the block's pairs.
+
+    A block is some rows; ``first`` is the place of a row's first pair. The places of a document
+    are the ``steps`` from one to the next, which go on from document to document in a row.
+    """
     lists = [
         ("doc_id", pa.int64()), *((n, pa.int64()) for n in _FIGURES), ("groups_sha256", pa.string()),
-        ("sizes", pa.int32()), ("steps", pa.int32()), ("times", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("held", pa.int32()),
+        ("sizes", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("held", pa.int32()),
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,18 +319,23 @@ def block_table(docs: DataFrame, paths: tuple[str, str], block_bytes: int = BLOC
         both = aligner(*paths)
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def save() -> pa.RecordBatch:
-            ids, figures, digests, pairs, times, sizes = zip(*held, strict=True)
-            flat, sums = np.concatenate(pairs), np.concatenate(figures)
-            # The pairs of a document ascend, so the steps between their places are small.
-            numbers, n = np.unique(flat, return_counts=True)
-            steps = np.diff(np.searchsorted(numbers, flat), prepend=0)
-            columns = [
-                [*chain.from_iterable(ids)], *(sums[:, k] for k in range(len(_FIGURES))), [*chain.from_iterable(digests)],
-                np.concatenate(sizes), steps, np.concatenate(times), numbers >> PAIR_BITS, numbers & ((1 << PAIR_BITS) - 1), n,
-            ]
-            arrays = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c).cast(t)) for c, (_, t) in zip(columns, lists, strict=True)]
-            return pa.record_batch([pa.array([block], pa.int64()), *arrays], names=["block", *[n for n, _ in lists]])
+        def save() -> Iterator[pa.RecordBatch]:
+            numbers = np.unique(np.concatenate([distinct for *_, distinct, _, _, _ in held]))
+            n = np.zeros(len(numbers), np.int64)
+            for *_, distinct, count, _, _ in held:
+                n[np.searchsorted(numbers, distinct)] += count
+            for first, part in zip_longest(range(0, len(numbers), ROW_PAIRS), held):
+                of = slice(0, 0) if first is None else slice(first, first + ROW_PAIRS)
+                columns, steps, times = [[] for _ in lists[:-3]], packed(np.zeros(0)), packed(np.zeros(0))
+                if part:
+                    ids, figures, digests, sizes, distinct, _, places, times = part
+                    columns = [ids, *(figures[:, k] for k in range(len(_FIGURES))), digests, sizes]
+                    # The pairs of a document ascend, so the steps between their places are small.
+                    steps = packed(np.diff(np.searchsorted(numbers, distinct)[places], prepend=0))
+                columns += [numbers[of] >> PAIR_BITS, numbers[of] & ((1 << PAIR_BITS) - 1), n[of]]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c).cast(t)) for c, (_, t) in zip(columns, lists, strict=True)]
+                arrays += [pa.array([block], pa.int64()), pa.array([first or 0], pa.int32()), pa.array([steps], pa.binary()), pa.array([times], pa.binary())]
+                yield pa.record_batch(arrays, names=[*[n for n, _ in lists], "block", "first", "steps", "times"])
 
         for batch in batches:
             texts = batch[1].cast(pa.binary())
@@ -334,49 +349,59 @@ def block_table(docs: DataFrame, paths: tuple[str, str], block_bytes: int = BLOC
                 new = set().union(*found).difference(both.known)
                 if new:
                     both.learn(new)
-                held.append((batch[0].slice(first, len(part)).to_pylist(), *both.documents(found)))
+                figures, digests, pairs, times, sizes = both.documents(found)
+                distinct, places, count = np.unique(pairs, return_inverse=True, return_counts=True)
+                held.append((batch[0].slice(first, len(part)).to_pylist(), figures, digests, sizes, distinct, count, places.astype(np.int32), packed(times)))
                 size, first = size + taken, first + len(part)
                 if size >= block_bytes:
-                    yield save()
+                    yield from save()
                     block, held, size = block + 1, [], 0
                 if both.full():
                     both.forget()
+                    give_back()
         if held:
-            yield save()
+            yield from save()
+        # The worker outlives its task: what it has learned would stay, idle beside the JVM.
+        batch, texts, part, found, new, pairs, places, held = *[None] * 7, []
+        both.forget()
+        give_back()
 
     types = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
-    schema = "block long, " + ", ".join(f"{n} array<{types[t]}>" for n, t in lists)
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
-    path = shared_folder(docs.sparkSession, "tables")
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    schema = ", ".join(f"{n} array<{types[t]}>" for n, t in lists) + ", block long, first int, steps binary, times binary"
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    return cut_lineage(rows.mapInArrow(run, schema), compression="zstd", **WIDE_ROWS)
 
 
 def align_documents(docs: DataFrame, tokenizers: tuple[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row the tokens, groups and links of both tokenizers, and the corpus's counts over the links."""
     blocks = block_table(docs, tokenizers or default_tokenizers(), block_bytes)
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("a", "b", "held")).alias("i", "x")).select("block", "i", "x.a", "x.b", "x.held")
+    listed = blocks.select("block", "first", F.posexplode(F.arrays_zip("a", "b", "held")).alias("i", "x"))
+    listed = listed.select("block", (F.col("first") + F.col("i")).alias("i"), "x.a", "x.b", "x.held")
     pairs = listed.groupBy("a", "b").agg(F.sum("held").alias("n"))
     # An A id has at most as many rows as B has ids.
     best = F.max("n").over(Window.partitionBy("a")) == F.col("n")
     figures = listed.drop("held").join(pairs.withColumn("best", best), ["a", "b"]).select("block", "i", "n", "best")
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        row = texts.slice(0, 1)
-        column = lambda name: row[name].combine_chunks().flatten()
+        give_back()
         order = found["i"].to_numpy()
         n, best = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         n[order], best[order] = found["n"].to_numpy(), found["best"].to_numpy(zero_copy_only=False)
-        places = np.cumsum(column("steps").to_numpy().astype(np.int64))
-        times, ends = column("times").to_numpy().astype(np.int64), np.cumsum(column("sizes").to_numpy().astype(np.int64))
 
-        def total(values: np.ndarray) -> np.ndarray:
-            return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+        def part(row: pa.Table) -> pa.Table:
+            column = lambda name: row[name].combine_chunks().flatten()
+            ends = np.cumsum(column("sizes").to_numpy().astype(np.int64))
+            places, times = np.cumsum(unpacked(row["steps"][0].as_py(), ends[-1])), unpacked(row["times"][0].as_py(), ends[-1])
+
+            def total(values: np.ndarray) -> np.ndarray:
+                return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0)
+
+            out = {name: column(name) for name in ("doc_id", *_FIGURES)}
+            return pa.table(out | {"n_best": total(times * best[places]), "count_sum": total(times * n[places]), "groups_sha256": column("groups_sha256")})
 
-        out = {name: column(name) for name in ("doc_id", *_FIGURES)}
-        return pa.table(out | {"n_best": total(times * best[places]), "count_sum": total(times * n[places]), "groups_sha256": column("groups_sha256")})
+        return pa.concat_tables([part(texts.slice(k, 1)) for k in range(texts.num_rows)])
 
-    texts = blocks.select(F.col("block").alias("of"), "doc_id", *_FIGURES, "groups_sha256", "sizes", "steps", "times")
+    texts = blocks.where(F.size("doc_id") > 0).select(F.col("block").alias("of"), "doc_id", *_FIGURES, "groups_sha256", "sizes", "steps", "times")
     both = texts.groupBy("of").cogroup(figures.groupBy("block"))
     return both.applyInArrow(add_up, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
